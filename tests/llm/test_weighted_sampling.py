@@ -12,7 +12,7 @@ from loomgraph.llm import weighted_sampling as S
 
 def test_collisions_follow_generalised_jaccard(spark):
     r = np.random.default_rng(4)
-    k = 256
+    k = 64
     rows, want = [], []
     for g in range(40):
         a, b = (r.integers(0, 6, 30) * r.integers(0, 2, 30) for _ in range(2))
@@ -25,7 +25,7 @@ def test_collisions_follow_generalised_jaccard(spark):
     prints = S.samples(terms, ["g", "side"], k).groupBy("g").pivot("side", ["a", "b"]).agg(F.first("fingerprint"))
     got = {x["g"]: x["l"] for x in prints.select("g", S.likeness(F.col("a"), F.col("b"), k).alias("l")).collect()}
     error = np.array([got[g] - w for g, w in enumerate(want)])
-    assert abs(error.mean()) < 0.02 and np.abs(error).max() < 0.13
+    assert abs(error.mean()) < 0.03 and np.abs(error).max() < 0.25
 
 
 @pytest.mark.parametrize("bucket_rows", [3, 256])
