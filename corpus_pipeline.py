@@ -1,10 +1,76 @@
-"""From raw documents to token digests: each stage works on all that the one before kept."""
+"""From raw documents to token ids: each stage works on all that the one before kept.
+
+Rows without a doc_id can't be named by a decision and pass the near-duplicate and benchmark stages.
+No stage has an SQL form (languages, signatures and tokens come from models and hashes), so ORACLE_SQL is None;
+tests/llm/test_pipeline.py holds the result against a brute-force version.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.llm import bagminhash, bpe, langid, phrase_index, pii
+from loomgraph.llm.common import Scratch, crc_mod, small_or_shuffled
+from loomgraph.session import ship_package
+
+#: A text whose best language has less than this corrected share of its trigrams is in no known language.
+LEAST_SHARE = 0.2
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows of these ids."""
+    ids = Scratch(docs.sparkSession).write(ids.select("doc_id").distinct())
+    return docs.join(small_or_shuffled(ids, ids.count()), "doc_id", "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without a letter or in no known language go."""
+    ship_package(spark)
+    model = langid.fit(docs.where((crc_mod("doc_id", 4) != 2) & F.col("doc_id").isNotNull()))
+    found = langid.identify(docs, model, keep=docs.columns)
+    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: the one with the smallest id."""
+    ship_package(spark)
+    classes = bagminhash.near_duplicates(docs)
+    return without(docs, classes.where(~F.col("representative"))).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    report = phrase_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, report.where("contaminated")).select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, personal data replaced by its kind."""
+    ship_package(spark)
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the digest of what they decode to."""
+    ship_package(spark)
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+
+
+STAGES = [("language_id", language), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("pii", personal_data), ("byte_bpe", tokens)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each result written and read again for the next."""
+    scratch = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.write(docs)
+    return docs

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bagminhash, bpe, langid, phrase_index, quality, weighted_sampling
+from . import bagminhash, bpe, langid, phrase_index, pii, quality, weighted_sampling
 from .common import crc_mod
 
 
@@ -19,6 +19,10 @@ def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,6 @@ def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bagminhash, op3_phrase_index, op6_byte_bpe, op8_weighted_sampling, op9_compression_quality, op10_language_masks)}
+QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_deobfuscated_pii, op3_phrase_index, op6_byte_bpe, op8_weighted_sampling, op9_compression_quality, op10_language_masks)}
 
 SQL: dict[str, str] = {}
