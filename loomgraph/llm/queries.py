@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bagminhash, bpe, langid, phrase_index, pii, quality, weighted_sampling
+from . import bagminhash, bpe, fixity, html_text, langid, phrase_index, pii, quality, token_counts, weighted_sampling
 from .common import crc_mod
 
 
@@ -27,10 +27,31 @@ def op3_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.visible_text(table(spark, sf_dir, "pages"))
+
+
+def op5_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def damaged_replica(pages: DataFrame) -> DataFrame:
+    """The pages as a replica has them in which some records have changed, some are lost and some were written to other numbers."""
+    n = F.col("page_id")
+    flipped = F.concat(F.substring("html", 1, 20), F.lit("?"), F.expr("substring(html, 22)"))
+    rows = pages.select(F.when(n % 199 == 11, n * 2 + 1).otherwise(n).alias("page_id"), "url", F.when(n % 97 == 5, flipped).otherwise(F.col("html")).alias("html"), (n % 149 == 7).alias("lost"))
+    return rows.where(~F.coalesce("lost", F.lit(False))).drop("lost")
+
+
+def op7_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return fixity.audit(pages, damaged_replica(pages), "page_id", fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html")))
+
+
 def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.edit_report(table(spark, sf_dir, "documents"))
 
@@ -50,6 +71,6 @@ def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_deobfuscated_pii, op3_phrase_index, op6_byte_bpe, op8_weighted_sampling, op9_compression_quality, op10_language_masks)}
+QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_deobfuscated_pii, op3_phrase_index, op4_html_layout, op5_viterbi_counts, op6_byte_bpe, op7_merkle_fixity, op8_weighted_sampling, op9_compression_quality, op10_language_masks)}
 
 SQL: dict[str, str] = {}
