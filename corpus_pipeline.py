@@ -29,9 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter or in no known language go."""
     ship_package(spark)
     model = langid.fit(docs.where((crc_mod("doc_id", 4) != 2) & F.col("doc_id").isNotNull()))
-    found = langid.identify(docs, model, keep=docs.columns)
-    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    found = langid.identify(docs, model, keep=docs.columns, out=("_lang", "_share"))
+    kept = found.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_share") >= LEAST_SHARE))
+    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

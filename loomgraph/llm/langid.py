@@ -135,8 +135,8 @@ def scores(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarra
     return [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, known, strict=True)], np.where(known, share.max(0), 0.0)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str | Column] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of every row with ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str | Column] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The ``keep`` columns of every row with the language and its share, under the names ``out``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 bytes a slot and plane: a size fixed by parameters
 
     @F.pandas_udf("lang_pred string, score double")
@@ -154,4 +154,4 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
             yield pd.DataFrame({"lang_pred": names, "score": np.concatenate(values) if values else np.zeros(0)})
 
     found = docs.select(*keep, guess(F.col(text).cast("string")).alias("_found"))
-    return found.select(*[c for c in found.columns if c != "_found"], "_found.lang_pred", "_found.score")
+    return found.select(*[c for c in found.columns if c != "_found"], F.col("_found.lang_pred").alias(out[0]), F.col("_found.score").alias(out[1]))
