@@ -231,28 +231,34 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def star_step(pairs: DataFrame) -> DataFrame:
+    """One large-star and one small-star step on (v, u), u < v: every neighbourhood is hung on its smallest id."""
+    both = pairs.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(pairs.select(F.col("u").alias("x"), F.col("v").alias("y")))
+    least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+    large = both.join(least, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+    least = large.groupBy("v").agg(F.min("u").alias("m"))
+    small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")
+    return small.unionByName(least.select("v", F.col("m").alias("u"))).distinct()
+
+
+def ordered(edges: DataFrame) -> DataFrame:
+    return edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct()
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """(id, comp) for every end of an edge: the smallest id of its connected component.
+    """(id, comp) for every end of an edge but the smallest of each component: the component's smallest id.
 
-    Alternates large-star and small-star steps, each a grouped minimum and a join, until nothing moves.
+    Star steps, each a few grouped minima and joins, until nothing moves.
     """
-    now = scratch.write(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct())
-    before = None
+    now, before = scratch.write(ordered(edges)), None
     while True:
-        both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(now.select(F.col("u").alias("x"), F.col("v").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-        large = scratch.write(large)
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").unionByName(least.select("v", F.col("m").alias("u"))).distinct()
-        nxt = scratch.write(small)
-        state = nxt.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(v, u))").alias("h")).first()
-        scratch.drop(large, now)
-        now = nxt
+        after = scratch.write(star_step(now))
+        state = after.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(v, u))").alias("h")).first()
+        scratch.drop(now)
+        now = after
         if before == state:
-            break
+            return now.select(F.col("v").alias("id"), F.col("u").alias("comp"))
         before = state
-    return now.select(F.col("v").alias("id"), F.col("u").alias("comp")).unionByName(now.select(F.col("u").alias("id"), F.col("u").alias("comp"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 28, rows: int = 5) -> DataFrame:
@@ -262,37 +268,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     sketch = scratch.write(sketches(docs, key, text, bands, rows))
     # equal word sequences have equal band keys: only the smallest id of each sequence goes on
     worded = sketch.where("n > 0")
-    reps = scratch.write(worded.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
+    reps = scratch.write(worded.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     membership = worded.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
-    edges = scratch.write(membership.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    banded = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+    copies = scratch.write(membership.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    banded = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
     buckets = scratch.write(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"))
-    members = banded.join(buckets, "key").select("key", "id").distinct()
+    members = banded.join(buckets, "key").select("key", "id", "n").distinct()
     members = scratch.write(members.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))))
-    scratch.drop(buckets)
     wanted = scratch.write(members.select("id").distinct())
     whole = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     texts = scratch.write(whole.join(small_or_shuffled(wanted, wanted.count()), "id", "left_semi"))
-    links, tried, comps, low, high = None, None, None, 1, 1
-    open_ = members.withColumn("comp", F.col("id"))
+    links = tried = labels = None
+    open_, low, high = members.withColumn("label", F.col("id")), 1, 1
     while True:
-        pivots = open_.where(F.col("rank").between(low, high)).select("key", F.col("id").alias("a"), F.col("rank").alias("r"), F.col("comp").alias("c"))
-        pairs = open_.join(pivots, "key").where("rank > r and comp <> c").select("a", F.col("id").alias("b")).distinct()
+        pivots = open_.where(F.col("rank").between(low, high)).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("r"), F.col("label").alias("l"))
+        # sizes further apart than the threshold can't reach it
+        near = F.least("n", "na") >= threshold * F.greatest("n", "na") - 1e-9
+        pairs = open_.join(pivots, "key").where("rank > r and label <> l").where(near).select("a", F.col("id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = scratch.write(verified(pairs, texts, threshold).distinct())
         links = found if links is None else links.unionByName(found)
-        comps = components(scratch, links)
+        # labels need not be final: equal ones show that texts are in one class, and only spare comparisons
+        hung = ordered(found) if labels is None else ordered(found).unionByName(labels.select(F.col("id").alias("v"), F.col("label").alias("u")))
+        labels = scratch.write(star_step(hung).groupBy(F.col("v").alias("id")).agg(F.min("u").alias("label")))
         low, high = high + 1, high * 8 + 1
-        # buckets with texts in different classes and pairs that no pivot has tried
-        here = members.join(comps, "id", "left").select("key", "id", "rank", F.coalesce("comp", "id").alias("comp"))
-        mixed_keys = scratch.write(here.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("rank").alias("last")).where("c0 <> c1").where(F.col("last") > low).select("key"))
-        if not mixed_keys.limit(1).count():
+        # buckets with texts of different labels and pairs that no pivot has tried
+        here = members.join(labels, "id", "left").select("key", "id", "n", "rank", F.coalesce("label", "id").alias("label"))
+        keys = here.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("rank").alias("last")).where("l0 <> l1").where(F.col("last") > low)
+        open_ = scratch.write(here.join(keys.select("key"), "key"))
+        if not open_.limit(1).count():
             break
-        open_ = scratch.write(here.join(mixed_keys, "key"))
-    scratch.drop(texts)
-    final = components(scratch, edges.unionByName(links))
+    final = components(scratch, copies.unionByName(links))
     every = sketch.select("id").distinct()
     return every.join(final, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("comp", "id").alias("class_id")).withColumn("representative", F.col("doc_id") == F.col("class_id"))
