@@ -10,9 +10,10 @@ explored only up to a horizon in which each component has almost surely been hit
 for which that fails are explored further, which gives the same signature as an endless process.
 
 ``bands`` bands of ``rows`` components put texts into buckets.  In a bucket one text, the pivot, is verified against
-the others by exact multiset overlap.  Texts that a pivot doesn't join to its class are tried
-against further pivots (each other in the end), until all texts of a bucket that are still in
-different classes have been compared.  So a group of copies costs one comparison for each copy and
+the others by exact multiset overlap; it is the one that meets most texts in all its buckets.  Texts of a small bucket that the
+pivot didn't join to its class are tried against further pivots, each other in the end.  In a large bucket the texts outside the
+commonest class are compared with all others in blocks of bounded size, whose overlaps are counted as matrix products, and
+only links that join classes come out.  So a group of copies costs one comparison for each copy and
 not one for each pair, and no link found by the bands is lost.  With 28 bands of 5 a pair at similarity 0.8 is missed
 with probability 1.5e-5, one at 0.85 with 2e-7.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,6 +233,78 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+#: Buckets up to this size are compared in pairs, larger ones in blocks; shingles that a block holds at most (but for one text).
+SMALL, BLOCK_TEXTS, BLOCK_SHINGLES = 64, 512, 400_000
+
+
+def block_links(texts: list[str], x: np.ndarray, y: np.ndarray, labels: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between texts x and texts y (numbers in ``texts``) of different labels, a spanning forest of them.
+
+    Shared shingles are counted for all pairs at once, as a product of matrices whose columns are the shingles (told apart by
+    their occurrence) that more than one text has.
+    """
+    text, h, c = overlaps(pa.array(texts, pa.string()))
+    total = np.bincount(text, c, len(texts))
+    text, h, occurrence = np.repeat(text, c), np.repeat(h, c), np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+    _, item, times = np.unique(mixed(h + occurrence.astype(np.uint64) * U(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+    shared = times[item] > 1
+    text, item = text[shared], np.unique(item[shared], return_inverse=True)[1]
+    columns = int(item.max()) + 1 if len(item) else 0
+    order = np.argsort(text, kind="stable")
+    text, item = text[order], item[order]
+    at = np.searchsorted(text, np.arange(len(texts) + 1))
+
+    def rows(which: np.ndarray, first: int, last: int) -> np.ndarray:
+        out = np.zeros((len(which), last - first), np.float32)
+        for k, t in enumerate(which):
+            own = item[at[t] : at[t + 1]]
+            out[k, own[(own >= first) & (own < last)] - first] = 1
+        return out
+
+    found, parent = [], {}
+
+    def root(v: int) -> int:
+        while parent.get(v, v) != v:
+            v = parent[v]
+        return v
+
+    for i in range(0, len(x), 64):
+        some = x[i : i + 64]
+        common = np.zeros((len(some), len(y)), np.float32)
+        for first in range(0, columns, 8192):
+            last = min(columns, first + 8192)
+            common += rows(some, first, last) @ rows(y, first, last).T
+        union = total[some][:, None] + total[y][None] - common
+        near = (common >= threshold * union - 1e-6) & (union > 0) & (labels[some][:, None] != labels[y][None])
+        for k, j in zip(*np.nonzero(near), strict=True):
+            a, b = int(some[k]), int(y[j])
+            if (p := root(int(labels[a]))) != (q := root(int(labels[b]))):
+                parent[p] = q
+                found.append((a, b))
+    return found
+
+
+def linked_in_blocks(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) links of large buckets: texts without the bucket's commonest label against all of its texts, block by block."""
+    labels = open_.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    sizes = labels.groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("size"), F.sum("n").alias("n"))
+    width = F.greatest(F.lit(1), F.least(F.lit(BLOCK_TEXTS), F.floor(BLOCK_SHINGLES * F.col("size") / F.col("n")))).cast("int")
+    sizes = sizes.select("key", F.col("most.label").alias("major"), "size", (F.col("size") - F.col("most.c")).alias("odd"), width.alias("width"))
+    rows = open_.select("key", "id", "label").join(sizes, "key")
+    block = lambda *by: F.floor((F.row_number().over(Window.partitionBy(*by).orderBy("id")) - 1) / F.col("width")).cast("int")
+    last = lambda c: F.greatest(F.lit(0), F.ceil(F.col(c) / F.col("width")).cast("int") - 1)
+    odd = rows.where("label <> major").withColumn("i", block("key")).withColumn("j", F.explode(F.sequence(F.lit(0), last("size")))).select("key", "i", "j", "id", "label", F.lit(0).alias("side"))
+    every = rows.withColumn("j", block("key")).withColumn("i", F.explode(F.sequence(F.lit(0), last("odd")))).select("key", "i", "j", "id", "label", F.lit(1).alias("side"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        side = group["side"].to_numpy()
+        links = block_links(group["text"].tolist(), np.flatnonzero(side == 0), np.flatnonzero(side == 1), group["label"].to_numpy(), threshold)
+        ids = group["id"].to_numpy()
+        return pd.DataFrame([(ids[a], ids[b]) for a, b in links], columns=["a", "b"]).astype("int64")
+
+    return odd.unionByName(every).join(texts, "id").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def star_step(pairs: DataFrame) -> DataFrame:
     """One large-star and one small-star step on (v, u), u < v: every neighbourhood is hung on its smallest id."""
     both = pairs.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(pairs.select(F.col("u").alias("x"), F.col("v").alias("y")))
@@ -272,32 +346,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     membership = worded.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
     copies = scratch.write(membership.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     banded = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
-    buckets = scratch.write(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"))
-    members = banded.join(buckets, "key").select("key", "id", "n").distinct()
-    members = scratch.write(members.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))))
+    buckets = scratch.write(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    members = scratch.write(banded.join(buckets, "key").select("key", "id", "n", "size").distinct())
+    # a text that meets most others is likely to be what they were copied from: the best pivot
+    met = members.groupBy("id").agg(F.sum("size").alias("met"))
+    members = scratch.write(members.join(met, "id").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "id"))).drop("met"))
     wanted = scratch.write(members.select("id").distinct())
     whole = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    texts = scratch.write(whole.join(small_or_shuffled(wanted, wanted.count()), "id", "left_semi"))
+    texts = scratch.write(whole.join(small_or_shuffled(wanted, wanted.count()), "id", "left_semi").dropDuplicates(["id", "text"]))
     links = tried = labels = None
     open_, low, high = members.withColumn("label", F.col("id")), 1, 1
     while True:
         pivots = open_.where(F.col("rank").between(low, high)).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("r"), F.col("label").alias("l"))
         # sizes further apart than the threshold can't reach it
         near = F.least("n", "na") >= threshold * F.greatest("n", "na") - 1e-9
-        pairs = open_.join(pivots, "key").where("rank > r and label <> l").where(near).select("a", F.col("id").alias("b")).distinct()
+        few = F.lit(True) if high == 1 else F.col("size") <= SMALL
+        pairs = open_.where(few).join(pivots, "key").where("rank > r and label <> l").where(near).select("a", F.col("id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = scratch.write(verified(pairs, texts, threshold).distinct())
+        found = verified(pairs, texts, threshold).distinct()
+        if low == 2:  # what the first pivots left of the large buckets, once and for all
+            found = found.unionByName(linked_in_blocks(open_.where(F.col("size") > SMALL), texts, threshold))
+        found = scratch.write(found)
         links = found if links is None else links.unionByName(found)
         # labels need not be final: equal ones show that texts are in one class, and only spare comparisons
         hung = ordered(found) if labels is None else ordered(found).unionByName(labels.select(F.col("id").alias("v"), F.col("label").alias("u")))
         labels = scratch.write(star_step(hung).groupBy(F.col("v").alias("id")).agg(F.min("u").alias("label")))
         low, high = high + 1, high * 8 + 1
-        # buckets with texts of different labels and pairs that no pivot has tried
-        here = members.join(labels, "id", "left").select("key", "id", "n", "rank", F.coalesce("label", "id").alias("label"))
-        keys = here.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("rank").alias("last")).where("l0 <> l1").where(F.col("last") > low)
+        # buckets with texts of different labels and pairs that nothing has compared
+        here = members.join(labels, "id", "left").select("key", "id", "n", "size", "rank", F.coalesce("label", "id").alias("label"))
+        keys = here.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("rank").alias("last")).where("l0 <> l1")
+        keys = keys.where(F.col("last") > low) if low == 2 else keys.where(F.col("last").between(low + 1, SMALL))
         open_ = scratch.write(here.join(keys.select("key"), "key"))
         if not open_.limit(1).count():
             break

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bagminhash as B
@@ -54,7 +55,10 @@ def test_signatures_are_unbiased_for_counts():
         assert abs((sig[0] == sig[1]).mean() - want) < 4 * (want * (1 - want) / m) ** 0.5
 
 
-def test_classes_equal_brute_force(spark):
+@pytest.mark.parametrize("small", [2, 64])
+def test_classes_equal_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(B, "SMALL", small)
+    monkeypatch.setattr(B, "BLOCK_TEXTS", 3 if small == 2 else 512)
     texts = sample()
     rows = list(enumerate(texts)) + [(None, "one two"), (3, texts[3])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(0)).withColumn("class_id", F.lit(9))
