@@ -16,7 +16,7 @@ def spark():
 
     folder = tempfile.mkdtemp(prefix="spark-")
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[2]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
