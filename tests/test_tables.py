@@ -47,8 +47,8 @@ def test_layers(spark):
 def test_training_learns(spark):
     r = np.random.default_rng(2)
     y = r.integers(0, 2, 120)
-    nodes = spark.createDataFrame([(i, [float(c), 1.0 - c, float(z)], int(c), ["train", "train", "val", "test"][i % 4]) for i, (c, z) in enumerate(zip(y, r.normal(size=120)))], "id long, x array<double>, y int, split string")
-    edges = spark.createDataFrame([(int(a), int(b)) for a in range(120) for b in r.choice(np.flatnonzero(y == y[a]), 2)], "src long, dst long")
+    nodes = spark.createDataFrame([(i, [float(c), float(1 - c), float(z)], int(c), ["train", "train", "val", "test"][i % 4]) for i, (c, z) in enumerate(zip(y, r.normal(size=120)))], "id long, x array<double>, y int, split string")
+    edges = spark.createDataFrame([(int(b), int(a)) for a in range(120) for b in r.choice(np.flatnonzero(y == y[a]), 2)], "src long, dst long")
     got = nn.fit(nodes, edges, 2, hops=1, conv="mean", epochs=12, lr=0.3, check_every=4, patience=2)
     assert got.history[-1]["loss"] < got.history[0]["loss"] and max(h["val_accuracy"] or 0 for h in got.history) == 1.0
 
