@@ -119,7 +119,18 @@ INVISIBLE = "\u00ad\u180e\u200b\u200c\u200d\u2060\ufeff"
 BLANKS = dict.fromkeys("\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", " ")
 MAP = LOOKALIKES | BLANKS
 ODD = re.compile(f"[{re.escape(''.join(MAP))}{INVISIBLE}]")
-CANDIDATE = re.compile(r"[@0-9]|\b(?:at|dot|plus|zero|one|two|three|four|five|six|seven|eight|nine)\b", re.IGNORECASE)
+ODD_LATIN = [c for c in (*MAP, *INVISIBLE) if c < "\u0100"]
+
+
+def is_odd(text: str) -> bool:
+    """Whether unmask would change the text."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return ODD.search(text) is not None
+    return any(map(text.__contains__, ODD_LATIN))
 
 
 def unmask(tape: Tape) -> Tape:
@@ -129,6 +140,7 @@ def unmask(tape: Tape) -> Tape:
 
 _AT = r"[ \t]?[\[({<][ \t]?(?:at|@)[ \t]?[\])}>][ \t]?"
 _DOT = r"[ \t]?[\[({<][ \t]?(?:dot|\.)[ \t]?[\])}>][ \t]?"
+BRACKET = re.compile(r"[\[({<][ \t]?(?:[aA][tT]|@|[dD][oO][tT]|\.)[ \t]?[\])}>]")
 BRACKETED = re.compile(f"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
 #: Last labels that make "name at host dot tld" in bare words an address: any two letters or one of these.
 TOP_LEVEL = "com|net|org|edu|gov|mil|info|biz|app|dev|name|online|site|xyz|[a-z]{2}"
@@ -139,9 +151,9 @@ WORDED = re.compile(r" (dot|at) ", re.IGNORECASE)
 
 def unspoken(tape: Tape) -> Tape:
     """(at) and [dot], then name at host dot tld."""
-    if re.search(r"[\[({<][ \t]?(?:at|@|dot|\.)[ \t]?[\])}>]", tape.text, re.IGNORECASE):
+    if BRACKET.search(tape.text):
         tape = tape.rewritten([(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(tape.text)])
-    if re.search(r" dot ", tape.text, re.IGNORECASE):
+    if " dot " in tape.text.lower():
         parts = []
         for m in SPOKEN.finditer(tape.text):
             if m["at"] == "@" or " dot " in m["host"].lower():
@@ -157,12 +169,22 @@ TIMES = {"double": 2, "triple": 3}
 _WORD = "|".join([*DIGIT, *SIGN, *TIMES])
 SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:\+[ ]?)?(?:{_WORD}|[0-9]+)(?:(?:[ ,.-]|, )(?:{_WORD}|[0-9]+))+(?![A-Za-z0-9])", re.IGNORECASE)
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
-SPELLED_FIRST = re.compile(rf"\b(?:{'|'.join(DIGIT)})[ ,.-]+(?:{_WORD}|[0-9])", re.IGNORECASE)
+#: In lower-case text: a digit that is rarely part of other words, or two of the words in a row behind one that often is.
+RARE = tuple(w for w in DIGIT if w not in ("one", "oh"))
+COMMON = tuple(re.compile(rf"{w}[ ,.-]+(?:{_WORD}|[0-9])") for w in ("one", "oh"))
+SPELLED_FIRST = re.compile(rf"(?:{'|'.join(DIGIT)})[ ,.-]+(?:{_WORD}|[0-9])")
+
+
+def may_be_spelled(text: str) -> bool:
+    low = text.lower()
+    if any(map(low.__contains__, RARE)):
+        return SPELLED_FIRST.search(low) is not None
+    return any(x.search(low) for x in COMMON)
 
 
 def unspelled(tape: Tape) -> Tape:
     """Runs with at least three spelled digits become digits without the blanks between them; signs stay."""
-    if not SPELLED_FIRST.search(tape.text):
+    if not may_be_spelled(tape.text):
         return tape
     parts = []
     for m in SPELLED.finditer(tape.text):
@@ -187,9 +209,7 @@ def unspelled(tape: Tape) -> Tape:
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Finds in the rewritten texts that touch no plain find and no earlier one, in source positions."""
     tape, taken, added = Tape.of(text), [(a, b) for _, a, b in base], []
-    for step, needed in ((unmask, None if text.isascii() else ODD), (unspoken, CANDIDATE), (unspelled, CANDIDATE)):
-        if needed is None or not needed.search(tape.text):
-            continue
+    for step in (unmask, unspoken, unspelled) if is_odd(text) else (unspoken, unspelled):
         after = step(tape)
         if after.text == tape.text:
             continue
