@@ -56,6 +56,18 @@ class Codec:
         if piece in ranks:
             return [ranks[piece]]
         n = len(piece)
+        if n <= 64:  # the usual case: scanning a short list beats a queue
+            get, parts, none = ranks.get, [piece[i : i + 1] for i in range(n)], 1 << 62
+            pairs = [get(piece[i : i + 2], none) for i in range(n - 1)]
+            while pairs and (least := min(pairs)) < none:
+                i = pairs.index(least)
+                joined = parts[i] = parts[i] + parts[i + 1]
+                del parts[i + 1], pairs[i]
+                if i < len(pairs):
+                    pairs[i] = get(joined + parts[i + 1], none)
+                if i:
+                    pairs[i - 1] = get(parts[i - 1] + joined, none)
+            return [ranks[x] for x in parts]
         end = list(range(1, n + 1))  # where the part that starts here ends; 0 once it is merged into its left neighbour
         back = list(range(-1, n - 1))
         queue = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -86,7 +98,7 @@ class Codec:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            for p in set(pieces) - known.keys():
+            for p in {p for p in pieces if p not in known}:
                 known[p] = np.array(self.merge(p.encode("utf-8", "replace")), "<u4").tobytes()
             return b"".join([known[p] for p in pieces])
 

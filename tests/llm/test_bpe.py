@@ -40,3 +40,9 @@ def test_whole_and_chunked_texts_equal_the_library(spark):
 
 def test_empty_table(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string"), PATH, PATTERN).collect() == []
+
+
+def test_own_merges_equal_the_library():
+    own = bpe.Codec(PATH, PATTERN)
+    for piece in {p for t in odd_texts() for p in own.pattern.findall(t)}:
+        assert own.merge(piece.encode()) == oracle().encode_ordinary(piece)
