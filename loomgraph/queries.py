@@ -135,7 +135,10 @@ def coalesced_transpose(s, d):
     return graph.coalesce(graph.transpose(bipartite(s, d))).select("src", "dst", rounded(F.col("w")).alias("w"))
 
 
-@query(f"WITH {BIPARTITE}, a AS (SELECT DISTINCT src, dst FROM edges), {BOUGHT.replace('edges', 'pairs')}, c AS (SELECT src, dst, count(*) AS n FROM pairs GROUP BY 1, 2) SELECT 'bipartite' AS graph, EXISTS (SELECT 1 FROM a x WHERE NOT EXISTS (SELECT 1 FROM a y WHERE y.src = x.dst AND y.dst = x.src)) AS directed UNION ALL SELECT 'bought_together', EXISTS (SELECT 1 FROM c x LEFT JOIN c y ON y.src = x.dst AND y.dst = x.src WHERE coalesce(y.n, 0) <> x.n)")
+ONE_WAY = "SELECT '{n}' AS graph, count(*) > 0 AS directed FROM {t} x LEFT JOIN {t} y ON y.src = x.dst AND y.dst = x.src WHERE coalesce(y.n, 0) <> x.n"
+
+
+@query(f"WITH {BIPARTITE}, a AS (SELECT src, dst, count(*) AS n FROM edges GROUP BY 1, 2), {BOUGHT.replace('edges', 'pairs')}, c AS (SELECT src, dst, count(*) AS n FROM pairs GROUP BY 1, 2) {ONE_WAY.format(n='bipartite', t='a')} UNION ALL {ONE_WAY.format(n='bought_together', t='c')}")
 def directedness(s, d):
     return graph.undirectedness(bipartite(s, d)).select(F.lit("bipartite").alias("graph"), "directed").unionByName(graph.undirectedness(bought_together(s, d)).select(F.lit("bought_together").alias("graph"), "directed"))
 
