@@ -288,7 +288,6 @@ def simple(name, how, e, joined="JOIN long l ON l.id = e.src", pre=""):
 
 DEG = OUT.strip()
 simple("sum_aggr", lambda e, n: aggregate.sum_aggr(e, n, width=SIZE), "sum(l.v)")
-simple("mean_aggr", lambda e, n: aggregate.mean_aggr(e, n, width=SIZE), "avg(l.v)")
 simple("min_aggr", lambda e, n: aggregate.min_aggr(e, n, width=SIZE), "min(l.v)")
 simple("max_aggr", lambda e, n: aggregate.max_aggr(e, n, width=SIZE), "max(l.v)")
 simple("gcn_aggr", lambda e, n: aggregate.gcn_aggr(e, n, width=SIZE), "sum(l.v / sqrt(o.n * i.n))", "JOIN long l ON l.id = e.src JOIN dout o ON o.id = e.src JOIN din i ON i.id = e.dst", DEG)
@@ -309,6 +308,12 @@ def first_slots(s, d):
     return vectors(s, d).withColumn("x", F.slice("x", 1, SIZE))
 
 
+@query(f"{WEIGHTED} {filled('avg(l.v)', 'JOIN long l ON l.id = e.src')}")
+def mean_aggr(s, d):
+    """On the vectors: means of prices with few decimals would lie on rounding ties."""
+    return long(aggregate.mean_aggr(vector_edges(s, d), first_slots(s, d), width=SIZE))
+
+
 @query(f"{WEIGHTED} {filled('sum(l.v * e.w)', 'JOIN long l ON l.id = e.src')}")
 def weighted_sum(s, d):
     return long(aggregate.sum_aggr(vector_edges(s, d), first_slots(s, d), weight="w", width=SIZE))
