@@ -53,7 +53,7 @@ def op7_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weighted_sampling.edit_report(table(spark, sf_dir, "documents"))
+    return weighted_sampling.edit_report(table(spark, sf_dir, "documents"), k=64)
 
 
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

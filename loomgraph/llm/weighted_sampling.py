@@ -6,9 +6,8 @@ t = floor(ln(weight) / r + b) the sample's key is ln(c) - r (t + 1 - b); the ter
 component's sample.  Two texts share a sample with a probability that equals the
 generalised Jaccard similarity, sum of minima over sum of maxima of the weights.
 
-The gamma values are read from quantile tables (r: 256 steps; c: 16 steps in each
-halving of the probability, down to 2^-25), so no logarithm is taken for a sample; the tables are small because
-each task gets them with the plan.
+The gamma values are logarithms of products of two uniforms, so their tails aren't cut: in a text of n words the
+winning keys come from an r near ln(n) and beyond.
 
 Defined results: null is the empty text; a text without words has the fingerprint of zeros, alike to itself
 (1) and to nothing else (0); equal texts have equal fingerprints.  Documents follow each other by
@@ -18,10 +17,9 @@ result; a single document is its own next one.
 
 from __future__ import annotations
 
-from functools import cache, reduce
+from functools import reduce
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -31,50 +29,27 @@ BUCKET_ROWS, BUCKETS = 256, 200_000
 TASK_ROWS, TASKS = 1500, 50_000
 
 
-@cache
-def gamma_quantiles(u: tuple[float, ...]) -> np.ndarray:
-    """Where 1 - (1 + x) exp(-x) reaches u, by bisection."""
-    want = np.array(u)
-    low, high = np.zeros(len(want)), np.full(len(want), 60.0)
-    for _ in range(80):
-        middle = (low + high) / 2
-        over = -np.expm1(-middle) - middle * np.exp(-middle) > want
-        low, high = np.where(over, low, middle), np.where(over, middle, high)
-    return (low + high) / 2
+def gamma(u: Column, v: Column) -> Column:
+    """A Gamma(2, 1) value from two uniforms."""
+    return -F.ln(u * v)
 
 
-def table(values: np.ndarray) -> Column:
-    """A constant array, written as one string that the optimizer folds."""
-    return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
-
-
-def tables(spark: SparkSession) -> tuple[Column, Column]:
-    """The tables of r and of ln(c), as scalar subqueries: one value each, wherever they are used."""
-    r = gamma_quantiles(tuple(((np.arange(256) + 0.5) / 256).tolist()))
-    halvings, steps = np.divmod(np.arange(25 * 16), 16)
-    c = gamma_quantiles(tuple((2.0 ** -(halvings + 1) * (1 + (steps + 0.5) / 16)).tolist()))
-    return tuple(spark.range(1).select(table(v)).scalar() for v in (r, np.log(c)))
-
-
-def sample_key(term: Column, log_weight: Column, k: int, r_table: Column, c_table: Column) -> Column:
+def sample_key(term: Column, log_weight: Column, k: int) -> Column:
     """Orders the samples of component k: the fixed-point key above 24 bits of the term's hash."""
     bits = F.xxhash64(term, F.lit(k))
-    part = lambda shift, n: F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << n) - 1))
-    r = r_table[part(56, 8).cast("int")]
-    b = (part(36, 20) + 0.5) / F.lit(float(1 << 20))
-    tail = part(8, 24).bitwiseOR(F.lit(1 << 24))
-    halvings = F.bit_count(tail.bitwiseAND(-tail) - 1)
-    ln_c = c_table[(halvings * 16 + part(0, 4)).cast("int")]
+    more = F.xxhash64(bits)
+    part = lambda x, shift, n: (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << n) - 1)) + 0.5) / F.lit(float(1 << n))
+    r, c = gamma(part(bits, 32, 32), part(bits, 0, 32)), gamma(part(more, 42, 22), part(more, 20, 22))
+    b = part(more, 0, 20)
     t = F.floor(log_weight / r + b)
-    key = ln_c - r * (t + 1 - b)
+    key = F.ln(c) - r * (t + 1 - b)
     return F.shiftleft(((key + 64) * float(1 << 32)).cast("long"), 24).bitwiseOR(term.bitwiseAND(F.lit((1 << 24) - 1)))
 
 
 def samples(terms: DataFrame, by: list[str], k: int, carry: list[Column] = ()) -> DataFrame:
     """Fingerprints of the groups ``by`` of rows (term long, weight); groups without a term don't appear."""
-    r_table, c_table = tables(terms.sparkSession)
     rows = terms.withColumn("_w", F.ln(F.col("weight").cast("double")))
-    found = rows.groupBy(*by).agg(*[F.min(sample_key(F.col("term"), F.col("_w"), i, r_table, c_table)).alias(f"_{i}") for i in range(k)], *carry)
+    found = rows.groupBy(*by).agg(*[F.min(sample_key(F.col("term"), F.col("_w"), i)).alias(f"_{i}") for i in range(k)], *carry)
     text = F.concat(*[F.lpad(F.hex(F.col(f"_{i}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for i in range(k)])
     return found.withColumn("fingerprint", F.lower(text)).drop(*[f"_{i}" for i in range(k)])
 

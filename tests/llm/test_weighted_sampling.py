@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,28 @@ def test_collisions_follow_generalised_jaccard(spark):
     assert abs(error.mean()) < 0.03 and np.abs(error).max() < 0.25
 
 
+def test_collisions_in_long_texts(spark):
+    """Zipf's words: rare ones win as often as their weights say, also where ln(total weight) is large."""
+    r = np.random.default_rng(8)
+    k, pairs, words, vocabulary = 64, 24, 20_000, 30_000
+    p = 1 / np.arange(1, vocabulary + 1)
+    p /= p.sum()
+    parts, want = [], []
+    for g in range(pairs):
+        half, rest, other = (r.multinomial(words // 2, p) for _ in range(3))
+        a, b = half + rest, half + other
+        want.append(np.minimum(a, b).sum() / np.maximum(a, b).sum())
+        for side, ws in (("a", a), ("b", b)):
+            seen = np.flatnonzero(ws)
+            parts.append(pd.DataFrame({"g": g, "side": side, "term": seen + g * vocabulary, "weight": ws[seen]}))
+    terms = spark.createDataFrame(pd.concat(parts)).withColumn("term", F.xxhash64("term"))
+    prints = S.samples(terms, ["g", "side"], k).groupBy("g").pivot("side", ["a", "b"]).agg(F.first("fingerprint"))
+    got = {x["g"]: x["l"] for x in prints.select("g", S.likeness(F.col("a"), F.col("b"), k).alias("l")).collect()}
+    want = np.array(want)
+    error = np.mean([got[g] - w for g, w in enumerate(want)])
+    assert abs(error) < 3.5 * np.sqrt((want * (1 - want)).sum() / k) / pairs, (error, want.mean())
+
+
 @pytest.mark.parametrize("bucket_rows", [3, 256])
 def test_report(spark, monkeypatch, bucket_rows):
     monkeypatch.setattr(S, "BUCKET_ROWS", bucket_rows)
