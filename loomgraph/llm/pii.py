@@ -8,7 +8,8 @@ remembers for every character which source characters it stands for:
 3. runs of spelled digits (with ``plus``, ``dot``, ``double``, ``triple``) become digits.
 
 The same patterns run on each rewritten text, and what they find is mapped back to source characters.
-A disguised find is added unless it touches a plain one of any kind or an earlier disguised one.
+Plain finds stay as they are.  A disguised find is added unless its span is equal to or inside that of a plain find
+or of an earlier disguised one; so a whole identifier is listed beside a shorter plain match in it.
 
 Spans are in code points, end exclusive.  Defined results: null is the empty text and has no finds;
 repeated rows are treated alike; columns other than id and text are not read; an empty table gives an
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -206,17 +208,35 @@ def unspelled(tape: Tape) -> Tape:
     return tape.rewritten(parts)
 
 
+class Cover:
+    """Spans none of which lies in another, by start and so by end too; a lookup takes logarithmic time."""
+
+    def __init__(self, spans: list[Span]):
+        self.begin, self.end = [], []
+        for span in sorted(spans, key=lambda s: (s[1], -s[2])):
+            self.add(span)
+
+    def add(self, span: Span) -> bool:
+        """Whether the span is equal to or inside none of these, which it then joins in place of those inside it."""
+        _, a, b = span
+        i = bisect_right(self.begin, a)
+        if i and self.end[i - 1] >= b:
+            return False
+        first, last = bisect_left(self.begin, a), bisect_right(self.end, b)
+        self.begin[first:last], self.end[first:last] = [a], [b]
+        return True
+
+
 def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Finds in the rewritten texts that touch no plain find and no earlier one, in source positions."""
-    tape, taken, added = Tape.of(text), [(a, b) for _, a, b in base], []
+    """Finds in the rewritten texts that lie in no plain find and no earlier one, in source positions."""
+    tape, taken, added = Tape.of(text), Cover(base), []
     for step in (unmask, unspoken, unspelled) if is_odd(text) else (unspoken, unspelled):
         after = step(tape)
         if after.text == tape.text:
             continue
         tape = after
         for span in map(tape.source, plain(tape.text)):
-            if all(span[2] <= a or span[1] >= b for a, b in taken):
-                taken.append(span[1:])
+            if taken.add(span):
                 added.append(span)
     return added
 

@@ -57,6 +57,16 @@ def test_disguised(text, kind, part):
     assert set(base) <= set(every)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [("jοhn@mail.com", "email"), ("john@mail.exаmple.com", "email"), ("+44 20 7946 09５8", "phone"), ("4111 1111 1111 1111１10", "card")],
+)
+def test_whole_finds_beside_shorter_plain_ones(text, kind):
+    base, every = pii.find(text)
+    assert base and (kind, 0, len(text)) in every and set(base) <= set(every), (base, every)
+    assert pii.redacted(text) == f"<{kind}>"
+
+
 @pytest.mark.parametrize("text", ["We met at the house, one two three go.", "look at this dot there", "", "Привет, как дела? два три", "a (at) b", "one two three four five six seven", "Le été – déjà vu — 12–13", "version 1 dot 2"])
 def test_clean_texts_stay_clean(text):
     assert pii.find(text) == ([], [])
