@@ -64,7 +64,7 @@ def plain(text: str) -> list[Span]:
     """The finds of the four patterns, by kind as listed, then start."""
     found = list(emails(text))
     if any(map(text.__contains__, "0123456789")):
-        found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 13 and 13 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
                 found.append(("card", *m.span()))
@@ -145,20 +145,21 @@ _DOT = r"[ \t]?[\[({<][ \t]?(?:dot|\.)[ \t]?[\])}>][ \t]?"
 BRACKET = re.compile(r"[\[({<][ \t]?(?:[aA][tT]|@|[dD][oO][tT]|\.)[ \t]?[\])}>]")
 BRACKETED = re.compile(f"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
 #: Last labels that make "name at host dot tld" in bare words an address: any two letters or one of these.
-TOP_LEVEL = "com|net|org|edu|gov|mil|info|biz|app|dev|name|online|site|xyz|[a-z]{2}"
+TOP_LEVEL = "com|net|org|edu|gov|mil|int|info|biz|app|dev|name|online|site|xyz|shop|store|tech|cloud|blog|email|agency|academy|digital|global|group|health|museum|network|news|software|solutions|studio|support|systems|website|[a-z]{2}"
 #: In bare words only the whole form counts: name at host dot tld.
-SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]{1,64}(?:(?: dot |[.])[A-Za-z0-9_%+-]{1,64}){0,4})(?P<at> at |@)(?P<host>[A-Za-z0-9-]{1,63}(?:(?: dot |[.])[A-Za-z0-9-]{1,63}){0,4}(?: dot |[.])(?:" + TOP_LEVEL + r"))(?![A-Za-z0-9-])", re.IGNORECASE)
-WORDED = re.compile(r" (dot|at) ", re.IGNORECASE)
+SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]{1,64}(?:(?:[ \t]{1,4}dot[ \t]{1,4}|[.])[A-Za-z0-9_%+-]{1,64}){0,4})(?P<at>[ \t]{1,4}at[ \t]{1,4}|@)(?P<host>[A-Za-z0-9-]{1,63}(?:(?:[ \t]{1,4}dot[ \t]{1,4}|[.])[A-Za-z0-9-]{1,63}){0,4}(?:[ \t]{1,4}dot[ \t]{1,4}|[.])(?:" + TOP_LEVEL + r"))(?![A-Za-z0-9-])", re.IGNORECASE)
+WORDED = re.compile(r"[ \t]{1,4}(dot|at)[ \t]{1,4}", re.IGNORECASE)
+DOTTED = re.compile(r"[ \t]dot[ \t]", re.IGNORECASE)
 
 
 def unspoken(tape: Tape) -> Tape:
     """(at) and [dot], then name at host dot tld."""
     if BRACKET.search(tape.text):
         tape = tape.rewritten([(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(tape.text)])
-    if " dot " in tape.text.lower():
+    if DOTTED.search(tape.text):
         parts = []
         for m in SPOKEN.finditer(tape.text):
-            if m["at"] == "@" or " dot " in m["host"].lower():
+            if m["at"] == "@" or DOTTED.search(m["host"]):
                 parts += [(m.start() + w.start(), m.start() + w.end(), "@" if w[1].lower() == "at" else ".") for w in WORDED.finditer(m[0])]
         tape = tape.rewritten(parts)
     return tape
@@ -171,30 +172,28 @@ TIMES = {"double": 2, "triple": 3}
 _WORD = "|".join([*DIGIT, *SIGN, *TIMES])
 SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:\+[ ]?)?(?:{_WORD}|[0-9]+)(?:(?:[ ,.-]|, )(?:{_WORD}|[0-9]+))+(?![A-Za-z0-9])", re.IGNORECASE)
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
-#: In lower-case text: a digit that is rarely part of other words, or two of the words in a row behind one that often is.
-RARE = tuple(w for w in DIGIT if w not in ("one", "oh"))
-COMMON = tuple(re.compile(rf"{w}[ ,.-]+(?:{_WORD}|[0-9])") for w in ("one", "oh"))
-SPELLED_FIRST = re.compile(rf"(?:{'|'.join(DIGIT)})[ ,.-]+(?:{_WORD}|[0-9])")
+WRITTEN = (*DIGIT, *SIGN)
 
 
 def may_be_spelled(text: str) -> bool:
-    low = text.lower()
-    if any(map(low.__contains__, RARE)):
-        return SPELLED_FIRST.search(low) is not None
-    return any(x.search(low) for x in COMMON)
+    return any(map(text.lower().__contains__, WRITTEN))
 
 
 def unspelled(tape: Tape) -> Tape:
-    """Runs with at least three spelled digits become digits without the blanks between them; signs stay."""
+    """Runs with a digit and a spelled digit or sign become digits without the blanks between them; signs stay.
+
+    With fewer than three spelled digits, groups of plain digits keep what is between them.
+    """
     if not may_be_spelled(tape.text):
         return tape
     parts = []
     for m in SPELLED.finditer(tape.text):
         tokens = [(t.start(), t.end(), t[0].lower()) for t in TOKEN.finditer(m[0])]
-        if sum(t in DIGIT for _, _, t in tokens) < 3:
+        spelled = sum(t in DIGIT for _, _, t in tokens)
+        if not (spelled or any(t in SIGN and t.isalpha() for _, _, t in tokens) and any(t.isdigit() for _, _, t in tokens)):
             continue
         times, held = 1, None
-        for a, b, t in tokens:
+        for k, (a, b, t) in enumerate(tokens):
             a, b = a + m.start(), b + m.start()
             if t in TIMES:
                 times, held = TIMES[t], a if held is None else held
@@ -203,7 +202,14 @@ def unspelled(tape: Tape) -> Tape:
                 times, held = 1, None
             elif t in SIGN:
                 parts.append((a, b, SIGN[t]))
-            elif held is None and not t.isdigit() and not t.strip(" ,") and b > a:
+                times, held = 1, None
+            elif t.isdigit():
+                if held is not None:
+                    parts.append((held, b, t[0] * times + t[1:]))
+                times, held = 1, None
+            elif t == "+ ":
+                parts.append((a, b, "+"))
+            elif held is None and not t.strip(" ,") and (spelled >= 3 or not (tokens[k - 1][2].isdigit() and tokens[k + 1][2].isdigit())):
                 parts.append((a, b, ""))
     return tape.rewritten(parts)
 

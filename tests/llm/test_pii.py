@@ -67,6 +67,29 @@ def test_whole_finds_beside_shorter_plain_ones(text, kind):
     assert pii.redacted(text) == f"<{kind}>"
 
 
+@pytest.mark.parametrize(
+    ("part", "kind"),
+    [
+        ("192 dot 168 dot 1 dot 10", "ip"),
+        ("plus 44 20 7946 0958", "phone"),
+        ("+44 20 7946 095 eight", "phone"),
+        ("4111 1111 1111 111 one", "card"),
+        ("4111 dash 1111 dash 1111 dash 1111", "card"),
+        ("plus 44 20 double 7 46 0958", "phone"),
+        ("alice at example dot shop", "email"),
+        ("alice  at  example  dot  com", "email"),
+    ],
+)
+def test_few_spelled_parts(part, kind):
+    text = f"<{part}>"
+    assert (kind, 1, 1 + len(part)) in pii.find(text)[1], pii.find(text)
+
+
+def test_many_zeros():
+    text = "0" * 5000 + ".1.2.3"
+    assert pii.find(text)[0] == [("ip", 0, len(text))]
+
+
 @pytest.mark.parametrize("text", ["We met at the house, one two three go.", "look at this dot there", "", "Привет, как дела? два три", "a (at) b", "one two three four five six seven", "Le été – déjà vu — 12–13", "version 1 dot 2"])
 def test_clean_texts_stay_clean(text):
     assert pii.find(text) == ([], [])
