@@ -4,14 +4,17 @@ A text longer than ``chunk`` characters is cut into chunks that overlap.  The ch
 in parallel, each from its own first character.  Pre-tokens depend only on what follows their start, so
 as soon as two neighbours share a boundary they agree from there on: the first shared boundary
 in the overlap is where one chunk hands over to the next.  Each chunk then encodes the pieces that are
-its own, and the ids of a text are put together in chunk order.  A text whose neighbours never
-meet in an overlap (a run without boundaries) is encoded in one go.  Shorter texts are single chunks.
+its own, and the ids of a text are put together in chunk order.  Where neighbours never meet in an overlap
+(a run without boundaries), the left one is read on through the right one, from its last boundary, until it
+meets the chunk after that; the other chunks of the text stay as they are.  Shorter texts are single chunks.
 
 Decoding looks up the bytes of each id and concatenates them.
 
+Workers read a batch in slices of half a MB and remember at most ``REMEMBERED`` bytes of pieces and ids.
+
 Defined results: a null text is empty and has no ids; repeated rows are encoded alike, rows of equal
-id too; strings of special tokens are ordinary text; the kept columns may have any name that does not
-start with ``_bpe``; an empty table gives an empty result.
+id too; strings of special tokens are ordinary text; the kept columns may have any name; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -22,33 +25,39 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Pieces remembered by a worker; beyond that the memory starts anew.
-REMEMBERED = 400_000
+from .common import Scratch, text_slices
+
+#: Bytes that a worker spends on each of two generations of remembered pieces.
+REMEMBERED = 12 << 20
 CHUNK, OVERLAP = 32_768, 512
 #: Characters before the end of a chunk in which a boundary may still move: more than any pre-token pattern looks ahead.
 MARGIN = 16
 
 
-@cache
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+@cache
+def bytes_by_id(path: str) -> dict[int, bytes]:
+    return {v: k for k, v in load_ranks(path).items()}
+
+
 class Codec:
     """Merges for one rank file and one pre-token pattern."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
-        self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.size = 0
 
     def merge(self, piece: bytes) -> list[int]:
         """Always join the neighbours whose union has the lowest rank, the leftmost of equals."""
@@ -90,24 +99,26 @@ class Codec:
             i = end[i]
         return out
 
+    def learn(self, pieces: list[str]) -> None:
+        """Make all these pieces known; when the memory is full, only pieces of the last generation are taken over."""
+        if self.size > REMEMBERED:
+            self.before, self.known, self.size = self.known, {}, 0
+        known, before = self.known, self.before
+        for p in {p for p in pieces if p not in known}:
+            known[p] = ids = before.get(p) or np.array(self.merge(p.encode("utf-8", "replace")), "<u4").tobytes()
+            self.size += 200 + 2 * len(p) + len(ids)
+
     def encode_pieces(self, pieces: list[str]) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known = self.known
         try:
-            return b"".join([known[p] for p in pieces])
+            return b"".join([self.known[p] for p in pieces])
         except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for p in {p for p in pieces if p not in known}:
-                known[p] = np.array(self.merge(p.encode("utf-8", "replace")), "<u4").tobytes()
-            return b"".join([known[p] for p in pieces])
+            self.learn(pieces)
+            return b"".join([self.known[p] for p in pieces])
 
     def encode(self, text: str) -> bytes:
         return self.encode_pieces(self.pattern.findall(text))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 @cache
 def codec(path: str, pattern: str) -> Codec:
@@ -123,62 +134,110 @@ def boundaries(found: regex.Pattern, text: str, last: bool) -> list[int]:
     return [*starts, len(text)] if last else [s for s in starts[:-1] if s < len(text) - MARGIN]
 
 
+def pieces_of(found: regex.Pattern, parts: list[str], at: list[list[int]], step: int, overlap: int) -> list[tuple[int, str, list[int]]]:
+    """(number, text, cuts): what lies between the cuts of all texts, in order, are the pre-tokens of the chunked text.
+
+    A chunk is handed over at the first boundary that it shares with the next one; without such a boundary it is
+    read on from its last boundary through the next chunk (and twice as many each time that gives no boundary).
+    """
+    out, last = [], len(parts) - 1
+    k = 0  # the chunk that the text reaches to
+    text, cuts, origin, take = parts[0], at[0], 0, 1  # origin: where the text begins, counted from the start of all
+    while k < last:
+        begin = (k + 1) * step - origin  # of the next chunk
+        theirs = {p for p in at[k + 1] if p < overlap}
+        seam = next((p for p in cuts if p >= begin and p - begin in theirs), None)
+        if seam is not None:
+            out.append((len(out), text, [p for p in cuts if p <= seam]))
+            k, start, origin, take = k + 1, seam - begin, (k + 1) * step, 1
+            text, cuts = parts[k], [p for p in at[k] if p >= start]
+            continue
+        back = cuts[-1] if cuts else 0
+        if len(cuts) > 1:
+            out.append((len(out), text, cuts))
+            take = 1
+        text, origin = text[back:], origin + back
+        for _ in range(min(take, last - k)):
+            k += 1
+            text += parts[k][origin + len(text) - k * step :]
+        take *= 2
+        cuts = boundaries(found, text, k == last)
+    return [*out, (len(out), text, cuts)]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str | Column] = ("doc_id",), chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """The ``keep`` columns of every row with ``ids`` (binary, 4 bytes an id, little-endian)."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*keep).alias("_bpe_keep"), whole.alias("_bpe_text"))
-
-    @F.pandas_udf("binary")
-    def encode_whole(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(path, pattern)
-        for part in parts:
-            yield part.map(own.encode)
-
-    @F.pandas_udf("array<int>")
-    def cut(texts: pd.Series, last: pd.Series) -> pd.Series:
-        found = codec(path, pattern).pattern
-        return pd.Series([boundaries(found, t, z) for t, z in zip(texts, last, strict=True)])
+    rows = docs.select(F.struct(*keep).alias("kept"), whole.alias("text"))
 
-    @F.pandas_udf("binary")
-    def encode_pieces(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def encode_whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        return pd.Series([own.encode_pieces([t[a:b] for a, b in zip(c, c[1:])]) for t, c in zip(texts, (list(map(int, c)) for c in cuts), strict=True)])
-
-    short = rows.where(F.length("_bpe_text") <= chunk).select("_bpe_keep", encode_whole("_bpe_text").alias("ids"))
-    # a number for each row, so that neither null nor repeated ids meet; both readers below share its shuffle
-    long = rows.where(F.length("_bpe_text") > chunk).withColumn("_bpe_row", F.monotonically_increasing_id())
+        for batch in batches:
+            yield pa.array([own.encode(t) for texts in text_slices(batch) for t in texts], pa.binary())
+
+    @F.arrow_udf("array<int>")
+    def cut(texts: pa.Array, last: pa.Array) -> pa.Array:
+        found, ends = codec(path, pattern).pattern, iter(last.to_pylist())
+        return pa.array([boundaries(found, t, next(ends)) for part in text_slices(texts) for t in part], pa.list_(pa.int32()))
+
+    @F.arrow_udf("array<struct<i: int, part: string, cuts: array<int>>>")
+    def read_on(chunks: pa.Array) -> pa.Array:
+        found, rows = codec(path, pattern).pattern, []
+        for i in range(len(chunks)):
+            if (c := chunks[i].as_py()) is None:
+                rows.append(None)
+                continue
+            rows.append([{"i": k, "part": t, "cuts": p} for k, t, p in pieces_of(found, [x["part"] for x in c], [x["at"] for x in c], step, overlap)])
+        return pa.array(rows, pa.list_(pa.struct([("i", pa.int32()), ("part", pa.string()), ("cuts", pa.list_(pa.int32()))])))
+
+    @F.arrow_udf("binary")
+    def encode_pieces(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+        own, out = codec(path, pattern), []
+        for i in range(len(texts)):
+            t, c = texts[i].as_py(), cuts[i].as_py()
+            out.append(own.encode_pieces([t[a:b] for a, b in zip(c, c[1:])]))
+        return pa.array(out, pa.binary())
+
+    short = rows.where(F.length("text") <= chunk).select("kept", encode_whole("text").alias("ids"))
+    # long texts get a number each, so that neither null nor repeated ids meet; written, so that a lost task finds the same numbers again
+    long = Scratch(docs.sparkSession).write(rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()))
     step = chunk - overlap
-    number = F.ceil((F.length("_bpe_text") - overlap) / step).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.struct(i.alias("i"), (i == number - 1).alias("last"), F.substring(F.col("_bpe_text"), i * step + 1, F.lit(chunk)).alias("part")))
-    chunks = long.select("_bpe_row", "_bpe_keep", F.inline(parts)).repartition("_bpe_row", "i").withColumn("at", cut("part", "last"))
+    number = F.ceil((F.length("text") - overlap) / step).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.struct(i.alias("i"), (i == number - 1).alias("last"), F.substring(F.col("text"), i * step + 1, F.lit(chunk)).alias("part")))
+    chunks = long.select("row", F.inline(parts)).repartition("row", "i").withColumn("at", cut("part", "last"))
     # one row a text again: no more than the text and its boundaries
-    texts = chunks.groupBy("_bpe_row").agg(F.first("_bpe_keep").alias("_bpe_keep"), F.array_sort(F.collect_list(F.struct("i", "part", "at"))).alias("c"))
+    texts = chunks.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "part", "at"))).alias("c"))
     # the first boundary that neighbours share, counted from the start of the right one
     seam = F.expr(f"transform(sequence(0, size(c) - 2), i -> array_min(array_intersect(transform(filter(c[i].at, p -> p >= {step}), p -> p - {step}), filter(c[i + 1].at, p -> p < {overlap}))))")
-    texts = texts.withColumn("seam", seam).withColumn("met", ~F.exists("seam", F.isnull))
-    own = F.expr(f"transform(c, (x, k) -> struct(x.i as i, x.part as part, filter(x.at, p -> (k = 0 or p >= seam[k - 1]) and (k = size(c) - 1 or p <= {step} + seam[k])) as cuts))".replace("seam[k - 1]", "get(seam, k - 1)").replace("seam[k]", "get(seam, k)"))
-    pieces = texts.where("met").select("_bpe_row", "_bpe_keep", F.inline(own)).repartition("_bpe_row", "i").withColumn("ids", encode_pieces("part", "cuts"))
-    stitched = pieces.groupBy("_bpe_row").agg(F.first("_bpe_keep").alias("_bpe_keep"), F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("all"))
-    stitched = stitched.select("_bpe_keep", F.expr("aggregate(all, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"))
-    plain = F.expr(f"array_join(transform(c, (x, k) -> if(k = size(c) - 1, x.part, substring(x.part, 1, {step}))), '')")
-    unmet = texts.where("not met").select("_bpe_keep", encode_whole(plain).alias("ids"))
-    return short.unionByName(stitched).unionByName(unmet).select("_bpe_keep.*", "ids")
-
-
-def decode(coded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded", text: bool = False) -> DataFrame:
+    texts = texts.withColumn("seam", seam)
+    own = F.expr(f"transform(c, (x, k) -> struct(x.i as i, x.part as part, filter(x.at, p -> (k = 0 or p >= get(seam, k - 1)) and (k = size(c) - 1 or p <= {step} + get(seam, k))) as cuts))")
+    unmet = F.exists("seam", F.isnull)
+    texts = texts.withColumn("read", read_on(F.when(unmet, F.col("c"))))
+    pieces = texts.select("row", F.inline(F.coalesce("read", own))).repartition("row", "i").withColumn("ids", encode_pieces("part", "cuts"))
+    stitched = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("all"))
+    stitched = stitched.select("row", F.expr("aggregate(all, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"))
+    stitched = long.select("row", "kept").join(stitched, "row").select("kept", "ids")
+    return short.unionByName(stitched).select("kept.*", "ids")
+
+
+def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded", text: bool = False) -> DataFrame:
     """``coded`` with the bytes of its ids, or with those bytes as text."""
 
-    @F.pandas_udf(T.StringType() if text else T.BinaryType())
-    def bytes_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(path, pattern)
-        for part in parts:
-            found = part.map(lambda x: own.decode(x or b""))
-            yield found.map(lambda b: b.decode("utf-8", "replace")) if text else found
+    @F.arrow_udf("string" if text else "binary")
+    def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        get = bytes_by_id(path).__getitem__
+        for batch in batches:
+            rows = []
+            for i in range(len(batch)):
+                found = b"".join(map(get, np.frombuffer(batch[i].as_buffer() or b"", "<u4").tolist()))
+                rows.append(found.decode("utf-8", "replace") if text else found)
+            yield pa.array(rows, pa.string() if text else pa.binary())
 
     return coded.withColumn(out, bytes_of(ids))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: number of ids and the SHA-256 of the ids and of the decoded bytes."""
-    coded = decode(encode(docs, path, pattern, text, [key]), path, pattern)
+    coded = decode(encode(docs, path, pattern, text, [key]), path)
     return coded.select(key, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 #: Rows of a narrow table (ids, terms, model rows) up to which it is broadcast after being counted.
 BROADCAST_ROWS = 500_000
 #: Bytes of text that a numpy step handles at once.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.  Where it is unset, local sessions get a folder of their own; a cluster has to set it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -65,15 +68,26 @@ def crc_mod(name: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % n, F.lit(-1))
 
 
-def sampled(df: DataFrame, key: str, share: float) -> DataFrame:
-    """Rows whose hashed key falls into the share: the same rows on every run and for every partitioning."""
-    if share >= 1:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < int(share * (1 << 30)))
+def place_in_sample(key: str) -> Column:
+    """A number from 0 to 1 from the hashed key: rows below a share are a sample that is the same on every run and for every partitioning."""
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
+def share_by(column: str, shares: dict) -> Column:
+    """The share of each value of the column, 0 for other values."""
+    pairs = [F.lit(x) for pair in shares.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column)), F.lit(0.0)) if pairs else F.lit(0.0)
+
+
+def text_slices(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[list[str]]:
+    """The texts of a column in order ('' for null), a few at a time: at most ``limit`` bytes unless one text has more."""
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    first = 0
+    while first < len(column):
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+        yield column.slice(first, end - first).to_pylist()
+        first = end
 
 
 def utf8_batches(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

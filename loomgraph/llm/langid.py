@@ -20,12 +20,11 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, texts_of
+from .common import Scratch, place_in_sample, share_by, text_slices
 
 UNDETERMINED = "und"
 
@@ -77,34 +76,27 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     The model is fitted on about ``max_docs_per_lang`` documents of each language at most (chosen by
     a hash of the id).  At most 1 / min_rate trigrams of a language reach the driver, whatever the input.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    chosen = None
-    for name, n in sorted(counts.items()):
-        part = sampled(rows.where(F.col("lang") == name), "key", max_docs_per_lang / n)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    if not found:
         return LanguageModel([], np.zeros((0, slots), np.uint64), np.zeros(0), hashes)
+    chosen = rows.where(place_in_sample("key") < share_by("lang", {name: min(1.0, max_docs_per_lang / n) for name, n in sorted(found.items())}))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = np.array(batch["lang"].to_pylist(), object)
-            texts = texts_of(batch["text"])
-            for name in dict.fromkeys(names):
-                grams, n = np.unique(trigrams([texts[i] for i in np.flatnonzero(names == name)])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
-
-    grams = chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    try:
-        totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        # decreasing training text, then name: argmax takes the first of equals
-        languages = sorted(totals, key=lambda name: (-totals[name], name))
-        least = F.lit(None)
-        for name in languages:
-            least = F.when(F.col("lang") == name, max(1.0, min_rate * totals[name])).otherwise(least)
-        kept = grams.where(F.col("n") >= least).select("lang", "gram").toArrow()
-    finally:
-        grams.unpersist()
+            names, first = np.array(batch["lang"].to_pylist(), object), 0
+            for texts in text_slices(batch["text"]):
+                here, first = names[first : first + len(texts)], first + len(texts)
+                for name in dict.fromkeys(here):
+                    grams, n = np.unique(trigrams([texts[i] for i in np.flatnonzero(here == name)])[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
+    grams = Scratch(docs.sparkSession).write(chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    # decreasing training text, then name: argmax takes the first of equals
+    languages = sorted(totals, key=lambda name: (-totals[name], name))
+    least = share_by("lang", {name: max(1.0, min_rate * n) for name, n in totals.items()})
+    kept = grams.where(F.col("n") >= least).select("lang", "gram").toArrow()
     names, codes = np.array(kept["lang"].to_pylist(), object), kept["gram"].to_numpy()
     planes = np.zeros((-(-len(languages) // 64), slots), np.uint64)
     fill = np.zeros(len(languages))
@@ -139,19 +131,15 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     """The ``keep`` columns of every row with the language and its share, under the names ``out``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 bytes a slot and plane: a size fixed by parameters
 
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def guess(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            texts, names, values, first = [t or "" for t in part], [], [], 0
-            while first < len(texts):  # a few MB at a time
-                end, size = first, 0
-                while end < len(texts) and (size := size + len(texts[end])) <= 1 << 20 or end == first:
-                    end += 1
-                a, b = scores(shared.value, texts[first:end])
+            names, values = [], [np.zeros(0)]
+            for texts in text_slices(part):
+                a, b = scores(shared.value, texts)
                 names += a
                 values.append(b)
-                first = end
-            yield pd.DataFrame({"lang_pred": names, "score": np.concatenate(values) if values else np.zeros(0)})
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(values))], ["lang_pred", "score"])
 
-    found = docs.select(*keep, guess(F.col(text).cast("string")).alias("_found"))
-    return found.select(*[c for c in found.columns if c != "_found"], F.col("_found.lang_pred").alias(out[0]), F.col("_found.score").alias(out[1]))
+    found = docs.select(F.struct(*keep).alias("kept"), guess(F.col(text).cast("string")).alias("found"))
+    return found.select("kept.*", F.col("found.lang_pred").alias(out[0]), F.col("found.score").alias(out[1]))

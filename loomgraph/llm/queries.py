@@ -59,7 +59,7 @@ def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     seen = labels.where(crc_mod("doc_id", 5) > 0).select("doc_id", "quality")
-    model = quality.fit(docs.select("doc_id", "text").join(seen, "doc_id"))
+    model = quality.fit(docs, seen)
     scored = quality.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
