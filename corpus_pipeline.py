@@ -29,9 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter or in no known language go."""
     ship_package(spark)
     model = langid.fit(docs.where((crc_mod("doc_id", 4) != 2) & F.col("doc_id").isNotNull()))
-    found = langid.identify(docs, model, keep=docs.columns, out=("_lang", "_share"))
-    kept = found.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_share") >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(docs.columns)
+    found = langid.identify(docs, model, keep=[F.struct(*docs.columns).alias("doc")])
+    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
+    return kept.withColumn("doc", F.col("doc").withField("lang", F.coalesce("doc.lang", "lang_pred"))).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of what they decode to."""
     ship_package(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    coded = bpe.decode(bpe.encode(docs, path, pattern), path)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 
