@@ -11,15 +11,17 @@ for which that fails are explored further, which gives the same signature as an
 
 ``bands`` bands of ``rows`` components put texts into buckets.  In a bucket one text, the pivot, is verified against
 the others by exact multiset overlap; it is the one that meets most texts in all its buckets.  Texts of a small bucket that the
-pivot didn't join to its class are tried against further pivots, each other in the end.  In a large bucket the texts outside the
-commonest class are compared with all others in blocks of bounded size, whose overlaps are counted as matrix products, and
-only links that join classes come out.  So a group of copies costs one comparison for each copy and
+pivot didn't join to its class are tried against further pivots, each other in the end.  Large buckets that the pivot didn't make
+one class (texts around one boilerplate, say) are split by prefix filtering: texts of similarity t share one of the
+n - ceil(t n) + 1 rarest of their n shingles, so only texts that share a rare shingle meet again, as buckets of their own, pivot by
+pivot.  So a group of copies costs one comparison for each copy and
 not one for each pair, and no link found by the bands is lost.  With 28 bands of 5 a pair at similarity 0.8 is missed
 with probability 1.5e-5, one at 0.85 with 2e-7.
 
 Defined results: texts with equal word sequences (ASCII case folded) are copies of each other; texts
 without a word, null ones included, are in no class but their own; rows of equal id are one document (their
-texts' classes are joined); a null id is left out; extra columns are not read; an empty table gives an empty result.
+texts' classes are joined); each row of a null id is a class of its own, with a null ``class_id``; ids are integers, other
+types raise TypeError; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, small_or_shuffled, utf8_batches
 
@@ -233,86 +235,54 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-#: Buckets up to this size are compared in pairs, larger ones in blocks; shingles that a block holds at most (but for one text).
-SMALL, BLOCK_TEXTS, BLOCK_SHINGLES = 64, 512, 400_000
+#: Buckets up to this size are compared pivot by pivot; in larger ones the texts that the first pivot left are joined on their rare shingles.
+SMALL = 64
 
 
-def block_links(texts: list[str], x: np.ndarray, y: np.ndarray, labels: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Links between texts x and texts y (numbers in ``texts``) of different labels, a spanning forest of them.
+def occurrences(texts: DataFrame) -> DataFrame:
+    """(id, h, n, token) of every shingle occurrence of texts (id, h, text): the k-th one of a shingle is a token of its own, so that multisets become sets."""
 
-    Shared shingles are counted for all pairs at once, as a product of matrices whose columns are the shingles (told apart by
-    their occurrence) that more than one text has.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in utf8_batches(batch["text"]):
+                which, h, c = shingles(*word_hashes(data, offsets))
+                k = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+                token = mixed(np.repeat(h, c) + k.astype(np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64)
+                rows = np.repeat(which, c)
+                ids, hashes = (batch[x].slice(first, end - first).take(pa.array(rows)) for x in ("id", "h"))
+                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(np.bincount(which, c, end - first).astype(np.int64)[rows]), pa.array(token)], ["id", "h", "n", "token"])
+
+    return texts.select("id", "h", "text").mapInArrow(run, "id long, h long, n long, token long")
+
+
+def rare_buckets(scratch: Scratch, members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, n, size) buckets of texts that share one of their rarest shingles.
+
+    Two texts of similarity t or more share one of the n - ceil(t n) + 1 rarest tokens of either, whatever the order of equally
+    rare ones.  Tokens that one text has alone meet nothing: they only use up places among the rarest.
+    """
+    ids = scratch.write(members.select("id").distinct())
+    tokens = scratch.write(occurrences(texts.join(small_or_shuffled(ids, ids.count()), "id").withColumn("h", F.xxhash64("text"))))
+    shared = scratch.write(tokens.groupBy("token").agg(F.count_distinct("id").alias("f")).where("f > 1"))
+    seen = tokens.join(small_or_shuffled(shared, shared.count()), "token")
+    order = F.array_sort(F.collect_list(F.struct("f", "token")))  # as many as the text has shingles
+    listed = seen.groupBy("id", "h", "n").agg(order.alias("t"))
+    places = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("t"))
+    rare = F.slice("t", 1, F.greatest(F.lit(0), F.least(places, F.size("t"))).cast("int"))
+    return listed.select("id", "n", F.explode(rare).alias("x")).select(F.col("x.token").alias("key"), "id", "n", F.col("x.f").alias("size")).distinct()
+
+
+def star_step(scratch: Scratch, pairs: DataFrame) -> DataFrame:
+    """One large-star and one small-star step on (v, u), u < v: every neighbourhood is hung on its smallest id.
+
+    The minima are written and counted first, so that a hub's edges need not meet in one task.
     """
-    text, h, c = overlaps(pa.array(texts, pa.string()))
-    total = np.bincount(text, c, len(texts))
-    text, h, occurrence = np.repeat(text, c), np.repeat(h, c), np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-    _, item, times = np.unique(mixed(h + occurrence.astype(np.uint64) * U(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
-    shared = times[item] > 1
-    text, item = text[shared], np.unique(item[shared], return_inverse=True)[1]
-    columns = int(item.max()) + 1 if len(item) else 0
-    order = np.argsort(text, kind="stable")
-    text, item = text[order], item[order]
-    at = np.searchsorted(text, np.arange(len(texts) + 1))
-
-    def rows(which: np.ndarray, first: int, last: int) -> np.ndarray:
-        out = np.zeros((len(which), last - first), np.float32)
-        for k, t in enumerate(which):
-            own = item[at[t] : at[t + 1]]
-            out[k, own[(own >= first) & (own < last)] - first] = 1
-        return out
-
-    found, parent = [], {}
-
-    def root(v: int) -> int:
-        while parent.get(v, v) != v:
-            v = parent[v]
-        return v
-
-    for i in range(0, len(x), 64):
-        some = x[i : i + 64]
-        common = np.zeros((len(some), len(y)), np.float32)
-        for first in range(0, columns, 8192):
-            last = min(columns, first + 8192)
-            common += rows(some, first, last) @ rows(y, first, last).T
-        union = total[some][:, None] + total[y][None] - common
-        near = (common >= threshold * union - 1e-6) & (union > 0) & (labels[some][:, None] != labels[y][None])
-        for k, j in zip(*np.nonzero(near), strict=True):
-            a, b = int(some[k]), int(y[j])
-            if (p := root(int(labels[a]))) != (q := root(int(labels[b]))):
-                parent[p] = q
-                found.append((a, b))
-    return found
-
-
-def linked_in_blocks(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) links of large buckets: texts without the bucket's commonest label against all of its texts, block by block."""
-    labels = open_.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-    sizes = labels.groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("size"), F.sum("n").alias("n"))
-    width = F.greatest(F.lit(1), F.least(F.lit(BLOCK_TEXTS), F.floor(BLOCK_SHINGLES * F.col("size") / F.col("n")))).cast("int")
-    sizes = sizes.select("key", F.col("most.label").alias("major"), "size", (F.col("size") - F.col("most.c")).alias("odd"), width.alias("width"))
-    rows = open_.select("key", "id", "label").join(sizes, "key")
-    block = lambda *by: F.floor((F.row_number().over(Window.partitionBy(*by).orderBy("id")) - 1) / F.col("width")).cast("int")
-    last = lambda c: F.greatest(F.lit(0), F.ceil(F.col(c) / F.col("width")).cast("int") - 1)
-    odd = rows.where("label <> major").withColumn("i", block("key")).withColumn("j", F.explode(F.sequence(F.lit(0), last("size")))).select("key", "i", "j", "id", "label", F.lit(0).alias("side"))
-    every = rows.withColumn("j", block("key")).withColumn("i", F.explode(F.sequence(F.lit(0), last("odd")))).select("key", "i", "j", "id", "label", F.lit(1).alias("side"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        side = group["side"].to_numpy()
-        links = block_links(group["text"].tolist(), np.flatnonzero(side == 0), np.flatnonzero(side == 1), group["label"].to_numpy(), threshold)
-        ids = group["id"].to_numpy()
-        return pd.DataFrame([(ids[a], ids[b]) for a, b in links], columns=["a", "b"]).astype("int64")
-
-    return odd.unionByName(every).join(texts, "id").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
-
-
-def star_step(pairs: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on (v, u), u < v: every neighbourhood is hung on its smallest id."""
     both = pairs.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(pairs.select(F.col("u").alias("x"), F.col("v").alias("y")))
-    least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-    large = both.join(least, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-    least = large.groupBy("v").agg(F.min("u").alias("m"))
-    small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")
-    return small.unionByName(least.select("v", F.col("m").alias("u"))).distinct()
+    least = scratch.write(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
+    large = scratch.write(both.join(small_or_shuffled(least, least.count()), "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v <> u").distinct())
+    low = scratch.write(large.groupBy("v").agg(F.min("u").alias("m")))
+    small = large.join(small_or_shuffled(low, low.count()), "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")
+    return small.unionByName(low.select("v", F.col("m").alias("u"))).distinct()
 
 
 def ordered(edges: DataFrame) -> DataFrame:
@@ -326,7 +296,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """
     now, before = scratch.write(ordered(edges)), None
     while True:
-        after = scratch.write(star_step(now))
+        after = scratch.write(star_step(scratch, now))
         state = after.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(v, u))").alias("h")).first()
         scratch.drop(now)
         now = after
@@ -335,53 +305,91 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         before = state
 
 
+class Links:
+    """Candidate pairs compared so far, the links among them, and labels: texts of one label are known to be in one class."""
+
+    def __init__(self, scratch: Scratch, texts: DataFrame, threshold: float):
+        self.scratch, self.texts, self.threshold = scratch, texts, threshold
+        self.tried = self.found = self.labels = None
+
+    def labelled(self, members: DataFrame) -> DataFrame:
+        """``members`` with their labels."""
+        if self.labels is None:
+            return members.withColumn("label", F.col("id"))
+        return members.join(small_or_shuffled(self.labels, self.labels.count()), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    def mixed(self, members: DataFrame) -> DataFrame:
+        """Labelled members of the buckets in which different labels meet."""
+        here = self.scratch.write(self.labelled(members))
+        keys = self.scratch.write(here.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key"))
+        return here.join(small_or_shuffled(keys, keys.count()), "key", "left_semi")
+
+    def compare(self, members: DataFrame, pivots: DataFrame, condition: str = "true") -> None:
+        """Verify each pivot (key, a, na, la, ...) against the texts of its bucket with other labels."""
+        pivots = self.scratch.write(pivots)
+        # sizes further apart than the threshold can't reach it
+        near = F.least("n", "na") >= self.threshold * F.greatest("n", "na") - 1e-9
+        pairs = members.join(small_or_shuffled(pivots, pivots.count()), "key").where(near).where("label <> la").where(condition)
+        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = self.scratch.write(pairs)
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        found = self.scratch.write(verified(pairs, self.texts, self.threshold).distinct())
+        # labels need not be final: equal ones only spare comparisons
+        hung = ordered(found)
+        if self.labels is not None:
+            hung = hung.unionByName(self.labels.select(F.col("id").alias("v"), F.col("label").alias("u")))
+        self.found = found if self.found is None else self.found.unionByName(found)
+        self.labels = self.scratch.write(star_step(self.scratch, hung).groupBy(F.col("v").alias("id")).agg(F.min("u").alias("label")))
+
+    def by_first_pivots(self, members: DataFrame) -> None:
+        """A text that meets most others in all its buckets is likely to be what they were copied from: the best pivot."""
+        met = self.scratch.write(members.groupBy("id").agg(F.sum("size").alias("met")))
+        here = self.scratch.write(self.labelled(members.join(small_or_shuffled(met, met.count()), "id")))
+        best = here.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("back"), "n", "label")).alias("p"))
+        self.compare(here, best.select("key", (-F.col("p.back")).alias("a"), F.col("p.n").alias("na"), F.col("p.label").alias("la")))
+
+    def by_all_pivots(self, members: DataFrame) -> None:
+        """Every text of a bucket is a pivot for those behind it, while labels differ; in rounds of 1, 8, 64, ... pivots."""
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "id"))
+        here, low, high = self.scratch.write(self.mixed(members).drop("label").withColumn("rank", rank)), 1, 1
+        while True:
+            left = self.scratch.write(self.mixed(here))
+            last = left.agg(F.max("rank")).first()[0]
+            if last is None or last <= low:
+                return
+            pivots = left.where(F.col("rank").between(low, high)).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rank").alias("r"))
+            self.compare(left, pivots, "rank > r")
+            low, high = high + 1, high * 8 + 1
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 28, rows: int = 5) -> DataFrame:
-    """One row per document: ``doc_id``, ``class_id`` (the smallest id of its class), ``representative``."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    """One row per document: its id under the name ``key``, ``class_id`` (the smallest id of its class), ``representative``."""
+    if not isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{key} must be an integer column")
+    scratch = Scratch(docs.sparkSession)
     sketch = scratch.write(sketches(docs, key, text, bands, rows))
     # equal word sequences have equal band keys: only the smallest id of each sequence goes on
     worded = sketch.where("n > 0")
     reps = scratch.write(worded.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     membership = worded.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
     copies = scratch.write(membership.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    banded = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
+    banded = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "n")
     buckets = scratch.write(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    members = scratch.write(banded.join(buckets, "key").select("key", "id", "n", "size").distinct())
-    # a text that meets most others is likely to be what they were copied from: the best pivot
-    met = members.groupBy("id").agg(F.sum("size").alias("met"))
-    members = scratch.write(members.join(met, "id").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "id"))).drop("met"))
+    members = scratch.write(banded.join(small_or_shuffled(buckets, buckets.count()), "key"))
     wanted = scratch.write(members.select("id").distinct())
     whole = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     texts = scratch.write(whole.join(small_or_shuffled(wanted, wanted.count()), "id", "left_semi").dropDuplicates(["id", "text"]))
-    links = tried = labels = None
-    open_, low, high = members.withColumn("label", F.col("id")), 1, 1
-    while True:
-        pivots = open_.where(F.col("rank").between(low, high)).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("r"), F.col("label").alias("l"))
-        # sizes further apart than the threshold can't reach it
-        near = F.least("n", "na") >= threshold * F.greatest("n", "na") - 1e-9
-        few = F.lit(True) if high == 1 else F.col("size") <= SMALL
-        pairs = open_.where(few).join(pivots, "key").where("rank > r and label <> l").where(near).select("a", F.col("id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = verified(pairs, texts, threshold).distinct()
-        if low == 2:  # what the first pivots left of the large buckets, once and for all
-            found = found.unionByName(linked_in_blocks(open_.where(F.col("size") > SMALL), texts, threshold))
-        found = scratch.write(found)
-        links = found if links is None else links.unionByName(found)
-        # labels need not be final: equal ones show that texts are in one class, and only spare comparisons
-        hung = ordered(found) if labels is None else ordered(found).unionByName(labels.select(F.col("id").alias("v"), F.col("label").alias("u")))
-        labels = scratch.write(star_step(hung).groupBy(F.col("v").alias("id")).agg(F.min("u").alias("label")))
-        low, high = high + 1, high * 8 + 1
-        # buckets with texts of different labels and pairs that nothing has compared
-        here = members.join(labels, "id", "left").select("key", "id", "n", "size", "rank", F.coalesce("label", "id").alias("label"))
-        keys = here.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("rank").alias("last")).where("l0 <> l1")
-        keys = keys.where(F.col("last") > low) if low == 2 else keys.where(F.col("last").between(low + 1, SMALL))
-        open_ = scratch.write(here.join(keys.select("key"), "key"))
-        if not open_.limit(1).count():
-            break
-    final = components(scratch, copies.unionByName(links))
-    every = sketch.select("id").distinct()
-    return every.join(final, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("comp", "id").alias("class_id")).withColumn("representative", F.col("doc_id") == F.col("class_id"))
+    links = Links(scratch, texts, threshold)
+    links.by_first_pivots(members)
+    links.by_all_pivots(members.where(F.col("size") <= SMALL))
+    large = scratch.write(links.mixed(members.where(F.col("size") > SMALL)).select("key", "id", "n", "size"))
+    if large.limit(1).count():
+        rare = scratch.write(rare_buckets(scratch, large, texts, threshold))
+        links.by_first_pivots(rare)
+        links.by_all_pivots(rare)
+    final = components(scratch, copies.unionByName(links.found))
+    every = sketch.select("id").distinct().join(final, "id", "left").select("id", F.coalesce("comp", "id").alias("class_id"))
+    every = every.unionByName(docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("class_id")))
+    return every.select(F.col("id").alias(key), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("representative"))

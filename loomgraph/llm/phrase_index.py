@@ -8,9 +8,7 @@ A window is 13 consecutive words of a benchmark item, or the whole item if it ha
 3. The index stores the postings (document, position) of the anchor words.
 4. Postings are shifted by the anchor's offset in the item.  The shifted lists of a window's anchors are
    intersected: what remains are diagonals (document, item, shift) on which the whole window may occur.
-5. On those diagonals the document's words are compared with the item's, which gives the exact occurrences.
-
-The index matches words under full lower-casing, a superset of the A-Z rule; step 5 compares under the A-Z rule.
+5. On those diagonals the words of the windows whose anchors met are compared, which gives the exact occurrences.
 
 Defined results: a null or wordless document has no words and no hits; a wordless or null item has no
 window; items of equal text each count; rows of equal id are told apart only if their texts are (they
@@ -31,10 +29,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ANCHORS = 2
 
 
-def words(text: Column, folded: bool = True) -> Column:
+def words(text: Column) -> Column:
     """The words of a text, with nothing before the first; a text that ends in separators has '' at the end."""
     body = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "^" + SEPARATORS, "")
-    return F.split(F.lower(body) if folded else F.translate(body, UPPER, UPPER.lower()), SEPARATORS)
+    return F.split(F.translate(body, UPPER, UPPER.lower()), SEPARATORS)
+
+
+def name(*columns: str | Column) -> Column:
+    """A name for rows by their values: two hashes, so that different rows won't share one in a table of any size."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
 
 
 def word_count(text: Column) -> Column:
@@ -43,7 +46,7 @@ def word_count(text: Column) -> Column:
 
 
 def item_words(text: Column) -> Column:
-    return F.filter(words(text, folded=False), lambda w: w != "")
+    return F.filter(words(text), lambda w: w != "")
 
 
 def postings(docs: DataFrame, terms: DataFrame, n_terms: int, key: str, text: str) -> DataFrame:
@@ -64,7 +67,7 @@ def phrase_occurrences(scratch: Scratch, docs: DataFrame, items: DataFrame, wind
     ``docs`` has unique ``key`` values; ``items`` has a unique number ``item`` and its ``words``.
     """
     items = scratch.write(items.where(F.size("words") > 0).withColumn("len", F.least(F.size("words"), F.lit(window))))
-    placed = items.select("item", F.posexplode("words").alias("at", "word")).withColumn("term", F.lower("word"))
+    placed = items.select("item", F.posexplode("words").alias("at", "word")).withColumnRenamed("word", "term")
     terms = scratch.write(placed.select("term").distinct())
     freq = scratch.write(frequencies(docs, terms, terms.count(), text))
     # a word that never occurs has frequency 0: its windows cannot occur, which the empty list shows
@@ -76,23 +79,24 @@ def phrase_occurrences(scratch: Scratch, docs: DataFrame, items: DataFrame, wind
                 cast(array() as array<struct<freq: bigint, term: string, at: int>>),
                 (a, x) -> if(size(a) > 0 and a[size(a) - 1].term = x.term, a, concat(a, array(x)))), 1, {ANCHORS}), x -> x.at))
     """
-    anchored = scratch.write(items.join(ranked, "item").withColumn("anchors", F.array_distinct(F.expr(rare))).drop("w"))
+    anchored = scratch.write(items.join(ranked, "item").withColumn("anchors", F.expr(rare)).drop("w"))
     anchor = anchored.select("item", "words", F.explode(F.array_distinct(F.flatten("anchors"))).alias("at"))
-    anchor = scratch.write(anchor.select("item", "at", F.lower(F.col("words")[F.col("at")]).alias("term")))
+    anchor = scratch.write(anchor.select("item", "at", F.col("words")[F.col("at")].alias("term")))
     anchor_terms = scratch.write(anchor.select("term").distinct())
     index = scratch.write(postings(docs, anchor_terms, anchor_terms.count(), key, text))
     n_anchor = anchor.count()
     shifted = index.join(small_or_shuffled(anchor, n_anchor), "term").select(key, "item", (F.col("pos") - F.col("at")).alias("shift"), "at")
     met = shifted.groupBy(key, "item", "shift").agg(F.collect_set("at").alias("met"))
-    whole = F.expr("exists(anchors, a -> size(array_except(a, met)) = 0)")
-    diagonals = scratch.write(met.join(small_or_shuffled(anchored.select("item", "anchors"), n_anchor), "item").where(whole).select(key, "item", "shift"))
+    # the windows, by their starts in the item, whose anchors all met
+    starts = F.expr("filter(sequence(0, size(anchors) - 1), s -> size(array_except(anchors[s], met)) = 0)")
+    diagonals = met.join(small_or_shuffled(anchored.select("item", "anchors"), n_anchor), "item").select(key, "item", "shift", starts.alias("starts"))
+    diagonals = scratch.write(diagonals.where(F.size("starts") > 0))
     # the exact words along the diagonals
     some = scratch.write(diagonals.select(key).distinct())
-    texts = docs.join(small_or_shuffled(some, some.count()), key, "left_semi").select(key, words(F.col(text), folded=False).alias("doc_words"))
+    texts = docs.join(small_or_shuffled(some, some.count()), key, "left_semi").select(key, words(F.col(text)).alias("doc_words"))
     lined = diagonals.join(texts, key).join(small_or_shuffled(anchored.select("item", "words", "len"), n_anchor), "item")
-    equal = "transform(words, (x, i) -> coalesce(get(doc_words, i + shift) = x, false))"
-    begins = "filter(sequence(0, size(words) - len), s -> not array_contains(slice(same, s + 1, len), false))"
-    return lined.withColumn("same", F.expr(equal)).select(key, "item", "shift", "len", F.explode(F.expr(begins)).alias("s")).select(key, "item", (F.col("shift") + F.col("s")).alias("start"), "len")
+    equal = F.expr("filter(starts, s -> shift + s >= 0 and slice(doc_words, shift + s + 1, len) = slice(words, s + 1, len))")
+    return lined.select(key, "item", "shift", "len", F.explode(equal).alias("s")).select(key, "item", (F.col("shift") + F.col("s")).alias("start"), "len")
 
 
 def covered(spans: Column) -> Column:
@@ -101,21 +105,21 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, F.expr(done), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["start"] + x["len"] - F.greatest(a["stop"], x["start"]))).cast("long").alias("n"), F.greatest(a["stop"], x["start"] + x["len"]).cast("long").alias("stop")), lambda a: a["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20) -> DataFrame:
-    """Per document: words, words inside an occurrence of a window, items found, and whether hits reach 1 / share of the words."""
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20, keep: list[str | Column] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns of every row with its words, words inside an occurrence of a window, items found, and whether hits reach 1 / share of the words."""
     scratch = Scratch(docs.sparkSession)
     items = benchmark.select(F.col(item).cast("string").alias("name"), item_words(F.col(item_text)).alias("words"))
     # windows of equal texts are looked for once
-    groups = scratch.write(items.groupBy("words").agg(F.collect_list(F.coalesce("name", F.lit("null"))).alias("names")).withColumn("item", F.expr("xxhash64(words)")))
-    own = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_doc", F.xxhash64(F.col(key), "_text"))
+    groups = scratch.write(items.groupBy("words").agg(F.collect_list(F.coalesce("name", F.lit("null"))).alias("names")).withColumn("item", name("words")))
+    own = docs.select(F.struct(*keep).alias("kept"), F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_doc", name("_key", "_text"))
     found = scratch.write(phrase_occurrences(scratch, own.select("_doc", "_text"), groups.select("item", "words"), window).distinct())
     hits = found.groupBy("_doc").agg(covered(F.array_sort(F.collect_set(F.struct("start", "len")))).alias("n_hit"))
     named = found.select("_doc", "item").distinct().join(groups.select("item", "names"), "item").groupBy("_doc").agg(F.flatten(F.collect_list("names")).alias("names"))
     hits = scratch.write(hits.join(named, "_doc"))
-    out = own.select(key, "_doc", word_count(F.col("_text")).alias("n_words")).join(small_or_shuffled(hits, hits.count()), "_doc", "left")
+    out = own.select("kept", "_doc", word_count(F.col("_text")).alias("n_words")).join(small_or_shuffled(hits, hits.count()), "_doc", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
-        key,
+        "kept.*",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_items"),
@@ -127,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 def proximity_matches(docs: DataFrame, queries: DataFrame, within: int, key: str = "doc_id", text: str = "text", query: str = "item_id", query_text: str = "text") -> DataFrame:
     """(key, query, at): places of a query's rarest word with all its other words at most ``within`` words away, in any order.
 
-    One row per place; words are compared under full lower-casing.  Place 0 is the first word.
+    One row per place.  Place 0 is the first word.
     """
     scratch = Scratch(docs.sparkSession)
     wanted = queries.select(F.col(query).alias("q"), F.explode(F.array_distinct(F.filter(words(F.col(query_text)), lambda w: w != ""))).alias("term"))

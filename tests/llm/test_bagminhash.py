@@ -58,11 +58,12 @@ def test_signatures_are_unbiased_for_counts():
 @pytest.mark.parametrize("small", [2, 64])
 def test_classes_equal_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(B, "SMALL", small)
-    monkeypatch.setattr(B, "BLOCK_TEXTS", 3 if small == 2 else 512)
     texts = sample()
     rows = list(enumerate(texts)) + [(None, "one two"), (3, texts[3])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(0)).withColumn("class_id", F.lit(9))
-    got = {r["doc_id"]: r["class_id"] for r in B.near_duplicates(docs).collect()}
+    found = B.near_duplicates(docs).collect()
+    assert [(r["class_id"], r["representative"]) for r in found if r["doc_id"] is None] == [(None, True)]
+    got = {r["doc_id"]: r["class_id"] for r in found if r["doc_id"] is not None}
     parent = list(range(len(texts)))
     find = lambda x: x if parent[x] == x else find(parent[x])
     bags = [bag(t) for t in texts]
@@ -86,3 +87,20 @@ def test_a_group_of_copies_is_one_class(spark):
 
 def test_empty_table(spark):
     assert B.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_texts_around_one_boilerplate_stay_apart(spark):
+    """Two thirds in common give large buckets in which next to nothing belongs together; the few links there are found."""
+    r = random.Random(9)
+    shared = [f"w{i}" for i in range(140)]
+    rows = [(i, " ".join([*shared, *(f"u{r.randrange(10**6)}" for _ in range(50))])) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + f" z{i}") for i in range(0, 40, 8)]
+    got = {x["doc_id"]: x["class_id"] for x in B.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+
+
+def test_null_and_other_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, None)], "doc_id long, text string")
+    assert [tuple(r) for r in B.near_duplicates(docs).collect()] == [(None, None, True)] * 3
+    with pytest.raises(TypeError):
+        B.near_duplicates(docs.withColumn("doc_id", F.lit("x")))

@@ -7,6 +7,7 @@ import pytest
 tiktoken = pytest.importorskip("tiktoken")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomgraph.llm import bpe, langid, pii
@@ -58,6 +59,20 @@ def test_pipeline_equals_document_by_document(spark, tmp_path):
     assert "<email>" in coder.decode(want[400]) and "<email>" in coder.decode(want[401])
 
 
+def test_rows_without_an_id_and_repeated_rows(spark, tmp_path):
+    rows, items = tables(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    some = docs.where("doc_id between 20 and 29 or doc_id = 301")
+    odd = some.unionByName(some).unionByName(some.selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars"))
+    left = corpus_pipeline.decontamination(spark, corpus_pipeline.near_duplicates(spark, odd, str(tmp_path)), str(tmp_path))
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(20, 30))
+    alone = corpus_pipeline.decontamination(spark, odd.where("doc_id is null"), str(tmp_path))
+    assert alone.count() == 10
+    clash = docs.select("*", "doc_id", F.lit(1).alias("lang_pred"), F.lit(2).alias("_doc")).toDF(*docs.columns, "row", "lang_pred", "_doc").limit(30)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, clash, str(tmp_path)).columns == clash.columns
+
+
 def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
     tables(spark, tmp_path)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
