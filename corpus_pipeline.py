@@ -1,6 +1,6 @@
 """From raw documents to token ids: each stage works on all that the one before kept.
 
-Rows without a doc_id can't be named by a decision and pass the near-duplicate and benchmark stages.
+Decisions are made row by row, so rows without a doc_id and repeated rows are treated like all others.
 No stage has an SQL form (languages, signatures and tokens come from models and hashes), so ORACLE_SQL is None;
 tests/llm/test_pipeline.py holds the result against a brute-force version.
 """
@@ -19,12 +19,6 @@ from loomgraph.session import ship_package
 LEAST_SHARE = 0.2
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these ids."""
-    ids = Scratch(docs.sparkSession).write(ids.select("doc_id").distinct())
-    return docs.join(small_or_shuffled(ids, ids.count()), "doc_id", "left_anti")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter or in no known language go."""
     ship_package(spark)
@@ -35,16 +29,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the smallest id."""
+    """One document of each class: the one with the smallest id.
+
+    Rows are numbered first, so that of repeated rows and of rows without an id one stays as well.
+    """
     ship_package(spark)
-    classes = bagminhash.near_duplicates(docs)
-    return without(docs, classes.where(~F.col("representative"))).select(docs.columns)
+    scratch = Scratch(spark)
+    rows = scratch.write(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text")).withColumn("row", F.monotonically_increasing_id()))
+    classes = scratch.write(bagminhash.near_duplicates(rows, key="row"))
+    several = scratch.write(classes.where(~F.col("representative")).select("class_id").distinct())
+    members = scratch.write(classes.join(small_or_shuffled(several, several.count()), "class_id", "left_semi").select("class_id", "row"))
+    named = rows.select("row", F.col("doc.doc_id").alias("doc_id")).join(small_or_shuffled(members, members.count()), "row")
+    stays = scratch.write(named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("s")).select("s.row"))
+    gone = scratch.write(members.join(small_or_shuffled(stays, stays.count()), "row", "left_anti").select("row"))
+    return rows.join(small_or_shuffled(gone, gone.count()), "row", "left_anti").select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    report = phrase_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, report.where("contaminated")).select(docs.columns)
+    report = phrase_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=[F.struct(*docs.columns).alias("doc")])
+    return report.where(~F.col("contaminated")).select("doc.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
