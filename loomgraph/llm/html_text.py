@@ -3,20 +3,30 @@
 A tree is built with implied end tags (p, li, dt, dd, table parts, option), then rendered as text:
 scripts, styles, heads, templates and hidden elements are left out; blocks start on new lines and those with
 margins are set apart by a blank line; list items get bullets or numbers and are indented; table
-cells are padded so that columns align, with colspan and rowspan; blanks collapse outside of pre.
+cells are padded so that columns align, with colspan (to 1000) and rowspan (to 65534) as in browsers; blanks collapse outside of pre.
+Form fields show what they hold: the chosen option of a select (all options of a list box), the value of text inputs and buttons.
+Formulas and the text of drawings are inline text, without titles, descriptions and definitions; an object shows its fallback.
+Audio, video, canvas, iframe and noscript don't: browsers show something else in their place.
+
+The output grows with the page, not with its square: columns align up to a width of ``COLUMN`` and a line position of ``LINE``,
+a longer cell pushes what follows to the right in its own row only; blocks within more than ``LEVELS`` indented ones aren't
+indented further.  Nesting has no limit: parser and renderer keep their own stacks.
 
 Hidden is what has the ``hidden`` attribute, ``display: none`` or ``visibility: hidden`` in its style, or a
 tag, class or id for which a style element says ``display: none``; so is the body of a closed ``details`` and a ``dialog`` that isn't open.
 
-Defined results: null and empty pages, and pages without visible text, give the empty text; elements nested
-deeper than 200 levels are treated as if their parent were the one at that level, so no text is lost;
+Defined results: null and empty pages, and pages without visible text, give the empty text;
 broken markup never fails; repeated rows are treated alike; other columns are not read; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 from unicodedata import combining, east_asian_width
 
@@ -24,10 +34,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 200
+COLUMN, LINE, LEVELS = 60, 400, 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist select meta link".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes audio video canvas datalist meta link".split())
+#: What drawings and formulas don't show of their own.
+UNDRAWN = frozenset("title desc defs metadata symbol clippath mask marker pattern annotation annotation-xml".split())
+#: Inputs whose value isn't text on the page.
+WORDLESS = frozenset("hidden password checkbox radio file color range image".split())
 #: Blocks with a blank line around them, and blocks on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre figure table hr".split())
 BLOCK = SPACED | frozenset("html body address article aside center dd details dialog dir div dt fieldset figcaption footer form header hgroup legend li main nav optgroup option search section summary tr td th thead tbody tfoot caption".split())
@@ -56,6 +70,31 @@ DISPLAY_NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
 
 
+class Open:
+    """The open elements, and how many of each tag there are since the last table or cell began (and in all)."""
+
+    def __init__(self, root: Node):
+        self.stack, self.all, self.within = [root], Counter(), [Counter()]
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.all[node.tag] += 1
+        if node.tag in BARRIER:
+            self.within.append(Counter())
+        self.within[-1][node.tag] += 1
+
+    def cut(self, i: int) -> list[Node]:
+        """Close the elements from place i on."""
+        gone = self.stack[i:]
+        del self.stack[i:]
+        for node in reversed(gone):
+            self.all[node.tag] -= 1
+            self.within[-1][node.tag] -= 1
+            if node.tag in BARRIER:
+                self.within.pop()
+        return gone
+
+
 class Node:
     __slots__ = ("attributes", "children", "tag")
 
@@ -66,7 +105,8 @@ class Node:
 def parse(html: str) -> tuple[Node, set[str]]:
     """The tree, and the selectors (tag, .class, #id) that style elements hide."""
     root, hidden = Node("html", {}), set()
-    stack, at, n = [root], 0, len(html)
+    open_, at, n = Open(root), 0, len(html)
+    stack = open_.stack
     no_end: set[str] = set()  # what is known not to occur any more: each is looked for in vain only once
 
     def find(what: str, start: int) -> int:
@@ -99,14 +139,14 @@ def parse(html: str) -> tuple[Node, set[str]]:
             body = html[name.end() : end - 1]
             attributes = {a.lower(): unescape(x or y or z or "") for a, x, y, z in ATTRIBUTE.findall(body)} if body.strip(" /") else {}
             at = end
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and open_.within[-1]["p"]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == "p":
-                        del stack[i:]
+                        open_.cut(i)
                         break
                     if stack[i].tag in BARRIER or stack[i].tag in ("li", "div", "button", "object"):
                         break
-            if tag in IMPLIED:
+            if tag in IMPLIED and any(open_.all[x] for x in IMPLIED[tag][0]):
                 ends, stop = IMPLIED[tag]
                 cut = None
                 for i in range(len(stack) - 1, 0, -1):
@@ -117,7 +157,7 @@ def parse(html: str) -> tuple[Node, set[str]]:
                         if tag not in ("tr", "thead", "tbody", "tfoot", "caption", "colgroup"):
                             break
                 if cut is not None:
-                    del stack[cut:]
+                    open_.cut(cut)
             if tag in ("html", "body") and len(stack) == 1:
                 root.attributes |= attributes
                 continue
@@ -140,8 +180,8 @@ def parse(html: str) -> tuple[Node, set[str]]:
                             hidden |= {s.strip().lower() if s.strip()[:1] not in ".#" else s.strip() for s in selectors.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)}
                 elif tag in ("textarea", "xmp"):
                     node.children.append(unescape(inner) if tag == "textarea" else inner)
-            elif tag not in VOID and not (body.endswith("/") and tag in ("svg", "math", "path")) and len(stack) < DEPTH:
-                stack.append(node)
+            elif tag not in VOID and not (body.endswith("/") and tag in ("svg", "math", "path")):
+                open_.push(node)
         elif c == "/":
             text(html[at:lt])
             gt = find(">", lt)
@@ -155,16 +195,18 @@ def parse(html: str) -> tuple[Node, set[str]]:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
                 continue
-            block = tag in BLOCK or tag in UNSEEN
+            block, tabular = tag in BLOCK or tag in UNSEEN or tag in ("select", "svg", "math", "object"), tag in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption")
+            if not (open_.all[tag] if tabular else open_.within[-1][tag]):
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    if block:
-                        del stack[i:]
-                    else:  # an inline end tag doesn't end blocks that were opened since
-                        inner = [x for x in stack[i + 1 :] if x.tag in BLOCK]
-                        stack[i:] = inner
+                    gone = open_.cut(i)
+                    if not block:  # an inline end tag doesn't end blocks that were opened since
+                        for x in gone[1:]:
+                            if x.tag in BLOCK:
+                                open_.push(x)
                     break
-                if stack[i].tag in BARRIER and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption"):
+                if stack[i].tag in BARRIER and not tabular:
                     break
         elif c in "!?":
             text(html[at:lt])
@@ -185,19 +227,39 @@ def width(s: str) -> int:
 
 
 class Lines:
-    """Finished lines, the line being written, and the blank lines due before the next text."""
+    """Finished lines, the line being written, the indentation, and the blank lines due before the next text."""
 
     def __init__(self) -> None:
         self.done: list[str] = []
         self.now: list[str] = []
         self.space = False  # a collapsed blank waits for the next word
         self.due = 0
+        self.rest, self.first = "", None  # what lines begin with, and the next line if that differs
+        self.fresh = True  # no line yet in the innermost indented block
+        self.levels: list[tuple[str, str | None, bool, int]] = []
 
-    def add(self, text: str) -> None:
-        if not self.now and self.due:
-            self.done += [""] * (self.due if self.done else 0)
-            self.due = 0
-        self.now.append(text)
+    def push(self, first: str, rest: str) -> None:
+        """Indent: the next line begins with ``first``, those after it with ``rest``."""
+        self.end()
+        self.levels.append((self.rest, self.first, self.fresh, self.due))
+        deep = len(self.levels) > LEVELS
+        self.first = (self.rest if self.first is None else self.first) + (first.strip() and first if deep else first)
+        if not deep:
+            self.rest += rest
+        self.fresh = True
+
+    def pop(self) -> bool:
+        """End the indented block; whether it had a line."""
+        self.end()
+        had, (self.rest, first, fresh, due) = not self.fresh, self.levels.pop()
+        self.first, self.fresh, self.due = (None, False, 0) if had else (first, fresh, due)
+        return had
+
+    def put(self, line: str) -> None:
+        if self.due and self.done:
+            self.done += [""] * self.due
+        self.done.append(f"{self.rest if self.first is None else self.first}{line}".rstrip())
+        self.due, self.first, self.fresh = 0, None, False
 
     def flow(self, text: str) -> None:
         text = BLANKS.sub(" ", text)
@@ -210,25 +272,18 @@ class Lines:
             self.now.append(" ")
         self.space = ends
         if text := text[:-1] if ends else text:
-            self.add(text)
+            self.now.append(text)
 
     def end(self) -> None:
         self.space = False
         if self.now:
-            self.done.append("".join(self.now).rstrip())
+            self.put("".join(self.now))
             self.now = []
 
     def gap(self, blank: int = 0) -> None:
         self.end()
-        self.due = max(self.due, blank)
-
-    def lines(self, lines: list[str], first: str = "", rest: str = "") -> None:
-        self.end()
-        for i, line in enumerate(lines):
-            if i == 0 and self.due:
-                self.done += [""] * (self.due if self.done else 0)
-                self.due = 0
-            self.done.append((f"{first if i == 0 else rest}{line}").rstrip())
+        if not self.fresh:
+            self.due = max(self.due, blank)
 
     def finished(self) -> list[str]:
         self.end()
@@ -256,7 +311,20 @@ def whole(text: str | None, otherwise: int) -> int:
     return int(m[1]) if m else otherwise
 
 
+def run(step: Iterator) -> None:
+    """Run a generator that yields the generators it waits for, on a stack of our own: nesting is limited by memory only."""
+    steps = [step]
+    while steps:
+        inner = next(steps[-1], None)
+        if inner is None:
+            steps.pop()
+        else:
+            steps.append(inner)
+
+
 class Renderer:
+    """Methods that meet nested elements are generators for run()."""
+
     def __init__(self, hidden: set[str]):
         self.hidden = hidden
 
@@ -266,30 +334,32 @@ class Renderer:
             return False
         return not self.hidden or not (node.tag in self.hidden or f"#{a.get('id')}" in self.hidden or any(f".{c}" in self.hidden for c in a.get("class", "").split()))
 
-    def children(self, node: Node, out: Lines, pre: bool, shown: bool) -> None:
+    def children(self, node: Node, out: Lines, pre: bool, shown: bool) -> Iterator:
         for child in node.children:
-            self.one(child, out, pre, shown)
-
-    def inner(self, node: Node, pre: bool, shown: bool) -> list[str]:
-        out = Lines()
-        self.children(node, out, pre, shown)
-        return out.finished()
-
-    def one(self, node: Node | str, out: Lines, pre: bool, shown: bool) -> None:
-        if isinstance(node, str):
-            if not shown:
-                return
-            if not pre:
-                out.flow(node)
-                return
-            for i, line in enumerate(node.replace("\r\n", "\n").split("\n")):
-                if i:
-                    if not out.now:
-                        out.add("")
-                    out.end()
-                if line:
-                    out.add(line)
+            if isinstance(child, str):
+                self.text(child, out, pre, shown)
+            else:
+                yield self.one(child, out, pre, shown)
+
+    def text(self, text: str, out: Lines, pre: bool, shown: bool) -> None:
+        if not shown:
+            return
+        if not pre:
+            out.flow(text)
             return
+        for i, line in enumerate(text.replace("\r\n", "\n").split("\n")):
+            if i:
+                self.line_break(out)
+            if line:
+                out.now.append(line)
+
+    def line_break(self, out: Lines) -> None:
+        if out.now:
+            out.end()
+        else:
+            out.put("")
+
+    def one(self, node: Node, out: Lines, pre: bool, shown: bool) -> Iterator:
         if not self.seen(node):
             return
         tag = node.tag
@@ -297,86 +367,137 @@ class Renderer:
             if m := VISIBILITY.search(style):
                 shown = m[1].lower() == "visible"
         if tag == "br":
-            if not out.now:
-                out.add("")
-            out.end()
+            self.line_break(out)
         elif tag == "hr":
             out.gap(1)
-            out.lines(["---"])
+            out.put("---")
             out.gap(1)
-        elif tag == "img" or tag in VOID:
+        elif tag == "input":
+            a = node.attributes
+            if shown and a.get("type", "text").lower() not in WORDLESS:
+                out.flow(f" {a.get('value') or a.get('placeholder', '')} ")
+        elif tag in VOID:
             return
+        elif tag == "select":
+            yield self.options(node, out, shown)
+        elif tag == "svg" or tag == "math":
+            self.drawing(node, out, shown)
         elif tag in ("ul", "ol", "menu", "dir"):
-            self.listing(node, out, pre, shown)
+            yield self.listing(node, out, pre, shown)
         elif tag == "table":
-            lines = self.table(node, pre, shown)
-            out.gap(1)
-            out.lines(lines)
-            out.gap(1 if lines else 0)
+            yield self.table(node, out, pre, shown)
         elif tag == "blockquote" or tag == "dd":
-            lines = self.inner(node, pre, shown)
             blank = int(tag == "blockquote")
             out.gap(blank)
-            out.lines(lines, "    ", "    ")
+            out.push("    ", "    ")
+            yield self.children(node, out, pre, shown)
+            out.pop()
             out.gap(blank)
         elif tag == "details" and "open" not in node.attributes:
             out.gap()
             for child in node.children:
                 if isinstance(child, Node) and child.tag == "summary":
-                    self.one(child, out, pre, shown)
+                    yield self.one(child, out, pre, shown)
                     break
             out.gap()
         elif tag == "pre":
-            lines = self.inner(node, True, shown)
             out.gap(1)
-            out.lines(lines[1:] if lines and not lines[0] else lines)
+            out.push("", "")
+            first = node.children[0] if node.children else None
+            if isinstance(first, str) and (cut := re.match("\r?\n", first)):  # a line end right behind the tag doesn't count
+                self.text(first[cut.end() :], out, True, shown)
+                node.children = node.children[1:]
+            yield self.children(node, out, True, shown)
+            out.pop()
             out.gap(1)
         elif tag in BLOCK:
             blank = int(tag in SPACED)
             out.gap(blank)
-            self.children(node, out, pre, shown)
+            yield self.children(node, out, pre, shown)
             out.gap(blank)
         else:
-            self.children(node, out, pre, shown)
+            yield self.children(node, out, pre, shown)
+
+    def options(self, node: Node, out: Lines, shown: bool) -> Iterator:
+        """A closed select shows the option chosen last, or its first; a list box shows all."""
+        a, found, groups = node.attributes, [], [node]
+        for group in groups:  # select and its optgroups
+            for child in group.children:
+                if isinstance(child, Node) and self.seen(child):
+                    if child.tag == "option":
+                        found.append(child)
+                    else:
+                        groups.append(child)
+        if "multiple" not in a and whole(a.get("size"), 1) <= 1:
+            found = [x for x in found if "selected" in x.attributes][-1:] or found[:1]
+        for x in found:
+            out.flow(" ")
+            yield self.children(x, out, False, shown)
+            out.flow(" ")
+
+    def drawing(self, node: Node, out: Lines, shown: bool) -> None:
+        """The text elements of a drawing, or all of a formula, in order."""
+        todo, formula = [node], node.tag == "math"
+        inside = []  # parallel to todo: whether text counts there
+        inside.append(formula)
+        while todo:
+            x, counts = todo.pop(), inside.pop()
+            if isinstance(x, str):
+                if counts and shown:
+                    out.flow(x)
+                continue
+            if x is not node and (x.tag in UNDRAWN or not self.seen(x)):
+                continue
+            counts = counts or x.tag in ("text", "foreignobject")
+            if x.tag in ("text", "foreignobject"):
+                out.flow(" ")
+            todo += reversed(x.children)
+            inside += [counts] * len(x.children)
 
-    def listing(self, node: Node, out: Lines, pre: bool, shown: bool) -> None:
+    def listing(self, node: Node, out: Lines, pre: bool, shown: bool) -> Iterator:
         a, ordered = node.attributes, node.tag == "ol"
         items = [c for c in node.children if isinstance(c, Node) and c.tag == "li" and self.seen(c)]
         back = ordered and "reversed" in a
         at = whole(a.get("start"), len(items) if back else 1)
-        nested = out.now or (out.done and out.done[-1].lstrip()[:2] in ("- ",))
-        out.gap(0 if nested else 1)
+        blank = int(not (out.now or (out.levels and not out.fresh)))  # a list within an item follows its text
+        out.gap(blank)
         for child in node.children:
-            if not (isinstance(child, Node) and child.tag == "li"):
-                if isinstance(child, Node) or child.strip():
-                    self.one(child, out, pre, shown)
+            if isinstance(child, str):
+                if child.strip():
+                    self.text(child, out, pre, shown)
                     out.gap()
                 continue
+            if child.tag != "li":
+                yield self.one(child, out, pre, shown)
+                out.gap()
+                continue
             if not self.seen(child):
                 continue
-            lines = self.inner(child, pre, shown)
             at = whole(child.attributes.get("value"), at)
             mark = f"{number(at, a.get('type', '1'))}. " if ordered else "- "
             at += -1 if back else 1
             out.gap()
-            if lines:
-                out.lines(lines, mark, " " * len(mark))
-        out.gap(0 if nested else 1)
-
-    def rows(self, node: Node, found: list[Node], captions: list[Node]) -> None:
-        loose = None
-        for child in node.children:
+            out.push(mark, " " * len(mark))
+            yield self.children(child, out, pre, shown)
+            out.pop()
+        out.gap(blank)
+
+    def rows(self, node: Node) -> tuple[list[Node], list[Node | str]]:
+        """The rows, and what stands above or by mistake between them."""
+        found, above, todo, loose = [], [], [*reversed(node.children)], None
+        while todo:
+            child = todo.pop()
             if isinstance(child, str):
                 if child.strip():
-                    captions.append(child)
+                    above.append(child)
             elif not self.seen(child):
                 continue
             elif child.tag == "tr":
                 found.append(child)
-                captions += [x for x in child.children if (x.strip() if isinstance(x, str) else x.tag not in ("td", "th"))]
+                above += [x for x in child.children if (x.strip() if isinstance(x, str) else x.tag not in ("td", "th"))]
                 loose = None
             elif child.tag in ("thead", "tbody", "tfoot"):
-                self.rows(child, found, captions)
+                todo += reversed(child.children)
                 loose = None
             elif child.tag in ("td", "th"):
                 if loose is None:
@@ -384,54 +505,67 @@ class Renderer:
                     found.append(loose)
                 loose.children.append(child)
             elif child.tag not in ("col", "colgroup"):
-                captions.append(child)  # captions, and what stands between the rows by mistake
+                above.append(child)
+        return found, above
 
-    def table(self, node: Node, pre: bool, shown: bool) -> list[str]:
-        rows, above = [], []
-        self.rows(node, rows, above)
-        head = Lines()
+    def table(self, node: Node, out: Lines, pre: bool, shown: bool) -> Iterator:
+        rows, above = self.rows(node)
+        out.gap(1)
+        out.push("", "")
         for x in above:
-            self.one(x, head, pre, shown)
-        grid, held = [], {}  # column: rows that a cell from above still covers
-        for row in rows:
-            line, column = [], 0
+            if isinstance(x, str):
+                self.text(x, out, pre, shown)
+            else:
+                yield self.one(x, out, pre, shown)
+        out.end()
+        grid, held = [], []  # (first column, end, rows until): what cells from above still cover
+        for r, row in enumerate(rows):
+            held = sorted(h for h in held if h[2] > r)
+            line, column, k = [], 0, 0
             for cell in row.children:
                 if not isinstance(cell, Node) or cell.tag not in ("td", "th") or not self.seen(cell):
                     continue
-                while held.get(column, 0) > 0:
-                    held[column] -= 1
-                    column += 1
-                span = max(1, min(100, whole(cell.attributes.get("colspan"), 1)))
-                down = max(1, min(1000, whole(cell.attributes.get("rowspan"), 1)))
-                line.append((column, span, self.inner(cell, pre, shown) or [""]))
-                for k in range(column, column + span):
-                    if down > 1:
-                        held[k] = down - 1
+                while k < len(held) and held[k][0] <= column:
+                    column, k = max(column, held[k][1]), k + 1
+                span = max(1, min(1000, whole(cell.attributes.get("colspan"), 1)))
+                down = max(1, min(65_534, whole(cell.attributes.get("rowspan"), 1)))
+                inner = Lines()
+                yield self.children(cell, inner, pre, shown)
+                line.append((column, span, inner.finished() or [""]))
+                if down > 1:
+                    held.append((column, column + span, r + down))
+                    held[k:] = sorted(held[k:])
+                    k += held[k] == (column, column + span, r + down)
                 column += span
-            for k in [k for k in held if k >= column and held[k] > 0]:
-                held[k] -= 1
             grid.append(line)
-        grid = [line for line in grid if any(any(x) for _, _, x in line)]
-        # columns are as wide as their widest cell of one column; spanning cells widen their last column
-        wide: dict[int, int] = {}
-        cells = sorted(((span, column, max(map(width, x))) for line in grid for column, span, x in line))
-        for span, column, w in cells:
-            room = sum(wide.get(k, 0) + 2 for k in range(column, column + span - 1))
-            wide[column + span - 1] = max(wide.get(column + span - 1, 0), w - room)
-        start, total = {}, 0
-        for k in range(max(wide, default=-1) + 2):
-            start[k] = total
-            total += wide[k] + 2 if wide.get(k, 0) > 0 else 0
-        out = head.finished()
-        for line in grid:
-            for i in range(max(len(x) for _, _, x in line)):
-                text, used = [], 0
-                for column, _, x in line:
-                    if i < len(x) and x[i]:
-                        text.append(" " * (start[column] - used) + x[i])
-                        used = start[column] + width(x[i])
-                out.append("".join(text).rstrip())
-        return out
+        for line in aligned([line for line in grid if any(any(x) for _, _, x in line)]):
+            out.put(line)
+        out.pop()
+        out.gap(1)
+
+
+def aligned(grid: list[list[tuple[int, int, list[str]]]]) -> Iterator[str]:
+    """Lines of a table of (column, span, lines) cells: columns are as wide as their widest cell of one column, up to COLUMN;
+    spanning cells widen their last column; a cell begins at its column, or two blanks behind the text before it."""
+    wide: dict[int, int] = {}
+    for span, column, w in sorted((span, column, max(map(width, x))) for line in grid for column, span, x in line):
+        last = column + span - 1
+        room = sum(wide[k] + 2 for k in (range(column, last) if span <= len(wide) else wide) if column <= k < last and wide.get(k))
+        wide[last] = max(wide.get(last, 0), min(w - room, COLUMN))
+    columns = sorted(k for k, w in wide.items() if w > 0)
+    starts = [0, *itertools.accumulate(wide[k] + 2 for k in columns)]
+    for line in grid:
+        active, i = [(min(LINE, starts[bisect_left(columns, column)]), x) for column, _, x in line], 0
+        while active:
+            text, used = [], 0
+            for start, x in active:
+                if x[i]:
+                    begin = max(start, used + 2 if text else 0)
+                    text.append(" " * (begin - used) + x[i])
+                    used = begin + width(x[i])
+            yield "".join(text)
+            i += 1
+            active = [c for c in active if len(c[1]) > i]
 
 
 def extract(html: str | None) -> str:
@@ -439,7 +573,7 @@ def extract(html: str | None) -> str:
         return ""
     root, hidden = parse(html)
     out = Lines()
-    Renderer(hidden).one(root, out, False, True)
+    run(Renderer(hidden).one(root, out, False, True))
     return "\n".join(out.finished()).strip("\n")
 
 

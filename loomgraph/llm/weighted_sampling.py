@@ -7,11 +7,12 @@ component's sample.  Two texts share a sample with a probability that equals the
 generalised Jaccard similarity, sum of minima over sum of maxima of the weights.
 
 The gamma values are logarithms of products of two uniforms, so their tails aren't cut: in a text of n words the
-winning keys come from an r near ln(n) and beyond.
+winning keys come from an r near ln(n) and beyond.  r, c and b don't depend on the text, so the report works them out once for each
+term of a group of neighbouring documents, and each of their texts adds its weight only.
 
 Defined results: null is the empty text; a text without words has the fingerprint of zeros, alike to itself
 (1) and to nothing else (0); equal texts have equal fingerprints.  Documents follow each other by
-descending id, null ids last, rows of equal id by a hash of their text.  Extra columns are not read; an empty table gives an empty
+descending id, null ids last, rows of equal id (and of no id) by a hash of their text.  Extra columns are not read; an empty table gives an empty
 result; a single document is its own next one.
 """
 
@@ -22,9 +23,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Documents that a bucket of neighbouring ids holds, and buckets at most (their first ids go to the driver).
-BUCKET_ROWS, BUCKETS = 256, 200_000
+#: Documents that a bucket of neighbours holds, and buckets at most (their bounds and first ids go to the driver); beyond that they grow.
+BUCKET_ROWS, BUCKETS = 256, 65_536
+#: Neighbours that share their terms' parameters.
+GROUP_ROWS = 256
 #: Documents that a task holds, and tasks at most.
 TASK_ROWS, TASKS = 1500, 50_000
 
@@ -34,22 +39,30 @@ def gamma(u: Column, v: Column) -> Column:
     return -F.ln(u * v)
 
 
-def sample_key(term: Column, log_weight: Column, k: int) -> Column:
-    """Orders the samples of component k: the fixed-point key above 24 bits of the term's hash."""
-    bits = F.xxhash64(term, F.lit(k))
-    more = F.xxhash64(bits)
+def with_parameters(terms: DataFrame, k: int) -> DataFrame:
+    """``terms`` with arrays of k values r, b and ln(c), fixed by the column ``term``."""
     part = lambda x, shift, n: (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << n) - 1)) + 0.5) / F.lit(float(1 << n))
-    r, c = gamma(part(bits, 32, 32), part(bits, 0, 32)), gamma(part(more, 42, 22), part(more, 20, 22))
-    b = part(more, 0, 20)
-    t = F.floor(log_weight / r + b)
-    key = F.ln(c) - r * (t + 1 - b)
-    return F.shiftleft(((key + 64) * float(1 << 32)).cast("long"), 24).bitwiseOR(term.bitwiseAND(F.lit((1 << 24) - 1)))
+    bits = [F.xxhash64("term", F.lit(i)) for i in range(k)]
+    more = [F.xxhash64(x) for x in bits]
+    return terms.withColumns(
+        {
+            "r": F.array(*[gamma(part(x, 32, 32), part(x, 0, 32)) for x in bits]),
+            "b": F.array(*[part(x, 0, 20) for x in more]),
+            "c": F.array(*[F.ln(gamma(part(x, 42, 22), part(x, 20, 22))) for x in more]),
+        }
+    )
+
+
+def sample_key(i: int) -> Column:
+    """Orders the samples of component i: the fixed-point key above 24 bits of the term's hash."""
+    r, b = F.col("r")[i], F.col("b")[i]
+    key = F.col("c")[i] - r * (F.floor(F.col("log_weight") / r + b) + 1 - b)
+    return F.shiftleft(((key + 64) * float(1 << 32)).cast("long"), 24).bitwiseOR(F.col("term").bitwiseAND(F.lit((1 << 24) - 1)))
 
 
 def samples(terms: DataFrame, by: list[str], k: int, carry: list[Column] = ()) -> DataFrame:
-    """Fingerprints of the groups ``by`` of rows (term long, weight); groups without a term don't appear."""
-    rows = terms.withColumn("_w", F.ln(F.col("weight").cast("double")))
-    found = rows.groupBy(*by).agg(*[F.min(sample_key(F.col("term"), F.col("_w"), i)).alias(f"_{i}") for i in range(k)], *carry)
+    """Fingerprints of the groups ``by`` of rows (term long, log_weight, r, b, c); null without a row that has a weight."""
+    found = terms.groupBy(*by).agg(*[F.min(sample_key(i)).alias(f"_{i}") for i in range(k)], *carry)
     text = F.concat(*[F.lpad(F.hex(F.col(f"_{i}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for i in range(k)])
     return found.withColumn("fingerprint", F.lower(text)).drop(*[f"_{i}" for i in range(k)])
 
@@ -60,37 +73,55 @@ def likeness(a: Column, b: Column, k: int) -> Column:
     return reduce(lambda x, y: x + y, same) / F.lit(float(k))
 
 
-def fingerprints(texts: DataFrame, key: str = "doc_id", text: str = "text", k: int = 32) -> DataFrame:
+def fingerprints(texts: DataFrame, key: str = "doc_id", text: str = "text", k: int = 64) -> DataFrame:
     """(key, fingerprint) of each row, for any table of texts with unique keys."""
-    words = texts.select(F.col(key), F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORDS)).alias("w"))
-    terms = words.groupBy(key, F.xxhash64("w").alias("term")).agg(F.count("*").alias("weight"), F.first("w").alias("w")).where("w <> ''")
-    return texts.select(key).join(samples(terms, [key], k), key, "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit("0" * 8 * k)))
+    words = texts.select(F.col(key), F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORDS)).alias("w")).where("w <> ''")
+    terms = words.groupBy(key, F.xxhash64("w").alias("term")).agg(F.count("*").alias("weight")).withColumn("log_weight", F.ln("weight"))
+    return texts.select(key).join(samples(with_parameters(terms, k), [key], k), key, "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit("0" * 8 * k)))
+
+
+def doubles(values: list[float]) -> str:
+    """SQL for a constant array."""
+    return f"cast(split('{','.join(map(repr, values))}', ',') as array<double>)" if values else "cast(array() as array<double>)"
+
+
+def bucket_of(place: str, bounds: list[float]) -> Column:
+    """How many of the sorted bounds lie below the place, by halving."""
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))] or [1]
+    return F.expr(f"cast(aggregate(array({','.join(map(str, steps))}), 0, (_n, _step) -> if(get({doubles(bounds)}, _n + _step - 1) < {place}, _n + _step, _n)) as long)")
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(bucket, id, copy, text, next): each text with the next one by descending id.
+    """(bucket, id, h, copy, place, text, next): each text with the next one by descending id.
 
-    Buckets hold neighbouring ids.  A copy of each bucket's first document also goes behind the last one of
+    Buckets hold neighbours and about as many documents each, whatever the ids: bounds are quantiles of a number that never falls along the
+    order.  A copy of each bucket's first document also goes behind the last one of
     the bucket before, so that no order over the whole table is needed.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min(F.col(key).cast("long")), F.max(F.col(key).cast("long")), F.count("*")).first()
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    share = (F.shiftright("h", 12) + (1 << 51)) / float(1 << 52)  # 0 to 1 in the order of the hash, which so spreads equal ids
+    place = F.when(F.col("id").isNull(), (share + 1) * 2.0**64).otherwise(share - F.col("id").cast("double"))
+    narrow = scratch.write(rows.select("id", "h").withColumn("at", place))
+    n = narrow.count()
     buckets = min(BUCKETS, max(1, -(-n // BUCKET_ROWS)))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.col("id") - (low or 0)) / width).cast("long"), F.lit(-1))  # null ids come last
-    rows = rows.withColumn("bucket", bucket)
-    first = docs.select(F.col(key).cast("long").alias("id")).withColumn("bucket", bucket).groupBy("bucket").agg(F.max("id").alias("id")).orderBy(F.desc("bucket")).collect()
-    target = [(r["id"], r["bucket"], first[i - 1]["bucket"]) for i, r in enumerate(first)]  # the bucket before; the first one goes behind the last
-    heads = F.broadcast(spark.createDataFrame(target, "h long, hb long, target long"))  # at most BUCKETS rows
-    copies = rows.join(heads, (F.col("bucket") == F.col("hb")) & F.col("id").eqNullSafe(F.col("h"))).select("id", "text", F.col("target").alias("bucket"), F.lit(1).alias("copy"))
+    bounds = []
+    if buckets > 1:
+        shares = doubles([i / buckets for i in range(1, buckets)])
+        bounds = sorted(set(narrow.agg(F.expr(f"percentile_approx(at, {shares}, {max(10_000, 4 * buckets)})")).first()[0]))
+    # the first of each bucket: ~id falls as the id rises
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.bitwise_not("id").alias("back"), "h"))
+    heads = narrow.withColumn("bucket", bucket_of("at", bounds)).groupBy("bucket").agg(first.alias("f")).select("bucket", F.bitwise_not("f.back").alias("id"), "f.h").orderBy("bucket").collect()
+    target = [(r["id"], r["h"], heads[i - 1]["bucket"]) for i, r in enumerate(heads)]  # the bucket before; the first one goes behind the last
+    target = F.broadcast(spark.createDataFrame(target, "i long, g long, bucket long"))  # at most BUCKETS rows
+    copies = rows.join(target, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select("id", "h", "text", "bucket", F.lit(1).alias("copy"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(TASKS, -(-n // TASK_ROWS)))
-    both = rows.select("id", "text", "bucket", F.lit(0).alias("copy")).unionByName(copies).repartition(tasks, "bucket")
-    order = Window.partitionBy("bucket").orderBy("copy", F.desc_nulls_last("id"), F.xxhash64("text"))
-    return both.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
+    placed = rows.withColumn("at", place).select("id", "h", "text", bucket_of("at", bounds).alias("bucket"), F.lit(0).alias("copy"))
+    order = Window.partitionBy("bucket").orderBy("copy", F.desc_nulls_last("id"), "h")
+    return placed.unionByName(copies).repartition(tasks, "bucket").withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
 
 
-def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 32) -> DataFrame:
+def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 64) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document.
 
     Everything after the one shuffle by bucket stays in its task.
@@ -101,17 +132,21 @@ def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half)))
     sha = F.sha2("edited", 256)
     rows = rows.withColumns({f"s{i}": F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)})
-    who = ["bucket", "copy", "place", "id"]
-    carried = ["n_chars", "s0", "s1", "s2", "s3"]
+    rows = rows.withColumn("part", F.floor((F.col("place") - 1) / GROUP_ROWS))
+    carried = ["id", "copy", "n_chars", "s0", "s1", "s2", "s3"]
     versions = F.when(F.col("copy") == 0, F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).otherwise(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t"))))
-    each = rows.select(*who, *carried, F.inline(versions))
-    # '' stands for "no more words" in every text, so that a text without words keeps its row
-    words = each.select(*who, *carried, "v", F.explode(F.split(F.concat(F.lit(" "), F.lower("t")), WORDS)).alias("w"))
-    terms = words.groupBy(*who, "v", F.when(F.col("w") == "", F.lit(None)).otherwise(F.xxhash64("w")).alias("term")).agg(F.count("*").alias("weight"), *[F.max(c).alias(c) for c in carried])
-    prints = samples(terms, [*who, "v"], k, [F.max(c).alias(c) for c in carried])
+    each = rows.select("bucket", "part", "place", *carried, F.inline(versions))
+    # '' stands for "no more words" in every text, so that a text without words keeps its row, and carries what is known of the document
+    words = each.select("bucket", "part", "place", "v", *carried, F.explode(F.split(F.concat(F.lit(" "), F.lower("t")), WORDS)).alias("w"))
+    terms = words.groupBy("bucket", "part", "place", "v", F.when(F.col("w") == "", F.lit(None)).otherwise(F.xxhash64("w")).alias("term")).agg(F.count("*").alias("weight"), *[F.max(c).alias(c) for c in carried])
+    empty = F.col("term").isNull()
+    text_of = F.struct("place", "v", F.when(~empty, F.ln("weight")).alias("log_weight"), F.when(empty, F.struct(*carried)).alias("known"))
+    shared = with_parameters(terms.groupBy("bucket", "part", "term").agg(F.collect_list(text_of).alias("texts")), k)  # 2 GROUP_ROWS texts at most
+    each = shared.select("bucket", "term", "r", "b", "c", F.inline("texts"))
+    prints = samples(each, ["bucket", "place", "v"], k, [F.max(F.col("known")[c]).alias(c) for c in carried])
     prints = prints.withColumn("fingerprint", F.coalesce("fingerprint", F.lit("0" * 8 * k)))
     one = lambda v: F.max(F.when(F.col("v") == v, F.col("fingerprint")))
-    docs_ = prints.groupBy(*who).agg(one(0).alias("fingerprint"), one(1).alias("edited_fingerprint"), *[F.max(c).alias(c) for c in carried])
+    docs_ = prints.groupBy("bucket", "place").agg(one(0).alias("fingerprint"), one(1).alias("edited_fingerprint"), *[F.max(c).alias(c) for c in carried])
     order = Window.partitionBy("bucket").orderBy("place")
     docs_ = docs_.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where("copy = 0")
     sha_text = F.lower(F.concat(*[F.lpad(F.hex(f"s{i}"), 16, "0") for i in range(4)]))

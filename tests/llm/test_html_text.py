@@ -31,7 +31,12 @@ from loomgraph.llm.html_text import extract, visible_text
         ("1 < 2 <3 <!-- c > --> d <a title='>'>e</a>", "1 < 2 <3 d e"),
         ("<p>  lots \n of   blanks </p>", "lots of blanks"),
         ("", ""), (None, ""), ("<p></p>", ""), ("<", "<"), ("a<b", "a"), ("<script>never closed", ""), ("<!-- open", ""),
-        ("<select><option>a<option>b</select>x<textarea>typed</textarea>", "xtyped"),
+        ("<select><option>a<option>b</select>x<textarea>typed</textarea>", "a xtyped"),
+        ("<select multiple><optgroup><option>a<option>b</optgroup></select>", "a b"), ("<select><option>a<option selected>b<option>c</select>!", "b !"),
+        ("<svg><title>no</title><defs><text>no</text></defs><g>no<text>one</text></g><text>two <tspan>three</tspan></text></svg>", "one two three"),
+        ("<math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>no</annotation></math>", "x+1"), ("<object>fallback</object>", "fallback"), ("<video>no</video>", ""),
+        ("<input value=name><input type=hidden value=no><input type=submit value=Go>", "name Go"),
+        ("<table><tr><td colspan=300>a<td>b<tr><td>c</table>", "a  b\nc"), ("<ul><li><ul><li>x</ul></ul>", "- - x"), ("<ul><li><blockquote>q<p>r</blockquote><li></ul>", "-     q\n\n      r"),
         ("<td>loose</td>", "loose"),
     ],
 )
@@ -91,3 +96,52 @@ def test_pages(spark):
     got = visible_text(pages).collect()
     assert len(got) == 5 and next(r["text"] for r in got if r["page_id"] == 1) == "a"
     assert visible_text(pages.limit(0)).collect() == []
+
+
+def test_deep_nesting_keeps_attributes_and_text():
+    for n in (10, 250, 30_000):
+        assert extract("<div>" * n + "<div hidden>secret</div>seen" + "</div>" * n + "after") == "seen\nafter"
+        assert extract("<b>" * n + "x" + "</b>" * n + "y") == "xy"
+    deep = extract("<blockquote>" * 3000 + "x")
+    assert deep.strip() == "x" and len(deep) == 4 * 20 + 1
+    assert extract("<table><tr><td>" * 500 + "x") == "x"
+
+
+def test_output_grows_with_the_page():
+    rows = "".join(f"<tr><td>{i}<td>n{i}" for i in range(500))
+    page = f"<table><tr><td>{'long ' * 4000}<td>end{rows}</table>"
+    text = extract(page)
+    assert len(text) < 2 * len(page) and text.split("\n")[0].endswith("long  end") and text.split("\n")[2] == f"1{' ' * 61}n1"
+    wide = extract("<table>" + "<tr>" + "".join(f"<td>{'w' * 59}" for _ in range(50)) + "<tr><td colspan=49>a<td>b" * 300 + "</table>")
+    assert len(wide) < 300 * 405 + 50 * 62 + 10 and wide.count("b") == 300
+    held = extract("<table>" + "<tr><td rowspan=65534 colspan=1000>x" * 300 + "<tr><td>z</table>")
+    assert held.count("x") == 300 and len(held.split("\n")[-1]) <= 401
+
+
+def test_visible_words_equal_a_plain_walk():
+    """Visibility from a second, plain implementation: random trees written out with all end tags."""
+    r = random.Random(8)
+    count = iter(range(10**6))
+
+    def tree(depth, shown):
+        """(html, visible words)"""
+        html, words = [], []
+        for _ in range(r.randrange(1, 4)):
+            kind = r.random()
+            if depth == 0 or kind < 0.3:
+                w = f"w{next(count)}"
+                html.append(f" {w} ")
+                words += [w] if shown else []
+                continue
+            tag = r.choice(["div", "span", "b", "section", "blockquote", "em", "article"])
+            how = r.choice(["", "", "", " hidden", ' style="display:none"', " class=gone", " id='away'", ' class="x y"'])
+            inner, seen = tree(depth - 1, shown and how not in (" hidden", ' style="display:none"', " class=gone", " id='away'"))
+            html.append(f"<{tag}{how}>{inner}</{tag}>")
+            words += seen
+            if r.random() < 0.2:
+                html.append(r.choice(["<script>no()</script>", "<!-- no -->", "<template>no</template>", "<noscript>no</noscript>"]))
+        return "".join(html), words
+
+    for _ in range(200):
+        html, words = tree(6, True)
+        assert extract(f"<style>.gone, #away {{display: none}}</style>{html}").split() == words
