@@ -35,8 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     ship_package(spark)
     scratch = Scratch(spark)
-    rows = scratch.write(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text")).withColumn("row", F.monotonically_increasing_id()))
-    classes = scratch.write(bagminhash.near_duplicates(rows, key="row"))
+    rows = scratch.write(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    classes = scratch.write(bagminhash.near_duplicates(rows, key="row", text="doc.text"))
     several = scratch.write(classes.where(~F.col("representative")).select("class_id").distinct())
     members = scratch.write(classes.join(small_or_shuffled(several, several.count()), "class_id", "left_semi").select("class_id", "row"))
     named = rows.select("row", F.col("doc.doc_id").alias("doc_id")).join(small_or_shuffled(members, members.count()), "row")
