@@ -28,6 +28,18 @@ def aggregated(how: Callable[[Column], Column], column: str | Column, width: int
     return F.array(*map(how, slots(column, width))) if width else F.array().cast("array<double>")
 
 
+def constant(values: list[float]) -> Column:
+    """A constant array as one literal, however long."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>") if values else F.array().cast("array<double>")
+
+
+def rank(values: list[float], x: Column, inclusive: bool = False) -> Column:
+    """How many of the sorted values are less than x (or at most x), by halving."""
+    q, steps = constant(values), [1 << i for i in reversed(range(len(values).bit_length()))] or [1]
+    met = (lambda v: v <= x) if inclusive else (lambda v: v < x)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, step: F.when(met(F.get(q, n + step - 1)), n + step).otherwise(n))
+
+
 def zeros(width: int) -> Column:
     return F.array_repeat(F.lit(0.0), width)
 

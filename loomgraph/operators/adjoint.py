@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.scratch import written
 from .aggregate import gather, spmm, zero_filled
-from .attention import edge_softmax, gat_scores
+from .attention import edge_softmax, gat_scores, head_dots
 
 
 def minmax_backward(arg: DataFrame, grad: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -31,16 +32,24 @@ def spmm_backward(edges: DataFrame, nodes: DataFrame, grad: DataFrame, norm: str
 
 def edge_softmax_backward(edges: DataFrame, alpha: str = "alpha", grad: str = "galpha") -> DataFrame:
     """Edges with gscore = alpha (galpha - sum over the destination of alpha galpha)."""
+    edges = written(edges)
     sums = edges.groupBy("dst").agg(F.sum(F.col(alpha) * F.col(grad)).alias("_s"))
     return edges.join(sums, "dst").withColumn("gscore", F.col(alpha) * (F.col(grad) - F.col("_s"))).select(*edges.columns, "gscore")
 
 
-def _alphas(scored: DataFrame, heads: int) -> DataFrame:
-    """Adds _al, the softmax by destination and head of _s."""
+def _softmaxed(scored: DataFrame, heads: int) -> DataFrame:
+    """(src, dst, _al, _ds) of narrow edges (src, dst, _s, _p), arrays by head: softmax by destination, and its gradient where _p is that of alpha.
+
+    _ds = alpha (_p - sum over the destination of alpha _p).  The edges are written once, so is what a destination needs.
+    """
+    scored = written(scored.select("src", "dst", "_s", "_p"))
     top = scored.groupBy("dst").agg(V.aggregated(F.max, "_s", heads).alias("_m"))
-    e = scored.join(top, "dst").withColumn("_e", F.array(*[F.exp(F.col("_s")[h] - F.col("_m")[h]) for h in range(heads)])).drop("_m")
-    sums = e.groupBy("dst").agg(V.aggregated(F.sum, "_e", heads).alias("_z"))
-    return e.join(sums, "dst").withColumn("_al", F.array(*[F.col("_e")[h] / F.greatest(F.col("_z")[h], F.lit(1e-16)) for h in range(heads)])).drop("_z", "_e")
+    e = [F.exp(F.col("_s")[h] - F.col("_m")[h]) for h in range(heads)]
+    stats = scored.join(top, "dst").groupBy("dst").agg(F.first("_m").alias("_m"), F.array(*map(F.sum, e)).alias("_z"), F.array(*[F.sum(x * F.col("_p")[h]) for h, x in enumerate(e)]).alias("_w"))
+    # delta of a destination: the alpha-weighted sum of _p
+    z = [F.greatest(F.col("_z")[h], F.lit(1e-16)) for h in range(heads)]
+    both = scored.join(written(stats), "dst").select("src", "dst", "_p", F.array(*[x / y for x, y in zip(e, z, strict=True)]).alias("_al"), F.array(*[F.col("_w")[h] / z[h] for h in range(heads)]).alias("_d"))
+    return written(both.select("src", "dst", "_al", F.array(*[F.col("_al")[h] * (F.col("_p")[h] - F.col("_d")[h]) for h in range(heads)]).alias("_ds")))
 
 
 def _by(rows: DataFrame, end: str, nodes: DataFrame, outs: dict[str, tuple[list, int]]) -> DataFrame:
@@ -57,16 +66,12 @@ def gt_backward(edges: DataFrame, nodes: DataFrame, grad: DataFrame, heads: int,
     scale = 1 / math.sqrt(d) if scale is None else scale
     full = nodes.join(grad, "id")
     both = gather(gather(edges.select("src", "dst"), full, {"q": "_q", "v": "_v"}), full, {"k": "_k", "g": "_g"}, "dst")
-    pair = lambda a, b, h: sum((F.col(a)[h * d + i] * F.col(b)[h * d + i] for i in range(d)), F.lit(0.0))
-    scored = both.withColumn("_s", F.array(*[pair("_q", "_k", h) * scale for h in range(heads)])).withColumn("_p", F.array(*[pair("_g", "_v", h) for h in range(heads)]))
-    al = _alphas(scored, heads)
-    # delta of a destination: the output dotted with its gradient is the alpha-weighted sum of _p
-    delta = al.groupBy("dst").agg(F.array(*[F.sum(F.col("_al")[h] * F.col("_p")[h]) for h in range(heads)]).alias("_d"))
-    ds = al.join(delta, "dst").withColumn("_ds", F.array(*[F.col("_al")[h] * (F.col("_p")[h] - F.col("_d")[h]) * scale for h in range(heads)]))
+    scored = both.select("src", "dst", F.array(*[x * scale for x in head_dots(F.col("_q"), F.col("_k"), heads, d)]).alias("_s"), F.array(*head_dots(F.col("_g"), F.col("_v"), heads, d)).alias("_p"))
+    ds = _softmaxed(scored, heads)
     at = [(h, h * d + i) for h in range(heads) for i in range(d)]
     w = heads * d
-    src = _by(ds, "src", nodes, {"gq": ([F.col("_ds")[h] * F.col("_k")[j] for h, j in at], w), "gv": ([F.col("_al")[h] * F.col("_g")[j] for h, j in at], w)})
-    dst = _by(ds, "dst", nodes, {"gk": ([F.col("_ds")[h] * F.col("_q")[j] for h, j in at], w)})
+    src = _by(gather(ds, full, {"k": "_k", "g": "_g"}, "dst"), "src", nodes, {"gq": ([F.col("_ds")[h] * scale * F.col("_k")[j] for h, j in at], w), "gv": ([F.col("_al")[h] * F.col("_g")[j] for h, j in at], w)})
+    dst = _by(gather(ds, full, {"q": "_q"}), "dst", nodes, {"gk": ([F.col("_ds")[h] * scale * F.col("_q")[j] for h, j in at], w)})
     return src.join(dst, "id").select("id", "gq", "gk", "gv")
 
 
@@ -76,18 +81,17 @@ def gatv2_backward(edges: DataFrame, nodes: DataFrame, grad: DataFrame, attn: li
     at = [(h, h * d + i, attn[h][i]) for h in range(heads) for i in range(d)]
     full = nodes.join(grad, "id")
     both = gather(gather(edges.select("src", "dst"), full, {"right": "_r"}), full, {"left": "_l", "g": "_g"}, "dst")
-    both = both.withColumn("_u", V.add(F.col("_l"), F.col("_r")))
-    score = [sum((V.leaky(F.col("_u")[j], slope) * a for k, j, a in at if k == h), F.lit(0.0)) for h in range(heads)]
-    p = [sum((F.col("_g")[j] * F.col("_r")[j] for k, j, _ in at if k == h), F.lit(0.0)) for h in range(heads)]
-    al = _alphas(both.withColumn("_s", F.array(*score)).withColumn("_p", F.array(*p)), heads)
-    mean = al.groupBy("dst").agg(F.array(*[F.sum(F.col("_al")[h] * F.col("_p")[h]) for h in range(heads)]).alias("_d"))
-    ge = al.join(mean, "dst").withColumn("_ge", F.array(*[F.col("_al")[h] * (F.col("_p")[h] - F.col("_d")[h]) for h in range(heads)]))
-    du = [F.col("_ge")[h] * F.when(F.col("_u")[j] > 0, a).otherwise(a * slope) for h, j, a in at]
+    u = lambda j: F.col("_l")[j] + F.col("_r")[j]
+    score = [sum((V.leaky(u(j), slope) * a for k, j, a in at if k == h), F.lit(0.0)) for h in range(heads)]
+    ge = _softmaxed(both.select("src", "dst", F.array(*score).alias("_s"), F.array(*head_dots(F.col("_g"), F.col("_r"), heads, d)).alias("_p")), heads)
+    wide = gather(gather(ge, full, {"right": "_r"}), full, {"left": "_l", "g": "_g"}, "dst")
+    du = [F.col("_ds")[h] * F.when(u(j) > 0, a).otherwise(a * slope) for h, j, a in at]
     w = heads * d
-    left = _by(ge, "dst", nodes, {"gleft": (du, w)})
-    right = _by(ge, "src", nodes, {"gright": ([F.col("_al")[h] * F.col("_g")[j] + x for (h, j, _), x in zip(at, du, strict=True)], w)})
-    gattn = ge.agg(F.array(*[F.coalesce(F.sum(F.col("_ge")[h] * V.leaky(F.col("_u")[j], slope)), F.lit(0.0)) for h, j, _ in at]).alias("gattn"))
-    return left.join(right, "id").select("id", "gleft", "gright"), gattn
+    # the gradient of the attention vector is a total of sums by destination
+    left = written(_by(wide, "dst", nodes, {"gleft": (du, w), "_ga": ([F.col("_ds")[h] * V.leaky(u(j), slope) for h, j, _ in at], w)}))
+    right = _by(wide, "src", nodes, {"gright": ([F.col("_al")[h] * F.col("_g")[j] + x for (h, j, _), x in zip(at, du, strict=True)], w)})
+    gattn = left.agg(F.array(*[F.coalesce(F.sum(F.col("_ga")[j]), F.lit(0.0)) for _, j, _ in at]).alias("gattn"))
+    return left.select("id", "gleft").join(right, "id").select("id", "gleft", "gright"), gattn
 
 
 def gat_backward(edges: DataFrame, nodes: DataFrame, grad: DataFrame, a_src: list[list[float]], a_dst: list[list[float]], slope: float = 0.2) -> DataFrame:
@@ -95,13 +99,12 @@ def gat_backward(edges: DataFrame, nodes: DataFrame, grad: DataFrame, a_src: lis
     heads, d = len(a_src), len(a_src[0])
     scored = gat_scores(gat_scores(nodes.select("id", "h").join(grad, "id"), "h", a_src, "_a"), "h", a_dst, "_b")
     both = gather(gather(edges.select("src", "dst"), scored, {"h": "_v", "_a": "_a"}), scored, {"_b": "_b", "g": "_g"}, "dst")
-    both = both.withColumn("_u", V.add(F.col("_a"), F.col("_b")))
-    p = [sum((F.col("_g")[h * d + i] * F.col("_v")[h * d + i] for i in range(d)), F.lit(0.0)) for h in range(heads)]
-    al = _alphas(both.withColumn("_s", F.transform("_u", lambda u: V.leaky(u, slope))).withColumn("_p", F.array(*p)), heads)
-    mean = al.groupBy("dst").agg(F.array(*[F.sum(F.col("_al")[h] * F.col("_p")[h]) for h in range(heads)]).alias("_d"))
-    ge = al.join(mean, "dst")
-    du = [F.col("_al")[h] * (F.col("_p")[h] - F.col("_d")[h]) * F.when(F.col("_u")[h] > 0, 1.0).otherwise(slope) for h in range(heads)]
-    return _by(ge, "src", nodes, {"gs": (du, heads)}).join(_by(ge, "dst", nodes, {"gd": (du, heads)}), "id").select("id", "gs", "gd")
+    u = lambda h: F.col("_a")[h] + F.col("_b")[h]
+    ge = _softmaxed(both.select("src", "dst", F.array(*[V.leaky(u(h), slope) for h in range(heads)]).alias("_s"), F.array(*head_dots(F.col("_g"), F.col("_v"), heads, d)).alias("_p")), heads)
+    ends = gather(gather(ge, scored, {"_a": "_a"}), scored, {"_b": "_b"}, "dst")
+    du = written(ends.select("src", "dst", F.array(*[F.col("_ds")[h] * F.when(u(h) > 0, 1.0).otherwise(slope) for h in range(heads)]).alias("_du")))
+    slots = [F.col("_du")[h] for h in range(heads)]
+    return _by(du, "src", nodes, {"gs": (slots, heads)}).join(_by(du, "dst", nodes, {"gd": (slots, heads)}), "id").select("id", "gs", "gd")
 
 
 __all__ = ["edge_softmax", "edge_softmax_backward", "gat_backward", "gatv2_backward", "gt_backward", "minmax_backward", "spmm_backward"]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.scratch import written
 from .aggregate import gather, zero_filled
 
 
@@ -19,33 +20,44 @@ def edge_dot(edges: DataFrame, nodes: DataFrame, q: str = "q", k: str = "k", hea
     """(src, dst, score array by head): q[src] . k[dst] for each edge."""
     d = (width if width is not None else V.width_of(nodes, q)) // heads
     both = gather(gather(edges.select("src", "dst"), nodes, {q: "_q"}), nodes, {k: "_k"}, "dst")
-    return both.select("src", "dst", F.array(*[V.dot(V.head(F.col("_q"), h, d), V.head(F.col("_k"), h, d)) for h in range(heads)]).alias("score"))
+    return both.select("src", "dst", F.array(*head_dots(F.col("_q"), F.col("_k"), heads, d)).alias("score"))
+
+
+def head_dots(a: Column, b: Column, heads: int, d: int) -> list[Column]:
+    """By head, the product of two flat arrays, slot by slot: plain arithmetic that stays in generated code."""
+    return [sum((a[h * d + i] * b[h * d + i] for i in range(d)), F.lit(0.0)) for h in range(heads)]
 
 
 def edge_softmax(edges: DataFrame, score: str = "score") -> DataFrame:
-    """Edges with alpha: exp(score - max) over its sum (at least 1e-16), by destination; ``score`` is one number an edge."""
+    """Edges with alpha: exp(score - max) over its sum (at least 1e-16), by destination; ``score`` is one number an edge.
+
+    The scored edges are written once: they are read for the maxima, the sums and the result.
+    """
+    edges = written(edges)
     top = edges.groupBy("dst").agg(F.max(score).alias("_m"))
-    shifted = edges.join(top, "dst").withColumn("_e", F.exp(F.col(score) - F.col("_m")))
-    sums = shifted.groupBy("dst").agg(F.sum("_e").alias("_s"))
-    return shifted.join(sums, "dst").withColumn("alpha", F.col("_e") / F.greatest("_s", F.lit(1e-16))).select(*edges.columns, "alpha")
+    e = F.exp(F.col(score) - F.col("_m"))
+    stats = written(edges.join(top, "dst").groupBy("dst").agg(F.max("_m").alias("_m"), F.sum(e).alias("_s")))  # one row a destination
+    return edges.join(stats, "dst").withColumn("alpha", e / F.greatest("_s", F.lit(1e-16))).select(*edges.columns, "alpha")
 
 
 def edge_logsumexp(edges: DataFrame, nodes: DataFrame, score: str = "score") -> DataFrame:
     """(id, lse) of the scores of incoming edges; minus infinity without one."""
+    edges = written(edges.select("dst", score))
     top = edges.groupBy("dst").agg(F.max(score).alias("_m"))
     found = edges.join(top, "dst").groupBy(F.col("dst").alias("id")).agg((F.max("_m") + F.ln(F.sum(F.exp(F.col(score) - F.col("_m"))))).alias("lse"))
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("lse", F.lit(float("-inf"))).alias("lse"))
 
 
-def softmax_sum(messages: DataFrame, nodes: DataFrame, heads: int, d: int, heavy_parts: int = 1) -> DataFrame:
-    """(id, out) from rows (src, dst, _s array by head, _v flat array): softmax-weighted sums by destination.
+def softmax_sum(scored: DataFrame, nodes: DataFrame, values: str, heads: int, d: int, heavy_parts: int = 1) -> DataFrame:
+    """(id, out) from rows (src, dst, _s array by head): softmax-weighted sums by destination of the sources' ``values``.
 
-    First the maximum by destination and head (partial aggregates), then one aggregate of sum(e) and sum(e v).  With
-    ``heavy_parts`` over 1 the sums are salted by source and merged in a second step.
+    The narrow scores are written once.  First the maximum by destination and head (partial aggregates), then the values are
+    gathered for one aggregate of sum(e) and sum(e v).  With ``heavy_parts`` over 1 the sums are salted by source and merged in a second step.
     """
-    top = messages.groupBy("dst").agg(V.aggregated(F.max, "_s", heads).alias("_m"))
+    scored = written(scored)
+    top = scored.groupBy("dst").agg(V.aggregated(F.max, "_s", heads).alias("_m"))
     e = [F.exp(F.col("_s")[h] - F.col("_m")[h]) for h in range(heads)]
-    weighted = messages.join(top, "dst").withColumn("_e", F.array(*e))
+    weighted = gather(scored.join(top, "dst").select("src", "dst", F.array(*e).alias("_e")), nodes, {values: "_v"})
     parts = [*[F.sum(F.col("_e")[h]).alias(f"_z{h}") for h in range(heads)], *[F.sum(F.col("_e")[h] * F.col("_v")[h * d + i]).alias(f"_o{h * d + i}") for h in range(heads) for i in range(d)]]
     if heavy_parts > 1:
         first = weighted.groupBy("dst", F.pmod(F.xxhash64("src"), F.lit(heavy_parts)).alias("_part")).agg(*parts)
@@ -66,17 +78,17 @@ def gatv2_aggr(edges: DataFrame, nodes: DataFrame, attn: list[list[float]], left
     """(id, out): score a_h . LeakyReLU(left[dst] + right[src]), message right[src]."""
     heads, d = len(attn), len(attn[0])
     both = gather(gather(edges.select("src", "dst"), nodes, {right: "_v"}), nodes, {left: "_l"}, "dst")
-    messages = both.select("src", "dst", gatv2_scores(attn, slope, F.col("_l"), F.col("_v")).alias("_s"), "_v")
-    return softmax_sum(messages, nodes, heads, d, heavy_parts)
+    scored = both.select("src", "dst", gatv2_scores(attn, slope, F.col("_l"), F.col("_v")).alias("_s"))
+    return softmax_sum(scored, nodes, right, heads, d, heavy_parts)
 
 
 def graph_transformer_aggr(edges: DataFrame, nodes: DataFrame, heads: int = 1, q: str = "q", k: str = "k", v: str = "v", scale: float | None = None, width: int | None = None, heavy_parts: int = 1) -> DataFrame:
     """(id, out): score q[src] . k[dst] scale, message v[src]; scale is 1 / sqrt(head width) by default."""
     d = (width if width is not None else V.width_of(nodes, q)) // heads
     scale = 1 / math.sqrt(d) if scale is None and d else scale or 0.0
-    both = gather(gather(edges.select("src", "dst"), nodes, {q: "_q", v: "_v"}), nodes, {k: "_k"}, "dst")
-    score = F.array(*[sum((F.col("_q")[h * d + i] * F.col("_k")[h * d + i] for i in range(d)), F.lit(0.0)) * scale for h in range(heads)])
-    return softmax_sum(both.select("src", "dst", score.alias("_s"), "_v"), nodes, heads, d, heavy_parts)
+    both = gather(gather(edges.select("src", "dst"), nodes, {q: "_q"}), nodes, {k: "_k"}, "dst")
+    score = F.array(*[x * scale for x in head_dots(F.col("_q"), F.col("_k"), heads, d)])
+    return softmax_sum(both.select("src", "dst", score.alias("_s")), nodes, v, heads, d, heavy_parts)
 
 
 def gat_scores(nodes: DataFrame, h: str, a: list[list[float]], out: str) -> DataFrame:
@@ -89,9 +101,9 @@ def gat_aggr(edges: DataFrame, nodes: DataFrame, a_src: list[list[float]], a_dst
     """(id, out): score LeakyReLU(a_src . h[src] + a_dst . h[dst]), message h[src]; heads side by side or averaged."""
     n, d = len(a_src), len(a_src[0])
     scored = gat_scores(gat_scores(nodes.select("id", F.col(h).alias("_h")), "_h", a_src, "_a"), "_h", a_dst, "_b")
-    both = gather(gather(edges.select("src", "dst"), scored, {"_h": "_v", "_a": "_a"}), scored, {"_b": "_b"}, "dst")
+    both = gather(gather(edges.select("src", "dst"), scored, {"_a": "_a"}), scored, {"_b": "_b"}, "dst")
     score = F.array(*[V.leaky(F.col("_a")[k] + F.col("_b")[k], slope) for k in range(n)])
-    out = softmax_sum(both.select("src", "dst", score.alias("_s"), "_v"), nodes, n, d, heavy_parts)
+    out = softmax_sum(both.select("src", "dst", score.alias("_s")), nodes, h, n, d, heavy_parts)
     if heads == "mean":
         return out.select("id", F.array(*[sum((F.col("out")[k * d + i] for k in range(n)), F.lit(0.0)) / n for i in range(d)]).alias("out"))
     return out

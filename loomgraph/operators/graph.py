@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.positions import global_positions, running_sum
+from ..functions.scratch import written
 
 
 def add_self_loops(edges: DataFrame, nodes: DataFrame, w: float = 1.0) -> DataFrame:
@@ -76,7 +77,7 @@ def is_directed(edges: DataFrame) -> bool:
 def to_csr(edges: DataFrame, nodes: DataFrame, row: str = "dst", col: str = "src") -> DataFrame:
     """(id, neighbors, weights, row_start): one row a node, sorted by neighbour and weight, row_start in global edge order.
 
-    Rows are destinations by default.  The lists of one node are one row's arrays, as the layout asks for.
+    Rows are destinations by default.  The lists of one node are one row's arrays, as the layout asks for; to_csr_parts splits them.
     """
     w = F.col("w") if "w" in edges.columns else F.lit(1.0)
     lists = edges.select(F.col(row).alias("id"), F.col(col).alias("n"), w.alias("w")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("e"))
@@ -84,6 +85,17 @@ def to_csr(edges: DataFrame, nodes: DataFrame, row: str = "dst", col: str = "src
     return running_sum(full, ["id"], F.size("neighbors").cast("long"), "row_start")
 
 
+def to_csr_parts(edges: DataFrame, size: int = 65_536, row: str = "dst", col: str = "src") -> DataFrame:
+    """(id, part, neighbors, weights): to_csr's order in rows of at most ``size`` neighbours, so that a hub isn't one row.
+
+    Places in a row come from sorted ranges, not from a window over the row.
+    """
+    w = F.col("w") if "w" in edges.columns else F.lit(1.0)
+    placed = running_sum(edges.select(F.col(row).alias("id"), F.col(col).alias("n"), w.alias("w")), ["n", "w"], F.lit(1).cast("long"), "k", ["id"])
+    lists = placed.groupBy("id", F.floor(F.col("k") / size).alias("part")).agg(F.array_sort(F.collect_list(F.struct("k", "n", "w"))).alias("e"))
+    return lists.select("id", "part", F.transform("e", lambda x: x["n"]).alias("neighbors"), F.transform("e", lambda x: x["w"]).alias("weights"))
+
+
 def to_csc(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """As to_csr with sources as rows."""
     return to_csr(edges, nodes, "src", "dst")
@@ -252,10 +264,11 @@ def reorder(edges: DataFrame, nodes: DataFrame, by: str = "degree", rounds: int
 
 def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, label): each round a node takes the commonest label of its neighbours (either direction), the smallest of equals."""
-    both = edges.select("src", "dst").unionByName(transpose(edges.select("src", "dst")))
+    edges = written(edges.select("src", "dst"))
+    both = edges.unionByName(transpose(edges))
     labels = nodes.select("id", F.col("id").alias("label"))
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("id", "src"), "src").groupBy("dst", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("dst").agg(F.max(F.struct("n", (-F.col("label")).alias("m"))).alias("b"))
-        labels = labels.join(best.select(F.col("dst").alias("id"), (-F.col("b.m")).alias("new")), "id", "left").select("id", F.coalesce("new", "label").alias("label"))
+        labels = written(labels.join(best.select(F.col("dst").alias("id"), (-F.col("b.m")).alias("new")), "id", "left").select("id", F.coalesce("new", "label").alias("label")))
     return labels

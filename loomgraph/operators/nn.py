@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.scratch import written
 from ..session import ship_package
-from . import attention
+from . import adjoint, attention
 from .aggregate import gcn_aggr, mean_aggr, random_walk_aggr, spmm, sum_aggr
 
 Matrix = list[list[float]]
@@ -131,19 +132,20 @@ def convolve(edges: DataFrame, nodes: DataFrame, conv: str, width: int, extra: d
 def residual_block(nodes: DataFrame, edges: DataFrame, layer: Layer) -> DataFrame:
     """nodes with the block's x; dropout is the identity when scoring."""
     width = len(layer.weight)
-    h = activation(linear(nodes, layer.weight, layer.bias), layer.act)
-    out = normalize(convolve(edges, h.select("id", "x"), layer.conv, width, layer.extra).withColumnRenamed("out", "x"), layer.norm, width=width)
+    h = written(activation(linear(nodes, layer.weight, layer.bias), layer.act).select("id", "x"))  # read by the convolution and the residual
+    out = normalize(convolve(edges, h, layer.conv, width, layer.extra).withColumnRenamed("out", "x"), layer.norm, width=width)
     if layer.residual:
         out = out.join(h.select("id", F.col("x").alias("_h")), "id").select("id", V.add(F.col("x"), F.col("_h")).alias("x"))
     return nodes.drop("x").join(out, "id")
 
 
-def encode(nodes: DataFrame, edges: DataFrame, layers: list[Layer], checkpoint_every: int = 0) -> DataFrame:
-    """A stack of blocks; lineage is cut by checkpoint() after every so many of them (a checkpoint directory must be set)."""
+def encode(nodes: DataFrame, edges: DataFrame, layers: list[Layer]) -> DataFrame:
+    """A stack of blocks; edges and the result of every block but the last are written to the shared folder, so plans don't grow with depth."""
+    edges = written(edges)
     for i, layer in enumerate(layers, 1):
         nodes = residual_block(nodes, edges, layer)
-        if checkpoint_every and i % checkpoint_every == 0 and i < len(layers):
-            nodes = nodes.checkpoint()
+        if i < len(layers):
+            nodes = written(nodes)
     return nodes
 
 
@@ -152,21 +154,32 @@ def classify(nodes: DataFrame, weight: Matrix, bias: list[float] | None = None)
     return linear(nodes, weight, bias, "x", "logits").withColumn("pred", V.argmax(F.col("logits")))
 
 
-def softmax_xent(rows: DataFrame, y: str = "y", logits: str = "logits") -> DataFrame:
-    """One row (loss): mean cross-entropy of labelled rows, 0 without any."""
+def xent(y: str = "y", logits: str = "logits") -> Column:
+    """Cross-entropy of a row."""
     top = F.array_max(logits)
     z = V.total(F.transform(logits, lambda v: F.exp(v - top)))
-    loss = F.ln(z) + top - F.get(F.col(logits), F.col(y).cast("int"))
-    return rows.where(F.col(y).isNotNull()).agg(F.coalesce(F.avg(loss), F.lit(0.0)).alias("loss"))
+    return F.ln(z) + top - F.get(F.col(logits), F.col(y).cast("int"))
+
+
+def softmax_xent(rows: DataFrame, y: str = "y", logits: str = "logits") -> DataFrame:
+    """One row (loss): mean cross-entropy of labelled rows, 0 without any."""
+    return rows.where(F.col(y).isNotNull()).agg(F.coalesce(F.avg(xent(y, logits)), F.lit(0.0)).alias("loss"))
 
 
 def evaluate(nodes: DataFrame, edges: DataFrame, layers: list[Layer], head: tuple[Matrix, list[float]], split: str | None = None) -> DataFrame:
     """One row (loss, accuracy) of a stored model on a split."""
     scored = classify(encode(nodes, edges, layers), *head)
     rows = scored.where(F.col("split") == split) if split else scored
-    loss = softmax_xent(rows)
-    hits = rows.where(F.col("y").isNotNull()).agg(F.coalesce(F.avg((F.col("y") == F.col("pred")).cast("double")), F.lit(0.0)).alias("accuracy"))
-    return loss.join(F.broadcast(hits))  # one row each
+    hit = (F.col("y") == F.col("pred")).cast("double")
+    return rows.where(F.col("y").isNotNull()).agg(F.coalesce(F.avg(xent()), F.lit(0.0)).alias("loss"), F.coalesce(F.avg(hit), F.lit(0.0)).alias("accuracy"))
+
+
+def summed(parts: DataFrame, n: int) -> list[float]:
+    """The slot-wise sum of the arrays v of n numbers, added up in Spark."""
+    out = [0.0] * n
+    for r in parts.select(F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():
+        out[r["k"]] = r["x"]
+    return out
 
 
 @dataclass
@@ -193,7 +206,7 @@ def fit(nodes: DataFrame, edges: DataFrame, classes: int, hops: int = 2, conv: s
     spread = nodes.select("id", "x")
     for _ in range(hops):
         spread = convolve(edges, spread, conv, width, {}).withColumnRenamed("out", "x")
-    ready = spread.join(nodes.select("id", "y", "split"), "id").where("y is not null").select("x", F.col("y").cast("int").alias("y"), "split").persist()
+    ready = written(spread.join(nodes.select("id", "y", "split"), "id").where("y is not null").select("x", F.col("y").cast("int").alias("y"), "split"))
     n = classes * (width + 1)
 
     def step(w: np.ndarray, split: str) -> tuple[np.ndarray, float, float]:
@@ -217,8 +230,7 @@ def fit(nodes: DataFrame, edges: DataFrame, classes: int, hops: int = 2, conv: s
             yield pd.DataFrame({"v": [[*g.ravel().tolist(), loss, float(hits), float(count)]]})
 
         parts = ready.where(F.col("split") == split).select("x", "y").mapInPandas(sums, "v array<double>")
-        v = parts.agg(V.aggregated(F.sum, "v", n + 3).alias("v")).first()["v"]
-        v = [x or 0.0 for x in v]
+        v = summed(parts, n + 3)
         count = max(v[-1], 1.0)
         return np.array(v[:n]).reshape(classes, width + 1) / count, v[-3] / count, v[-2] / count
 
@@ -242,5 +254,160 @@ def fit(nodes: DataFrame, edges: DataFrame, classes: int, hops: int = 2, conv: s
         history.append(record)
         if bad >= patience:
             break
-    ready.unpersist()
     return Fitted(best_w[:, :-1], best_w[:, -1], history, best_epoch)
+
+
+#: Derivatives of the activations, from the input of each.
+SLOPES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "identity": np.ones_like,
+    "relu": lambda z: (z > 0).astype(float),
+    "prelu": lambda z: np.where(z > 0, 1.0, 0.25),
+    "elu": lambda z: np.where(z > 0, 1.0, np.exp(np.minimum(z, 0))),
+    "tanh": lambda z: 1 - np.tanh(z) ** 2,
+    "sigmoid": lambda z: 1 / (1 + np.exp(-z)) * (1 - 1 / (1 + np.exp(-z))),
+    "silu": lambda z: (1 + z * (1 - 1 / (1 + np.exp(-z)))) / (1 + np.exp(-z)),
+    "gelu": lambda z: 0.5 * (1 + np.vectorize(math.erf, [float])(z / V.SQRT2)) + z * np.exp(-z * z / 2) / math.sqrt(2 * math.pi),
+}
+#: Weights of the convolutions that are matrix products.
+NORMS = {"sum": "none", "mean": "right", "gcn": "both", "random_walk": "left"}
+
+
+def convolve_backward(edges: DataFrame, h: DataFrame, grad: DataFrame, layer: Layer) -> DataFrame:
+    """(id, g): gradient of the input (id, x) of a block's convolution from that of its result."""
+    width = len(layer.weight)
+    if layer.conv in NORMS or layer.conv == "spmm":
+        extra = layer.extra if layer.conv == "spmm" else {"norm": NORMS[layer.conv]}
+        return adjoint.spmm_backward(edges, h, grad, width=width, **extra).select("id", F.col("gx").alias("g"))
+    if layer.conv == "gatv2":
+        out, _ = adjoint.gatv2_backward(edges, h.select("id", F.col("x").alias("left"), F.col("x").alias("right")), grad, layer.extra["attn"], layer.extra.get("slope", 0.2))
+        return out.select("id", V.add(F.col("gleft"), F.col("gright")).alias("g"))
+    if layer.conv == "graph_transformer":
+        heads = layer.extra.get("heads", 1)
+        out = adjoint.gt_backward(edges, h.select("id", *[F.col("x").alias(c) for c in "qkv"]), grad, heads, width // heads, layer.extra.get("scale"))
+        return out.select("id", V.add(V.add(F.col("gq"), F.col("gk")), F.col("gv")).alias("g"))
+    raise ValueError(f"unknown convolution {layer.conv}")
+
+
+def norm_backward(rows: DataFrame, kind: str) -> DataFrame:
+    """(id, g) from rows (id, x, g) with the input of a normalisation by row."""
+    if kind == "none":
+        return rows.select("id", "g")
+    if kind not in ("layer", "rms"):
+        raise ValueError(f"no gradient through {kind} normalisation")
+
+    def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, g = np.stack(b["x"].to_numpy()), np.stack(b["g"].to_numpy())
+                centred = x - x.mean(1, keepdims=True) if kind == "layer" else x
+                inverse = 1 / np.sqrt((centred * centred).mean(1, keepdims=True) + (1e-5 if kind == "layer" else 1e-8))
+                y = centred * inverse
+                out = inverse * (g - (g.mean(1, keepdims=True) if kind == "layer" else 0) - y * (g * y).mean(1, keepdims=True))
+                yield pd.DataFrame({"id": b["id"], "g": list(out)})
+
+    return rows.select("id", "x", "g").mapInPandas(back, "id long, g array<double>")
+
+
+def dense_backward(rows: DataFrame, weight: np.ndarray, bias: np.ndarray, act: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(id, g) of the input of act(x W^T + b) from rows (id, x, g), and the gradients of W and b.
+
+    The gradient of the weights is a sum over nodes of outer products: one vector a partition, added up by one aggregate.
+    """
+    n, m = weight.shape
+    slope = SLOPES[act]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n, m + 1))
+        for b in batches:
+            if len(b):
+                x, g = np.stack(b["x"].to_numpy()), np.stack(b["g"].to_numpy())
+                total += (g * slope(x @ weight.T + bias)).T @ np.column_stack([x, np.ones(len(x))])
+        yield pd.DataFrame({"v": [total.ravel().tolist()]})
+
+    def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, g = np.stack(b["x"].to_numpy()), np.stack(b["g"].to_numpy())
+                yield pd.DataFrame({"id": b["id"], "g": list((g * slope(x @ weight.T + bias)) @ weight)})
+
+    rows = rows.select("id", "x", "g")
+    both = np.array(summed(rows.mapInPandas(sums, "v array<double>"), n * (m + 1))).reshape(n, m + 1)
+    return rows.mapInPandas(back, "id long, g array<double>"), both[:, :-1], both[:, -1]
+
+
+def gradients(nodes: DataFrame, edges: DataFrame, layers: list[Layer], head: tuple[Matrix, list[float]], split: str = "train") -> tuple[float, list[tuple[np.ndarray, np.ndarray]]]:
+    """Mean cross-entropy of a split's labelled rows, and its gradients by (weight, bias) of each block and of the head.
+
+    Forward, every block's input, hidden values and convolution are written once; backward, one adjoint convolution and one pass of
+    dense work a block.  Nothing but weights and their gradients reaches the driver.
+    """
+    edges = written(edges)
+    state, x = [], written(nodes.select("id", "x"))
+    for layer in layers:
+        h = written(activation(linear(x, layer.weight, layer.bias), layer.act))
+        c = written(convolve(edges, h, layer.conv, len(layer.weight), layer.extra).withColumnRenamed("out", "x"))
+        out = normalize(c, layer.norm)
+        if layer.residual:
+            out = out.join(h.select("id", F.col("x").alias("_h")), "id").select("id", V.add(F.col("x"), F.col("_h")).alias("x"))
+        state.append((layer, x, h, c))
+        x = written(out)
+    scored = classify(x.join(nodes.select("id", "y", "split"), "id"), *head)
+    rows = written(scored.where(F.col("split") == split).where(F.col("y").isNotNull()).select("id", "x", F.col("y").cast("int").alias("y"), "logits"))
+    loss, n = rows.agg(F.avg(xent()), F.count("*")).first()
+    off = F.transform(V.softmax(F.col("logits")), lambda p, i: (p - (i == F.col("y")).cast("double")) / F.lit(float(max(n, 1))))
+    g, *of_head = dense_backward(rows.withColumn("g", off), np.array(head[0], float), np.array(head[1], float), "identity")
+    found = [tuple(of_head)]
+    grad = written(x.select("id").join(g, "id", "left").select("id", F.coalesce("g", V.zeros(len(head[0][0]))).alias("g")))
+    for layer, before, h, c in reversed(state):
+        back = written(norm_backward(c.join(grad, "id"), layer.norm))
+        inner = convolve_backward(edges, h, back, layer)
+        if layer.residual:
+            inner = inner.join(grad.select("id", F.col("g").alias("_g")), "id").select("id", V.add(F.col("g"), F.col("_g")).alias("g"))
+        g, *of_layer = dense_backward(written(before.join(inner, "id")), np.array(layer.weight, float), np.array(layer.bias, float), layer.act)
+        found.append(tuple(of_layer))
+        grad = written(g)
+    return float(loss or 0.0), found[::-1]
+
+
+@dataclass
+class Trained:
+    layers: list[Layer]
+    head: tuple[Matrix, list[float]]
+    history: list[dict]
+    best_epoch: int
+
+
+def train(nodes: DataFrame, edges: DataFrame, layers: list[Layer], head: tuple[Matrix, list[float]], epochs: int = 20, lr: float = 0.05, weight_decay: float = 0.0, check_every: int = 1, patience: int = 3, optimizer: str = "adamw") -> Trained:
+    """Full-batch training of all weights of a stack of blocks and its head, from the weights given.
+
+    Every ``check_every`` epochs the validation accuracy is taken; the weights of the best one are returned, and ``patience`` checks
+    without a better one end the training.
+    """
+    weights = [np.array(a, float) for x in layers for a in (x.weight, x.bias)] + [np.array(a, float) for a in head]
+    first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+
+    def model(ws: list[np.ndarray]) -> tuple[list[Layer], tuple[Matrix, list[float]]]:
+        pairs = [(ws[i].tolist(), ws[i + 1].tolist()) for i in range(0, len(ws), 2)]
+        return [replace(x, weight=w, bias=b) for x, (w, b) in zip(layers, pairs[:-1], strict=True)], pairs[-1]
+
+    best, best_weights, best_epoch, bad, history = -1.0, weights, 0, 0, []
+    for epoch in range(1, epochs + 1):
+        loss, found = gradients(nodes, edges, *model(weights))
+        for i, g in enumerate(x for pair in found for x in pair):
+            decay = weight_decay if weights[i].ndim > 1 else 0.0  # biases don't decay
+            if optimizer == "sgd":
+                weights[i] = weights[i] - lr * (g + decay * weights[i])
+            else:
+                first[i], second[i] = 0.9 * first[i] + 0.1 * g, 0.999 * second[i] + 0.001 * g * g
+                weights[i] = weights[i] - lr * (first[i] / (1 - 0.9**epoch) / (np.sqrt(second[i] / (1 - 0.999**epoch)) + 1e-8) + decay * weights[i])
+        record = {"epoch": epoch, "loss": loss, "val_accuracy": None}
+        if epoch % check_every == 0:
+            record["val_accuracy"] = evaluate(nodes, edges, *model(weights), "val").first()["accuracy"]
+            if record["val_accuracy"] > best:
+                best, best_weights, best_epoch, bad = record["val_accuracy"], list(weights), epoch, 0
+            else:
+                bad += 1
+        history.append(record)
+        if bad >= patience:
+            break
+    return Trained(*model(best_weights if best_epoch else weights), history, best_epoch)

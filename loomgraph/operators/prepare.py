@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.positions import global_positions
-from ..functions.vectors import normal_quantile
+from ..functions.positions import column_quantiles, global_positions
+from ..functions.vectors import constant, normal_quantile, rank
 from .graph import induced_subgraph
 
 IMPUTE = ("mean", "median", "most_frequent")
@@ -23,8 +23,18 @@ def nan_to_null(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def fit_impute(rows: DataFrame, columns: list[str], how: str) -> dict[str, float]:
     """Value for missing entries by column: mean, median or most frequent (the smallest of equals)."""
-    agg = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "most_frequent": lambda c: F.mode(c, True)}[how]
-    return rows.agg(*[agg(F.col(c)).alias(c) for c in columns]).first().asDict() if columns else {}
+    if how not in IMPUTE:
+        raise KeyError(how)
+    if not columns:
+        return {}
+    if how == "median":
+        return {c: q[1] if q else None for c, q in column_quantiles(rows, columns, 2).items()}
+    if how == "mean":
+        return rows.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.c", "x.v")
+    counted = long.where("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
+    found = {r["c"]: r["v"] for r in counted.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), "v")).alias("v")).collect()}
+    return {c: found.get(c) for c in columns}
 
 
 def impute(rows: DataFrame, values: dict[str, float]) -> DataFrame:
@@ -45,34 +55,40 @@ def scale(rows: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFrame:
 def fit_quantiles(rows: DataFrame, columns: list[str], landmarks: int = 1000) -> dict[str, list[float]]:
     """Up to ``landmarks`` evenly spaced quantiles (no more than rows), linearly interpolated, by column."""
     n = min(landmarks, max(2, rows.count()))
-    at = F.array(*[F.lit(i / (n - 1)) for i in range(n)])
-    got = rows.agg(*[F.percentile(c, at).alias(c) for c in columns]).first()
-    return {c: list(got[c] or [0.0] * n) for c in columns}
+    return {c: q or [0.0] * n for c, q in column_quantiles(rows, columns, n - 1).items()}
 
 
-def quantile_value(x: Column, quantiles: list[float], output: str = "uniform") -> Column:
-    """Place of x among evenly spaced quantiles, in [0, 1]; x on repeated quantiles takes the middle of their places.
-
-    At or below the first it is 0, at or above the last 1.  Normal output is clipped at about +-5.2.
-    """
+def quantile_place(x: Column, below: Column, upto: Column, quantiles: list[float], near: float) -> Column:
+    """Place of x among evenly spaced quantiles, in [0, 1], from the number of those less than x and at most x."""
     step = 1.0 / (len(quantiles) - 1)
-    q = F.array(*map(F.lit, map(float, quantiles)))
-    below = F.aggregate(q, F.lit(0), lambda s, v: s + (v < x).cast("int"))
-    upto = F.aggregate(q, F.lit(0), lambda s, v: s + (v <= x).cast("int"))
+    q = constant(quantiles)
     left, right = F.get(q, below - 1), F.get(q, below)
     inside = F.when(upto > below, (below + upto - 1) / 2 * step).otherwise((below - 1 + F.try_divide(x - left, right - left)) * step)
-    near = 0.0 if output == "uniform" else 1e-7
     u = F.when(x - near <= quantiles[0], 0.0).when(x + near >= quantiles[-1], 1.0).otherwise(inside)
-    u = F.when(x.isNotNull(), u)
-    return u if output == "uniform" else normal_quantile(F.greatest(F.lit(1e-7), F.least(u, F.lit(1 - 1e-7))))
+    return F.when(x.isNotNull(), u)
 
 
 def quantile_transform(rows: DataFrame, fitted: dict[str, list[float]], output: str = "uniform") -> DataFrame:
-    return rows.withColumns({c: quantile_value(F.col(c), q, output) for c, q in fitted.items()})
+    """Columns as places among their evenly spaced quantiles; a value on repeated quantiles takes the middle of their places.
 
-
-def fit_one_hot(rows: DataFrame, columns: list[str]) -> dict[str, list]:
-    """Sorted categories by column; the first goes if there are just two."""
+    At or below the first a value is 0, at or above the last 1.  Normal output is clipped at about +-5.2.  Null stays null.
+    """
+    fitted = {c: [float(v) for v in q] for c, q in fitted.items()}
+    # step by step, so that no step's expression is repeated within the next
+    ranked = rows.withColumns({f"_{kind}_{c}": rank(q, F.col(c), kind == "upto") for c, q in fitted.items() for kind in ("below", "upto")})
+    near = 0.0 if output == "uniform" else 1e-7
+    placed = ranked.withColumns({c: quantile_place(F.col(c), F.col(f"_below_{c}"), F.col(f"_upto_{c}"), q, near) for c, q in fitted.items()}).select(*rows.columns)
+    if output == "uniform":
+        return placed
+    clipped = placed.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(1e-7), F.least(c, F.lit(1 - 1e-7)))) for c in fitted})
+    return clipped.withColumns({c: normal_quantile(F.col(c)) for c in fitted})
+
+
+def fit_one_hot(rows: DataFrame, columns: list[str], most: int = 10_000) -> dict[str, list]:
+    """Sorted categories by column; the first goes if there are just two.  More than ``most`` categories raise ValueError: they make no useful slots."""
+    counts = rows.agg(*[F.count_distinct(c).alias(c) for c in columns]).first() if columns else {}
+    if over := [c for c in columns if counts[c] > most]:
+        raise ValueError(f"more than {most} categories in {', '.join(over)}")
     got = rows.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns]).first() if columns else {}
     return {c: (list(got[c])[1:] if len(got[c]) == 2 else list(got[c])) for c in columns}
 
@@ -85,7 +101,7 @@ def one_hot(value: Column, categories: list) -> Column:
 def fit_bins(train: DataFrame, y: str, strategy: str, k: int) -> list[float]:
     """Edges of k quantile or uniform bins of the training targets, without repeats, ends widened by 1e-6."""
     if strategy == "quantile":
-        edges = train.agg(F.percentile(y, F.array(*[F.lit(i / k) for i in range(k + 1)]))).first()[0]
+        edges = column_quantiles(train, [y], k)[y]
     elif strategy == "uniform":
         low, high = train.agg(F.min(y), F.max(y)).first()
         edges = [low + (high - low) * i / k for i in range(k + 1)]
@@ -136,12 +152,35 @@ def snapshots(nodes: DataFrame, edges: DataFrame, y: str = "y") -> dict[str, tup
     return out
 
 
-def check_dataset(nodes: DataFrame, kinds: list[str]) -> DataFrame:
-    """One row: nodes, repeated ids, features of another length, missing features, and whether each of these is 0."""
+def check_dataset(nodes: DataFrame, kinds: list[str], y: str | None = None, masks: list[str] = (), mask: str | None = None) -> DataFrame:
+    """One row: nodes, repeated ids, features of another length, missing features, rows in more than one of ``masks``, rows of the
+    boolean ``mask`` (those to train or score on) without ``y``, and whether each of these is 0."""
+    none = F.lit(0).cast("long")
+    wrong = lambda c: F.coalesce(F.sum(c.cast("long")), none)
     bad = nodes.agg(
         F.count("*").alias("n_nodes"),
         (F.count("*") - F.count_distinct("id")).alias("n_repeated"),
-        F.coalesce(F.sum((F.size("x") != len(kinds)).cast("long")), F.lit(0)).alias("n_length"),
-        F.coalesce(F.sum(F.exists("x", lambda v: v.isNull() | F.isnan(v)).cast("long")), F.lit(0)).alias("n_missing"),
+        wrong(F.size("x") != len(kinds)).alias("n_length"),
+        wrong(F.exists("x", lambda v: v.isNull() | F.isnan(v))).alias("n_missing"),
+        (wrong(sum((F.coalesce(F.col(m).cast("int"), F.lit(0)) for m in masks), F.lit(0)) > 1) if masks else none).alias("n_overlapping"),
+        (wrong(F.coalesce(F.col(mask), F.lit(False)) & (F.col(y).isNull() | F.isnan(F.col(y).cast("double")))) if y and mask else none).alias("n_unlabelled"),
     )
-    return bad.withColumn("ok", (F.col("n_repeated") + F.col("n_length") + F.col("n_missing")) == 0)
+    return bad.withColumn("ok", (F.col("n_repeated") + F.col("n_length") + F.col("n_missing") + F.col("n_overlapping") + F.col("n_unlabelled")) == 0)
+
+
+def check_snapshots(found: dict[str, tuple[DataFrame, DataFrame, DataFrame]], nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row a snapshot: its nodes and edges, ends of edges that are no node of it, nodes of its own split, and whether they are as they should be.
+
+    There are three snapshots; each holds the nodes of its own and all earlier splits, and the test one every node and edge.
+    """
+    splits = nodes.agg(*[F.coalesce(F.sum((F.col("split") == s).cast("long")), F.lit(0)).alias(s) for s in ("train", "val")], F.count("*").alias("all")).first()
+    want = {"train": splits["train"], "val": splits["train"] + splits["val"], "test": splits["all"]}
+    n_edges, out = edges.count(), None
+    for name, (n, e, ids) in found.items():
+        ends = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).join(n.select("id"), "id", "left_anti").agg(F.count("*").alias("n_loose"))
+        labelled = n.agg(F.count("*").alias("n_nodes"), F.coalesce(F.sum(F.col("label_mask").cast("long")), F.lit(0)).alias("n_labelled"))
+        row = labelled.join(F.broadcast(e.agg(F.count("*").alias("n_edges")))).join(F.broadcast(ends)).join(F.broadcast(ids.agg(F.count_distinct("node_id").alias("n_ids"))))  # one row each
+        ok = (F.col("n_nodes") == want[name]) & (F.col("n_ids") == want[name]) & (F.col("n_loose") == 0) & (F.lit(name != "test") | (F.col("n_edges") == n_edges)) & F.lit(set(found) == set(want))
+        row = row.select(F.lit(name).alias("snapshot"), "n_nodes", "n_edges", "n_loose", "n_labelled", ok.alias("ok"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.positions import quantiles
+
 SETUP = ["conv_type", "dataset", "feature_dim", "heads", "graph_reordering_partition_size"]
 MEASURES = ["forward_ms", "backward_ms", "total_ms", "forward_memory_mb", "backward_memory_mb"]
 
@@ -102,8 +104,8 @@ def melt_diff(diff: DataFrame, keys: list[str], level: str, reference) -> DataFr
 
 def box_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles, whiskers (last values within 1.5 quartile ranges) and number of outliers of each group."""
-    q = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    at = lambda i: F.max(F.when(F.col("i") == i, F.col("q")))
+    q = quantiles(rows, by, value, 4).groupBy(*by).agg(at(1).alias("q1"), at(2).alias("median"), at(3).alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return rows.join(q, by).groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.sum((~inside).cast("long")).alias("outliers"))

@@ -143,13 +143,21 @@ def directedness(s, d):
     return graph.undirectedness(bipartite(s, d)).select(F.lit("bipartite").alias("graph"), "directed").unionByName(graph.undirectedness(bought_together(s, d)).select(F.lit("bought_together").alias("graph"), "directed"))
 
 
-@query(f"WITH {VECTOR_EDGES}, {VECTORS}, e AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src, w) - 1 AS k, row_number() OVER (ORDER BY dst, src, w) - 1 AS g FROM edges) SELECT dst AS id, k AS pos, src AS neighbor, w, (g - k)::BIGINT AS row_start FROM e")
+@query(f"WITH {VECTOR_EDGES}, {VECTORS}, e AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src, w) - 1 AS k FROM edges), c AS (SELECT dst, n, sum(n) OVER (ORDER BY dst) - n AS row_start FROM (SELECT dst, count(*) AS n FROM edges GROUP BY 1)) SELECT dst AS id, k AS pos, src AS neighbor, w, row_start::BIGINT AS row_start FROM e JOIN c USING (dst)")
 def csr(s, d):
     a = graph.to_csr(vector_edges(s, d), vectors(s, d))
     z = a.select("id", "row_start", F.posexplode(F.arrays_zip("neighbors", "weights")).alias("pos", "e"))
     return z.select("id", F.col("pos").cast("long").alias("pos"), F.col("e.neighbors").alias("neighbor"), F.col("e.weights").alias("w"), "row_start")
 
 
+@query(f"WITH {VECTOR_EDGES}, e AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src, w) - 1 AS k FROM edges) SELECT dst AS id, k // 7 AS part, count(*)::BIGINT AS n, min(src) AS first, max(src) AS last, sum(w * (k % 7 + 1))::BIGINT AS check FROM e GROUP BY 1, 2")
+def csr_parts(s, d):
+    """Rows of at most seven neighbours."""
+    a = graph.to_csr_parts(vector_edges(s, d), 7)
+    check = F.aggregate(F.transform("weights", lambda w, i: w * (i + 1)), F.lit(0.0).cast("double"), lambda t, w: t + w)
+    return a.select("id", "part", F.size("neighbors").cast("long").alias("n"), F.array_min("neighbors").alias("first"), F.array_max("neighbors").alias("last"), check.cast("long").alias("check"))
+
+
 @query(f"WITH {VECTOR_EDGES} SELECT src, dst, count(*)::BIGINT AS n, {rsql('sum(w)')} AS w FROM edges GROUP BY 1, 2")
 def csc_round_trip(s, d):
     back = graph.transpose(graph.from_csr(graph.to_csc(vector_edges(s, d), vectors(s, d))))
@@ -266,9 +274,19 @@ def reordered_by_degree(s, d):
     return e.groupBy("src", "dst").agg(F.count("*").alias("n"), rounded(F.sum("w")).alias("w"))
 
 
-@query(f"WITH {VECTOR_EDGES}, {VECTORS}, v AS (SELECT dst AS id, src AS label, count(*) AS n FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) GROUP BY 1, 2), b AS (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS k FROM v) SELECT id, coalesce(label, id)::BIGINT AS label FROM nodes LEFT JOIN (SELECT id, label FROM b WHERE k = 1) USING (id)")
+def rounds_sql(n: int) -> str:
+    """Label propagation as one common table expression a round."""
+    steps = ["l0 AS (SELECT id, id AS label FROM nodes)", "both_ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)"]
+    for k in range(1, n + 1):
+        votes = f"SELECT dst AS id, label, count(*) AS n FROM both_ways JOIN l{k - 1} l ON l.id = src GROUP BY 1, 2"
+        best = f"SELECT id, label AS new, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS k FROM ({votes})"
+        steps.append(f"l{k} AS (SELECT id, coalesce(new, label)::BIGINT AS label FROM l{k - 1} LEFT JOIN (SELECT id, new FROM ({best}) WHERE k = 1) USING (id))")
+    return ", ".join(steps)
+
+
+@query(f"WITH {VECTOR_EDGES}, {VECTORS}, {rounds_sql(3)} SELECT id, label FROM l3")
 def label_propagation(s, d):
-    return graph.label_propagation(vector_edges(s, d), vectors(s, d), 1)
+    return graph.label_propagation(vector_edges(s, d), vectors(s, d), 3)
 
 
 # ---- aggregation --------------------------------------------------------------------------------------------------

@@ -8,9 +8,13 @@ import uuid
 from pyspark.sql import functions as F
 
 
+from .functions import vectors as V
+from .functions.positions import global_positions
+from .functions.scratch import shared_dir
+from .operators.graph import relabelled
 from .operators import metrics, nn, prepare, report
 from .plans import flows
-from .queries import BOUGHT, PARTS, SIZE, VECTOR_EDGES, VECTORS, bought_together, long, parts, query, rounded, rsql, table, vector_edges, vectors
+from .queries import BOUGHT, PARTS, SIZE, SQL, VECTOR_EDGES, VECTORS, bought_together, long, parts, query, rounded, rsql, table, vector_edges, vectors
 from .sources import io
 
 # ---- dense layers: weights from a formula ------------------------------------------------------------------------------
@@ -102,6 +106,45 @@ def score_classifier(s, d):
     return flows.score_classifier(parts(s, d), bought_together(s, d), LAYERS, HEAD).withColumn("accuracy", rounded(F.col("accuracy")))
 
 
+SPREAD = f"WITH {VECTOR_EDGES}, {VECTORS}, long AS (SELECT id, unnest(range(64)) AS slot, unnest(x) AS v FROM nodes), m AS (SELECT e.dst AS id, slot, avg(v) AS v FROM edges e JOIN long l ON l.id = e.src GROUP BY 1, 2), feats AS (SELECT l.id, l.slot, coalesce(m.v, 0) AS v FROM long l LEFT JOIN m USING (id, slot) UNION ALL SELECT id, 64, 1 FROM nodes), t AS (SELECT id, y FROM nodes WHERE id % 5 < 3), g AS (SELECT c.range AS class, slot, -0.2 * avg(v * (0.1 - (y = c.range)::INT)) AS value FROM feats JOIN t USING (id), range(10) c GROUP BY 1, 2)"
+
+
+@query(f"{SPREAD} SELECT class, slot, {rsql('value')} AS value FROM g")
+def fitted_step(s, d):
+    """Weights and bias (slot 64) of a softmax regression after one step from zero, on features spread over one hop."""
+    n = vectors(s, d).withColumn("split", F.when(F.col("id") % 5 < 3, "train").when(F.col("id") % 5 == 3, "val").otherwise("test"))
+    got = nn.fit(n, vector_edges(s, d), 10, hops=1, conv="mean", epochs=1, lr=0.2, check_every=1, optimizer="sgd")
+    rows = [(c, k, float(v)) for c in range(10) for k, v in enumerate([*got.weight[c], got.bias[c]])]
+    return s.createDataFrame(rows, "class long, slot long, value double").withColumn("value", rounded(F.col("value")))
+
+
+def values_sql(name: str, matrix: list[list[float]]) -> str:
+    return f"{name}(o, i, w) AS (VALUES " + ", ".join(f"({o}, {i}, {v!r}::DOUBLE)" for o, row in enumerate(matrix) for i, v in enumerate(row)) + ")"
+
+
+STEP_BACK = ", ".join([
+    values_sql("wh", HEAD[0]), values_sql("w2", LAYERS[1].weight), values_sql("w1", LAYERS[0].weight),
+    "tr AS (SELECT id, y, logits FROM p WHERE split = 'train')",
+    "gl AS (SELECT id, k.range AS o, (exp(logits[k.range + 1]) / list_sum(list_transform(logits, lambda v: exp(v))) - (y = k.range)::INT) / (SELECT count(*) FROM tr) AS g FROM tr, range(3) k)",
+    "gx2 AS (SELECT id, i AS slot, sum(g * w) AS g FROM gl JOIN wh USING (o) GROUP BY 1, 2)",
+    "gh2 AS (SELECT e.src AS id, slot, sum(g / i.n) AS g FROM edges e JOIN gx2 ON gx2.id = e.dst JOIN din i ON i.id = e.dst GROUP BY 1, 2)",
+    "gz2 AS (SELECT id, slot AS o, g * (1 - l2.v * l2.v) AS g FROM gh2 JOIN l2 USING (id, slot))",
+    "gx1 AS (SELECT id, i AS slot, sum(g * w) AS g FROM gz2 JOIN w2 USING (o) GROUP BY 1, 2)",
+    "gh1 AS (SELECT id, slot, sum(g) AS g FROM (SELECT * FROM gx1 UNION ALL SELECT e.src AS id, slot, g / sqrt(o.n * i.n) FROM edges e JOIN gx1 ON gx1.id = e.dst JOIN dout o ON o.id = e.src JOIN din i ON i.id = e.dst) GROUP BY 1, 2)",
+    "gz1 AS (SELECT id, slot AS o, CASE WHEN l1.v > 0 THEN g ELSE 0 END AS g FROM gh1 JOIN l1 USING (id, slot))",
+    "xs AS (SELECT id, unnest(range(4)) AS slot, unnest(x) AS v FROM nodes), x1s AS (SELECT id, slot, v FROM b1), x2s AS (SELECT id, slot, v FROM b2)",
+])
+STEP_ROWS = " UNION ALL ".join(f"SELECT {k} AS layer, o, x.slot AS i, {rsql('sum(g * x.v)')} AS value FROM {g} JOIN {x} x USING (id) GROUP BY 2, 3 UNION ALL SELECT {k}, o, -1, {rsql('sum(g)')} FROM {g} GROUP BY 2" for k, g, x in ((0, "gz1", "xs"), (1, "gz2", "x1s"), (2, "gl", "x2s")))
+
+
+@query(f"{MODEL}, {BLOCK2}, {LOGITS}, {STEP_BACK} {STEP_ROWS}")
+def layer_gradients(s, d):
+    """Gradients of all weights and biases (i = -1) of the two-block classifier and its head."""
+    _, found = nn.gradients(parts(s, d), bought_together(s, d), LAYERS, HEAD)
+    rows = [(k, o, i, float(v)) for k, (w, b) in enumerate(found) for o in range(len(b)) for i, v in [*enumerate(w[o]), (-1, b[o])]]
+    return s.createDataFrame(rows, "layer int, o int, i long, value double").withColumn("value", rounded(F.col("value")))
+
+
 @query()
 def fit_classifier(s, d):
     n = vectors(s, d).withColumn("split", F.when(F.col("id") % 5 < 3, "train").when(F.col("id") % 5 == 3, "val").otherwise("test"))
@@ -162,10 +205,21 @@ quantiled("bal")
 quantiled("nat")  # many ties
 
 
-@query()
+def poly(x: str, values: tuple[float, ...]) -> str:
+    out = repr(values[0])
+    for v in values[1:]:
+        out = f"({out} * {x} + {v!r})"
+    return out
+
+
+NORMAL = f"SELECT *, p - 0.5 AS h, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM (SELECT id, CASE WHEN u IS NULL THEN NULL ELSE greatest(1e-7, least(u, 1 - 1e-7)) END AS p FROM ({QUANTILE.split('SELECT id, {r} AS value FROM ')[1]}))"
+NORMAL_VALUE = f"CASE WHEN p BETWEEN 0.02425 AND 0.97575 THEN {poly('(h * h)', V._A)} * h / {poly('(h * h)', V._B)} WHEN p < 0.5 THEN {poly('t', V._C)} / {poly('t', V._D)} ELSE -{poly('t', V._C)} / {poly('t', V._D)} END"
+
+
+@query(QUANTILE.split("SELECT id, {r} AS value FROM ")[0].format(c="bal") + f" SELECT id, {rsql(NORMAL_VALUE, 5)} AS value FROM ({NORMAL.format(c='bal', r='')})")
 def quantile_normal(s, d):
     r = raw(s, d)
-    return prepare.quantile_transform(r, prepare.fit_quantiles(r, ["bal", "nat"]), "normal").select("id", "bal", "nat")
+    return prepare.quantile_transform(r, prepare.fit_quantiles(r, ["bal"], 21), "normal").select("id", rounded(F.col("bal"), 5).alias("value"))
 
 
 @query(f"WITH {RAW}, c AS (SELECT DISTINCT seg FROM raw), k AS (SELECT seg AS cat, row_number() OVER (ORDER BY seg) - 1 AS slot FROM c) SELECT id, slot, (seg = cat)::INT::DOUBLE AS value FROM raw, k UNION ALL SELECT id, (SELECT count(*) FROM k) AS slot, two::DOUBLE FROM raw")
@@ -221,10 +275,31 @@ def prepared_dataset(s, d):
     return long(p.nodes.withColumnRenamed("x", "out"))
 
 
-@query(f"WITH {RAW} SELECT count(*)::BIGINT AS n_nodes, 0::BIGINT AS n_repeated, 0::BIGINT AS n_length, 0::BIGINT AS n_missing, true AS ok FROM raw")
+@query(f"WITH {RAW} SELECT count(*)::BIGINT AS n_nodes, 0::BIGINT AS n_repeated, 0::BIGINT AS n_length, 0::BIGINT AS n_missing, 0::BIGINT AS n_overlapping, 0::BIGINT AS n_unlabelled, true AS ok FROM raw")
 def dataset_check(s, d):
     p = flows.prepare_dataset(bundle(s, d), "quantile_normal", "median", bins=("quantile", 5))
-    return prepare.check_dataset(p.nodes, p.kinds)
+    nodes = p.nodes.withColumns({k: F.col("split") == k for k in ("train", "val", "test")})
+    return prepare.check_dataset(nodes, p.kinds, "y", ["train", "val", "test"], "label_mask")
+
+
+@query(f"WITH {RAW} SELECT count(*)::BIGINT AS n_nodes, 0::BIGINT AS n_repeated, sum((id % 3 = 0)::INT)::BIGINT AS n_length, sum((id % 4 = 0)::INT)::BIGINT AS n_missing, sum((id % 6 = 0)::INT)::BIGINT AS n_overlapping, sum((id % 2 = 0 AND y IS NULL)::INT)::BIGINT AS n_unlabelled, false AS ok FROM raw")
+def broken_dataset_check(s, d):
+    """Rows whose features, masks and labels are broken by their ids."""
+    k = F.col("id")
+    x = F.when(k % 3 == 0, F.array(F.when(k % 4 != 0, 1.0))).otherwise(F.array(F.when(k % 4 != 0, 1.0), F.lit(2.0)))
+    rows = raw(s, d).select("id", "y", x.alias("x"), (k % 2 == 0).alias("a"), (k % 3 == 0).alias("b"))
+    return prepare.check_dataset(rows, ["num", "num"], "y", ["a", "b"], "a")
+
+
+@query(SNAP + " " + " UNION ALL ".join(f"SELECT snapshot, n_nodes, n_edges, 0::BIGINT AS n_loose, n_labelled, true AS ok FROM ({SNAP_ONE.format(n=n, k=k)})" for n, k in (("train", "split IN ('train')"), ("val", "split IN ('train', 'val')"), ("test", "split IS NOT NULL"))))
+def snapshot_check(s, d):
+    return prepare.check_snapshots(prepare.snapshots(raw(s, d), raw_edges(s, d)), raw(s, d), raw_edges(s, d))
+
+
+@query(f"WITH {RAW} SELECT id, CASE WHEN id % 3 = 0 AND bal > 0 THEN 'train' WHEN id % 3 = 1 THEN 'val' END AS split FROM raw")
+def index_split(s, d):
+    r = raw(s, d)
+    return prepare.index_split(r.select("id"), {"train": r.where("id % 3 = 0 and bal > 0"), "val": r.where("id % 3 = 1")})
 
 
 @query(f"WITH {RAW} SELECT split, count(*)::BIGINT AS n, {rsql('avg(y)')} AS mean_y FROM raw WHERE split <> 'test' AND y IS NOT NULL GROUP BY 1")
@@ -423,8 +498,8 @@ def running_best(s, d):
 
 
 def shared(s) -> str:
-    """A new folder below the checkpoint folder that all executors share; below /tmp where none is set, as in tests."""
-    return f"{s.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/loomgraph'}/{uuid.uuid4().hex}"
+    """A new folder below the checkpoint folder that all executors share."""
+    return f"{shared_dir(s)}/{uuid.uuid4().hex}"
 
 
 @query(f"WITH {RAW} SELECT id, y, split, seg AS category, {rsql('bal')} AS bal FROM (SELECT *, (SELECT count(DISTINCT seg) FROM raw r2 WHERE r2.seg < raw.seg)::INT AS c FROM raw) WHERE true")
@@ -461,10 +536,65 @@ def loaded_graph(s, d):
     return n.select("id", "y", "split")
 
 
-@query()
+@query(f"WITH {RUNS} SELECT run_id, backend, backward_ms FROM r")
+def json_report(s, d):
+    path = f"{shared(s)}/report"
+    io.write_report(runs(s, d).select("run_id", "backend", "backward_ms"), path, "json")
+    return s.read.json(path).select(F.col("run_id").cast("long").alias("run_id"), "backend", "backward_ms")
+
+
+def reported(s, d, name):
+    return flows.benchmark_report(runs(s, d), "click", BACKENDS, "backward_ms")[name]
+
+
+@query(SQL["gmean_speedup"])
+def benchmark_report_gmeans(s, d):
+    return reported(s, d, "gmeans").withColumn("gmean", rounded(F.col("gmean"), 5))
+
+
+@query(SQL["raw_table"])
+def benchmark_report_raw(s, d):
+    return reported(s, d, "raw")
+
+
+@query(SQL["graph_summary"])
+def benchmark_report_graphs(s, d):
+    return reported(s, d, "graphs").withColumn("density", rounded(F.col("density"), 9)).withColumn("average_degree", rounded(F.col("average_degree")))
+
+
+def generated(s, d, kind):
+    """Edges of a generated graph whose nodes are the parts: its numbers stand for the parts' places by key."""
+    p = global_positions(table(s, d, "part").select("p_partkey"), ["p_partkey"], "id")
+    edges = io.random_graph(s, p.count(), 6.0, 1, kind)
+    return relabelled(edges, p, "id", "p_partkey"), table(s, d, "part").select(F.col("p_partkey").alias("id"))
+
+
+KEYS = "n AS (SELECT count(*) AS n, min(p_partkey) AS lo, max(p_partkey) AS hi FROM part)"
+
+
+@query(f"WITH {KEYS} SELECT n * 6 AS n_edges, lo >= 0 AS inside FROM n")
+def random_uniform_graph(s, d):
+    """Number of edges; all their ends are parts."""
+    e, nodes = generated(s, d, "uniform")
+    ends = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).join(nodes, "id", "left_anti").agg((F.count("*") == 0).alias("inside"))
+    return e.agg(F.count("*").alias("n_edges")).join(F.broadcast(ends))  # one row each
+
+
+@query("SELECT p_partkey AS id, 1::BIGINT AS loops, true AS both_ways FROM part")
+def random_undirected_graph(s, d):
+    """Each part has one loop, and for each edge the edge back."""
+    e, nodes = generated(s, d, "undirected")
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("there"))
+    rows = e.join(back, ["src", "dst"], "left").groupBy(F.col("src").alias("id")).agg(F.sum((F.col("src") == F.col("dst")).cast("long")).alias("loops"), (F.count("there") == F.count("*")).alias("both_ways"))
+    return nodes.join(rows, "id", "left")
+
+
+@query("SELECT p_partkey AS id, true AS distinct_sources, true AS in_range, 0::BIGINT AS loops FROM part")
 def random_poisson_graph(s, d):
-    """In-degrees of a Poisson graph with as many nodes as there are parts."""
-    n = table(s, d, "part").count()
-    return io.random_graph(s, n, 6.0, 1, "poisson").groupBy("dst").agg(F.count("*").alias("deg"), F.count_distinct("src").alias("sources"))
+    """Every part has between one and all other parts as sources, each once and not itself."""
+    e, nodes = generated(s, d, "poisson")
+    n = nodes.count()
+    rows = e.groupBy(F.col("dst").alias("id")).agg((F.count("*") == F.count_distinct("src")).alias("distinct_sources"), F.count("*").between(1, n - 1).alias("in_range"), F.sum((F.col("src") == F.col("dst")).cast("long")).alias("loops"))
+    return nodes.join(rows, "id", "left")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vectors as V
-from loomgraph.functions.positions import global_positions, running_sum
+from loomgraph.functions.positions import global_positions, quantiles, running_sum
 from loomgraph.operators import metrics, nn, prepare, report
 from loomgraph.plans import flows
 from loomgraph.sources import io
@@ -53,13 +53,72 @@ def test_training_learns(spark):
     assert got.history[-1]["loss"] < got.history[0]["loss"] and max(h["val_accuracy"] or 0 for h in got.history) == 1.0
 
 
+@pytest.mark.parametrize("case", [("gcn", "none", {}), ("mean", "layer", {}), ("gatv2", "rms", {"attn": [[0.5, -0.3, 0.8]]}), ("graph_transformer", "none", {})])
+def test_gradients_through_two_blocks(spark, case):
+    """Against finite differences of the scoring functions."""
+    conv, norm, extra = case
+    r = np.random.default_rng(4)
+    nodes = spark.createDataFrame([(i, r.normal(size=3).tolist(), int(i % 2), "train" if i % 3 else "val") for i in range(12)], "id long, x array<double>, y int, split string")
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in r.integers(0, 12, (30, 2))], "src long, dst long")
+    layers = [nn.Layer(r.normal(size=(3, 3)).tolist(), r.normal(size=3).tolist(), "tanh", conv, norm, True, extra), nn.Layer(r.normal(size=(3, 3)).tolist(), r.normal(size=3).tolist(), "silu", "sum", "none", False)]
+    head = (r.normal(size=(2, 3)).tolist(), r.normal(size=2).tolist())
+    loss, found = nn.gradients(nodes, edges, layers, head)
+    assert abs(loss - nn.evaluate(nodes, edges, layers, head, "train").first()["loss"]) < 1e-9
+
+    def moved(k, at, step):
+        ws = [[np.array(x.weight), np.array(x.bias)] for x in layers] + [[np.array(head[0]), np.array(head[1])]]
+        ws[k][at[0]][at[1]] += step
+        changed = [nn.Layer(w.tolist(), b.tolist(), x.act, x.conv, x.norm, x.residual, x.extra) for x, (w, b) in zip(layers, ws[:-1])]
+        return nn.evaluate(nodes, edges, changed, (ws[-1][0].tolist(), ws[-1][1].tolist()), "train").first()["loss"]
+
+    for k, at in ((0, (0, (1, 2))), (1, (1, 0)), (2, (0, (1, 1)))) if conv == "gcn" else ((0, (0, (1, 2))),):
+        want = (moved(k, at, 1e-4) - moved(k, at, -1e-4)) / 2e-4
+        assert abs(found[k][at[0]][at[1]] - want) < 1e-5 + 1e-3 * abs(want)
+
+
+def test_training_through_layers(spark):
+    r = np.random.default_rng(2)
+    y = r.integers(0, 2, 60)
+    nodes = spark.createDataFrame([(i, [float(c) + float(z), float(z)], int(c), ["train", "train", "val"][i % 3]) for i, (c, z) in enumerate(zip(y, r.normal(size=60)))], "id long, x array<double>, y int, split string")
+    edges = spark.createDataFrame([(int(b), int(a)) for a in range(60) for b in r.choice(np.flatnonzero(y == y[a]), 2)], "src long, dst long")
+    got = nn.train(nodes, edges, [nn.Layer(r.normal(size=(3, 2)).tolist(), [0.0] * 3, "relu", "mean")], (r.normal(size=(2, 3)).tolist(), [0.0, 0.0]), epochs=4, lr=0.3, check_every=2)
+    assert got.history[-1]["loss"] < got.history[0]["loss"] and got.history[0]["val_accuracy"] is None and got.history[1]["val_accuracy"] is not None
+
+
+def test_quantiles(spark):
+    r = np.random.default_rng(3)
+    values = {"a": r.integers(0, 9, 200).astype(float), "b": r.normal(size=101), "c": np.array([5.0]), "d": np.array([2.0, 2.0, 7.0])}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("e", None)], "g string, v double")
+    for parts in (1, 4, 20, 999):
+        found = {}
+        for x in quantiles(rows, ["g"], "v", parts).collect():
+            found.setdefault(x["g"], {})[x["i"]] = x["q"]
+        assert found.keys() == values.keys()
+        for k, vs in values.items():
+            assert np.allclose([found[k][i] for i in range(parts + 1)], np.quantile(vs, np.linspace(0, 1, parts + 1)))
+
+
+def test_dataset_checks(spark):
+    rows = spark.createDataFrame([(1, [1.0], 0.5, True, False, True), (2, [2.0], None, True, True, True), (2, [None], 1.0, False, True, False)], "id long, x array<double>, y double, train boolean, val boolean, m boolean")
+    c = prepare.check_dataset(rows, ["num"], "y", ["train", "val"], "m").first()
+    assert (c["n_repeated"], c["n_length"], c["n_missing"], c["n_overlapping"], c["n_unlabelled"], c["ok"]) == (1, 0, 1, 1, 1, False)
+    with pytest.raises(ValueError):
+        prepare.fit_one_hot(rows, ["id"], most=1)
+    split = prepare.index_split(rows.select("id").distinct(), {"train": spark.createDataFrame([(1,)], "id long"), "val": spark.createDataFrame([(3,)], "id long")})
+    assert {r["id"]: r["split"] for r in split.collect()} == {1: "train", 2: None}
+
+
 def test_preparation(spark):
     rows = spark.createDataFrame([(i, v, c) for i, (v, c) in enumerate(zip([1.0, 2.0, 2.0, None, 9.0], ["b", "a", "b", None, "c"]))], "id long, v double, c string")
     assert prepare.fit_impute(rows, ["v"], "median") == {"v": 2.0} and prepare.fit_impute(rows, ["v"], "most_frequent") == {"v": 2.0}
     assert prepare.fit_one_hot(rows, ["c"]) == {"c": ["a", "b", "c"]} and prepare.fit_one_hot(rows.where("c in ('a', 'b')"), ["c"]) == {"c": ["b"]}
     assert prepare.fit_scale(rows.withColumn("v", F.lit(3.0)), ["v"], "standard") == {"v": (3.0, 1.0)}
     edges = prepare.fit_bins(rows.where("v is not null"), "v", "quantile", 4)
-    assert [r["b"] for r in rows.orderBy("id").select(prepare.bin_target(F.col("v"), edges).alias("b")).collect()] == [0, 1, 1, None, 2]
+    v = np.array([1.0, 2.0, 2.0, 9.0])
+    want = np.unique(np.quantile(v, np.linspace(0, 1, 5)))
+    assert np.allclose(edges, [want[0] - 1e-6, *want[1:-1], want[-1] + 1e-6])
+    a, b, c, d = (np.digitize(v, edges) - 1).tolist()
+    assert [r["b"] for r in rows.orderBy("id").select(prepare.bin_target(F.col("v"), edges).alias("b")).collect()] == [a, b, c, None, d]
     u = [r["v"] for r in prepare.quantile_transform(rows, {"v": [1.0, 2.0, 2.0, 2.0, 9.0]}).orderBy("id").collect()]
     assert u == [0.0, 0.5, 0.5, None, 1.0]
 
@@ -79,7 +138,8 @@ def test_bundle_and_options(spark, tmp_path):
     for inductive in (False, True):
         p = flows.prepare_dataset(b, "quantile_normal", "most_frequent", bins=("quantile", 3), inductive=inductive)
         check = prepare.check_dataset(p.nodes, p.kinds).first()
-        assert check["ok"] and check["n_nodes"] == n and p.kinds.count("cat") == (5 if not inductive else 6 - 1 if p.kinds.count("cat") == 5 else p.kinds.count("cat"))
+        four = {i % 4 if i else 7 for i in range(n) if not inductive or i % 3 == 0}
+        assert check["ok"] and check["n_nodes"] == n and p.kinds.count("cat") == len(four) + 1  # two levels of `two` make one slot
         if inductive:
             sizes = {k: (x.count(), e.count()) for k, (x, e, _) in p.snapshots.items()}
             assert sizes["test"] == (n, 200) and sizes["train"][0] == 20 and sizes["val"][0] == 40
