@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, small_or_shuffled, utf8_batches
+from .common import Scratch, handing_back, small_or_shuffled, utf8_batches
 
 SHINGLE = 5
 U = np.uint64
@@ -62,11 +62,17 @@ class Powers:
         self.up = self.down = np.ones(0, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > 1 << 21:  # a very long text: not kept
+            return tuple(self.made(b, n) for b in (BASE, BASE_INVERSE))
         if len(self.up) < n:
-            size = max(n, 1 << 20)
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (BASE, BASE_INVERSE))
+            size = max(n, 1 << 19)
+            self.up, self.down = (self.made(b, size) for b in (BASE, BASE_INVERSE))
         return self.up, self.down
 
+    @staticmethod
+    def made(b: int, n: int) -> np.ndarray:
+        return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]))
+
 
 POWERS = Powers()
 
@@ -182,6 +188,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> DataFrame:
     """Per row: id, number of shingles, two hashes of the word sequence, band keys (none for a text without a word)."""
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in utf8_batches(batch["text"]):
@@ -223,6 +230,7 @@ def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, b), those whose texts reach the threshold."""
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 256):
@@ -242,6 +250,7 @@ SMALL = 64
 def occurrences(texts: DataFrame) -> DataFrame:
     """(id, h, n, token) of every shingle occurrence of texts (id, h, text): the k-th one of a shingle is a token of its own, so that multisets become sets."""
 
+    @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in utf8_batches(batch["text"]):

@@ -26,11 +26,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, text_slices
+from .common import Scratch, handing_back, text_slices
 
 #: Bytes that a worker spends on each of two generations of remembered pieces.
 REMEMBERED = 12 << 20
@@ -116,6 +118,10 @@ class Codec:
             self.learn(pieces)
             return b"".join([self.known[p] for p in pieces])
 
+    def forget(self) -> None:
+        """Drop the remembered pieces: what is left is the rank table."""
+        self.known, self.before, self.size = {}, {}, 0
+
     def encode(self, text: str) -> bytes:
         return self.encode_pieces(self.pattern.findall(text))
 
@@ -170,11 +176,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*keep).alias("kept"), whole.alias("text"))
 
-    @F.arrow_udf("binary")
-    def encode_whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @handing_back
+    def encode_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            yield pa.array([own.encode(t) for texts in text_slices(batch) for t in texts], pa.binary())
+            first = 0
+            for texts in text_slices(batch["text"]):
+                yield pa.RecordBatch.from_arrays([batch["kept"].slice(first, len(texts)), pa.array([own.encode(t) for t in texts], pa.binary())], ["kept", "ids"])
+                first += len(texts)
+        own.forget()
 
     @F.arrow_udf("array<int>")
     def cut(texts: pa.Array, last: pa.Array) -> pa.Array:
@@ -199,7 +209,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
             out.append(own.encode_pieces([t[a:b] for a, b in zip(c, c[1:])]))
         return pa.array(out, pa.binary())
 
-    short = rows.where(F.length("text") <= chunk).select("kept", encode_whole("text").alias("ids"))
+    short = rows.where(F.length("text") <= chunk).mapInArrow(encode_whole, T.StructType([rows.schema["kept"], T.StructField("ids", T.BinaryType())]))
     # long texts get a number each, so that neither null nor repeated ids meet; written, so that a lost task finds the same numbers again
     long = Scratch(docs.sparkSession).write(rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()))
     step = chunk - overlap
@@ -224,17 +234,21 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: l
 def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded", text: bool = False) -> DataFrame:
     """``coded`` with the bytes of its ids, or with those bytes as text."""
 
-    @F.arrow_udf("string" if text else "binary")
-    def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @handing_back
+    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = bytes_by_id(path).__getitem__
         for batch in batches:
-            rows = []
-            for i in range(len(batch)):
-                found = b"".join(map(get, np.frombuffer(batch[i].as_buffer() or b"", "<u4").tolist()))
-                rows.append(found.decode("utf-8", "replace") if text else found)
-            yield pa.array(rows, pa.string() if text else pa.binary())
-
-    return coded.withColumn(out, bytes_of(ids))
+            for first in range(0, len(batch), 256):
+                part = batch.slice(first, 256)
+                rows = []
+                for x in pc.struct_field(part["coded"], ids):
+                    found = b"".join(map(get, np.frombuffer(x.as_buffer() or b"", "<u4").tolist()))
+                    rows.append(found.decode("utf-8", "replace") if text else found)
+                yield pa.RecordBatch.from_arrays([part["coded"], pa.array(rows, pa.string() if text else pa.binary())], ["coded", "decoded"])
+
+    rows = coded.select(F.struct(*coded.columns).alias("coded"))
+    kind = T.StringType() if text else T.BinaryType()
+    return rows.mapInArrow(bytes_of, T.StructType([rows.schema["coded"], T.StructField("decoded", kind)])).select("coded.*", F.col("decoded").alias(out))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:

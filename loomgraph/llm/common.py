@@ -1,68 +1,31 @@
-"""Small helpers shared by the corpus operators: shared scratch tables, checked broadcasts, text batches."""
+"""Small helpers shared by the corpus operators: checked broadcasts, text batches, worker memory."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import Scratch, shared_dir
+
+__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "Scratch", "crc_mod", "handing_back", "place_in_sample", "share_by", "shared_dir", "small_or_shuffled", "text_slices", "utf8_batches"]
+
 #: Rows of a narrow table (ids, terms, model rows) up to which it is broadcast after being counted.
 BROADCAST_ROWS = 500_000
 #: Bytes of text that a numpy step handles at once.
 BATCH_BYTES = 1 << 19
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.  Where it is unset, local sessions get a folder of their own; a cluster has to set it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation of what came before."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-
-    def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[len(self.paths)] = path
-        out._scratch_path = path  # for drop()
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing lazy reads any more."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
-        for df in tables:
-            if path := getattr(df, "_scratch_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
-
-
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     """df to be broadcast if its counted rows are within BROADCAST_ROWS; beyond that Spark shuffles both sides."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def text_or_empty(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
-
-
 def crc_mod(name: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % n, F.lit(-1))
@@ -101,3 +64,19 @@ def utf8_batches(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[i
         end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+
+
+def handing_back(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker's step that gives freed memory back to the system at its end: workers are kept for later stages, and what
+    allocators hold on to would count against the executor until then."""
+
+    @functools.wraps(step)
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run

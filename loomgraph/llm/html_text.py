@@ -30,10 +30,12 @@ from collections.abc import Iterator
 from html import unescape
 from unicodedata import combining, east_asian_width
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import handing_back, text_slices
+
 COLUMN, LINE, LEVELS = 60, 400, 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
@@ -580,8 +582,11 @@ def extract(html: str | None) -> str:
 def visible_text(pages: DataFrame, html: str = "html", keep: list[str | Column] = ("page_id",), out: str = "text") -> DataFrame:
     """The ``keep`` columns of every page with its visible text."""
 
-    @F.pandas_udf("string")
-    def run(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda x: extract(x if isinstance(x, str) else None))
+    @F.arrow_udf("string")
+    @handing_back
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [pa.array(list(map(extract, some)), pa.string()) for some in text_slices(batch)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
-    return pages.select(*keep, run(F.col(html).cast("string")).alias(out))
+    return pages.select(*keep, texts(F.col(html).cast("string")).alias(out))

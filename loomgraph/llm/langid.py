@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, place_in_sample, share_by, text_slices
+from .common import Scratch, handing_back, place_in_sample, share_by, text_slices
 
 UNDETERMINED = "und"
 
@@ -82,6 +82,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         return LanguageModel([], np.zeros((0, slots), np.uint64), np.zeros(0), hashes)
     chosen = rows.where(place_in_sample("key") < share_by("lang", {name: min(1.0, max_docs_per_lang / n) for name, n in sorted(found.items())}))
 
+    @handing_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, first = np.array(batch["lang"].to_pylist(), object), 0
@@ -132,6 +133,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 bytes a slot and plane: a size fixed by parameters
 
     @F.arrow_udf("lang_pred string, score double")
+    @handing_back
     def guess(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
             names, values = [], [np.zeros(0)]

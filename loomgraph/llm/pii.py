@@ -23,10 +23,13 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import handing_back, text_slices
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -144,23 +147,62 @@ _AT = r"[ \t]?[\[({<][ \t]?(?:at|@)[ \t]?[\])}>][ \t]?"
 _DOT = r"[ \t]?[\[({<][ \t]?(?:dot|\.)[ \t]?[\])}>][ \t]?"
 BRACKET = re.compile(r"[\[({<][ \t]?(?:[aA][tT]|@|[dD][oO][tT]|\.)[ \t]?[\])}>]")
 BRACKETED = re.compile(f"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
-#: Last labels that make "name at host dot tld" in bare words an address: any two letters or one of these.
-TOP_LEVEL = "com|net|org|edu|gov|mil|int|info|biz|app|dev|name|online|site|xyz|shop|store|tech|cloud|blog|email|agency|academy|digital|global|group|health|museum|network|news|software|solutions|studio|support|systems|website|[a-z]{2}"
-#: In bare words only the whole form counts: name at host dot tld.
-SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]{1,64}(?:(?:[ \t]{1,4}dot[ \t]{1,4}|[.])[A-Za-z0-9_%+-]{1,64}){0,4})(?P<at>[ \t]{1,4}at[ \t]{1,4}|@)(?P<host>[A-Za-z0-9-]{1,63}(?:(?:[ \t]{1,4}dot[ \t]{1,4}|[.])[A-Za-z0-9-]{1,63}){0,4}(?:[ \t]{1,4}dot[ \t]{1,4}|[.])(?:" + TOP_LEVEL + r"))(?![A-Za-z0-9-])", re.IGNORECASE)
-WORDED = re.compile(r"[ \t]{1,4}(dot|at)[ \t]{1,4}", re.IGNORECASE)
+#: Last labels that make "name at host dot tld" an address without further signs: any two letters or one of these.
+TOP_LEVEL = re.compile("com|net|org|edu|gov|mil|int|info|biz|app|dev|name|online|site|xyz|shop|store|tech|cloud|blog|email|agency|academy|digital|global|group|health|museum|network|news|software|solutions|studio|support|systems|website|[a-z]{2}", re.IGNORECASE)
+AT = re.compile(r"(?<![ \t])[ \t]++at[ \t]++|@", re.IGNORECASE)
+HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:[ \t]++dot[ \t]++|\.)[A-Za-z0-9-]++)*+", re.IGNORECASE)
+#: The part before the at, read from its end.
+LOCAL_BACK = re.compile(r"[A-Za-z0-9_%+-]++(?:(?:[ \t]++tod[ \t]++|\.)[A-Za-z0-9_%+-]++)*+", re.IGNORECASE)
+CUE = re.compile(r"(?:mail|address|contact|reach)[a-z]*[ \t:]++(?:(?:is|to|me|us|him|her|them)[ \t:]++)*+$", re.IGNORECASE)
+WORDED = re.compile(r"(?<![ \t])[ \t]++(dot|at)[ \t]++", re.IGNORECASE)
 DOTTED = re.compile(r"[ \t]dot[ \t]", re.IGNORECASE)
+BARE = re.compile(r"[ \t]at[ \t]++[A-Za-z0-9-]++\.[A-Za-z]", re.IGNORECASE)
+SIGNED = re.compile(r"[0-9._%+-]|[ \t]dot[ \t]", re.IGNORECASE)
+
+
+def is_address(text: str, start: int, m: re.Match, stop: int) -> bool:
+    """Whether what lies before and behind an at (the match), from start to stop, makes an address.
+
+    The last label is of two letters or more.  An @ or a dot in words speaks for an address under a label of TOP_LEVEL.  Otherwise (any
+    label, or plain dots after a bare "at") something else must: a sign or digit in the local part, or a word like mail before it.
+    """
+    label = re.match("[A-Za-z]*", text[max(m.end(), stop - 64) : stop][::-1])[0][::-1]
+    before = text[stop - len(label) - 1]
+    if len(label) < 2 or len(label) >= stop - m.end() or before not in ". \t" or m.start() - start + stop - m.end() < 4:
+        return False
+    if (m[0] == "@" or DOTTED.search(text, m.end(), stop)) and TOP_LEVEL.fullmatch(label):
+        return True
+    return bool(SIGNED.search(text, start, m.start()) or CUE.search(text[max(0, start - 64) : start]))
+
+
+def spoken(text: str) -> list[tuple[int, int]]:
+    """Spans of addresses with an "at" or a dot in words: from each at, its neighbours to both sides.  Takes time linear in the text."""
+    found, done, host_end = [], 0, 0
+    for m in AT.finditer(text):
+        if m.start() < done:
+            continue
+        host = HOST.match(text, m.end()) if m.end() >= host_end else None
+        stop = host.end() if host else host_end if m.end() < host_end else m.end()
+        host_end = max(host_end, stop)
+        back = LOCAL_BACK.match(text[done : m.start()][::-1])
+        if back and stop > m.end():
+            start = m.start() - back.end()
+            if is_address(text, start, m, stop):
+                found.append((start, stop))
+                done = stop
+                continue
+        done = max(done, m.start())
+    return found
 
 
 def unspoken(tape: Tape) -> Tape:
     """(at) and [dot], then name at host dot tld."""
     if BRACKET.search(tape.text):
         tape = tape.rewritten([(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(tape.text)])
-    if DOTTED.search(tape.text):
+    if DOTTED.search(tape.text) or BARE.search(tape.text):
         parts = []
-        for m in SPOKEN.finditer(tape.text):
-            if m["at"] == "@" or DOTTED.search(m["host"]):
-                parts += [(m.start() + w.start(), m.start() + w.end(), "@" if w[1].lower() == "at" else ".") for w in WORDED.finditer(m[0])]
+        for start, stop in spoken(tape.text):
+            parts += [(w.start(), w.end(), "@" if w[1].lower() == "at" else ".") for w in WORDED.finditer(tape.text, start, stop)]
         tape = tape.rewritten(parts)
     return tape
 
@@ -261,16 +303,21 @@ def listed(spans: list[Span]) -> str:
 def digests(docs: DataFrame, text: str = "text", keep: list[str | Column] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, counts of plain finds by kind, digest of the plain spans, all spans, and how many are disguised ones."""
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long")
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for base, every in map(find, texts):
-            kinds = [k for k, _, _ in base]
-            rows.append((*map(kinds.count, KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every), len(every) - len(base)))
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_disguised"])
+    @F.arrow_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long")
+    @handing_back
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = []
+            for texts in text_slices(batch):
+                for base, every in map(find, texts):
+                    kinds = [k for k, _, _ in base]
+                    rows.append((*map(kinds.count, KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every), len(every) - len(base)))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_disguised"])
 
-    found = docs.select(*keep, scan(F.col(text).cast("string")).alias("_found"))
-    return found.select(*[c for c in found.columns if c != "_found"], "_found.*")
+    found = docs.select(F.struct(*keep).alias("kept"), scan(F.col(text).cast("string")).alias("found"))
+    return found.select("kept.*", "found.*")
 
 
 def redacted(text: str | None) -> str | None:
@@ -291,8 +338,11 @@ def redacted(text: str | None) -> str | None:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced; a null text stays null."""
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(redacted, na_action="ignore")
+    @F.arrow_udf("string")
+    @handing_back
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [pa.array([redacted(t) for t in texts], pa.string()) for texts in text_slices(batch)]
+            yield pc.if_else(batch.is_valid(), pa.concat_arrays(parts), None) if parts else pa.array([], pa.string())
 
     return docs.withColumn(text, clean(F.col(text)))

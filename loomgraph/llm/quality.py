@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, place_in_sample, share_by, small_or_shuffled, text_slices
+from .common import Scratch, handing_back, place_in_sample, share_by, small_or_shuffled, text_slices
 
 #: Bytes of a text that are compressed at once: each piece meets the dictionary anew, so that long texts do not only learn from themselves.
 PIECE = 1024
@@ -100,6 +100,7 @@ def differences(texts: DataFrame, good: bytes, bad: bytes, text: str, *keep: str
     shared = texts.sparkSession.sparkContext.broadcast((good, bad))  # dict_bytes each
 
     @F.arrow_udf("double")
+    @handing_back
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sizes = Sizes(*shared.value)
         for batch in batches:
@@ -132,6 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     room = {q: share_of_each(list(x.values()), dict_bytes) for q, x in in_dictionary.items()}
 
     @F.arrow_udf("binary")
+    @handing_back
     def excerpt(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for q, h, t in batches:
             rows, at = [], 0

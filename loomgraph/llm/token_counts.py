@@ -6,9 +6,12 @@ nothing else.  Ties follow the tokenizer: a later start must be strictly better,
 last piece wins.  A character that is no piece by itself may also be an unknown, which scores ten less than
 the worst piece and counts as many tokens as it has bytes.
 
-No piece has a ``▁`` behind another character and, with integer scores, sums are exact, so a text's best path is made of the best
-paths of its words; words are counted once and remembered.  Vocabularies for which that doesn't hold are counted on
-whole texts.
+A vocabulary file whose scores are merge numbers only (whole numbers) has no probabilities, and none are trained here: its pieces get
+the log-probability that Zipf's law (with Mandelbrot's shift) gives to their rank, ln(1 / (rank + SHIFT)) less the logarithm of the sum over all ranks.
+
+Scores are held to multiples of 2^-20.  Their sums are then exact in any order, so, as no piece has a ``▁`` behind another
+character, a text's best path is made of the best paths of its words; words are counted once and remembered.  Vocabularies for which that
+doesn't hold are counted on whole texts.
 
 Defined results: null and empty texts have 0 tokens; repeated rows are counted alike; other columns are not read; an
 empty table gives an empty result.
@@ -16,20 +19,27 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import handing_back, text_slices
+
 META = "▁"
 UNIT = re.compile("▁*[^▁]+|▁+")
-REMEMBERED = 400_000
+#: Bytes of words remembered by a worker, about; beyond that the memory starts anew.
+REMEMBERED = 16 << 20
+#: Scores are multiples of 1 / GRID.
+GRID = 1 << 20
+SHIFT = 2.7
 UNKNOWN_PENALTY = 10.0
 
 
@@ -47,7 +57,16 @@ def load_vocabulary(path: str) -> Vocabulary:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
     scores = {model.id_to_piece(i): model.get_score(i) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
-    return Vocabulary(scores, min(map(model.get_score, ids)))
+    if all(s == int(s) for s in scores.values()):
+        scores = zipf(scores)
+    scores = {p: round(s * GRID) / GRID for p, s in scores.items()}
+    return Vocabulary(scores, min(0.0, *scores.values()))
+
+
+def zipf(ranked: dict[str, float]) -> dict[str, float]:
+    """Log-probabilities from places in the order of falling scores."""
+    total = math.log(sum(1 / (SHIFT + k) for k in range(len(ranked))))
+    return {p: -math.log(SHIFT + k) - total for k, p in enumerate(sorted(ranked, key=ranked.get, reverse=True))}
 
 
 class Counter:
@@ -57,8 +76,9 @@ class Counter:
         for piece, score in self.scores.items():
             self.pieces.add_word(piece, (len(piece), score))
         self.pieces.make_automaton()
-        self.by_words = all(s == int(s) for s in self.scores.values()) and not any(re.search("[^▁]▁", p) for p in self.scores)
+        self.by_words = all(s * GRID == int(s * GRID) for s in self.scores.values()) and not any(re.search("[^▁]▁", p) for p in self.scores)
         self.known: dict[str, int] = {}
+        self.size = 0
 
     def best(self, text: str) -> int:
         """Number of tokens on the best path."""
@@ -94,11 +114,13 @@ class Counter:
         for unit in UNIT.findall(text):
             n = known.get(unit)
             if n is None:
-                if len(known) > REMEMBERED:
+                if self.size > REMEMBERED:
                     known.clear()
+                    self.size = 0
                 n = self.best(unit)
                 if len(unit) <= 64:
                     known[unit] = n
+                    self.size += 180 + 2 * len(unit)
             total += n
         return total
 
@@ -111,10 +133,11 @@ def counter(path: str) -> Counter:
 def counts(docs: DataFrame, path: str, text: str = "text", keep: list[str | Column] = ("doc_id",), out: str = "n_tokens") -> DataFrame:
     """The ``keep`` columns of every row with its number of tokens."""
 
-    @F.pandas_udf("long")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    @handing_back
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = counter(path)
         for part in parts:
-            yield part.map(lambda t: own.count(t if isinstance(t, str) else None)).astype("int64")
+            yield pa.array([own.count(t) for some in text_slices(part) for t in some], pa.int64())
 
     return docs.select(*keep, run(F.col(text).cast("string")).alias(out))

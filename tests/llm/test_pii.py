@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -85,6 +86,39 @@ def test_few_spelled_parts(part, kind):
     assert (kind, 1, 1 + len(part)) in pii.find(text)[1], pii.find(text)
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        "a dot b dot c dot d dot e dot f dot g at example dot com", "x" * 80 + " at example dot com", "jane at " + " dot ".join("abcdefgh") + " dot com", "jane     at     example     dot     org",
+        "jane.doe at example.com", "jane_1 at mail.example.photography", "jane.doe at example dot photography",
+    ],
+)
+def test_spoken_addresses_of_any_length(part):
+    text = f"<{part}>"
+    assert ("email", 1, 1 + len(part)) in pii.find(text)[1], pii.find(text)
+    assert pii.redacted(text) == "<<email>>"
+
+
+def test_spoken_addresses_on_planted_rows():
+    """Both sides of the rule for bare words: addresses found, and sentences with at, dot and host names left alone."""
+    r = random.Random(6)
+    names, hosts, ends = ["jane", "bo", "kim.lee", "max_1", "sales"], ["example", "mail-box", "corp"], ["com", "org", "de", "co dot uk"]
+    found = sum(("email", 5, 5 + len(a)) in pii.find(f"mail {a} today")[1] for a in (f"{r.choice(names)} at {r.choice(hosts)}{d}{r.choice(ends).replace(' dot ', d)}" for d in (" dot ", ".") for _ in range(100)))
+    assert found == 200
+    clean = [f"{a} {b} at {c} {d}" for a in ("We met", "look", "They were") for b in ("again", "late", "all") for c in ("example.com", "the dot", "home.", "this dot there", "3.5 percent", "work. Then") for d in ("and left", "today.", "")]
+    assert [t for t in clean if pii.find(t) != ([], [])] == []
+
+
+def test_many_disguised_finds_take_linear_time():
+    took = []
+    for n in (2_000, 16_000):
+        text = "jаne@exаmple.com " * n
+        began = time.perf_counter()
+        assert len(pii.find(text)[1]) >= n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * 4 * took[0] + 0.5
+
+
 def test_many_zeros():
     text = "0" * 5000 + ".1.2.3"
     assert pii.find(text)[0] == [("ip", 0, len(text))]
@@ -96,7 +130,7 @@ def test_clean_texts_stay_clean(text):
 
 
 def test_long_texts_take_linear_time():
-    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1 " * 100_000, "a@" * 150_000, "one " * 70_000, " at " * 70_000 + " dot ", "a dot " * 50_000, "." * 300_000 + "@"):
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1 " * 100_000, "a@" * 150_000, "one " * 70_000, " at " * 70_000 + " dot ", " dot at" * 50_000, "a at b dot " * 40_000, "x at a" + " dot at" * 40_000 + " dot 9", " " * 300_000 + "at x dot com", "a at b.c " * 40_000, "a dot " * 50_000, "." * 300_000 + "@"):
         pii.find(text)
 
 

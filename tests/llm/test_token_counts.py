@@ -1,9 +1,11 @@
+import math
 import random
 
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
+sentencepiece = pytest.importorskip("sentencepiece")
 from pyspark.sql import functions as F
 
 from loomgraph.llm import token_counts as C
@@ -32,10 +34,20 @@ def test_equals_the_library():
         assert own.count(t) == want(t), t
 
 
+def test_scores_follow_ranks_and_counts_are_plausible():
+    """Probabilities that add up to one, and counts near those of the file's own tokenizer."""
+    v = C.load_vocabulary(PATH)
+    assert abs(sum(math.exp(x) for x in v.scores.values()) - 1) < 1e-3 and C.Counter(v).by_words
+    own, file = C.counter(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert own.count("hello world") == len(file.encode("hello world"))
+    sample = "Internationalization of tokenizers is hard work. Les mots français comptent aussi, und deutsche Wörter ebenfalls; numbers like 12345 too."
+    assert abs(own.count(sample) / len(file.encode(sample)) - 1) < 0.15
+
+
 def test_ties_and_whole_texts():
     r = random.Random(5)
     for k in range(200):
-        pieces = {"".join(r.choice("ab▁") for _ in range(r.randrange(1, 5))): -float(r.randrange(1, 4)) / (2 if k % 2 else 1) for _ in range(12)}
+        pieces = {"".join(r.choice("ab▁") for _ in range(r.randrange(1, 5))): -float(r.randrange(1, 4)) / (3 if k % 2 else 1) for _ in range(12)}
         least = min(0.0, *pieces.values())
         own, want = C.Counter(C.Vocabulary(pieces, least)), library(pieces, least)
         for _ in range(20):
