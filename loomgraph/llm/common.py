@@ -8,17 +8,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import Scratch, shared_dir
+from ..session import ship_package
 
-__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "Scratch", "crc_mod", "handing_back", "place_in_sample", "share_by", "shared_dir", "small_or_shuffled", "text_slices", "utf8_batches"]
+__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "Scratch", "crc_mod", "handing_back", "place_in_sample", "share_by", "shared_dir", "small_or_shuffled", "text_slices", "utf8_batches", "with_workers"]
 
 #: Rows of a narrow table (ids, terms, model rows) up to which it is broadcast after being counted.
 BROADCAST_ROWS = 500_000
 #: Bytes of text that a numpy step handles at once.
 BATCH_BYTES = 1 << 19
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
+
+def with_workers(spark: SparkSession) -> SparkSession:
+    """The session made ready for operators with Python steps: the package on all executors, and Arrow batches of at most BATCH_ROWS rows
+    (texts are wide: Spark's default of 10,000 rows holds tens of MB several times over in the executor and in each worker)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return ship_package(spark)
 
 
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:

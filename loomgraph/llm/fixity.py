@@ -9,8 +9,9 @@ at the next level, which ends at the damaged records and their byte ranges in ea
 Because a record's place in the tree comes from its number, a lost or added record disturbs one branch
 only and not all that follow it.
 
-Defined results: a null number counts as -1; null fields are empty ones; records with
-the same number form one leaf from their sorted digests, with their lengths added up; a record that
+Defined results: null fields are empty ones; records with
+the same number form one leaf, with their lengths added up, from their number and the sums of four parts of their digests (the same in any order
+and pre-aggregated: a repeated number is never one long list); a null number counts as -1; a record that
 only one replica has is ``missing`` (in the second) or ``extra``; equal replicas and empty tables give an empty result; extra
 columns are not read.
 """
@@ -40,19 +41,21 @@ def leaves(records: DataFrame, number: str, record: Column) -> DataFrame:
     rows = records.select(F.coalesce(F.col(number).cast("long"), F.lit(-1)).alias("number"), record.alias("_record"))
     rows = rows.select("number", F.octet_length("_record").cast("long").alias("length"), F.sha2("_record", 256).alias("hash"))
     # a number is normally unique: the partial aggregate sends one row each
-    rows = rows.groupBy("number").agg(F.sum("length").alias("length"), F.count("*").alias("n"), F.min("hash").alias("hash"), F.array_sort(F.collect_list("hash")).alias("all"))
-    rows = rows.select("number", "length", F.when(F.col("n") == 1, F.col("hash")).otherwise(F.sha2(F.array_join("all", ","), 256)).alias("hash"))
+    parts = [F.sum(F.conv(F.substring("hash", 15 * i + 1, 15), 16, 10).cast("decimal(28,0)")).cast("string").alias(f"s{i}") for i in range(4)]
+    rows = rows.groupBy("number").agg(F.sum("length").alias("length"), F.count("*").alias("n"), F.min("hash").alias("hash"), *parts)
+    several = F.sha2(F.concat_ws(",", "n", *[f"s{i}" for i in range(4)]), 256)
+    rows = rows.select("number", "length", F.when(F.col("n") == 1, F.col("hash")).otherwise(several).alias("hash"))
     rows = rows.withColumn("file", F.floor(F.col("number") / FANOUT**LEVELS).cast("long"))
     before = Window.partitionBy("file").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     return rows.select("file", "number", "length", "hash", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("begin"))
 
 
-def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels from the leaves to the roots: (at, hash); node ``at`` has the children at * FANOUT + 0..FANOUT-1."""
+def tree(scratch: Scratch, leaf: DataFrame) -> list[DataFrame]:
+    """Levels from the leaves to the roots, each written once: (at, hash); node ``at`` has the children at * FANOUT + 0..FANOUT-1."""
     levels = [leaf.select(F.col("number").alias("at"), F.concat_ws(":", F.col("number"), F.col("length"), F.col("hash")).alias("hash"))]
     for _ in range(LEVELS):
         below = levels[-1].groupBy(F.floor(F.col("at") / FANOUT).cast("long").alias("parent")).agg(F.array_sort(F.collect_list(F.struct("at", "hash"))).alias("c"))
-        levels.append(below.select(F.col("parent").alias("at"), F.sha2(F.array_join(F.transform("c", lambda x: F.concat_ws("=", x["at"], x["hash"])), ","), 256).alias("hash")))
+        levels.append(scratch.write(below.select(F.col("parent").alias("at"), F.sha2(F.array_join(F.transform("c", lambda x: F.concat_ws("=", x["at"], x["hash"])), ","), 256).alias("hash"))))
     return levels
 
 
@@ -65,7 +68,7 @@ def audit(first: DataFrame, second: DataFrame, number: str, record: Column) -> D
     """One row for each record that differs between the replicas, with its byte range (end exclusive) and digest in both."""
     scratch = Scratch(first.sparkSession)
     leaf = [scratch.write(leaves(x, number, record)) for x in (first, second)]
-    trees = [tree(x) for x in leaf]
+    trees = [tree(scratch, x) for x in leaf]
     bad = scratch.write(differing(trees[0][LEVELS], trees[1][LEVELS]))
     for level in range(LEVELS - 1, -1, -1):
         below = [t[level].join(bad.withColumnRenamed("at", "parent"), F.floor(F.col("at") / FANOUT) == F.col("parent"), "left_semi") for t in trees]

@@ -22,7 +22,7 @@ def brute(rows):
         at = 0
         for n in sorted(records):
             size, digests = sum(map(len, records[n])), sorted(hashlib.sha256(x).hexdigest() for x in records[n])
-            out[n] = (f, at, at + size, digests[0] if len(digests) == 1 else hashlib.sha256(",".join(digests).encode()).hexdigest())
+            out[n] = (f, at, at + size, digests[0] if len(digests) == 1 else hashlib.sha256(",".join(map(str, [len(digests), *(sum(int(h[i : i + 15], 16) for h in digests) for i in range(0, 60, 15))])).encode()).hexdigest())
             at += size
     return out
 
