@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bagminhash, bpe, langid, phrase_index, pii
-from loomgraph.llm.common import Scratch, crc_mod, small_or_shuffled
-from loomgraph.session import ship_package
+from loomgraph.llm.common import Scratch, crc_mod, small_or_shuffled, with_workers
 
 #: A text whose best language has less than this corrected share of its trigrams is in no known language.
 LEAST_SHARE = 0.2
@@ -21,7 +20,7 @@ LEAST_SHARE = 0.2
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter or in no known language go."""
-    ship_package(spark)
+    with_workers(spark)
     model = langid.fit(docs.where((crc_mod("doc_id", 4) != 2) & F.col("doc_id").isNotNull()))
     found = langid.identify(docs, model, keep=[F.struct(*docs.columns).alias("doc")])
     kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
@@ -33,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are numbered first, so that of repeated rows and of rows without an id one stays as well.
     """
-    ship_package(spark)
+    with_workers(spark)
     scratch = Scratch(spark)
     rows = scratch.write(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")))
     classes = scratch.write(bagminhash.near_duplicates(rows, key="row", text="doc.text"))
@@ -53,13 +52,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, personal data replaced by its kind."""
-    ship_package(spark)
+    with_workers(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of what they decode to."""
-    ship_package(spark)
+    with_workers(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.decode(bpe.encode(docs, path, pattern), path)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
