@@ -35,8 +35,9 @@ def relabel(c: Column, names: dict) -> Column:
 
 def drop_constant_columns(rows: DataFrame) -> DataFrame:
     """Without the columns in which all rows are equal (null is a value)."""
-    varied = rows.agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in rows.columns]).first()
-    return rows.select([c for c in rows.columns if (varied[c] or 0) > 1])
+    differs = lambda c: ~F.min(c).eqNullSafe(F.max(c)) | (F.count(c).between(1, F.count("*") - 1))
+    varied = rows.agg(*[differs(c).alias(c) for c in rows.columns]).first()
+    return rows.select([c for c in rows.columns if varied[c]])
 
 
 def speedup(rows: DataFrame, baseline: str, keys: list[str] = SETUP, measures: list[str] = MEASURES, run: str = "run_id") -> DataFrame:
@@ -108,7 +109,7 @@ def box_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     q = quantiles(rows, by, value, 4).groupBy(*by).agg(at(1).alias("q1"), at(2).alias("median"), at(3).alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    return rows.join(q, by).groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.sum((~inside).cast("long")).alias("outliers"))
+    return rows.join(q, by, "left").groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.sum((~inside).cast("long")).alias("outliers"))
 
 
 def compare_runs(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -134,4 +135,5 @@ def best_config(trials: DataFrame, keys: list[str], config: list[str], ms: str =
 
 
 def running_best(history: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """``history`` with the best value of its group so far."""
     return history.withColumn("best", F.max(value).over(Window.partitionBy(*by).orderBy(order)))
