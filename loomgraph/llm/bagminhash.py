@@ -359,18 +359,21 @@ class Links:
         best = here.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("back"), "n", "label")).alias("p"))
         self.compare(here, best.select("key", (-F.col("p.back")).alias("a"), F.col("p.n").alias("na"), F.col("p.label").alias("la")))
 
-    def by_all_pivots(self, members: DataFrame) -> None:
-        """Every text of a bucket is a pivot for those behind it, while labels differ; in rounds of 1, 8, 64, ... pivots."""
+    def by_all_pivots(self, members: DataFrame, first: int) -> None:
+        """Every text of a bucket is a pivot for those behind it, while labels differ; ``first`` pivots in the first round, then more and more."""
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "id"))
-        here, low, high = self.scratch.write(self.mixed(members).drop("label").withColumn("rank", rank)), 1, 1
+        left, low, high = self.scratch.write(self.mixed(members).withColumn("rank", rank)), 1, first
+        here = left.drop("label")
         while True:
-            left = self.scratch.write(self.mixed(here))
             last = left.agg(F.max("rank")).first()[0]
             if last is None or last <= low:
                 return
             pivots = left.where(F.col("rank").between(low, high)).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rank").alias("r"))
             self.compare(left, pivots, "rank > r")
             low, high = high + 1, high * 8 + 1
+            if low >= last:  # all pairs of the largest bucket are done
+                return
+            left = self.scratch.write(self.mixed(here))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 28, rows: int = 5) -> DataFrame:
@@ -392,12 +395,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     texts = scratch.write(whole.join(small_or_shuffled(wanted, wanted.count()), "id", "left_semi").dropDuplicates(["id", "text"]))
     links = Links(scratch, texts, threshold)
     links.by_first_pivots(members)
-    links.by_all_pivots(members.where(F.col("size") <= SMALL))
+    links.by_all_pivots(members.where(F.col("size") <= SMALL), 8)
     large = scratch.write(links.mixed(members.where(F.col("size") > SMALL)).select("key", "id", "n", "size"))
     if large.limit(1).count():
         rare = scratch.write(rare_buckets(scratch, large, texts, threshold))
-        links.by_first_pivots(rare)
-        links.by_all_pivots(rare)
+        links.by_all_pivots(rare, 1)
     final = components(scratch, copies.unionByName(links.found))
     every = sketch.select("id").distinct().join(final, "id", "left").select("id", F.coalesce("comp", "id").alias("class_id"))
     every = every.unionByName(docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("class_id")))

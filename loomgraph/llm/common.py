@@ -20,16 +20,14 @@ __all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "Scratch", "crc_mod", "handing_back"
 BROADCAST_ROWS = 500_000
 #: Bytes of text that a numpy step handles at once.
 BATCH_BYTES = 1 << 19
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch between executor and worker.
+ARROW_BYTES = 4 << 20
 
 
 def with_workers(spark: SparkSession) -> SparkSession:
-    """The session made ready for operators with Python steps: the package on all executors, and Arrow batches of at most BATCH_ROWS rows
-    (texts are wide: Spark's default of 10,000 rows holds tens of MB several times over in the executor and in each worker)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """The session made ready for operators with Python steps: the package on all executors, and Arrow batches of a few MB
+    (texts are wide: Spark's default of 64 MB is held several times over in the executor and in each worker)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return ship_package(spark)
 
 
