@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import Scratch, handing_back, text_slices
 
 #: Bytes that a worker spends on each of two generations of remembered pieces.
-REMEMBERED = 12 << 20
+REMEMBERED = 24 << 20
 CHUNK, OVERLAP = 32_768, 512
 #: Characters before the end of a chunk in which a boundary may still move: more than any pre-token pattern looks ahead.
 MARGIN = 16
