@@ -27,9 +27,10 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, by: list[str] = ()) -> DataFrame:
+        """``df`` written and read again; a folder for each value of the columns ``by``, so that a reader of one value reads no other."""
         path = f"{self.root}/{len(self.paths)}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[len(self.paths)] = path
         out._scratch_path = path  # for drop()
