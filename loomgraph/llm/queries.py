@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, fixity, html_text, langid, phrase_index, pii, quality, token_counts, weighted_sampling
+from . import bagminhash, bpe, fixity, html_text, langid, phrase_index, pii, quality, sharded_lloyd, simhash, token_counts, trie_frontier, weighted_sampling
 from .common import crc_mod, with_workers
 
 
@@ -70,12 +70,24 @@ def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_trie_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_frontier.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded_lloyd.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def phrase_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places at which all words of a benchmark item stand within 30 words of its rarest one, in any order."""
     return phrase_index.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 30)
 
 
-QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_deobfuscated_pii, op3_phrase_index, op4_html_layout, op5_viterbi_counts, op6_byte_bpe, op7_merkle_fixity, op8_weighted_sampling, op9_compression_quality, op10_language_masks, phrase_proximity)}
+QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_deobfuscated_pii, op3_phrase_index, op4_html_layout, op5_viterbi_counts, op6_byte_bpe, op7_merkle_fixity, op8_weighted_sampling, op9_compression_quality, op10_language_masks, op11_trie_frontier, op12_sharded_lloyd, op13_simhash_blocks, phrase_proximity)}
 
 UPPER = phrase_index.UPPER
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -126,4 +138,21 @@ SELECT coalesce(a.file, b.file) AS file, coalesce(a.number, b.number) AS number,
 FROM a FULL JOIN b ON a.number = b.number WHERE a.hash IS DISTINCT FROM b.hash OR a.length IS DISTINCT FROM b.length
 """
 
-SQL: dict[str, str] = {"op1_bagminhash": NEAR_SQL, "op3_phrase_index": CONTAMINATION_SQL, "op7_merkle_fixity": FIXITY_SQL, "phrase_proximity": PROXIMITY_SQL}
+# three rounds of exact integer means, then a last assignment; arrays are unnested so that everything is joins and sums
+LLOYD_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(x) AS x FROM v),
+first AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS k, x FROM v QUALIFY k < 16),
+c0 AS MATERIALIZED (SELECT k, unnest(range(64)) AS i, unnest(x) AS x FROM first)
+""" + "".join(
+    f""", a{t} AS MATERIALIZED (SELECT r, min(d) AS d, arg_min(k, d * 16 + k) AS k FROM (SELECT r, k, sum((e.x - c.x) * (e.x - c.x)) AS d FROM e JOIN c{t} c USING (i) GROUP BY 1, 2) GROUP BY 1)
+, c{t + 1} AS MATERIALIZED (SELECT k, i, coalesce(m, x)::BIGINT AS x FROM c{t} LEFT JOIN (SELECT k, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS m FROM a{t} JOIN e USING (r) GROUP BY 1, 2) USING (k, i))"""
+    for t in range(3)
+) + """
+, a3 AS MATERIALIZED (SELECT r, min(d) AS d, arg_min(k, d * 16 + k) AS k FROM (SELECT r, k, sum((e.x - c.x) * (e.x - c.x)) AS d FROM e JOIN c3 c USING (i) GROUP BY 1, 2) GROUP BY 1)
+SELECT vec_id, k::INTEGER AS "cluster", d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha AS centroid_sha256
+FROM a3 JOIN v USING (r) JOIN (SELECT k, sha256(string_agg(x, ',' ORDER BY i)) AS sha FROM c3 GROUP BY 1) USING (k)
+"""
+
+SQL: dict[str, str] = {"op1_bagminhash": NEAR_SQL, "op3_phrase_index": CONTAMINATION_SQL, "op7_merkle_fixity": FIXITY_SQL, "op12_sharded_lloyd": LLOYD_SQL, "phrase_proximity": PROXIMITY_SQL}
