@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,14 +41,38 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing lazy reads any more."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for df in tables:
             if path := getattr(df, "_scratch_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                delete(self.spark, path)
+
+
+    def clear(self) -> None:
+        """Delete all tables of this folder."""
+        delete(self.spark, self.root)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_scope: ContextVar[Scratch | None] = ContextVar("scratch scope", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Scratch]:
+    """Tables that operators write within this block go to one folder, which is deleted at its end: what is kept has to be collected or
+    written elsewhere before."""
+    scratch = Scratch(spark)
+    token = _scope.set(scratch)
+    try:
+        yield scratch
+    finally:
+        _scope.reset(token)
+        scratch.clear()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written once and read again."""
-    return Scratch(df.sparkSession).write(df)
+    """``df`` written once and read again; deleted with the innermost ``scratch_scope``, if there is one."""
+    return (_scope.get() or Scratch(df.sparkSession)).write(df)

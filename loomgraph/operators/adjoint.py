@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.scratch import written
 from .aggregate import gather, spmm, zero_filled
-from .attention import edge_softmax, gat_scores, head_dots
+from .attention import edge_softmax, gat_scores, gatv2_scores, head_dots
 
 
 def minmax_backward(arg: DataFrame, grad: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -66,7 +66,7 @@ def gt_backward(edges: DataFrame, nodes: DataFrame, grad: DataFrame, heads: int,
     scale = 1 / math.sqrt(d) if scale is None else scale
     full = nodes.join(grad, "id")
     both = gather(gather(edges.select("src", "dst"), full, {"q": "_q", "v": "_v"}), full, {"k": "_k", "g": "_g"}, "dst")
-    scored = both.select("src", "dst", F.array(*[x * scale for x in head_dots(F.col("_q"), F.col("_k"), heads, d)]).alias("_s"), F.array(*head_dots(F.col("_g"), F.col("_v"), heads, d)).alias("_p"))
+    scored = both.select("src", "dst", head_dots(F.col("_q"), F.col("_k"), heads, d, scale).alias("_s"), head_dots(F.col("_g"), F.col("_v"), heads, d).alias("_p"))
     ds = _softmaxed(scored, heads)
     at = [(h, h * d + i) for h in range(heads) for i in range(d)]
     w = heads * d
@@ -82,8 +82,7 @@ def gatv2_backward(edges: DataFrame, nodes: DataFrame, grad: DataFrame, attn: li
     full = nodes.join(grad, "id")
     both = gather(gather(edges.select("src", "dst"), full, {"right": "_r"}), full, {"left": "_l", "g": "_g"}, "dst")
     u = lambda j: F.col("_l")[j] + F.col("_r")[j]
-    score = [sum((V.leaky(u(j), slope) * a for k, j, a in at if k == h), F.lit(0.0)) for h in range(heads)]
-    ge = _softmaxed(both.select("src", "dst", F.array(*score).alias("_s"), F.array(*head_dots(F.col("_g"), F.col("_r"), heads, d)).alias("_p")), heads)
+    ge = _softmaxed(both.select("src", "dst", gatv2_scores(attn, slope, F.col("_l"), F.col("_r")).alias("_s"), head_dots(F.col("_g"), F.col("_r"), heads, d).alias("_p")), heads)
     wide = gather(gather(ge, full, {"right": "_r"}), full, {"left": "_l", "g": "_g"}, "dst")
     du = [F.col("_ds")[h] * F.when(u(j) > 0, a).otherwise(a * slope) for h, j, a in at]
     w = heads * d
@@ -95,16 +94,22 @@ def gatv2_backward(edges: DataFrame, nodes: DataFrame, grad: DataFrame, attn: li
 
 
 def gat_backward(edges: DataFrame, nodes: DataFrame, grad: DataFrame, a_src: list[list[float]], a_dst: list[list[float]], slope: float = 0.2) -> DataFrame:
-    """(id, gs, gd): gradients of the per-node scores a_src . h and a_dst . h of gat_aggr by head; ``nodes`` has h."""
+    """(id, gs, gd, gv) of gat_aggr; ``nodes`` has h.
+
+    gs and gd are the gradients of the per-node scores a_src . h and a_dst . h by head, gv is that of h as a message: the whole gradient
+    of h is gv + gs a_src + gd a_dst by head, those of a_src and a_dst are the sums over nodes of gs h and gd h.
+    """
     heads, d = len(a_src), len(a_src[0])
     scored = gat_scores(gat_scores(nodes.select("id", "h").join(grad, "id"), "h", a_src, "_a"), "h", a_dst, "_b")
     both = gather(gather(edges.select("src", "dst"), scored, {"h": "_v", "_a": "_a"}), scored, {"_b": "_b", "g": "_g"}, "dst")
     u = lambda h: F.col("_a")[h] + F.col("_b")[h]
-    ge = _softmaxed(both.select("src", "dst", F.array(*[V.leaky(u(h), slope) for h in range(heads)]).alias("_s"), F.array(*head_dots(F.col("_g"), F.col("_v"), heads, d)).alias("_p")), heads)
+    ge = _softmaxed(both.select("src", "dst", F.array(*[V.leaky(u(h), slope) for h in range(heads)]).alias("_s"), head_dots(F.col("_g"), F.col("_v"), heads, d).alias("_p")), heads)
     ends = gather(gather(ge, scored, {"_a": "_a"}), scored, {"_b": "_b"}, "dst")
     du = written(ends.select("src", "dst", F.array(*[F.col("_ds")[h] * F.when(u(h) > 0, 1.0).otherwise(slope) for h in range(heads)]).alias("_du")))
     slots = [F.col("_du")[h] for h in range(heads)]
-    return _by(du, "src", nodes, {"gs": (slots, heads)}).join(_by(du, "dst", nodes, {"gd": (slots, heads)}), "id").select("id", "gs", "gd")
+    ends = _by(du, "src", nodes, {"gs": (slots, heads)}).join(_by(du, "dst", nodes, {"gd": (slots, heads)}), "id")
+    messages = [F.col("_al")[h] * F.col("_g")[h * d + i] for h in range(heads) for i in range(d)]
+    return ends.join(_by(gather(ge, scored, {"g": "_g"}, "dst"), "src", nodes, {"gv": (messages, heads * d)}), "id").select("id", "gs", "gd", "gv")
 
 
 __all__ = ["edge_softmax", "edge_softmax_backward", "gat_backward", "gatv2_backward", "gt_backward", "minmax_backward", "spmm_backward"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +21,18 @@ def edge_dot(edges: DataFrame, nodes: DataFrame, q: str = "q", k: str = "k", hea
     """(src, dst, score array by head): q[src] . k[dst] for each edge."""
     d = (width if width is not None else V.width_of(nodes, q)) // heads
     both = gather(gather(edges.select("src", "dst"), nodes, {q: "_q"}), nodes, {k: "_k"}, "dst")
-    return both.select("src", "dst", F.array(*head_dots(F.col("_q"), F.col("_k"), heads, d)).alias("score"))
+    return both.select("src", "dst", head_dots(F.col("_q"), F.col("_k"), heads, d).alias("score"))
 
 
-def head_dots(a: Column, b: Column, heads: int, d: int) -> list[Column]:
-    """By head, the product of two flat arrays, slot by slot: plain arithmetic that stays in generated code."""
-    return [sum((a[h * d + i] * b[h * d + i] for i in range(d)), F.lit(0.0)) for h in range(heads)]
+#: Slots of all heads up to which scores are written out as arithmetic that stays in generated code.
+UNROLLED = 16
+
+
+def head_dots(a: Column, b: Column, heads: int, d: int, scale: float = 1.0) -> Column:
+    """An array by head: the scaled product of two flat arrays."""
+    if heads * d > UNROLLED:
+        return V.by_head(a, b, heads, d, lambda x, y: np.einsum("nhd,nhd->nh", x, y) * scale)
+    return F.array(*[sum((a[h * d + i] * b[h * d + i] for i in range(d)), F.lit(0.0)) * scale for h in range(heads)])
 
 
 def edge_softmax(edges: DataFrame, score: str = "score") -> DataFrame:
@@ -71,6 +78,9 @@ def softmax_sum(scored: DataFrame, nodes: DataFrame, values: str, heads: int, d:
 def gatv2_scores(attn: list[list[float]], slope: float, left: Column, right: Column) -> Column:
     """By head: a_h . LeakyReLU(left + right)."""
     d = len(attn[0])
+    if len(attn) * d > UNROLLED:
+        w = np.array(attn, float)
+        return V.by_head(left, right, len(attn), d, lambda x, y: np.einsum("nhd,hd->nh", np.where(x + y > 0, x + y, (x + y) * slope), w))
     return F.array(*[sum((V.leaky(left[h * d + i] + right[h * d + i], slope) * a for i, a in enumerate(row)), F.lit(0.0)) for h, row in enumerate(attn)])
 
 
@@ -87,13 +97,15 @@ def graph_transformer_aggr(edges: DataFrame, nodes: DataFrame, heads: int = 1, q
     d = (width if width is not None else V.width_of(nodes, q)) // heads
     scale = 1 / math.sqrt(d) if scale is None and d else scale or 0.0
     both = gather(gather(edges.select("src", "dst"), nodes, {q: "_q"}), nodes, {k: "_k"}, "dst")
-    score = F.array(*[x * scale for x in head_dots(F.col("_q"), F.col("_k"), heads, d)])
-    return softmax_sum(both.select("src", "dst", score.alias("_s")), nodes, v, heads, d, heavy_parts)
+    return softmax_sum(both.select("src", "dst", head_dots(F.col("_q"), F.col("_k"), heads, d, scale).alias("_s")), nodes, v, heads, d, heavy_parts)
 
 
 def gat_scores(nodes: DataFrame, h: str, a: list[list[float]], out: str) -> DataFrame:
     """Nodes with a_h . h for each head: one number a head is all that a GAT score needs of an end."""
     d = len(a[0])
+    if len(a) * d > UNROLLED:
+        w = np.array(a, float)
+        return nodes.withColumn(out, V.by_head(F.col(h), F.col(h), len(a), d, lambda x, _: np.einsum("nhd,hd->nh", x, w)))
     return nodes.withColumn(out, F.array(*[sum((F.col(h)[k * d + i] * x for i, x in enumerate(row)), F.lit(0.0)) for k, row in enumerate(a)]))
 
 

@@ -82,7 +82,9 @@ def to_csr(edges: DataFrame, nodes: DataFrame, row: str = "dst", col: str = "src
     w = F.col("w") if "w" in edges.columns else F.lit(1.0)
     lists = edges.select(F.col(row).alias("id"), F.col(col).alias("n"), w.alias("w")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("e"))
     full = nodes.select("id").join(lists, "id", "left").select("id", F.coalesce(F.transform("e", lambda x: x["n"]), F.array().cast("array<bigint>")).alias("neighbors"), F.coalesce(F.transform("e", lambda x: x["w"]), F.array().cast("array<double>")).alias("weights"))
-    return running_sum(full, ["id"], F.size("neighbors").cast("long"), "row_start")
+    # places are summed over narrow rows and joined to the lists where they are
+    starts = running_sum(degrees(transpose(edges) if row == "src" else edges, nodes, "in").withColumnRenamed("deg", "_deg"), ["id"], F.col("_deg"), "row_start")
+    return full.join(starts.select("id", "row_start"), "id")
 
 
 def to_csr_parts(edges: DataFrame, size: int = 65_536, row: str = "dst", col: str = "src") -> DataFrame:
@@ -165,7 +167,8 @@ def to_block_sparse(matrix: DataFrame, rows: int = 16, cols: int = 8) -> DataFra
     weights = F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
     padded = F.concat("c", F.array_repeat(F.lit(0).cast("long"), F.lit(cols) - F.size("c")))
     blocks = bits.join(named, ["window", "block"]).select("window", "block", padded.alias("cols"), "bm_lo", "bm_hi", weights.alias("weights"))
-    return global_positions(blocks, ["window", "block"], "block_start")
+    starts = global_positions(named.select("window", "block"), ["window", "block"], "block_start")
+    return blocks.join(starts, ["window", "block"])
 
 
 def from_block_sparse(blocks: DataFrame, rows: int = 16, cols: int = 8) -> DataFrame:

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +27,12 @@ Matrix = list[list[float]]
 
 def linear(nodes: DataFrame, weight: Matrix, bias: list[float] | None = None, x: str = "x", out: str | None = None) -> DataFrame:
     """``nodes`` with x W^T + b, one matrix product for each Arrow batch."""
-    ship_package(nodes.sparkSession)
+    ship_package(nodes.sparkSession)  # the product reads arrays with helpers of this package
     w, b = np.array(weight, float).reshape(len(weight), -1), np.array(bias if bias is not None else [0.0] * len(weight))
 
-    @F.pandas_udf("array<double>")
-    def product(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            if len(part):
-                yield pd.Series(list(np.stack(part.to_numpy()) @ w.T + b))
-            else:
-                yield pd.Series([], dtype=object)
+    @F.arrow_udf("array<double>")
+    def product(rows: pa.Array) -> pa.Array:
+        return V.lists_of(V.matrix_of(rows, w.shape[1]) @ w.T + b)
 
     return nodes.withColumn(out or x, product(F.col(x)))
 
@@ -59,14 +56,12 @@ def activation(nodes: DataFrame, name: str, x: str = "x") -> DataFrame:
 def layer_norm(a: Column, gamma: list[float] | None = None, beta: list[float] | None = None, eps: float = 1e-5) -> Column:
     """(a - mean) / sqrt(biased variance + eps), slot-wise times gamma plus beta."""
     n = F.size(a)
-    mean = V.total(a) / n
-    centred = F.transform(a, lambda v: v - mean)
-    out = F.transform(centred, lambda v: v / F.sqrt(V.dot(centred, centred) / n + eps))
-    return affine(out, gamma, beta)
+    scale = lambda c: V.bound(F.sqrt(V.dot(c, c) / n + eps), lambda s: F.transform(c, lambda v: v / s))
+    return affine(V.bound(V.total(a) / n, lambda mean: V.bound(F.transform(a, lambda v: v - mean), scale)), gamma, beta)
 
 
 def rms_norm(a: Column, gamma: list[float] | None = None, eps: float = 1e-8) -> Column:
-    return affine(F.transform(a, lambda v: v / F.sqrt(V.dot(a, a) / F.size(a) + eps)), gamma, None)
+    return affine(V.bound(F.sqrt(V.dot(a, a) / F.size(a) + eps), lambda s: F.transform(a, lambda v: v / s)), gamma, None)
 
 
 def affine(a: Column, gamma: list[float] | None, beta: list[float] | None) -> Column:
@@ -156,9 +151,8 @@ def classify(nodes: DataFrame, weight: Matrix, bias: list[float] | None = None)
 
 def xent(y: str = "y", logits: str = "logits") -> Column:
     """Cross-entropy of a row."""
-    top = F.array_max(logits)
-    z = V.total(F.transform(logits, lambda v: F.exp(v - top)))
-    return F.ln(z) + top - F.get(F.col(logits), F.col(y).cast("int"))
+    lse = V.bound(F.array_max(logits), lambda top: top + F.ln(V.total(F.transform(logits, lambda v: F.exp(v - top)))))
+    return lse - F.get(F.col(logits), F.col(y).cast("int"))
 
 
 def softmax_xent(rows: DataFrame, y: str = "y", logits: str = "logits") -> DataFrame:

@@ -121,8 +121,9 @@ def random_split(nodes: DataFrame, seed: int = 0, shares: tuple[float, float] =
     """nodes with split train, val or test of exactly int(share n) rows and the rest, in the order of a seeded hash of the id."""
     n = nodes.count()
     a, b = int(shares[0] * n), int(shares[1] * n)
-    placed = global_positions(nodes.withColumn("_h", F.xxhash64("id", F.lit(seed))), ["_h", "id"], "_pos")
-    return placed.withColumn("split", F.when(F.col("_pos") < a, "train").when(F.col("_pos") < a + b, "val").otherwise("test")).drop("_h", "_pos")
+    placed = global_positions(nodes.select("id", F.xxhash64("id", F.lit(seed)).alias("_h")), ["_h", "id"], "_pos")  # narrow rows
+    split = F.when(F.col("_pos") < a, "train").when(F.col("_pos") < a + b, "val").otherwise("test")
+    return nodes.drop("split").join(placed.select("id", split.alias("split")), "id")
 
 
 def index_split(nodes: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:

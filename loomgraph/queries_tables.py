@@ -12,7 +12,7 @@ from .functions import vectors as V
 from .functions.positions import global_positions
 from .functions.scratch import shared_dir
 from .operators.graph import relabelled
-from .operators import metrics, nn, prepare, report
+from .operators import metrics, nn, prepare, report, training
 from .plans import flows
 from .queries import BOUGHT, PARTS, SIZE, SQL, VECTOR_EDGES, VECTORS, bought_together, long, parts, query, rounded, rsql, table, vector_edges, vectors
 from .sources import io
@@ -145,6 +145,63 @@ def layer_gradients(s, d):
     return s.createDataFrame(rows, "layer int, o int, i long, value double").withColumn("value", rounded(F.col("value")))
 
 
+# ---- one training step of an attention block: long rows (id, slot) all the way, edges numbered because parallel ones count each ----
+
+STEP = training.new_model([training.Block(4, "prelu", "gatv2", 1, "batch")], 64, 10, 3)
+STEP.weights |= {"0.gamma": STEP.weights["0.gamma"] * 1.5, "0.bias": STEP.weights["0.bias"] + 0.1, "head.bias": STEP.weights["head.bias"] - 0.2}
+
+
+def of_step(name: str) -> str:
+    w = STEP.weights[name]
+    return values_sql("w_" + name.replace(".", "_"), w.tolist() if w.ndim > 1 else [[x] for x in w.tolist()])
+
+
+TRAIN_SPLIT = VECTORS.replace("label::BIGINT AS y", "label::BIGINT AS y, CASE WHEN vec_id % 5 < 3 THEN 'train' WHEN vec_id % 5 = 3 THEN 'val' ELSE 'test' END AS split")
+ATTENTION_STEP = ", ".join([
+    f"WITH {TRAIN_SPLIT}, {VECTOR_EDGES}", *map(of_step, STEP.weights),
+    "en AS MATERIALIZED (SELECT row_number() OVER () AS k, src, dst FROM edges)", "nx AS MATERIALIZED (SELECT id, unnest(range(64)) AS i, unnest(x) AS v FROM nodes)",
+    "z AS MATERIALIZED (SELECT id, o, sum(nx.v * m.w) + any_value(b.w) AS v FROM nx JOIN w_0_weight m USING (i) JOIN w_0_bias b USING (o) GROUP BY 1, 2)",
+    "h AS MATERIALIZED (SELECT id, o, CASE WHEN v > 0 THEN v ELSE v * w END AS v FROM z JOIN w_0_alpha USING (o))",
+    *[f"p_{n} AS MATERIALIZED (SELECT id, m.o AS j, sum(v * w) AS v FROM h JOIN w_0_{n}_weight m ON m.i = h.o GROUP BY 1, 2)" for n in ("left", "right")],
+    'u AS MATERIALIZED (SELECT k, src, dst, a.j, a.v + b.v AS u, b.v AS r, w AS att FROM en JOIN p_left a ON a.id = dst JOIN p_right b ON b.id = src AND b.j = a.j JOIN w_0_attn t ON t.i = a.j)',
+    "sc AS (SELECT k, src, dst, sum(att * CASE WHEN u > 0 THEN u ELSE 0.2 * u END) AS s FROM u GROUP BY 1, 2, 3)",
+    "al AS MATERIALIZED (SELECT k, src, dst, e / sum(e) OVER (PARTITION BY dst) AS al FROM (SELECT *, exp(s - max(s) OVER (PARTITION BY dst)) AS e FROM sc))",
+    "c AS MATERIALIZED (SELECT h.id, o AS j, coalesce(f.v, 0) AS v FROM h LEFT JOIN (SELECT u.dst AS id, j AS o, sum(al * r) AS v FROM u JOIN al USING (k) GROUP BY 1, 2) f USING (id, o))",
+    "o AS MATERIALIZED (SELECT id, m.o, sum(v * w) AS v FROM c JOIN w_0_out_weight m ON m.i = c.j GROUP BY 1, 2)",
+    "st AS (SELECT o, avg(v) AS mean, 1 / sqrt(var_pop(v) + 1e-5) AS f FROM o GROUP BY 1)", "y AS MATERIALIZED (SELECT id, o, (v - mean) * f AS v, f FROM o JOIN st USING (o))",
+    "x1 AS MATERIALIZED (SELECT id, o, y.v * ga.w + be.w + h.v AS v FROM y JOIN h USING (id, o) JOIN w_0_gamma ga USING (o) JOIN w_0_beta be USING (o))",
+    "lg AS (SELECT id, m.o AS c, sum(v * m.w) + any_value(b.w) AS l FROM x1 JOIN w_head_weight m ON m.i = x1.o JOIN w_head_bias b ON b.o = m.o GROUP BY 1, 2)",
+    "gl AS MATERIALIZED (SELECT id, c, (e / sum(e) OVER (PARTITION BY id) - (y = c)::INT) / (SELECT count(*) FROM nodes WHERE split = 'train' AND y IS NOT NULL) AS g FROM (SELECT lg.id, c, exp(l - max(l) OVER (PARTITION BY lg.id)) AS e, y FROM lg JOIN nodes n ON n.id = lg.id AND split = 'train' AND y IS NOT NULL))",
+    "gx AS MATERIALIZED (SELECT x1.id, x1.o, coalesce(f.g, 0) AS g FROM x1 LEFT JOIN (SELECT id, m.i AS o, sum(g * w) AS g FROM gl JOIN w_head_weight m ON m.o = gl.c GROUP BY 1, 2) f USING (id, o))",
+    "gy AS MATERIALIZED (SELECT id, o, g * w AS g, y.v, f FROM gx JOIN y USING (id, o) JOIN w_0_gamma USING (o))", "mg AS (SELECT o, avg(g) AS a, avg(g * v) AS b FROM gy GROUP BY 1)",
+    "go AS MATERIALIZED (SELECT id, o, f * (g - a - v * b) AS g FROM gy JOIN mg USING (o))",
+    "gc AS MATERIALIZED (SELECT id, m.i AS j, sum(g * w) AS g FROM go JOIN w_0_out_weight m USING (o) GROUP BY 1, 2)",
+    "ds AS MATERIALIZED (SELECT k, al, al * (p - sum(al * p) OVER (PARTITION BY dst)) AS ds FROM (SELECT u.k, u.dst, any_value(al) AS al, sum(g * r) AS p FROM u JOIN gc ON gc.id = u.dst AND gc.j = u.j JOIN al ON al.k = u.k GROUP BY 1, 2))",
+    "du AS MATERIALIZED (SELECT u.*, al, ds, ds * att * CASE WHEN u > 0 THEN 1 ELSE 0.2 END AS d FROM u JOIN ds USING (k))",
+    "g_left AS MATERIALIZED (SELECT dst AS id, j, sum(d) AS g FROM du GROUP BY 1, 2)", "g_right AS MATERIALIZED (SELECT src AS id, du.j, sum(al * g + d) AS g FROM du JOIN gc ON gc.id = dst AND gc.j = du.j GROUP BY 1, 2)",
+    "gh AS MATERIALIZED (SELECT id, o, sum(g) AS g FROM (SELECT id, o, g FROM gx UNION ALL SELECT id, m.i, g * w FROM g_left a JOIN w_0_left_weight m ON m.o = a.j UNION ALL SELECT id, m.i, g * w FROM g_right a JOIN w_0_right_weight m ON m.o = a.j) GROUP BY 1, 2)",
+    "gz AS MATERIALIZED (SELECT id, o, CASE WHEN v > 0 THEN g ELSE g * w END AS g, CASE WHEN v > 0 THEN 0 ELSE g * v END AS ga FROM gh JOIN z USING (id, o) JOIN w_0_alpha USING (o))",
+])
+STEP_PARTS = {
+    "0.weight": "o, i, g * v FROM gz JOIN nx USING (id)", "0.bias": "o, 0, g FROM gz", "0.alpha": "o, 0, ga FROM gz",
+    "0.left.weight": "j, o, g * v FROM g_left JOIN h USING (id)", "0.right.weight": "j, o, g * v FROM g_right JOIN h USING (id)",
+    "0.attn": "0, j, ds * CASE WHEN u > 0 THEN u ELSE 0.2 * u END FROM du", "0.out.weight": "o, j, g * v FROM go JOIN c USING (id)",
+    "0.gamma": "o, 0, g * y.v FROM gx JOIN y USING (id, o)", "0.beta": "o, 0, g FROM gx", "head.weight": "c, o, g * v FROM gl JOIN x1 USING (id)", "head.bias": "c, 0, g FROM gl",
+}
+
+
+@query(ATTENTION_STEP + " " + " UNION ALL ".join(f"SELECT '{name}' AS weight, o::BIGINT AS o, i::BIGINT AS i, {rsql('sum(g)', 5)} AS value FROM (SELECT {rows}) t(o, i, g) GROUP BY 2, 3" for name, rows in STEP_PARTS.items()))
+def attention_gradients(s, d):
+    """Gradients of every weight of a GATv2 block with projections, learned slopes and batch normalisation, and of its head."""
+    _, grads, _ = training.gradients(labelled_vectors(s, d), vector_edges(s, d), STEP)
+    rows = [(name, o, i, float(v)) for name, g in grads.items() for o, row in enumerate(g if g.ndim > 1 else g[:, None]) for i, v in enumerate(row)]
+    return s.createDataFrame(rows, "weight string, o long, i long, value double").withColumn("value", rounded(F.col("value"), 5))
+
+
+def labelled_vectors(s, d):
+    return vectors(s, d).withColumn("split", F.when(F.col("id") % 5 < 3, "train").when(F.col("id") % 5 == 3, "val").otherwise("test"))
+
+
 @query()
 def fit_classifier(s, d):
     n = vectors(s, d).withColumn("split", F.when(F.col("id") % 5 < 3, "train").when(F.col("id") % 5 == 3, "val").otherwise("test"))
