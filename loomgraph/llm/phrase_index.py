@@ -11,7 +11,7 @@ A window is 13 consecutive words of a benchmark item, or the whole item if it ha
 5. On those diagonals the words of the windows whose anchors met are compared, which gives the exact occurrences.
 
 Defined results: a null or wordless document has no words and no hits; a wordless or null item has no
-window; items of equal text each count; rows of equal id are told apart only if their texts are (they
+window; items of equal text each count, repeated rows of one item id are one item with the windows of all its texts; rows of equal id are told apart only if their texts are (they
 share their hits otherwise); a null document id is kept; a null item id counts as the text ``null``;
 columns beyond id and text are not read; an empty table gives an empty result, an empty benchmark no hits.
 """
@@ -109,12 +109,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """The ``keep`` columns of every row with its words, words inside an occurrence of a window, items found, and whether hits reach 1 / share of the words."""
     scratch = Scratch(docs.sparkSession)
     items = benchmark.select(F.col(item).cast("string").alias("name"), item_words(F.col(item_text)).alias("words"))
-    # windows of equal texts are looked for once
-    groups = scratch.write(items.groupBy("words").agg(F.collect_list(F.coalesce("name", F.lit("null"))).alias("names")).withColumn("item", name("words")))
+    # windows of equal texts are looked for once; wordless items, which have none, would all meet in one group
+    groups = scratch.write(items.where(F.size("words") > 0).groupBy("words").agg(F.collect_set(F.coalesce("name", F.lit("null"))).alias("names")).withColumn("item", name("words")))
     own = docs.select(F.struct(*keep).alias("kept"), F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_doc", name("_key", "_text"))
     found = scratch.write(phrase_occurrences(scratch, own.select("_doc", "_text"), groups.select("item", "words"), window).distinct())
     hits = found.groupBy("_doc").agg(covered(F.array_sort(F.collect_set(F.struct("start", "len")))).alias("n_hit"))
-    named = found.select("_doc", "item").distinct().join(groups.select("item", "names"), "item").groupBy("_doc").agg(F.flatten(F.collect_list("names")).alias("names"))
+    named = found.select("_doc", "item").distinct().join(groups.select("item", "names"), "item").groupBy("_doc").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
     hits = scratch.write(hits.join(named, "_doc"))
     out = own.select("kept", "_doc", word_count(F.col("_text")).alias("n_words")).join(small_or_shuffled(hits, hits.count()), "_doc", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -131,20 +131,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 def proximity_matches(docs: DataFrame, queries: DataFrame, within: int, key: str = "doc_id", text: str = "text", query: str = "item_id", query_text: str = "text") -> DataFrame:
     """(key, query, at): places of a query's rarest word with all its other words at most ``within`` words away, in any order.
 
-    One row per place.  Place 0 is the first word.
+    One row per place.  Place 0 is the first word.  Rows of equal id and text are one document; rows of equal id with other texts, and all
+    rows without an id, are documents of their own; the texts of a repeated query id are one query with the words of all of them.  A frequent
+    word is only looked for in the buckets of positions around a rare one.
     """
     scratch = Scratch(docs.sparkSession)
     wanted = queries.select(F.col(query).alias("q"), F.explode(F.array_distinct(F.filter(words(F.col(query_text)), lambda w: w != ""))).alias("term"))
     wanted = scratch.write(wanted.distinct())
     terms = scratch.write(wanted.select("term").distinct())
     n = terms.count()
-    own = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
+    own = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_doc", name("_key", "_text"))
     freq = frequencies(own, terms, n, "_text")
-    index = scratch.write(postings(own, terms, n, "_doc", "_text"))
-    ranked = scratch.write(wanted.join(freq, "term", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("f"), "term")).alias("rare"), F.count("*").alias("n")).select("q", F.col("rare.term").alias("rare"), "n"))
-    rare = index.join(ranked, F.col("term") == F.col("rare")).select("_doc", "q", "n", F.col("pos").alias("at"))
+    index = scratch.write(postings(own.select("_doc", "_text"), terms, n, "_doc", "_text"))
+    ranked = wanted.join(freq, "term", "left").groupBy(F.struct("q").alias("q")).agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("f"), "term")).alias("rare"), F.count("*").alias("n"))
+    ranked = scratch.write(ranked.select("q", F.col("rare.term").alias("rare"), "n"))
+    n_queries = ranked.count()
+    rare = index.join(small_or_shuffled(ranked, n_queries), F.col("term") == F.col("rare")).select("_doc", "q", "n", F.col("pos").alias("at")).distinct()
+    rare = scratch.write(rare)
     # buckets of `within` positions: the others lie in the same bucket or a neighbour
     near = rare.withColumn("b", F.explode(F.array(*[F.floor(F.col("at") / within) + d for d in (-1, 0, 1)])))
-    others = index.join(wanted, "term").select("_doc", "q", "term", "pos", F.floor(F.col("pos") / within).alias("b"))
-    met = near.join(others, ["_doc", "q", "b"]).where(F.abs(F.col("pos") - F.col("at")) <= within)
-    return met.groupBy("_doc", "q", "at").agg(F.count_distinct("term").alias("met"), F.first("n").alias("n")).where("met = n").select(F.col("_doc").alias(key), F.col("q").alias(query), "at")
+    sought = near.join(small_or_shuffled(wanted.select(F.struct("q").alias("q"), "term"), wanted.count()), "q")
+    met = sought.join(index.select("_doc", "term", "pos", F.floor(F.col("pos") / within).alias("b")), ["_doc", "term", "b"]).where(F.abs(F.col("pos") - F.col("at")) <= within)
+    whole = met.groupBy("_doc", "q", "at").agg(F.count_distinct("term").alias("met"), F.first("n").alias("n")).where("met = n")
+    some = scratch.write(whole.select("_doc", "q", "at"))
+    ids = scratch.write(own.select("_doc", "_key").join(small_or_shuffled(some.select("_doc").distinct(), some.count()), "_doc", "left_semi").distinct())
+    return some.join(small_or_shuffled(ids, ids.count()), "_doc").select(F.col("_key").alias(key), F.col("q.q").alias(query), "at")

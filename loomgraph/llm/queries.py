@@ -118,11 +118,11 @@ FROM d LEFT JOIN cov USING (rn) LEFT JOIN its USING (rn)
 """
 
 PROXIMITY_SQL = f"""
-WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), x AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS term FROM d),
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {WORDS} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)), x AS (SELECT rn, unnest(range(len(w))) AS pos, unnest(w) AS term FROM d),
 q AS (SELECT DISTINCT item_id, unnest({WORDS}) AS term FROM benchmark), f AS (SELECT term, count(*) AS f FROM x GROUP BY 1),
 rare AS (SELECT item_id, arg_min(term, (coalesce(f, 0), term)) AS rare, count(*) AS n FROM q LEFT JOIN f USING (term) GROUP BY 1),
-o AS (SELECT doc_id, item_id, pos, term FROM x JOIN q USING (term)), p AS (SELECT doc_id, item_id, n, pos AS place FROM x JOIN rare ON term = rare)
-SELECT doc_id, item_id, place AS "at" FROM (SELECT p.doc_id, p.item_id, place, n, count(DISTINCT term) AS met FROM p JOIN o ON o.doc_id = p.doc_id AND o.item_id = p.item_id AND abs(o.pos - place) <= 30 GROUP BY ALL) WHERE met = n
+o AS (SELECT rn, item_id, pos, term FROM x JOIN q USING (term)), p AS (SELECT rn, item_id, n, pos AS place FROM x JOIN rare ON term = rare)
+SELECT doc_id, item_id, place AS "at" FROM (SELECT p.rn, p.item_id, place, n, count(DISTINCT term) AS met FROM p JOIN o ON o.rn = p.rn AND o.item_id IS NOT DISTINCT FROM p.item_id AND abs(o.pos - place) <= 30 GROUP BY ALL) JOIN d USING (rn) WHERE met = n
 """
 
 RECORD = "'WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ' || coalesce(url, '') || '\r\nWARC-Record-ID: <urn:record:' || coalesce(page_id::VARCHAR, '-1') || '>\r\nContent-Length: ' || strlen(coalesce(html, '')) || '\r\n\r\n' || coalesce(html, '') || '\r\n\r\n'"

@@ -63,3 +63,43 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x x green blue"), (2, "blue red x x x x x green"), (3, "green red blue")], "doc_id long, text string")
     got = {tuple(r) for r in P.proximity_matches(docs, spark.createDataFrame([(7, "Red green")], "item_id long, text string"), 3).collect()}
     assert {(d, q) for d, q, _ in got} == {(1, 7), (3, 7)}
+
+
+def test_repeated_benchmark_rows_are_one_item(spark):
+    items = [("i1", "b c"), ("i1", "b c"), ("i2", "d e"), ("i2", "c d"), (None, "e f"), (None, "e f"), ("i3", ""), ("i3", None)]
+    docs = [(1, "a b c d e f"), (2, "b c"), (3, "x"), (None, "c d")]
+    found = P.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    key = lambda x: (x[0] is None, x)
+    assert sorted(map(tuple, found), key=key) == sorted(brute(docs, items), key=key)
+    assert {(r["doc_id"], r["n_items"]) for r in found} == {(1, 3), (2, 1), (3, 0), (None, 1)}
+
+
+def near(docs, items, within):
+    """Places by looking at every word of every document."""
+    terms, docs = {}, set(docs)
+    for q, t in items:
+        terms.setdefault(q, set()).update(words(t))
+    count = {}
+    for _, t in docs:
+        for w in words(t):
+            count[w] = count.get(w, 0) + 1
+    out = []
+    for q, some in terms.items():
+        if some:
+            rare = min(some, key=lambda w: (count.get(w, 0), w.encode()))
+            for k, t in docs:
+                w = words(t)
+                out += [(k, q, i) for i, x in enumerate(w) if x == rare and some <= set(w[max(0, i - within) : i + within + 1])]
+    return out
+
+
+def test_proximity_equals_brute_force(spark):
+    r = random.Random(6)
+    vocabulary = ["the", "of", *(f"w{i}" for i in range(12))]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    docs = [(i, text(r.randrange(60))) for i in range(60)] + [(2, "a q q q"), (2, "b c z"), (None, "a b c x"), (None, "b c"), (None, None), (7, ""), (99, "the " * 3000 + "a b c"), (98, "b a c"), (98, "b a c")]
+    items = [(i, text(r.randrange(1, 4))) for i in range(12)] + [(50, "a b c"), (51, "c the"), (50, "a"), (None, "b c"), (52, None), (53, "...")]
+    got = P.proximity_matches(spark.createDataFrame(docs, "doc_id long, text string").withColumn("q", F.lit(1)).withColumn("term", F.lit("x")), spark.createDataFrame(items, "item_id long, text string"), 4).collect()
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(map(tuple, got), key=key) == sorted(near(docs, items, 4), key=key)
+    assert {x[0] for x in near(docs, items, 4) if x[1] == 50} == {None, 98, 99}
