@@ -30,11 +30,16 @@ def spmm_backward(edges: DataFrame, nodes: DataFrame, grad: DataFrame, norm: str
     return spmm(edges, nodes.select("id").join(grad, "id"), "g", norm, weight, True, width).withColumnRenamed("out", "gx")
 
 
-def edge_softmax_backward(edges: DataFrame, alpha: str = "alpha", grad: str = "galpha") -> DataFrame:
-    """Edges with gscore = alpha (galpha - sum over the destination of alpha galpha)."""
+def edge_softmax_backward(edges: DataFrame, alpha: str = "alpha", grad: str = "galpha", heads: int | None = None) -> DataFrame:
+    """Edges with gscore = alpha (galpha - sum over the destination of alpha galpha); arrays by head with ``heads``."""
     edges = written(edges)
-    sums = edges.groupBy("dst").agg(F.sum(F.col(alpha) * F.col(grad)).alias("_s"))
-    return edges.join(sums, "dst").withColumn("gscore", F.col(alpha) * (F.col(grad) - F.col("_s"))).select(*edges.columns, "gscore")
+    if heads is None:
+        sums = edges.groupBy("dst").agg(F.sum(F.col(alpha) * F.col(grad)).alias("_s"))
+        back = F.col(alpha) * (F.col(grad) - F.col("_s"))
+    else:
+        sums = edges.groupBy("dst").agg(F.array(*[F.sum(F.col(alpha)[h] * F.col(grad)[h]) for h in range(heads)]).alias("_s"))
+        back = F.array(*[F.col(alpha)[h] * (F.col(grad)[h] - F.col("_s")[h]) for h in range(heads)])
+    return edges.join(sums, "dst").withColumn("gscore", back).select(*edges.columns, "gscore")
 
 
 def _softmaxed(scored: DataFrame, heads: int) -> DataFrame:

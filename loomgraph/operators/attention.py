@@ -35,27 +35,38 @@ def head_dots(a: Column, b: Column, heads: int, d: int, scale: float = 1.0) -> C
     return F.array(*[sum((a[h * d + i] * b[h * d + i] for i in range(d)), F.lit(0.0)) * scale for h in range(heads)])
 
 
-def edge_softmax(edges: DataFrame, score: str = "score") -> DataFrame:
-    """Edges with alpha: exp(score - max) over its sum (at least 1e-16), by destination; ``score`` is one number an edge.
+def edge_softmax(edges: DataFrame, score: str = "score", heads: int | None = None) -> DataFrame:
+    """Edges with alpha: exp(score - max) over its sum (at least 1e-16), by destination.
 
+    ``score`` is one number an edge, or with ``heads`` an array of one number a head, each normalised on its own; alpha is of the same form.
     The scored edges are written once: they are read for the maxima, the sums and the result.
     """
     edges = written(edges)
-    top = edges.groupBy("dst").agg(F.max(score).alias("_m"))
-    e = F.exp(F.col(score) - F.col("_m"))
-    stats = written(edges.join(top, "dst").groupBy("dst").agg(F.max("_m").alias("_m"), F.sum(e).alias("_s")))  # one row a destination
-    return edges.join(stats, "dst").withColumn("alpha", e / F.greatest("_s", F.lit(1e-16))).select(*edges.columns, "alpha")
+    if heads is None:
+        top = edges.groupBy("dst").agg(F.max(score).alias("_m"))
+        e = F.exp(F.col(score) - F.col("_m"))
+        stats = written(edges.join(top, "dst").groupBy("dst").agg(F.max("_m").alias("_m"), F.sum(e).alias("_s")))  # one row a destination
+        alpha = e / F.greatest("_s", F.lit(1e-16))
+    else:
+        top = edges.groupBy("dst").agg(V.aggregated(F.max, score, heads).alias("_m"))
+        es = [F.exp(F.col(score)[h] - F.col("_m")[h]) for h in range(heads)]
+        stats = written(edges.join(top, "dst").groupBy("dst").agg(F.first("_m").alias("_m"), F.array(*map(F.sum, es)).alias("_s")))
+        alpha = F.array(*[e / F.greatest(F.col("_s")[h], F.lit(1e-16)) for h, e in enumerate(es)])
+    return edges.join(stats, "dst").withColumn("alpha", alpha).select(*edges.columns, "alpha")
 
 
-def edge_logsumexp(edges: DataFrame, nodes: DataFrame, score: str = "score") -> DataFrame:
-    """(id, lse) of the scores of incoming edges; minus infinity without one."""
+def edge_logsumexp(edges: DataFrame, nodes: DataFrame, score: str = "score", heads: int | None = None) -> DataFrame:
+    """(id, lse) of the scores of incoming edges, minus infinity without one; an array by head with ``heads``."""
     edges = written(edges.select("dst", score))
-    top = edges.groupBy("dst").agg(F.max(score).alias("_m"))
-    found = edges.join(top, "dst").groupBy(F.col("dst").alias("id")).agg((F.max("_m") + F.ln(F.sum(F.exp(F.col(score) - F.col("_m"))))).alias("lse"))
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("lse", F.lit(float("-inf"))).alias("lse"))
+    scores = [F.col(score)] if heads is None else V.slots(score, heads)
+    top = edges.groupBy("dst").agg(*[F.max(x).alias(f"_m{h}") for h, x in enumerate(scores)])
+    lse = [F.first(f"_m{h}") + F.ln(F.sum(F.exp(x - F.col(f"_m{h}")))) for h, x in enumerate(scores)]
+    found = edges.join(top, "dst").groupBy(F.col("dst").alias("id")).agg((lse[0] if heads is None else F.array(*lse)).alias("lse"))
+    none = F.lit(float("-inf")) if heads is None else F.array_repeat(F.lit(float("-inf")), heads)
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("lse", none).alias("lse"))
 
 
-def softmax_sum(scored: DataFrame, nodes: DataFrame, values: str, heads: int, d: int, heavy_parts: int = 1) -> DataFrame:
+def softmax_sum(scored: DataFrame, nodes: DataFrame, values: str, heads: int, d: int, heavy_parts: int = 1, hubs: float | None = None) -> DataFrame:
     """(id, out) from rows (src, dst, _s array by head): softmax-weighted sums by destination of the sources' ``values``.
 
     The narrow scores are written once.  First the maximum by destination and head (partial aggregates), then the values are
@@ -64,7 +75,7 @@ def softmax_sum(scored: DataFrame, nodes: DataFrame, values: str, heads: int, d:
     scored = written(scored)
     top = scored.groupBy("dst").agg(V.aggregated(F.max, "_s", heads).alias("_m"))
     e = [F.exp(F.col("_s")[h] - F.col("_m")[h]) for h in range(heads)]
-    weighted = gather(scored.join(top, "dst").select("src", "dst", F.array(*e).alias("_e")), nodes, {values: "_v"})
+    weighted = gather(scored.join(top, "dst").select("src", "dst", F.array(*e).alias("_e")), nodes, {values: "_v"}, hubs=hubs)
     parts = [*[F.sum(F.col("_e")[h]).alias(f"_z{h}") for h in range(heads)], *[F.sum(F.col("_e")[h] * F.col("_v")[h * d + i]).alias(f"_o{h * d + i}") for h in range(heads) for i in range(d)]]
     if heavy_parts > 1:
         first = weighted.groupBy("dst", F.pmod(F.xxhash64("src"), F.lit(heavy_parts)).alias("_part")).agg(*parts)
@@ -84,20 +95,20 @@ def gatv2_scores(attn: list[list[float]], slope: float, left: Column, right: Col
     return F.array(*[sum((V.leaky(left[h * d + i] + right[h * d + i], slope) * a for i, a in enumerate(row)), F.lit(0.0)) for h, row in enumerate(attn)])
 
 
-def gatv2_aggr(edges: DataFrame, nodes: DataFrame, attn: list[list[float]], left: str = "left", right: str = "right", slope: float = 0.2, heavy_parts: int = 1) -> DataFrame:
-    """(id, out): score a_h . LeakyReLU(left[dst] + right[src]), message right[src]."""
+def gatv2_aggr(edges: DataFrame, nodes: DataFrame, attn: list[list[float]], left: str = "left", right: str = "right", slope: float = 0.2, heavy_parts: int = 1, hubs: float | None = None) -> DataFrame:
+    """(id, out): score a_h . LeakyReLU(left[dst] + right[src]), message right[src]; ``hubs`` as in gather, for both ends."""
     heads, d = len(attn), len(attn[0])
-    both = gather(gather(edges.select("src", "dst"), nodes, {right: "_v"}), nodes, {left: "_l"}, "dst")
+    both = gather(gather(edges.select("src", "dst"), nodes, {right: "_v"}, hubs=hubs), nodes, {left: "_l"}, "dst", hubs)
     scored = both.select("src", "dst", gatv2_scores(attn, slope, F.col("_l"), F.col("_v")).alias("_s"))
-    return softmax_sum(scored, nodes, right, heads, d, heavy_parts)
+    return softmax_sum(scored, nodes, right, heads, d, heavy_parts, hubs)
 
 
-def graph_transformer_aggr(edges: DataFrame, nodes: DataFrame, heads: int = 1, q: str = "q", k: str = "k", v: str = "v", scale: float | None = None, width: int | None = None, heavy_parts: int = 1) -> DataFrame:
+def graph_transformer_aggr(edges: DataFrame, nodes: DataFrame, heads: int = 1, q: str = "q", k: str = "k", v: str = "v", scale: float | None = None, width: int | None = None, heavy_parts: int = 1, hubs: float | None = None) -> DataFrame:
     """(id, out): score q[src] . k[dst] scale, message v[src]; scale is 1 / sqrt(head width) by default."""
     d = (width if width is not None else V.width_of(nodes, q)) // heads
     scale = 1 / math.sqrt(d) if scale is None and d else scale or 0.0
-    both = gather(gather(edges.select("src", "dst"), nodes, {q: "_q"}), nodes, {k: "_k"}, "dst")
-    return softmax_sum(both.select("src", "dst", head_dots(F.col("_q"), F.col("_k"), heads, d, scale).alias("_s")), nodes, v, heads, d, heavy_parts)
+    both = gather(gather(edges.select("src", "dst"), nodes, {q: "_q"}, hubs=hubs), nodes, {k: "_k"}, "dst", hubs)
+    return softmax_sum(both.select("src", "dst", head_dots(F.col("_q"), F.col("_k"), heads, d, scale).alias("_s")), nodes, v, heads, d, heavy_parts, hubs)
 
 
 def gat_scores(nodes: DataFrame, h: str, a: list[list[float]], out: str) -> DataFrame:
@@ -109,13 +120,13 @@ def gat_scores(nodes: DataFrame, h: str, a: list[list[float]], out: str) -> Data
     return nodes.withColumn(out, F.array(*[sum((F.col(h)[k * d + i] * x for i, x in enumerate(row)), F.lit(0.0)) for k, row in enumerate(a)]))
 
 
-def gat_aggr(edges: DataFrame, nodes: DataFrame, a_src: list[list[float]], a_dst: list[list[float]], h: str = "h", slope: float = 0.2, heads: str = "concat", heavy_parts: int = 1) -> DataFrame:
+def gat_aggr(edges: DataFrame, nodes: DataFrame, a_src: list[list[float]], a_dst: list[list[float]], h: str = "h", slope: float = 0.2, heads: str = "concat", heavy_parts: int = 1, hubs: float | None = None) -> DataFrame:
     """(id, out): score LeakyReLU(a_src . h[src] + a_dst . h[dst]), message h[src]; heads side by side or averaged."""
     n, d = len(a_src), len(a_src[0])
     scored = gat_scores(gat_scores(nodes.select("id", F.col(h).alias("_h")), "_h", a_src, "_a"), "_h", a_dst, "_b")
-    both = gather(gather(edges.select("src", "dst"), scored, {"_a": "_a"}), scored, {"_b": "_b"}, "dst")
+    both = gather(gather(edges.select("src", "dst"), scored, {"_a": "_a"}, hubs=hubs), scored, {"_b": "_b"}, "dst", hubs)
     score = F.array(*[V.leaky(F.col("_a")[k] + F.col("_b")[k], slope) for k in range(n)])
-    out = softmax_sum(both.select("src", "dst", score.alias("_s")), nodes, h, n, d, heavy_parts)
+    out = softmax_sum(both.select("src", "dst", score.alias("_s")), nodes, h, n, d, heavy_parts, hubs)
     if heads == "mean":
         return out.select("id", F.array(*[sum((F.col("out")[k * d + i] for k in range(n)), F.lit(0.0)) / n for i in range(d)]).alias("out"))
     return out

@@ -5,11 +5,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..functions.positions import global_positions, running_sum
 from ..functions.scratch import written
+from ..session import ship_package
 
 
 def add_self_loops(edges: DataFrame, nodes: DataFrame, w: float = 1.0) -> DataFrame:
@@ -179,6 +185,49 @@ def from_block_sparse(blocks: DataFrame, rows: int = 16, cols: int = 8) -> DataF
     return there.select((F.col("window") * rows + F.floor(F.col("i") / cols)).cast("long").alias("src"), F.col("cols")[F.col("i") % cols].alias("dst"), F.col("weights")[F.col("i")].alias("w"))
 
 
+#: Blocks of a window that are multiplied as one group; a longer window is several groups, added up afterwards.
+GROUP_BLOCKS = 2048
+
+
+def block_product(blocks: DataFrame, nodes: DataFrame, width: int, x: str = "x", rows: int = 16, cols: int = 8) -> DataFrame:
+    """(id, out): the matrix in blocks (window, block, cols, bm_lo, bm_hi, weights) times the rows x of ``nodes``, zeros where a row has no entry.
+
+    A dense row is joined once for each column of a block and not once for each entry; a group of blocks is multiplied
+    while it streams by, so what is shuffled again is at most ``rows`` sums a group.
+    """
+    ship_package(blocks.sparkSession)
+    one = lambda r, c: F.call_function("getbit", F.col("bm_lo" if r * cols + c < 64 else "bm_hi"), F.lit((r * cols + c) % 64))
+    column = lambda c: F.struct(F.col("cols")[c].alias("id"), F.array(*[F.col("weights")[r * cols + c].cast("double") for r in range(rows)]).alias("w"), sum((one(r, c).cast("long") * (1 << r) for r in range(rows)), F.lit(0).cast("long")).alias("held"))
+    each = blocks.select("window", F.floor(F.col("block") / GROUP_BLOCKS).alias("part"), F.inline(F.array(*[column(c) for c in range(cols)]))).where("held <> 0")  # padded columns hold nothing
+    met = each.join(nodes.select("id", F.col(x).alias("x")), "id").select("window", "part", "w", "held", "x")
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, held = None, np.zeros((rows, width)), 0
+
+        def let_go() -> pa.RecordBatch:
+            some = [r for r in range(rows) if held >> r & 1]
+            return pa.RecordBatch.from_arrays([pa.array([at[0] * rows + r for r in some], pa.int64()), V.lists_of(total[some])], names=["id", "v"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("window", "part")], 1)
+            w, v, bits = V.matrix_of(b.column("w"), rows), V.matrix_of(b.column("x"), width), b.column("held").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if at != (key := tuple(keys[i].tolist())):
+                    if at is not None:
+                        yield let_go()
+                    at, total, held = key, np.zeros((rows, width)), 0
+                total, held = total + w[i:j].T @ v[i:j], held | int(np.bitwise_or.reduce(bits[i:j]))
+        if at is not None:
+            yield let_go()
+
+    sums = met.repartition("window", "part").sortWithinPartitions("window", "part").mapInArrow(multiplied, "id long, v array<double>")
+    found = sums.groupBy("id").agg(V.aggregated(F.sum, "v", width).alias("out"))
+    return nodes.select("id").join(found, "id", "left").withColumn("out", F.coalesce("out", V.zeros(width)))
+
+
 def block_stats(blocks: DataFrame, rows: int = 16, cols: int = 8) -> DataFrame:
     """Windows, blocks, stored entries and bytes (4 a column and weight, 16 a bitmap, 4 an offset) of the layout."""
     n = blocks.agg(F.count_distinct("window").alias("n_windows"), F.count("*").alias("n_blocks"), F.sum(F.bit_count("bm_lo") + F.bit_count("bm_hi")).cast("long").alias("n_entries"))
@@ -253,18 +302,56 @@ def relabelled(edges: DataFrame, mapping: DataFrame, old: str = "id", new: str =
     return edges.join(s, "src").join(d, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), *rest)
 
 
-def reorder(edges: DataFrame, nodes: DataFrame, by: str = "degree", rounds: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Edges under new ids and (id, new_id): by falling in-degree, by label propagation, or by a column of nodes."""
+def reorder(edges: DataFrame, nodes: DataFrame, by: str = "degree", rounds: int = 5, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges under new ids and (id, new_id): by falling in-degree, by label propagation, in parts of at most ``size`` nodes ("parts"), or by
+    a column of nodes."""
     if by == "degree":
         order = degrees(edges, nodes, "in").withColumn("_k", -F.col("deg"))
     elif by == "label_propagation":
         order = label_propagation(edges, nodes, rounds).withColumnRenamed("label", "_k")
+    elif by == "parts":
+        order = bounded_parts(edges, nodes, size, rounds).withColumnRenamed("part", "_k")
     else:
         order = nodes.select("id", F.col(by).alias("_k"))
     mapping = global_positions(order.select("id", "_k"), ["_k", "id"], "new_id").select("id", "new_id")
     return relabelled(edges, mapping), mapping
 
 
+def bounded_parts(edges: DataFrame, nodes: DataFrame, size: int, rounds: int = 5, fill: float = 0.8) -> DataFrame:
+    """(id, part): parts of at most ``size`` nodes with few edges between them, by label propagation with capacities.
+
+    Nodes start in even parts by id, filled to ``fill`` so that there is room to move.  In a round, the nodes of one parity of id + round
+    propose the part with most of their neighbours (either direction, the smallest of equals) if it has more of them than their own; a part takes
+    the proposals of largest gain, then smallest id, while it has room.  Ranks come from sorted ranges, so a part that all want to
+    join is no single task's.
+    """
+    if not size or size < 1 or not 0 < fill <= 1:
+        raise ValueError("the size of a part must be at least 1 and its fill in (0, 1]")
+    n = nodes.count()
+    parts = max(1, -(-n // max(1, int(size * fill))))
+    even = -(-n // parts) if n else 1
+    edges = written(edges.select("src", "dst").where("src <> dst"))
+    both = edges.unionByName(transpose(edges))
+    now = written(global_positions(nodes.select("id"), ["id"], "_pos").select("id", F.floor(F.col("_pos") / even).cast("long").alias("part")))
+    for t in range(1, rounds + 1):
+        movers = now.where(F.pmod(F.col("id") + t, F.lit(2)) == 0).select(F.col("id").alias("dst"), F.col("part").alias("own"))
+        votes = both.join(now.withColumnRenamed("id", "src"), "src").join(movers, "dst").groupBy("dst", "own", "part").agg(F.count("*").alias("n"))
+        best = votes.groupBy("dst", "own").agg(F.max(F.struct("n", (-F.col("part")).alias("m"))).alias("b"), F.coalesce(F.max(F.when(F.col("part") == F.col("own"), F.col("n"))), F.lit(0)).alias("stay"))
+        wish = best.select(F.col("dst").alias("id"), (-F.col("b.m")).alias("to"), (F.col("stay") - F.col("b.n")).alias("loss")).where("loss < 0")
+        ranked = running_sum(wish, ["loss", "id"], F.lit(1).cast("long"), "rank", ["to"])
+        room = now.groupBy(F.col("part").alias("to")).agg((F.lit(size) - F.count("*")).alias("room"))
+        moved = ranked.join(room, "to").where("rank < room").select("id", "to")
+        now = written(now.join(moved, "id", "left").select("id", F.coalesce("to", "part").alias("part")))
+    return now
+
+
+def edge_cut(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row (n_edges, n_cut): edges, and those between different parts of (id, part)."""
+    ends = [parts.select(F.col("id").alias(c), F.col("part").alias(f"_{c}")) for c in ("src", "dst")]
+    both = edges.select("src", "dst").join(ends[0], "src").join(ends[1], "dst")
+    return both.agg(F.count("*").alias("n_edges"), F.coalesce(F.sum((F.col("_src") != F.col("_dst")).cast("long")), F.lit(0)).alias("n_cut"))
+
+
 def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, label): each round a node takes the commonest label of its neighbours (either direction), the smallest of equals."""
     edges = written(edges.select("src", "dst"))

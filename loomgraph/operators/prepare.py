@@ -126,13 +126,24 @@ def random_split(nodes: DataFrame, seed: int = 0, shares: tuple[float, float] =
     return nodes.drop("split").join(placed.select("id", split.alias("split")), "id")
 
 
-def index_split(nodes: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
-    """nodes with split from tables of ids; null where no table has the id."""
+def index_masks(nodes: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """nodes with a boolean column for each table of ids; an id may be in several tables and more than once in one."""
     named = None
     for name, ids in lists.items():
-        part = ids.select("id").withColumn("split", F.lit(name))
+        part = ids.select("id", F.lit(name).alias("_name"))
         named = part if named is None else named.unionByName(part)
-    return nodes.join(named, "id", "left")
+    masks = named.groupBy("id").agg(*[F.max(F.col("_name") == name).alias(name) for name in lists])
+    return nodes.drop(*lists).join(masks, "id", "left").withColumns({name: F.coalesce(name, F.lit(False)) for name in lists})
+
+
+def index_split(nodes: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """nodes with split from tables of ids; null where no table has the id, an error where several have (index_masks takes those)."""
+    masked = index_masks(nodes.drop("split").select(F.struct(*nodes.drop("split").columns).alias("_node"), "id"), {f"_in{i}": ids for i, ids in enumerate(lists.values())})
+    several = sum((F.col(f"_in{i}").cast("int") for i in range(len(lists))), F.lit(0)) > 1
+    split = F.when(several, F.raise_error(F.lit("an id is in more than one list")))
+    for i, name in enumerate(lists):
+        split = split.when(F.col(f"_in{i}"), F.lit(name))
+    return masked.select("_node.*", split.alias("split"))
 
 
 def feature_vector(numeric: list[str], fraction: list[str], categorical: dict[str, list]) -> tuple[Column, list[str]]:

@@ -289,6 +289,52 @@ def label_propagation(s, d):
     return graph.label_propagation(vector_edges(s, d), vectors(s, d), 3)
 
 
+def parts_sql(size: int, rounds: int) -> str:
+    """Parts with capacities as some common table expressions a round."""
+    fill = int(size * 0.8)
+    steps = [f"k AS (SELECT n, (n + k - 1) // k AS even FROM (SELECT count(*) AS n, (count(*) + {fill - 1}) // {fill} AS k FROM nodes))", "q0 AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // (SELECT even FROM k) AS part FROM nodes)"]
+    steps.append("ways AS (SELECT src, dst FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst)")
+    for t in range(1, rounds + 1):
+        q = f"q{t - 1}"
+        steps.append(f"w{t} AS (SELECT id, arg_max(part, (n, -part)) AS goal, max(CASE WHEN part = own THEN n ELSE 0 END) - max(n) AS loss FROM (SELECT b.dst AS id, o.part AS own, l.part AS part, count(*) AS n FROM ways b JOIN {q} l ON l.id = b.src JOIN {q} o ON o.id = b.dst WHERE (b.dst + {t}) % 2 = 0 GROUP BY 1, 2, 3) GROUP BY 1)")
+        steps.append(f"m{t} AS (SELECT id, goal FROM (SELECT id, goal, row_number() OVER (PARTITION BY goal ORDER BY loss, id) AS r FROM w{t} WHERE loss < 0) JOIN (SELECT part AS goal, {size} - count(*) AS room FROM {q} GROUP BY 1) USING (goal) WHERE r <= room)")
+        steps.append(f"q{t} AS MATERIALIZED (SELECT id, coalesce(goal, part)::BIGINT AS part FROM {q} LEFT JOIN m{t} USING (id))")
+    return ", ".join(steps)
+
+
+@query(f"WITH {VECTOR_EDGES}, {VECTORS}, {parts_sql(64, 2)} SELECT id, part FROM q2")
+def bounded_parts(s, d):
+    return graph.bounded_parts(vector_edges(s, d), vectors(s, d), 64, 2)
+
+
+@query(f"WITH {VECTOR_EDGES}, {VECTORS}, {parts_sql(64, 2)}, c AS (SELECT a.part <> b.part AS cut FROM edges JOIN q2 a ON a.id = src JOIN q2 b ON b.id = dst) SELECT count(*)::BIGINT AS n_edges, sum(cut::INT)::BIGINT AS n_cut, (SELECT max(n) FROM (SELECT count(*) AS n FROM q2 GROUP BY part))::BIGINT AS largest FROM c")
+def edge_cut(s, d):
+    parts_ = graph.bounded_parts(vector_edges(s, d), vectors(s, d), 64, 2)
+    largest = parts_.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n").alias("largest"))
+    return graph.edge_cut(vector_edges(s, d), parts_).join(F.broadcast(largest))  # one row each
+
+
+WIDE = "long AS (SELECT id, unnest(range(64)) AS slot, unnest(x) AS v FROM nodes)"
+
+
+@query(f"WITH {VECTOR_EDGES}, {VECTORS}, {WIDE}, m AS (SELECT src, dst, sum(w) AS w FROM edges GROUP BY 1, 2) SELECT g.id, g.slot, {rsql('coalesce(f.value, 0)', 4)} AS value FROM (SELECT id, slot FROM long) g LEFT JOIN (SELECT dst AS id, slot, sum(w * v) AS value FROM m JOIN long l ON l.id = m.src GROUP BY 1, 2) f USING (id, slot)")
+def block_product(s, d):
+    """The weighted neighbour sum of whole vectors, multiplied from the block layout whose rows are destinations."""
+    blocks_ = graph.to_block_sparse(graph.transpose(graph.coalesce(vector_edges(s, d))))
+    return long(graph.block_product(blocks_, vectors(s, d), 64), n=4)
+
+
+HUBBED = VECTOR_EDGES.replace("AS src,", "* (l_orderkey % 3 > 0)::INT AS src,", 1)
+
+
+@query(f"WITH {HUBBED}, {VECTORS}, {WIDE} " + filled("sum(v * w)", "JOIN long l ON l.id = e.src", 4))
+def hub_sum(s, d):
+    """A third of the edges have one source; its row is met by salted copies."""
+    n = table(s, d, "embeddings").count()
+    e = table(s, d, "lineitem").select(F.when(F.col("l_orderkey") % 3 > 0, F.col("l_partkey") % n).otherwise(0).alias("src"), (F.col("l_suppkey") % n).alias("dst"), F.col("l_quantity").alias("w"))
+    return long(aggregate.sum_aggr(e, vectors(s, d), weight="w", width=64, hubs=0.99), n=4)
+
+
 # ---- aggregation --------------------------------------------------------------------------------------------------
 
 def gathered(how):
@@ -453,6 +499,37 @@ def edge_logsumexp(s, d):
     return attention.edge_logsumexp(scored_edges(s, d), vectors(s, d)).withColumn("lse", F.round("lse", 6))
 
 
+BY_HEAD = f"WITH {VECTOR_EDGES}, {VECTORS}, s AS MATERIALIZED (SELECT src, dst, h.range AS head, list_dot_product(u.x[8 * h.range + 1:8 * h.range + 8], v.x[8 * h.range + 1:8 * h.range + 8]) AS score FROM edges e JOIN nodes u ON u.id = e.src JOIN nodes v ON v.id = e.dst, range(8) h), x AS (SELECT *, exp(score - max(score) OVER (PARTITION BY dst, head)) AS e FROM s), a AS (SELECT src, dst, head, e / sum(e) OVER (PARTITION BY dst, head) AS alpha, (src + head) % 5 - 2 AS galpha FROM x)"
+
+
+def soft_by_head(s, d):
+    """Whole vectors as eight heads."""
+    return attention.edge_softmax(attention.edge_dot(vector_edges(s, d), vectors(s, d), "x", "x", 8, 64), heads=8)
+
+
+def by_head(df: DataFrame, *columns: str) -> DataFrame:
+    each = df.select("src", "dst", F.posexplode(F.arrays_zip(*columns)).alias("head", "z"))
+    return each.select("src", "dst", F.col("head").cast("long").alias("head"), *[F.col(f"z.{c}").alias(c) for c in columns])
+
+
+@query(f"{BY_HEAD} SELECT src, dst, head, count(*)::BIGINT AS n, {rsql('max(alpha)')} AS alpha FROM a GROUP BY 1, 2, 3")
+def edge_softmax_heads(s, d):
+    return by_head(soft_by_head(s, d), "alpha").groupBy("src", "dst", "head").agg(F.count("*").alias("n"), rounded(F.max("alpha")).alias("alpha"))
+
+
+@query(f"{BY_HEAD}, b AS (SELECT *, alpha * (galpha - sum(alpha * galpha) OVER (PARTITION BY dst, head)) AS gs FROM a) SELECT src, dst, head, {rsql('sum(gs)')} AS gscore FROM b GROUP BY 1, 2, 3")
+def edge_softmax_backward_heads(s, d):
+    soft = soft_by_head(s, d).withColumn("galpha", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda h: ((F.col("src") + h) % 5 - 2).cast("double")))
+    return by_head(adjoint.edge_softmax_backward(soft, heads=8), "gscore").groupBy("src", "dst", "head").agg(rounded(F.sum("gscore")).alias("gscore"))
+
+
+@query(f"{BY_HEAD} SELECT n.id, h.range AS head, coalesce(round(l, 6), '-infinity'::DOUBLE) AS lse FROM nodes n CROSS JOIN range(8) h LEFT JOIN (SELECT dst AS id, head, ln(sum(exp(score))) AS l FROM s GROUP BY 1, 2) f ON f.id = n.id AND f.head = h.range")
+def edge_logsumexp_heads(s, d):
+    scores = attention.edge_dot(vector_edges(s, d), vectors(s, d), "x", "x", 8, 64)
+    each = attention.edge_logsumexp(scores, vectors(s, d), heads=8).select("id", F.posexplode("lse").alias("head", "lse"))
+    return each.select("id", F.col("head").cast("long").alias("head"), F.round("lse", 6).alias("lse"))
+
+
 # ---- gradients ----------------------------------------------------------------------------------------------------
 
 @query(f"WITH {BOUGHT}, {PARTS}, {LONG}, c AS (SELECT e.dst AS id, slot, src, v, max(v) OVER (PARTITION BY e.dst, slot) AS hi FROM edges e JOIN long l ON l.id = e.src), a AS (SELECT id, slot, min(src) AS arg FROM c WHERE v = hi GROUP BY 1, 2), g AS (SELECT arg AS id, a.slot, sum(l.v) AS value FROM a JOIN long l ON l.id = a.id AND l.slot = a.slot GROUP BY 1, 2) SELECT l.id, l.slot, {rsql('coalesce(g.value, 0)')} AS value FROM long l LEFT JOIN g USING (id, slot)")

@@ -359,6 +359,13 @@ def index_split(s, d):
     return prepare.index_split(r.select("id"), {"train": r.where("id % 3 = 0 and bal > 0"), "val": r.where("id % 3 = 1")})
 
 
+@query(f"WITH {RAW} SELECT id, bal > 0 IS TRUE AS train, id % 3 = 1 AS val, id % 4 = 0 AS test FROM raw")
+def index_masks(s, d):
+    """Lists that overlap, one of them with every id twice."""
+    r = raw(s, d)
+    return prepare.index_masks(r.select("id"), {"train": r.where("bal > 0"), "val": r.where("id % 3 = 1").unionByName(r.where("id % 3 = 1")), "test": r.where("id % 4 = 0")})
+
+
 @query(f"WITH {RAW} SELECT split, count(*)::BIGINT AS n, {rsql('avg(y)')} AS mean_y FROM raw WHERE split <> 'test' AND y IS NOT NULL GROUP BY 1")
 def labelled_rows(s, d):
     rows = metrics.labelled(raw(s, d), F.col("split") != "test")
@@ -561,7 +568,7 @@ def shared(s) -> str:
 
 @query(f"WITH {RAW} SELECT id, y, split, seg AS category, {rsql('bal')} AS bal FROM (SELECT *, (SELECT count(DISTINCT seg) FROM raw r2 WHERE r2.seg < raw.seg)::INT AS c FROM raw) WHERE true")
 def written_and_read(s, d):
-    path = io.write_processed(raw(s, d), shared(s), {"split": "TH", "impute": "none"})
+    path = io.write_processed(raw(s, d), shared(s), {"split": "TH", "impute": "none"}, inputs=[table(s, d, "customer")])
     return s.read.parquet(path).select("id", "y", "split", F.col("seg").alias("category"), rounded(F.col("bal")).alias("bal"))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import delete
 from ..operators.prepare import nan_to_null
 
 
@@ -45,11 +49,57 @@ def read_graph_bundle(spark: SparkSession, folder: str, split: str, meta: dict)
     return Bundle(nodes, edges, numeric, fraction, categorical, meta.get("task", "classification"))
 
 
-def write_processed(df: DataFrame, root: str, spec: dict, by: list[str] = ()) -> str:
-    """Write below root under a folder named by the full transform spec, unless it is there; returns the path."""
-    path = f"{root}/" + "_".join(f"{k}={v}" for k, v in sorted(spec.items()))
-    writer = df.write.mode("ignore")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+#: The commit record of a processed folder; a folder without it is unfinished.
+MANIFEST = "_manifest.json"
+
+
+def fingerprint(*tables: DataFrame) -> str:
+    """A digest of the rows and schemas of input tables, whatever their order: one aggregate each."""
+    parts = []
+    for df in tables:
+        row = df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")).cast("string"), F.lit("0"))).first()
+        parts.append(f"{df.schema.simpleString()}|{row[0]}|{row[1]}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:32]
+
+
+def spec_folder(root: str, spec: dict) -> str:
+    return f"{root}/" + "_".join(f"{k}={v}" for k, v in sorted(spec.items()))
+
+
+def write_processed(df: DataFrame, root: str, spec: dict, by: list[str] = (), inputs: list[DataFrame] = ()) -> str:
+    """Write below root under a folder named by the full transform spec, unless a finished one is there; returns the path.
+
+    The table is written beside, its commit record (spec, schema, fingerprint of the ``inputs``) last, and both are published by one rename.  Folders without a
+    record are rebuilt, as are those of another schema or other inputs (given any).  Of two writers the first one's rename wins, the other takes
+    its result.
+    """
+    spark, path = df.sparkSession, spec_folder(root, spec)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs, at = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), jvm.Path(path)
+    record = {"spec": {str(k): str(v) for k, v in sorted(spec.items())}, "schema": df.schema.jsonValue(), "inputs": fingerprint(*inputs) if inputs else None}
+
+    def finished() -> bool:
+        if not fs.exists(jvm.Path(path, MANIFEST)):
+            return False
+        stream = fs.open(jvm.Path(path, MANIFEST))  # Spark's readers pass over names that begin with an underscore
+        there = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+        return there["schema"] == record["schema"] and there["spec"] == record["spec"] and record["inputs"] in (None, there["inputs"])
+
+    if finished():
+        return path
+    beside = f"{root}/.unfinished-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*by) if by else df.write).parquet(beside)
+    out = fs.create(jvm.Path(beside, MANIFEST))
+    out.write(json.dumps(record).encode())
+    out.close()
+    if not finished():
+        delete(spark, path)
+        fs.mkdirs(at.getParent())
+        # a rename onto a folder that another writer has just published fails, or moves ours into it
+        fs.rename(jvm.Path(beside), at)
+    for loser in (beside, f"{path}/{beside.rsplit('/', 1)[-1]}"):
+        delete(spark, loser)
     return path
 
 
