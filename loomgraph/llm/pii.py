@@ -153,41 +153,63 @@ AT = re.compile(r"(?<![ \t])[ \t]++at[ \t]++|@", re.IGNORECASE)
 HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:[ \t]++dot[ \t]++|\.)[A-Za-z0-9-]++)*+", re.IGNORECASE)
 #: The part before the at, read from its end.
 LOCAL_BACK = re.compile(r"[A-Za-z0-9_%+-]++(?:(?:[ \t]++tod[ \t]++|\.)[A-Za-z0-9_%+-]++)*+", re.IGNORECASE)
-CUE = re.compile(r"(?:mail|address|contact|reach)[a-z]*[ \t:]++(?:(?:is|to|me|us|him|her|them)[ \t:]++)*+$", re.IGNORECASE)
+#: Words that announce an address, as parts of a word, and words that may stand between.
+CUES, BETWEEN = ("mail", "address", "contact", "reach"), frozenset("is to me us him her them".split())
 WORDED = re.compile(r"(?<![ \t])[ \t]++(dot|at)[ \t]++", re.IGNORECASE)
 DOTTED = re.compile(r"[ \t]dot[ \t]", re.IGNORECASE)
 BARE = re.compile(r"[ \t]at[ \t]++[A-Za-z0-9-]++\.[A-Za-z]", re.IGNORECASE)
 SIGNED = re.compile(r"[0-9._%+-]|[ \t]dot[ \t]", re.IGNORECASE)
 
 
-def is_address(text: str, start: int, m: re.Match, stop: int) -> bool:
-    """Whether what lies before and behind an at (the match), from start to stop, makes an address.
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def back_over(text: str, stop: int, start: int, signs: frozenset[str] | str) -> int:
+    """Where the run of signs that ends at ``stop`` begins, not before ``start``."""
+    while stop > start and text[stop - 1] in signs:
+        stop -= 1
+    return stop
+
+
+def announced(text: str, stop: int, start: int) -> bool:
+    """Whether the words before ``stop`` (from ``start`` on) end with one of CUES, words of BETWEEN and blanks passed over."""
+    while True:
+        end = back_over(text, stop, start, " \t:")
+        stop = back_over(text, end, start, LETTERS)
+        word = text[stop:end].lower()
+        if end == stop or word not in BETWEEN:
+            return any(cue in word for cue in CUES)
+
+
+def is_address(text: str, start: int, m: re.Match, stop: int, done: int) -> bool:
+    """Whether what lies before and behind an at (the match), from start to stop, makes an address; what comes before ``done`` is not looked at.
 
     The last label is of two letters or more.  An @ or a dot in words speaks for an address under a label of TOP_LEVEL.  Otherwise (any
     label, or plain dots after a bare "at") something else must: a sign or digit in the local part, or a word like mail before it.
     """
-    label = re.match("[A-Za-z]*", text[max(m.end(), stop - 64) : stop][::-1])[0][::-1]
+    label = text[back_over(text, stop, m.end(), LETTERS) : stop]
     before = text[stop - len(label) - 1]
     if len(label) < 2 or len(label) >= stop - m.end() or before not in ". \t" or m.start() - start + stop - m.end() < 4:
         return False
     if (m[0] == "@" or DOTTED.search(text, m.end(), stop)) and TOP_LEVEL.fullmatch(label):
         return True
-    return bool(SIGNED.search(text, start, m.start()) or CUE.search(text[max(0, start - 64) : start]))
+    return bool(SIGNED.search(text, start, m.start())) or (start > done and text[start - 1] in " \t:" and announced(text, start, done))
 
 
 def spoken(text: str) -> list[tuple[int, int]]:
     """Spans of addresses with an "at" or a dot in words: from each at, its neighbours to both sides.  Takes time linear in the text."""
-    found, done, host_end = [], 0, 0
+    found, done, host_end, seen, last = [], 0, 0, 0, 0
     for m in AT.finditer(text):
         if m.start() < done:
             continue
+        seen, last = last, m.end()  # a cue lies behind the at before
         host = HOST.match(text, m.end()) if m.end() >= host_end else None
         stop = host.end() if host else host_end if m.end() < host_end else m.end()
         host_end = max(host_end, stop)
         back = LOCAL_BACK.match(text[done : m.start()][::-1])
         if back and stop > m.end():
             start = m.start() - back.end()
-            if is_address(text, start, m, stop):
+            if is_address(text, start, m, stop, seen):
                 found.append((start, stop))
                 done = stop
                 continue

@@ -146,3 +146,22 @@ def test_digests_and_redaction(spark):
     assert (four["n_email"], four["spans"], four["n_disguised"]) == (0, "email:0:15", 1)
     assert {r["text"] for r in pii.redact(docs).where("doc_id in (1, 2, 4)").collect()} == {"<email> and <ip>", None, "<email>"}
     assert pii.digests(docs.limit(0)).collect() == []
+
+
+def test_spoken_addresses_have_no_length_limit():
+    long = "x" * 5000
+    for text, n in (
+        (f"jane dot doe at example dot {'b' * 70}", 1), (f"jane at {long} dot com", 1), (f"mail{' ' * 70}jane at example.{'c' * 80} now", 1), (f"my email is{':' * 200} {long} at example.com", 1),
+        (f"email {'to me ' * 100}jane at example.com", 1), (f"{'to me ' * 100}jane at example.com", 0), (f"mail at home. jane at example.com", 0), ("contacts: jane at example.museum", 1),
+    ):
+        assert len(pii.spoken(text)) == n, text[:60]
+
+
+def test_spoken_addresses_take_linear_time():
+    for unit in ("to me at x.com ", "a at ", "mail to me to me jane at b.c ", "a@b at "):
+        took = []
+        for n in (4000, 16000):
+            start = time.perf_counter()
+            pii.spoken(unit * n)
+            took.append(time.perf_counter() - start)
+        assert took[1] < 12 * took[0] + 0.05, unit
