@@ -12,8 +12,10 @@ The output grows with the page, not with its square: columns align up to a width
 a longer cell pushes what follows to the right in its own row only; blocks within more than ``LEVELS`` indented ones aren't
 indented further.  Nesting has no limit: parser and renderer keep their own stacks.
 
-Hidden is what has the ``hidden`` attribute, ``display: none`` or ``visibility: hidden`` in its style, or a
-tag, class or id for which a style element says ``display: none``; so is the body of a closed ``details`` and a ``dialog`` that isn't open.
+Hidden is what has ``display: none`` or ``visibility: hidden`` in its style, or a tag, class or id for which style elements say ``display: none``
+in the end: the last rule counts, ids before classes before tags, a style before all of them, important ones first; rules within media conditions
+count on a screen ``SCREEN`` pixels wide.  So is what has the ``hidden`` attribute and no other display, the body of a closed ``details`` and
+a ``dialog`` that isn't open.
 
 Defined results: null and empty pages, and pages without visible text, give the empty text;
 broken markup never fails; repeated rows are treated alike; other columns are not read; an empty table
@@ -67,9 +69,71 @@ TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-DISPLAY_NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
-VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+SIGNS = re.compile(r""""[^"]*"|'[^']*'|[{};]""")
+SIMPLE = re.compile(r"[.#]?[\w-]+")
+FEATURE = re.compile(r"\(\s*(min|max)-width\s*:\s*([0-9.]+)\s*(px|em|rem)\s*\)")
+#: The screen that style sheets are read for, in pixels, and pixels of an em.
+SCREEN, EM = 1024, 16
+
+
+def declared(style: str, name: str) -> tuple[bool, str] | None:
+    """The value of a declaration and whether it is important: the last one, important ones first."""
+    found = None
+    for part in QUOTED.sub("''", style).split(";"):
+        key, colon, value = part.partition(":")
+        if colon and key.strip().lower() == name:
+            value, mark, _ = value.lower().partition("!")
+            if found is None or mark or not found[0]:
+                found = (bool(mark), value.strip())
+    return found
+
+
+def for_screen(media: str) -> bool:
+    """Whether a media query list holds on a screen of SCREEN pixels; conditions other than widths are taken not to hold."""
+    for query in media.lower().split(","):
+        words = query.strip().removeprefix("only ").strip()
+        negated, words = words.startswith("not "), words.removeprefix("not ").strip()
+        holds = True
+        for part in re.split(r"\band\b", words):
+            part = part.strip()
+            if m := FEATURE.fullmatch(part):
+                try:
+                    width = float(m[2]) * (1 if m[3] == "px" else EM)
+                except ValueError:
+                    width = float("nan")
+                holds &= SCREEN >= width if m[1] == "min" else SCREEN <= width
+            else:
+                holds &= part in ("", "all", "screen")
+        if holds != negated:
+            return True
+    return False
+
+
+def rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on the screen, those within at-rules included."""
+    css = COMMENT.sub(" ", css)
+    open_: list[tuple[str | None, int, bool]] = []  # selectors (None for an at-rule), begin of the body, whether it holds
+    at = 0
+    for m in SIGNS.finditer(css):
+        if m[0][0] in "\"'":
+            continue
+        holds = open_[-1][2] if open_ else True
+        if m[0] == "{":
+            head = css[at : m.start()].strip()
+            if head.startswith("@"):
+                kind, _, condition = head[1:].partition(" ")
+                kind = kind.partition("(")[0].lower()
+                holds &= for_screen(condition or head[6:]) if kind == "media" else kind in ("supports", "layer", "container", "scope")
+                open_.append((None, m.end(), holds))
+            else:
+                open_.append((head, m.end(), holds))
+        elif m[0] == "}" and open_:
+            selectors, begin, holds = open_.pop()
+            if selectors is not None and holds:
+                yield selectors, css[begin : m.start()]
+        at = m.end()
 
 
 class Open:
@@ -104,9 +168,9 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
-def parse(html: str) -> tuple[Node, set[str]]:
-    """The tree, and the selectors (tag, .class, #id) that style elements hide."""
-    root, hidden = Node("html", {}), set()
+def parse(html: str) -> tuple[Node, dict[str, tuple[bool, int, bool]]]:
+    """The tree, and for each selector (tag, .class, #id) its last ``display`` in style elements: (important, place, whether it is none)."""
+    root, hidden, places = Node("html", {}), {}, itertools.count()
     open_, at, n = Open(root), 0, len(html)
     stack = open_.stack
     no_end: set[str] = set()  # what is known not to occur any more: each is looked for in vain only once
@@ -176,10 +240,12 @@ def parse(html: str) -> tuple[Node, set[str]]:
                     after = n if after < 0 else after + 1
                 inner = html[at:stop]
                 at = after
-                if tag == "style":
-                    for selectors, body in RULE.findall(inner):
-                        if DISPLAY_NONE.search(body):
-                            hidden |= {s.strip().lower() if s.strip()[:1] not in ".#" else s.strip() for s in selectors.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)}
+                if tag == "style" and for_screen(attributes.get("media") or ""):
+                    for selectors, declarations in rules(inner):
+                        if display := declared(declarations, "display"):
+                            for name in filter(SIMPLE.fullmatch, map(str.strip, selectors.split(","))):
+                                name = name if name[0] in ".#" else name.lower()
+                                hidden[name] = max(hidden.get(name, (False, -1, False)), (display[0], next(places), display[1] == "none"))
                 elif tag in ("textarea", "xmp"):
                     node.children.append(unescape(inner) if tag == "textarea" else inner)
             elif tag not in VOID and not (body.endswith("/") and tag in ("svg", "math", "path")):
@@ -327,14 +393,20 @@ def run(step: Iterator) -> None:
 class Renderer:
     """Methods that meet nested elements are generators for run()."""
 
-    def __init__(self, hidden: set[str]):
+    def __init__(self, hidden: dict[str, tuple[bool, int, bool]]):
         self.hidden = hidden
 
     def seen(self, node: Node) -> bool:
         a = node.attributes
-        if node.tag in UNSEEN or "hidden" in a or DISPLAY_NONE.search(a.get("style", "")) or (node.tag == "dialog" and "open" not in a):
+        if node.tag in UNSEEN or (node.tag == "dialog" and "open" not in a):
             return False
-        return not self.hidden or not (node.tag in self.hidden or f"#{a.get('id')}" in self.hidden or any(f".{c}" in self.hidden for c in a.get("class", "").split()))
+        found = []  # (important, how special the selector is, place, none)
+        if self.hidden:
+            names = [(0, node.tag), (2, f"#{a.get('id')}"), *((1, f".{c}") for c in a.get("class", "").split())]
+            found = [(rule[0], special, *rule[1:]) for special, name in names if (rule := self.hidden.get(name))]
+        if "style" in a and (display := declared(a["style"], "display")):
+            found.append((display[0], 3, 0, display[1] == "none"))
+        return not max(found)[3] if found else "hidden" not in a
 
     def children(self, node: Node, out: Lines, pre: bool, shown: bool) -> Iterator:
         for child in node.children:
@@ -366,8 +438,9 @@ class Renderer:
             return
         tag = node.tag
         if style := node.attributes.get("style"):
-            if m := VISIBILITY.search(style):
-                shown = m[1].lower() == "visible"
+            visibility = declared(style, "visibility")
+            if visibility and visibility[1] in ("hidden", "collapse", "visible"):
+                shown = visibility[1] == "visible"
         if tag == "br":
             self.line_break(out)
         elif tag == "hr":

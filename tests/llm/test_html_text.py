@@ -145,3 +145,35 @@ def test_visible_words_equal_a_plain_walk():
     for _ in range(200):
         html, words = tree(6, True)
         assert extract(f"<style>.gone, #away {{display: none}}</style>{html}").split() == words
+
+
+@pytest.mark.parametrize(
+    ("page", "seen"),
+    [
+        ("<style>@media print{.np{display:none}}</style><p class=np>yes</p>", "yes"),
+        ("<style media=print>.np{display:none}</style><p class=np>yes</p>", "yes"),
+        ("<style media='screen and (min-width: 30em)'>.np{display:none}</style><p class=np>no</p>yes", "yes"),
+        ("<style>@media (max-width:600px){nav{display:none}} @media only screen and (min-width:600px){.small{display:none}}</style><nav>yes</nav><b class=small>no</b>", "yes"),
+        ("<style>@media not print{.a{display:none}} @media (hover: hover){.b{display:none}} @media print, screen{.c{display:none}}</style><i class=a>no</i><i class=b>yes</i><i class=c>no</i>", "yes"),
+        ("<style>.a{display:none} .a{display:block}</style><p class=a>yes</p>", "yes"),
+        ("<style>.a{display:block} .a{color:red} .a{display:none}</style><p class=a>no</p>yes", "yes"),
+        ("<style>.a{display:none!important} .a{display:block}</style><p class=a style='display:block'>no</p>yes", "yes"),
+        ("<style>#k{display:block} .a{display:none} p{display:none}</style><p class=a id=k>yes</p><p>no</p>", "yes"),
+        ("<style>.a{display:none}</style><p class=a style='display: inline'>yes</p><p hidden style='display:block'>too</p>", "yes\n\ntoo"),
+        ("<style>/* .a{display:none} */ .b::before{content:'}'} @supports (display: grid){.c{display:none}} @keyframes x{.d{display:none}}</style><i class=a>a</i><i class=b>b</i><i class=c>c</i><i class=d>d</i>", "abd"),
+        ("<p style='xdisplay:none'>a</p><p style=\"font-family:'display:none; display:none'\">b</p><p style='backface-visibility:hidden'>c</p><p style='color:red;display:none'>d</p>", "a\n\nb\n\nc"),
+        ("<style>.a{display:none</style><style>@media {.b{display:none}</style><style>}}{;</style><i class=a>a</i><i class=b>b</i>", "a"),
+    ],
+)
+def test_style_rules_for_the_screen(page, seen):
+    assert extract(page) == seen
+
+
+def test_style_sheets_take_linear_time():
+    times = []
+    for n in (4000, 16000):
+        css = "".join(f"@media (min-width:{i}px){{.c{i}{{display:none}}}}" for i in range(n)) + "{" * n + "/*" * n + "a{" * n
+        start = time.perf_counter()
+        extract(f"<style>{css}</style><p style='{';' * n}display:none'>x</p>y")
+        times.append(time.perf_counter() - start)
+    assert times[1] < 12 * times[0]
