@@ -365,27 +365,23 @@ def arg_extremes(s, d):
     return one(aggregate.min_aggr, "argmin").join(one(aggregate.max_aggr, "argmax"), ["id", "slot"]).withColumn("slot", F.col("slot").cast("long"))
 
 
-WEIGHTED = f"WITH {VECTOR_EDGES}, {VECTORS}, {LONG}, {DEG}"
-
-
-def first_slots(s, d):
-    return vectors(s, d).withColumn("x", F.slice("x", 1, SIZE))
+WEIGHTED = f"WITH {VECTOR_EDGES}, {VECTORS}, {WIDE}, {DEG}"
 
 
 @query(f"{WEIGHTED} {filled('avg(l.v)', 'JOIN long l ON l.id = e.src')}")
 def mean_aggr(s, d):
     """On the vectors: means of prices with few decimals would lie on rounding ties."""
-    return long(aggregate.mean_aggr(vector_edges(s, d), first_slots(s, d), width=SIZE))
+    return long(aggregate.mean_aggr(vector_edges(s, d), vectors(s, d), width=64))
 
 
 @query(f"{WEIGHTED} {filled('sum(l.v * e.w)', 'JOIN long l ON l.id = e.src')}")
 def weighted_sum(s, d):
-    return long(aggregate.sum_aggr(vector_edges(s, d), first_slots(s, d), weight="w", width=SIZE))
+    return long(aggregate.sum_aggr(vector_edges(s, d), vectors(s, d), weight="w", width=64))
 
 
 @query(f"{WEIGHTED} {filled('sum(l.v * e.w / sqrt(o.n * i.n))', 'JOIN long l ON l.id = e.src JOIN dout o ON o.id = e.src JOIN din i ON i.id = e.dst')}")
 def spmm_both(s, d):
-    return long(aggregate.spmm(vector_edges(s, d), first_slots(s, d), norm="both", weight="w", width=SIZE))
+    return long(aggregate.spmm(vector_edges(s, d), vectors(s, d), norm="both", weight="w", width=64))
 
 
 TRANSPOSED = "SELECT g.id, g.slot, {r} AS value FROM (SELECT id, slot FROM long) g LEFT JOIN (SELECT e.src AS id, l.slot, sum(l.v * e.w / o.n) AS value FROM edges e JOIN long l ON l.id = e.dst JOIN dout o ON o.id = e.src GROUP BY 1, 2) f USING (id, slot)"
@@ -393,13 +389,13 @@ TRANSPOSED = "SELECT g.id, g.slot, {r} AS value FROM (SELECT id, slot FROM long)
 
 @query(f"{WEIGHTED} {TRANSPOSED.format(r=rsql('coalesce(f.value, 0)'))}")
 def spmm_left_transposed(s, d):
-    return long(aggregate.spmm(vector_edges(s, d), first_slots(s, d), norm="left", weight="w", transposed=True, width=SIZE))
+    return long(aggregate.spmm(vector_edges(s, d), vectors(s, d), norm="left", weight="w", transposed=True, width=64))
 
 
 @query(f"{WEIGHTED} {TRANSPOSED.format(r=rsql('coalesce(f.value, 0)'))}")
 def spmm_backward(s, d):
-    n = first_slots(s, d)
-    return long(adjoint.spmm_backward(vector_edges(s, d), n, n.select("id", F.col("x").alias("g")), "left", "w", SIZE), "gx")
+    n = vectors(s, d)
+    return long(adjoint.spmm_backward(vector_edges(s, d), n, n.select("id", F.col("x").alias("g")), "left", "w", 64), "gx")
 
 
 @query(f"WITH {VECTOR_EDGES}, {VECTORS} SELECT n.id, {rsql('coalesce(sum(list_dot_product(n.x, m.x)), 0)')} AS out FROM nodes n LEFT JOIN edges e ON e.dst = n.id LEFT JOIN nodes m ON m.id = e.src GROUP BY 1")

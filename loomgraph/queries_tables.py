@@ -67,6 +67,15 @@ def normalizations(s, d):
     return z.select("id", F.col("slot").cast("long").alias("slot"), *[rounded(F.col(f"z.{c}"), 5).alias(c) for c in ("layer", "rms", "batch")])
 
 
+@query(f"WITH {VECTORS}, l AS (SELECT id, unnest(range(64)) AS slot, unnest(x) AS v FROM nodes), w AS (SELECT *, avg(v) OVER r AS m, var_pop(v) OVER r AS q, avg(v * v) OVER r AS ms, avg(v) OVER c AS bm, var_pop(v) OVER c AS bv FROM l WINDOW r AS (PARTITION BY id), c AS (PARTITION BY slot)), s AS (SELECT id, exp(v) / sum(exp(v)) OVER (PARTITION BY id) AS p, slot FROM l) SELECT id, slot, {rsql('(v - m) / sqrt(q + 1e-5)', 5)} AS layer, {rsql('v / sqrt(ms + 1e-8)', 5)} AS rms, {rsql('(v - bm) / sqrt(bv + 1e-5)', 5)} AS batch, {rsql('p')} AS softmax FROM w JOIN s USING (id, slot)")
+def normalizations_wide(s, d):
+    """Rows of 64 slots, whose totals are worked out once a row."""
+    n = vectors(s, d)
+    mean, var = nn.batch_stats(n, 64)
+    z = n.select("id", F.posexplode(F.arrays_zip(nn.layer_norm(F.col("x")).alias("layer"), nn.rms_norm(F.col("x")).alias("rms"), nn.batch_norm(F.col("x"), mean, var).alias("batch"), V.softmax(F.col("x")).alias("softmax"))).alias("slot", "z"))
+    return z.select("id", F.col("slot").cast("long").alias("slot"), *[rounded(F.col(f"z.{c}"), 5).alias(c) for c in ("layer", "rms", "batch")], rounded(F.col("z.softmax")).alias("softmax"))
+
+
 @query(f"{P}, w AS (SELECT id, {lin('x', 6, SIZE, 0, False)} AS y FROM nodes), l AS (SELECT id, unnest(range(2)) AS slot, unnest(y[1:2]) AS q, unnest(y[3:4]) AS k, unnest(y[5:6]) AS v FROM w) SELECT id, slot, {rsql('q')} AS q, {rsql('k')} AS k, {rsql('v')} AS v FROM l")
 def qkv_split(s, d):
     z = nn.qkv_split(parts(s, d), weights(6, SIZE)).select("id", F.posexplode(F.arrays_zip("q", "k", "v")).alias("slot", "z"))
@@ -209,9 +218,9 @@ def fit_classifier(s, d):
     return s.createDataFrame([(r["epoch"], float(r["loss"]), float(r["train_accuracy"]), None if r["val_accuracy"] is None else float(r["val_accuracy"])) for r in got.history], "epoch long, loss double, train_accuracy double, val_accuracy double")
 
 
-@query(f"WITH {VECTORS}, z AS (SELECT y, list_transform(x[1:10], lambda v: v * 4) AS l FROM nodes) SELECT {rsql('avg(ln(list_sum(list_transform(l, lambda v: exp(v)))) - l[y + 1])', 5)} AS loss FROM z")
+@query(f"WITH {VECTORS}, z AS (SELECT y, list_transform(x, lambda v: v * 4) AS l FROM nodes) SELECT {rsql('avg(ln(list_sum(list_transform(l, lambda v: exp(v)))) - l[y + 1])', 5)} AS loss FROM z")
 def cross_entropy(s, d):
-    n = vectors(s, d).withColumn("logits", F.transform(F.slice("x", 1, 10), lambda v: v * 4))
+    n = vectors(s, d).withColumn("logits", F.transform("x", lambda v: v * 4))  # 64 classes, of which ten occur
     return nn.softmax_xent(n).withColumn("loss", rounded(F.col("loss"), 5))
 
 
