@@ -30,6 +30,8 @@ WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BUCKET_ROWS, BUCKETS = 256, 65_536
 #: Neighbours that share their terms' parameters.
 GROUP_ROWS = 256
+#: Components of one row: so few that the code generated for them is compiled to machine code (of 64 at once it is too long and stays interpreted).
+CHUNK = 8
 #: Documents that a task holds, and tasks at most.
 TASK_ROWS, TASKS = 1500, 50_000
 
@@ -40,11 +42,11 @@ def gamma(u: Column, v: Column) -> Column:
 
 
 def with_parameters(terms: DataFrame, k: int) -> DataFrame:
-    """``terms`` with arrays of k values r, b and ln(c), fixed by the column ``term``."""
+    """``terms``, a row for each ``chunk`` of CHUNK components, with their values r, b and ln(c) as arrays, fixed by the column ``term``."""
     part = lambda x, shift, n: (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << n) - 1)) + 0.5) / F.lit(float(1 << n))
-    bits = [F.xxhash64("term", F.lit(i)) for i in range(k)]
+    bits = [F.xxhash64("term", F.col("chunk") * CHUNK + F.lit(i)) for i in range(min(k, CHUNK))]
     more = [F.xxhash64(x) for x in bits]
-    return terms.withColumns(
+    return terms.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((k - 1) // CHUNK)))).withColumns(
         {
             "r": F.array(*[gamma(part(x, 32, 32), part(x, 0, 32)) for x in bits]),
             "b": F.array(*[part(x, 0, 20) for x in more]),
@@ -54,17 +56,20 @@ def with_parameters(terms: DataFrame, k: int) -> DataFrame:
 
 
 def sample_key(i: int) -> Column:
-    """Orders the samples of component i: the fixed-point key above 24 bits of the term's hash."""
+    """Orders the samples of a chunk's component i: the fixed-point key above 24 bits of the term's hash."""
     r, b = F.col("r")[i], F.col("b")[i]
     key = F.col("c")[i] - r * (F.floor(F.col("log_weight") / r + b) + 1 - b)
     return F.shiftleft(((key + 64) * float(1 << 32)).cast("long"), 24).bitwiseOR(F.col("term").bitwiseAND(F.lit((1 << 24) - 1)))
 
 
-def samples(terms: DataFrame, by: list[str], k: int, carry: list[Column] = ()) -> DataFrame:
-    """Fingerprints of the groups ``by`` of rows (term long, log_weight, r, b, c); null without a row that has a weight."""
-    found = terms.groupBy(*by).agg(*[F.min(sample_key(i)).alias(f"_{i}") for i in range(k)], *carry)
-    text = F.concat(*[F.lpad(F.hex(F.col(f"_{i}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for i in range(k)])
-    return found.withColumn("fingerprint", F.lower(text)).drop(*[f"_{i}" for i in range(k)])
+def samples(terms: DataFrame, by: list[str], k: int, carry: list[str] = ()) -> DataFrame:
+    """Fingerprints of the groups ``by`` of rows (term long, log_weight, chunk, r, b, c); null without a row that has a weight.
+    The columns ``carry`` are null but in one row of a group, which has no weight."""
+    inside = range(min(k, CHUNK))
+    found = terms.groupBy(*by, "chunk", *carry).agg(*[F.min(sample_key(i)).alias(f"_{i}") for i in inside])
+    text = F.concat(*[F.lpad(F.hex(F.col(f"_{i}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for i in inside])
+    chunks = [F.max(F.when(F.col("chunk") == c, F.col("_text"))) for c in range((k - 1) // CHUNK + 1)]
+    return found.withColumn("_text", F.lower(text)).groupBy(*by).agg(F.substring(F.concat(*chunks), 1, 8 * k).alias("fingerprint"), *[F.max(c).alias(c) for c in carry])
 
 
 def likeness(a: Column, b: Column, k: int) -> Column:
@@ -132,21 +137,21 @@ def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half)))
     sha = F.sha2("edited", 256)
     rows = rows.withColumns({f"s{i}": F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)})
-    rows = rows.withColumn("part", F.floor((F.col("place") - 1) / GROUP_ROWS))
-    carried = ["id", "copy", "n_chars", "s0", "s1", "s2", "s3"]
+    # slot: twice the place, one more for the edited text
     versions = F.when(F.col("copy") == 0, F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).otherwise(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t"))))
-    each = rows.select("bucket", "part", "place", *carried, F.inline(versions))
-    # '' stands for "no more words" in every text, so that a text without words keeps its row, and carries what is known of the document
-    words = each.select("bucket", "part", "place", "v", *carried, F.explode(F.split(F.concat(F.lit(" "), F.lower("t")), WORDS)).alias("w"))
-    terms = words.groupBy("bucket", "part", "place", "v", F.when(F.col("w") == "", F.lit(None)).otherwise(F.xxhash64("w")).alias("term")).agg(F.count("*").alias("weight"), *[F.max(c).alias(c) for c in carried])
-    empty = F.col("term").isNull()
-    text_of = F.struct("place", "v", F.when(~empty, F.ln("weight")).alias("log_weight"), F.when(empty, F.struct(*carried)).alias("known"))
-    shared = with_parameters(terms.groupBy("bucket", "part", "term").agg(F.collect_list(text_of).alias("texts")), k)  # 2 GROUP_ROWS texts at most
-    each = shared.select("bucket", "term", "r", "b", "c", F.inline("texts"))
-    prints = samples(each, ["bucket", "place", "v"], k, [F.max(F.col("known")[c]).alias(c) for c in carried])
-    prints = prints.withColumn("fingerprint", F.coalesce("fingerprint", F.lit("0" * 8 * k)))
-    one = lambda v: F.max(F.when(F.col("v") == v, F.col("fingerprint")))
-    docs_ = prints.groupBy("bucket", "place").agg(one(0).alias("fingerprint"), one(1).alias("edited_fingerprint"), *[F.max(c).alias(c) for c in carried])
+    carried = ["id", "copy", "n_chars", "s0", "s1", "s2", "s3"]
+    each = rows.select("bucket", "place", *carried, F.inline(versions)).withColumn("slot", 2 * F.col("place") + F.col("v"))
+    # '' stands for "no more words": that row of a document's own text carries what is known of it, and keeps texts without words
+    words = each.select("bucket", "slot", "v", *carried, F.explode(F.split(F.concat(F.lit(" "), F.lower("t")), WORDS)).alias("w")).where("w <> '' or v = 0")
+    known = F.when(F.col("w") == "", F.struct(*carried))
+    terms = words.groupBy("bucket", "slot", F.when(F.col("w") != "", F.xxhash64("w")).alias("term"), known.alias("known")).agg(F.count("*").alias("weight"))
+    text_of = F.struct("slot", F.when(F.col("term").isNotNull(), F.ln("weight")).alias("log_weight"), "known")
+    part = F.floor((F.col("slot") - 2) / (2 * GROUP_ROWS)).alias("part")
+    shared = with_parameters(terms.groupBy("bucket", part, "term").agg(F.collect_list(text_of).alias("texts")), k)  # 2 GROUP_ROWS texts at most
+    each = shared.where("term is not null or chunk = 0").select("bucket", "term", "chunk", "r", "b", "c", F.inline("texts"))
+    prints = samples(each, ["bucket", "slot"], k, ["known"])
+    one = lambda v: F.coalesce(F.max(F.when(F.col("slot") % 2 == v, F.col("fingerprint"))), F.lit("0" * 8 * k))
+    docs_ = prints.groupBy("bucket", F.floor(F.col("slot") / 2).alias("place")).agg(one(0).alias("fingerprint"), one(1).alias("edited_fingerprint"), F.max("known").alias("known")).select("bucket", "place", "fingerprint", "edited_fingerprint", "known.*")
     order = Window.partitionBy("bucket").orderBy("place")
     docs_ = docs_.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where("copy = 0")
     sha_text = F.lower(F.concat(*[F.lpad(F.hex(f"s{i}"), 16, "0") for i in range(4)]))
