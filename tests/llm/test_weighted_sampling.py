@@ -120,3 +120,13 @@ def test_few_rows(spark):
     texts = spark.createDataFrame([(1, "a b"), (2, None), (3, "b a")], "doc_id long, text string")
     prints = {r["doc_id"]: r["fingerprint"] for r in S.fingerprints(texts).collect()}
     assert prints[1] == prints[3] != prints[2] == "0" * 512
+
+
+def test_components_do_not_depend_on_their_chunks(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "a b b c"), (2, "!"), (3, "c d é")], "doc_id long, text string")
+    prints = lambda k: {r["doc_id"]: r["fingerprint"] for r in S.fingerprints(texts, k=k).collect()}
+    whole = prints(20)
+    assert {len(x) for x in whole.values()} == {160} and whole[2] == "0" * 160
+    assert prints(5) == {k: v[:40] for k, v in whole.items()}
+    monkeypatch.setattr(S, "CHUNK", 3)
+    assert prints(20) == whole
