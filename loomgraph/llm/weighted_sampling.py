@@ -7,8 +7,8 @@ component's sample.  Two texts share a sample with a probability that equals the
 generalised Jaccard similarity, sum of minima over sum of maxima of the weights.
 
 The gamma values are logarithms of products of two uniforms, so their tails aren't cut: in a text of n words the
-winning keys come from an r near ln(n) and beyond.  r, c and b don't depend on the text, so the report works them out once for each
-term of a group of neighbouring documents, and each of their texts adds its weight only.
+winning keys come from an r near ln(n) and beyond.  A key depends on term and weight alone, so the report works it out
+once for each term and weight of a group of neighbouring documents, and their texts only take minima.
 
 Defined results: null is the empty text; a text without words has the fingerprint of zeros, alike to itself
 (1) and to nothing else (0); equal texts have equal fingerprints.  Documents follow each other by
@@ -28,9 +28,9 @@ from .common import Scratch
 WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents that a bucket of neighbours holds, and buckets at most (their bounds and first ids go to the driver); beyond that they grow.
 BUCKET_ROWS, BUCKETS = 256, 65_536
-#: Neighbours that share their terms' parameters.
+#: Neighbours that share their terms' keys.
 GROUP_ROWS = 256
-#: Components of one row, by measurement (sf0.1, whole report): 25.9 s at 8, 26.9 at 4, 41.7 at 16, 33.5 with all 64 in one row.
+#: Components of one row: 8, since 16 make generated code too long to be compiled (sf0.1: keys 9 s at 8, 52 s at 16).
 CHUNK = 8
 #: Documents that a task holds, and tasks at most.
 TASK_ROWS, TASKS = 1500, 50_000
@@ -42,34 +42,30 @@ def gamma(u: Column, v: Column) -> Column:
 
 
 def with_parameters(terms: DataFrame, k: int) -> DataFrame:
-    """``terms``, a row for each ``chunk`` of CHUNK components, with their values r, b and ln(c) as arrays, fixed by the column ``term``."""
+    """``terms``, a row for each ``chunk`` of CHUNK components, with the keys of the samples of ``term`` at ``log_weight`` as an array of longs.
+
+    A key is fixed-point above 24 bits of the term's hash, so that the smallest one names its term.
+    """
     part = lambda x, shift, n: (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << n) - 1)) + 0.5) / F.lit(float(1 << n))
-    bits = [F.xxhash64("term", F.col("chunk") * CHUNK + F.lit(i)) for i in range(min(k, CHUNK))]
-    more = [F.xxhash64(x) for x in bits]
-    return terms.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((k - 1) // CHUNK)))).withColumns(
-        {
-            "r": F.array(*[gamma(part(x, 32, 32), part(x, 0, 32)) for x in bits]),
-            "b": F.array(*[part(x, 0, 20) for x in more]),
-            "c": F.array(*[F.ln(gamma(part(x, 42, 22), part(x, 20, 22))) for x in more]),
-        }
-    )
-
-
-def sample_key(i: int) -> Column:
-    """Orders the samples of a chunk's component i: the fixed-point key above 24 bits of the term's hash."""
-    r, b = F.col("r")[i], F.col("b")[i]
-    key = F.col("c")[i] - r * (F.floor(F.col("log_weight") / r + b) + 1 - b)
-    return F.shiftleft(((key + 64) * float(1 << 32)).cast("long"), 24).bitwiseOR(F.col("term").bitwiseAND(F.lit((1 << 24) - 1)))
-
-
-def samples(terms: DataFrame, by: list[str], k: int, carry: list[str] = ()) -> DataFrame:
-    """Fingerprints of the groups ``by`` of rows (term long, log_weight, chunk, r, b, c); null without a row that has a weight.
-    The columns ``carry`` are null but in one row of a group, which has no weight."""
+
+    def key(i: int) -> Column:
+        bits = F.xxhash64("term", F.col("chunk") * CHUNK + F.lit(i))
+        more = F.xxhash64(bits)
+        r, b, c = gamma(part(bits, 32, 32), part(bits, 0, 32)), part(more, 0, 20), gamma(part(more, 42, 22), part(more, 20, 22))
+        value = F.ln(c) - r * (F.floor(F.col("log_weight") / r + b) + 1 - b)
+        return F.shiftleft(((value + 64) * float(1 << 32)).cast("long"), 24).bitwiseOR(F.col("term").bitwiseAND(F.lit((1 << 24) - 1)))
+
+    chunks = terms.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((k - 1) // CHUNK))))
+    return chunks.withColumn("keys", F.array(*[key(i) for i in range(min(k, CHUNK))]))
+
+
+def samples(terms: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Fingerprints of the groups ``by`` of rows (chunk, keys)."""
     inside = range(min(k, CHUNK))
-    found = terms.groupBy(*by, "chunk", *carry).agg(*[F.min(sample_key(i)).alias(f"_{i}") for i in inside])
+    found = terms.groupBy(*by, "chunk").agg(*[F.min(F.get("keys", F.lit(i))).alias(f"_{i}") for i in inside])
     text = F.concat(*[F.lpad(F.hex(F.col(f"_{i}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for i in inside])
     chunks = [F.max(F.when(F.col("chunk") == c, F.col("_text"))) for c in range((k - 1) // CHUNK + 1)]
-    return found.withColumn("_text", F.lower(text)).groupBy(*by).agg(F.substring(F.concat(*chunks), 1, 8 * k).alias("fingerprint"), *[F.max(c).alias(c) for c in carry])
+    return found.withColumn("_text", F.lower(text)).groupBy(*by).agg(F.substring(F.concat(*chunks), 1, 8 * k).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, k: int) -> Column:
@@ -135,27 +131,25 @@ def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half)))
-    sha = F.sha2("edited", 256)
-    rows = rows.withColumns({f"s{i}": F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)})
     # slot: twice the place, one more for the edited text
-    versions = F.when(F.col("copy") == 0, F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).otherwise(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t"))))
-    carried = ["id", "copy", "n_chars", "s0", "s1", "s2", "s3"]
-    each = rows.select("bucket", "place", *carried, F.inline(versions)).withColumn("slot", 2 * F.col("place") + F.col("v"))
-    # '' stands for "no more words": that row of a document's own text carries what is known of it, and keeps texts without words
-    words = each.select("bucket", "slot", "v", *carried, F.explode(F.split(F.concat(F.lit(" "), F.lower("t")), WORDS)).alias("w")).where("w <> '' or v = 0")
-    known = F.when(F.col("w") == "", F.struct(*carried))
-    terms = words.groupBy("bucket", "slot", F.when(F.col("w") != "", F.xxhash64("w")).alias("term"), known.alias("known")).agg(F.count("*").alias("weight"))
-    text_of = F.struct("slot", F.when(F.col("term").isNotNull(), F.ln("weight")).alias("log_weight"), "known")
+    version = lambda v, t: F.struct(F.lit(v).alias("v"), F.col(t).alias("t"))
+    versions = F.when(F.col("copy") == 0, F.array(version(0, "text"), version(1, "edited"))).otherwise(F.array(version(0, "text")))
+    each = rows.select("bucket", "place", F.inline(versions)).withColumn("slot", 2 * F.col("place") + F.col("v"))
+    words = each.select("bucket", "slot", F.explode(F.split(F.lower("t"), WORDS)).alias("w")).where("w <> ''")
+    terms = words.groupBy("bucket", "slot", F.xxhash64("w").alias("term")).agg(F.count("*").alias("weight"))
     part = F.floor((F.col("slot") - 2) / (2 * GROUP_ROWS)).alias("part")
-    shared = with_parameters(terms.groupBy("bucket", part, "term").agg(F.collect_list(text_of).alias("texts")), k)  # 2 GROUP_ROWS texts at most
-    each = shared.where("term is not null or chunk = 0").select("bucket", "term", "chunk", "r", "b", "c", F.inline("texts"))
-    prints = samples(each, ["bucket", "slot"], k, ["known"])
-    one = lambda v: F.coalesce(F.max(F.when(F.col("slot") % 2 == v, F.col("fingerprint"))), F.lit("0" * 8 * k))
-    docs_ = prints.groupBy("bucket", F.floor(F.col("slot") / 2).alias("place")).agg(one(0).alias("fingerprint"), one(1).alias("edited_fingerprint"), F.max("known").alias("known")).select("bucket", "place", "fingerprint", "edited_fingerprint", "known.*")
+    shared = terms.groupBy("bucket", part, "term", "weight").agg(F.collect_list("slot").alias("slots"))  # 2 GROUP_ROWS at most
+    keys = with_parameters(shared.select("bucket", "term", "slots", F.ln("weight").alias("log_weight")), k)
+    prints = samples(keys.select("bucket", "chunk", "keys", F.explode("slots").alias("slot")), ["bucket", "slot"], k)
+    # what else is known of a document, found from the same exchange by bucket, which keeps texts without words as well
+    known = rows.select("bucket", "place", F.struct("id", "copy", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).alias("known"))
+    of = lambda v: F.when(F.col("slot") % 2 == v, F.col("fingerprint"))
+    halves = prints.select("bucket", F.floor(F.col("slot") / 2).alias("place"), of(0).alias("own"), of(1).alias("other"))
+    one = lambda c: F.coalesce(F.max(c), F.lit("0" * 8 * k))
+    docs_ = halves.unionByName(known, allowMissingColumns=True).groupBy("bucket", "place").agg(one("own").alias("fingerprint"), one("other").alias("edited_fingerprint"), F.max("known").alias("known")).select("bucket", "place", "fingerprint", "edited_fingerprint", "known.*")
     order = Window.partitionBy("bucket").orderBy("place")
     docs_ = docs_.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where("copy = 0")
-    sha_text = F.lower(F.concat(*[F.lpad(F.hex(f"s{i}"), 16, "0") for i in range(4)]))
     return docs_.select(
-        F.col("id").alias(key), "n_chars", sha_text.alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        F.col("id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), k).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint"), k).alias("near_next"),
     )
