@@ -12,16 +12,50 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import grid
 from ..functions import vectors as V
 from ..functions.scratch import written
 from .aggregate import gather, zero_filled
 
 
 def edge_dot(edges: DataFrame, nodes: DataFrame, q: str = "q", k: str = "k", heads: int = 1, width: int | None = None) -> DataFrame:
-    """(src, dst, score array by head): q[src] . k[dst] for each edge."""
+    """(src, dst, score array by head): q[src] . k[dst] for each edge, worked out in the cells of a grid: no edge carries a vector."""
     d = (width if width is not None else V.width_of(nodes, q)) // heads
-    both = gather(gather(edges.select("src", "dst"), nodes, {q: "_q"}), nodes, {k: "_k"}, "dst")
-    return both.select("src", "dst", head_dots(F.col("_q"), F.col("_k"), heads, d).alias("score"))
+    return grid.edge_values(edges.select("src", "dst"), nodes, {q: heads * d}, {k: heads * d}, {"score": _dots(heads, d)})
+
+
+def _dots(heads: int, d: int):
+    return lambda x, y, _: np.einsum("nhd,nhd->nh", x.reshape(len(x), heads, d), y[:, : heads * d].reshape(len(y), heads, d))
+
+
+def dot_softmax(edges: DataFrame, nodes: DataFrame, q: str = "q", k: str = "k", heads: int = 1, width: int | None = None, grad: str | None = None) -> DataFrame:
+    """(src, dst, alpha array by head): edge_softmax of edge_dot, and with ``grad``, an array column of edges by head, gscore as of edge_softmax_backward.
+
+    Scores are cheaper to work out twice than to write and join: the first pass gives a destination's maximum and sums, the second the
+    edges' values, both in the cells of a grid, so neither scores nor what a destination needs is shuffled for each edge.
+    """
+    d = (width if width is not None else V.width_of(nodes, q)) // heads
+    edges = written(edges.select("src", "dst", *([F.col(grad).cast("array<double>").alias(grad)] if grad else [])))
+    values = {grad: heads} if grad else {}
+    n, dots = heads * d, _dots(heads, d)
+    stats = written(grid.softmax_stats(edges, nodes, {q: n}, {k: n}, heads, dots, (lambda x, y, e: e) if grad else None, values=values))
+    ends = nodes.select("id", k).join(stats, "id")
+
+    def alpha(x: np.ndarray, y: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return np.exp(dots(x, y, e) - y[:, n : n + heads]) / np.maximum(y[:, n + heads : n + 2 * heads], 1e-16)
+
+    def gscore(x: np.ndarray, y: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return alpha(x, y, e) * (e - y[:, n + 2 * heads :] / np.maximum(y[:, n + heads : n + 2 * heads], 1e-16))
+
+    return grid.edge_values(edges, nodes, {q: n}, {k: n, "_m": heads, "_z": heads, "_w": heads}, {"alpha": alpha} | ({"gscore": gscore} if grad else {}), dst_nodes=ends, values=values)
+
+
+def dot_logsumexp(edges: DataFrame, nodes: DataFrame, q: str = "q", k: str = "k", heads: int = 1, width: int | None = None) -> DataFrame:
+    """(id, lse array by head): edge_logsumexp of edge_dot in one pass over the cells of a grid; minus infinity without an incoming edge."""
+    d = (width if width is not None else V.width_of(nodes, q)) // heads
+    stats = grid.softmax_stats(edges.select("src", "dst"), nodes, {q: heads * d}, {k: heads * d}, heads, _dots(heads, d))
+    found = stats.select("id", F.array(*[F.when(F.col("_z")[h] == 0, float("-inf")).otherwise(F.col("_m")[h] + F.ln(F.col("_z")[h])) for h in range(heads)]).alias("lse"))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("lse", F.array_repeat(F.lit(float("-inf")), heads)).alias("lse"))
 
 
 #: Slots of all heads up to which scores are written out as arithmetic that stays in generated code.

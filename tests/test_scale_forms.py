@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.functions import grid
 from loomgraph.operators import adjoint, aggregate, attention, graph, prepare
 from loomgraph.sources import io
 
@@ -128,3 +129,37 @@ def test_processed_folders_have_a_commit_record(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(io.json, "dumps", late)
     assert rows(io.write_processed(two.limit(4), str(tmp_path), {"k": 2})) == 3
     assert not list(tmp_path.glob("**/.unfinished*"))
+
+
+def by_pair(df, *columns):
+    return sorted((r["src"], r["dst"], *[x for c in columns for x in r[c]]) for r in df.collect())
+
+
+@pytest.mark.parametrize("edges_a_cell", [16, 1 << 20])
+def test_scores_on_a_grid(star, monkeypatch, edges_a_cell):
+    """Scores, softmax and its gradient by cells equal those of joined edges; no join carries vectors along edges."""
+    e, x, edges, nodes = star
+    monkeypatch.setattr(grid, "MOST", edges_a_cell)
+    edges = edges.unionByName(edges.limit(1).selectExpr("999L as src", "dst", "w")).withColumn("g", F.array(F.col("w") - 3, F.col("w") * 0.5))
+    nodes = nodes.where("id < 39")
+    scores = attention.edge_dot(edges, nodes, "x", "x", 2)
+    assert "Join" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((a, b, *(x[a].reshape(2, 3) * x[b].reshape(2, 3)).sum(1)) for a, b in e)
+    assert np.allclose(by_pair(scores, "score"), want)
+    both = attention.dot_softmax(edges, nodes, "x", "x", 2, grad="g")
+    joined = edges.join(nodes.select(F.col("id").alias("src")), "src").select("src", "dst", "w", "g")
+    joined = joined.join(nodes.select(F.col("id").alias("src"), F.col("x").alias("a")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("x").alias("b")), "dst")
+    soft = attention.edge_softmax(joined.select("src", "dst", "g", attention.head_dots(F.col("a"), F.col("b"), 2, 3).alias("score")), heads=2)
+    assert np.allclose(by_pair(both, "alpha", "gscore"), by_pair(adjoint.edge_softmax_backward(soft, grad="g", heads=2), "alpha", "gscore"))
+    lse = {r["id"]: r["lse"] for r in attention.dot_logsumexp(edges, nodes, "x", "x", 2).collect()}
+    plain = {r["id"]: r["lse"] for r in attention.edge_logsumexp(scores, nodes, heads=2).collect()}
+    assert lse.keys() == plain.keys() and all(np.allclose(lse[k], plain[k]) for k in lse)
+
+
+def test_grid_keeps_infinite_scores_apart(spark, monkeypatch):
+    """A score of minus infinity in one cell adds nothing to the sums of another; a destination without finite scores has no finite result."""
+    monkeypatch.setattr(grid, "MOST", 1)
+    nodes = spark.createDataFrame([(0, [float("-inf")], [1.0]), (1, [2.0], [1.0]), (2, [3.0], [1.0])], "id long, q array<double>, k array<double>")
+    edges = spark.createDataFrame([(0, 1), (1, 1), (2, 1), (0, 2)], "src long, dst long")
+    lse = {r["id"]: r["lse"][0] for r in attention.dot_logsumexp(edges, nodes).collect()}
+    assert np.isclose(lse[1], np.log(np.exp(2) + np.exp(3))) and lse[0] == lse[2] == -np.inf
