@@ -7,14 +7,17 @@ Per-edge work happens once; then one aggregate by each end that gets a gradient.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import grid
 from ..functions import vectors as V
 from ..functions.scratch import written
-from .aggregate import gather, spmm, zero_filled
-from .attention import edge_softmax, gat_scores, gatv2_scores, head_dots
+from .aggregate import spmm, zero_filled
+from .attention import edge_softmax, gat_scores
 
 
 def minmax_backward(arg: DataFrame, grad: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -42,60 +45,67 @@ def edge_softmax_backward(edges: DataFrame, alpha: str = "alpha", grad: str = "g
     return edges.join(sums, "dst").withColumn("gscore", back).select(*edges.columns, "gscore")
 
 
-def _softmaxed(scored: DataFrame, heads: int) -> DataFrame:
-    """(src, dst, _al, _ds) of narrow edges (src, dst, _s, _p), arrays by head: softmax by destination, and its gradient where _p is that of alpha.
+def _attended(edges: DataFrame, sources: DataFrame, destinations: DataFrame, at_src: dict[str, int], at_dst: dict[str, int], heads: int, score: Callable, back: Callable, sums: Callable, widths: tuple[int, int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sums by source, by destination and over all edges (grid.end_sums) of what a softmax by destination hands back.
 
-    _ds = alpha (_p - sum over the destination of alpha _p).  The edges are written once, so is what a destination needs.
+    ``score(x, y)`` and ``back(x, y)``, the gradient of alpha, are matrices by head from the rows of both ends; ``sums(x, y, alpha, ds)`` gives what is
+    added up, with ds = alpha (back - sum over the destination of alpha back).  Two passes over the cells of a grid: one for a destination's
+    maximum and sums, one for the sums by end; edges are shuffled as pairs of ids only.
     """
-    scored = written(scored.select("src", "dst", "_s", "_p"))
-    top = scored.groupBy("dst").agg(V.aggregated(F.max, "_s", heads).alias("_m"))
-    e = [F.exp(F.col("_s")[h] - F.col("_m")[h]) for h in range(heads)]
-    stats = scored.join(top, "dst").groupBy("dst").agg(F.first("_m").alias("_m"), F.array(*map(F.sum, e)).alias("_z"), F.array(*[F.sum(x * F.col("_p")[h]) for h, x in enumerate(e)]).alias("_w"))
-    # delta of a destination: the alpha-weighted sum of _p
-    z = [F.greatest(F.col("_z")[h], F.lit(1e-16)) for h in range(heads)]
-    both = scored.join(written(stats), "dst").select("src", "dst", "_p", F.array(*[x / y for x, y in zip(e, z, strict=True)]).alias("_al"), F.array(*[F.col("_w")[h] / z[h] for h in range(heads)]).alias("_d"))
-    return written(both.select("src", "dst", "_al", F.array(*[F.col("_al")[h] * (F.col("_p")[h] - F.col("_d")[h]) for h in range(heads)]).alias("_ds")))
+    edges = written(edges.select("src", "dst"))
+    n = sum(at_dst.values())
+    stats = written(grid.softmax_stats(edges, sources, at_src, at_dst, heads, lambda x, y, _: score(x, y), lambda x, y, _: back(x, y), dst_nodes=destinations))
 
+    def work(x: np.ndarray, y: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, ...]:
+        top, z, w = (y[:, n + k * heads : n + (k + 1) * heads] for k in range(3))
+        z = np.maximum(z, 1e-16)
+        alpha = np.exp(score(x, y) - top) / z
+        return sums(x, y, alpha, alpha * (back(x, y) - w / z))
 
-def _by(rows: DataFrame, end: str, nodes: DataFrame, outs: dict[str, tuple[list, int]]) -> DataFrame:
-    """Per node at one end: an array of sums for each name."""
-    found = rows.groupBy(F.col(end).alias("id")).agg(*[F.array(*[F.sum(c) for c in cs]).alias(n) for n, (cs, _) in outs.items()])
-    out = nodes.select("id").join(found, "id", "left")
-    for n, (_, w) in outs.items():
-        out = out.withColumn(n, F.coalesce(n, V.zeros(w)))
-    return out
+    return grid.end_sums(edges, sources, at_src, at_dst | {"_m": heads, "_z": heads, "_w": heads}, work, widths, dst_nodes=destinations.join(stats, "id"))
+
+
+def _cut(nodes: DataFrame, found: DataFrame, names: dict[str, int]) -> DataFrame:
+    """(id, names): the pieces of v for every node, zeros where nothing was found."""
+    out, at = nodes.select("id").join(found, "id", "left"), 1
+    for name, w in names.items():
+        out, at = out.withColumn(name, F.coalesce(F.slice("v", at, w), V.zeros(w))), at + w
+    return out.drop("v")
 
 
 def gt_backward(edges: DataFrame, nodes: DataFrame, grad: DataFrame, heads: int, d: int, scale: float | None = None) -> DataFrame:
     """(id, gq, gk, gv) of graph_transformer_aggr; ``nodes`` has q, k, v."""
-    scale = 1 / math.sqrt(d) if scale is None else scale
+    scale, w = 1 / math.sqrt(d) if scale is None else scale, heads * d
     full = nodes.join(grad, "id")
-    both = gather(gather(edges.select("src", "dst"), full, {"q": "_q", "v": "_v"}), full, {"k": "_k", "g": "_g"}, "dst")
-    scored = both.select("src", "dst", head_dots(F.col("_q"), F.col("_k"), heads, d, scale).alias("_s"), head_dots(F.col("_g"), F.col("_v"), heads, d).alias("_p"))
-    ds = _softmaxed(scored, heads)
-    at = [(h, h * d + i) for h in range(heads) for i in range(d)]
-    w = heads * d
-    src = _by(gather(ds, full, {"k": "_k", "g": "_g"}, "dst"), "src", nodes, {"gq": ([F.col("_ds")[h] * scale * F.col("_k")[j] for h, j in at], w), "gv": ([F.col("_al")[h] * F.col("_g")[j] for h, j in at], w)})
-    dst = _by(gather(ds, full, {"q": "_q"}), "dst", nodes, {"gk": ([F.col("_ds")[h] * scale * F.col("_q")[j] for h, j in at], w)})
-    return src.join(dst, "id").select("id", "gq", "gk", "gv")
+    cut = lambda m, k: m[:, k * w : (k + 1) * w].reshape(len(m), heads, d)
+    dots = lambda a, b: np.einsum("nhd,nhd->nh", a, b)
+
+    def sums(x: np.ndarray, y: np.ndarray, alpha: np.ndarray, ds: np.ndarray) -> tuple[np.ndarray, ...]:
+        ds = (ds * scale)[:, :, None]
+        by_source = np.concatenate([ds * cut(y, 0), alpha[:, :, None] * cut(y, 1)], 1)
+        return by_source.reshape(len(x), 2 * w), (ds * cut(x, 0)).reshape(len(x), w), np.zeros((len(x), 0))
+
+    src, dst, _ = _attended(edges, full, full, {"q": w, "v": w}, {"k": w, "g": w}, heads, lambda x, y: dots(cut(x, 0), cut(y, 0)) * scale, lambda x, y: dots(cut(x, 1), cut(y, 1)), sums, (2 * w, w, 0))
+    return _cut(nodes, src, {"gq": w, "gv": w}).join(_cut(nodes, dst, {"gk": w}), "id").select("id", "gq", "gk", "gv")
 
 
 def gatv2_backward(edges: DataFrame, nodes: DataFrame, grad: DataFrame, attn: list[list[float]], slope: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """(id, gleft, gright) of gatv2_aggr and one row (gattn flat); ``nodes`` has left, right."""
-    heads, d = len(attn), len(attn[0])
-    at = [(h, h * d + i, attn[h][i]) for h in range(heads) for i in range(d)]
-    full = nodes.join(grad, "id")
-    both = gather(gather(edges.select("src", "dst"), full, {"right": "_r"}), full, {"left": "_l", "g": "_g"}, "dst")
-    u = lambda j: F.col("_l")[j] + F.col("_r")[j]
-    ge = _softmaxed(both.select("src", "dst", gatv2_scores(attn, slope, F.col("_l"), F.col("_r")).alias("_s"), head_dots(F.col("_g"), F.col("_r"), heads, d).alias("_p")), heads)
-    wide = gather(gather(ge, full, {"right": "_r"}), full, {"left": "_l", "g": "_g"}, "dst")
-    du = [F.col("_ds")[h] * F.when(u(j) > 0, a).otherwise(a * slope) for h, j, a in at]
-    w = heads * d
-    # the gradient of the attention vector is a total of sums by destination
-    left = written(_by(wide, "dst", nodes, {"gleft": (du, w), "_ga": ([F.col("_ds")[h] * V.leaky(u(j), slope) for h, j, _ in at], w)}))
-    right = _by(wide, "src", nodes, {"gright": ([F.col("_al")[h] * F.col("_g")[j] + x for (h, j, _), x in zip(at, du, strict=True)], w)})
-    gattn = left.agg(F.array(*[F.coalesce(F.sum(F.col("_ga")[j]), F.lit(0.0)) for _, j, _ in at]).alias("gattn"))
-    return left.select("id", "gleft").join(right, "id").select("id", "gleft", "gright"), gattn
+    heads, d, a = len(attn), len(attn[0]), np.array(attn, float)
+    w, full = heads * d, nodes.join(grad, "id")
+    cut = lambda m, k: m[:, k * w : (k + 1) * w].reshape(len(m), heads, d)
+
+    def score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        u = cut(x, 0) + cut(y, 0)
+        return np.einsum("nhd,hd->nh", np.where(u > 0, u, u * slope), a)
+
+    def sums(x: np.ndarray, y: np.ndarray, alpha: np.ndarray, ds: np.ndarray) -> tuple[np.ndarray, ...]:
+        u, ds = cut(x, 0) + cut(y, 0), ds[:, :, None]
+        du = ds * np.where(u > 0, a, a * slope)
+        return tuple(m.reshape(len(x), w) for m in (alpha[:, :, None] * cut(y, 1) + du, du, ds * np.where(u > 0, u, u * slope)))
+
+    right, left, total = _attended(edges, full, full, {"right": w}, {"left": w, "g": w}, heads, score, lambda x, y: np.einsum("nhd,nhd->nh", cut(x, 0), cut(y, 1)), sums, (w, w, w))
+    return _cut(nodes, left, {"gleft": w}).join(_cut(nodes, right, {"gright": w}), "id").select("id", "gleft", "gright"), total.withColumnRenamed("v", "gattn")
 
 
 def gat_backward(edges: DataFrame, nodes: DataFrame, grad: DataFrame, a_src: list[list[float]], a_dst: list[list[float]], slope: float = 0.2) -> DataFrame:
@@ -105,16 +115,21 @@ def gat_backward(edges: DataFrame, nodes: DataFrame, grad: DataFrame, a_src: lis
     of h is gv + gs a_src + gd a_dst by head, those of a_src and a_dst are the sums over nodes of gs h and gd h.
     """
     heads, d = len(a_src), len(a_src[0])
+    w = heads * d
     scored = gat_scores(gat_scores(nodes.select("id", "h").join(grad, "id"), "h", a_src, "_a"), "h", a_dst, "_b")
-    both = gather(gather(edges.select("src", "dst"), scored, {"h": "_v", "_a": "_a"}), scored, {"_b": "_b", "g": "_g"}, "dst")
-    u = lambda h: F.col("_a")[h] + F.col("_b")[h]
-    ge = _softmaxed(both.select("src", "dst", F.array(*[V.leaky(u(h), slope) for h in range(heads)]).alias("_s"), head_dots(F.col("_g"), F.col("_v"), heads, d).alias("_p")), heads)
-    ends = gather(gather(ge, scored, {"_a": "_a"}), scored, {"_b": "_b"}, "dst")
-    du = written(ends.select("src", "dst", F.array(*[F.col("_ds")[h] * F.when(u(h) > 0, 1.0).otherwise(slope) for h in range(heads)]).alias("_du")))
-    slots = [F.col("_du")[h] for h in range(heads)]
-    ends = _by(du, "src", nodes, {"gs": (slots, heads)}).join(_by(du, "dst", nodes, {"gd": (slots, heads)}), "id")
-    messages = [F.col("_al")[h] * F.col("_g")[h * d + i] for h in range(heads) for i in range(d)]
-    return ends.join(_by(gather(ge, scored, {"g": "_g"}, "dst"), "src", nodes, {"gv": (messages, heads * d)}), "id").select("id", "gs", "gd", "gv")
+    u = lambda x, y: x[:, w:] + y[:, w : w + heads]
+
+    def score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        s = u(x, y)
+        return np.where(s > 0, s, s * slope)
+
+    def sums(x: np.ndarray, y: np.ndarray, alpha: np.ndarray, ds: np.ndarray) -> tuple[np.ndarray, ...]:
+        du = ds * np.where(u(x, y) > 0, 1.0, slope)
+        messages = (alpha[:, :, None] * y[:, :w].reshape(len(y), heads, d)).reshape(len(y), w)
+        return np.concatenate([du, messages], 1), du, np.zeros((len(x), 0))
+
+    src, dst, _ = _attended(edges, scored, scored, {"h": w, "_a": heads}, {"g": w, "_b": heads}, heads, score, lambda x, y: np.einsum("nhd,nhd->nh", x[:, :w].reshape(len(x), heads, d), y[:, :w].reshape(len(y), heads, d)), sums, (heads + w, heads, 0))
+    return _cut(nodes, src, {"gs": heads, "gv": w}).join(_cut(nodes, dst, {"gd": heads}), "id").select("id", "gs", "gd", "gv")
 
 
 __all__ = ["edge_softmax", "edge_softmax_backward", "gat_backward", "gatv2_backward", "gt_backward", "minmax_backward", "spmm_backward"]
