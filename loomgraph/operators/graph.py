@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.dealing import dealt
 from ..functions.positions import global_positions, running_sum
 from ..functions.scratch import written
 from ..session import ship_package
@@ -71,8 +72,9 @@ def degree_bucket_fixed(deg: DataFrame, threshold: float) -> DataFrame:
 
 def undirectedness(edges: DataFrame) -> DataFrame:
     """One row (directed): whether the multiset of edges differs from its transpose."""
-    pair = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
-    balance = edges.groupBy(*pair).agg(F.sum(F.when(F.col("src") < F.col("dst"), 1).when(F.col("src") > F.col("dst"), -1).otherwise(0)).alias("d"))
+    way = F.when(F.col("src") < F.col("dst"), 1).when(F.col("src") > F.col("dst"), -1).otherwise(0)
+    pairs = written(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), way.alias("way")))
+    balance = dealt(pairs, "a", "b").groupBy("a", "b").agg(F.sum("way").alias("d"))
     return balance.agg(F.coalesce(F.max(F.col("d") != 0), F.lit(False)).alias("directed"))
 
 
@@ -147,7 +149,8 @@ def edge_weights(edges: DataFrame, nodes: DataFrame, norm: str = "both", degree:
 
 def normalized_adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The symmetric normalisation as a matrix: one entry a pair."""
-    return coalesce(edge_weights(edges, nodes, "both"))
+    edges = written(edges.select("src", "dst"))
+    return coalesce(dealt(edge_weights(edges, nodes, "both"), "src", "dst", like=edges))
 
 
 def row_windows(edges: DataFrame, size: int) -> DataFrame:
@@ -358,7 +361,8 @@ def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 5) -> Da
     both = edges.unionByName(transpose(edges))
     labels = nodes.select("id", F.col("id").alias("label"))
     for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("id", "src"), "src").groupBy("dst", "label").agg(F.count("*").alias("n"))
+        heard = both.join(labels.withColumnRenamed("id", "src"), "src").select("dst", "label")
+        votes = dealt(heard, "dst", "label", like=both).groupBy("dst", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("dst").agg(F.max(F.struct("n", (-F.col("label")).alias("m"))).alias("b"))
         labels = written(labels.join(best.select(F.col("dst").alias("id"), (-F.col("b.m")).alias("new")), "id", "left").select("id", F.coalesce("new", "label").alias("label")))
     return labels

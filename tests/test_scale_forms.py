@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.functions import grid
+from loomgraph.functions import dealing, grid
 from loomgraph.operators import adjoint, aggregate, attention, graph, prepare
 from loomgraph.sources import io
 
@@ -180,3 +180,19 @@ def test_gradients_on_a_grid(star, monkeypatch):
     one = found()
     monkeypatch.setattr(grid, "MOST", 16)
     assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(one, found(), strict=True))
+
+
+def test_many_pairs_are_grouped_in_bounded_tasks(star, monkeypatch):
+    """Beyond FEW rows groupings of pairs run on as many partitions as their rows ask for, with equal results."""
+    *_, edges, nodes = star
+    runs = {
+        "normalized": lambda: graph.normalized_adjacency(edges, nodes).select("src", "dst", F.round("w", 9)),
+        "directed": lambda: graph.undirectedness(edges),
+        "labels": lambda: graph.label_propagation(edges, nodes, 2),
+    }
+    plain = {n: sorted(map(tuple, f().collect())) for n, f in runs.items()}
+    monkeypatch.setattr(dealing, "FEW", 10)
+    monkeypatch.setattr(dealing, "ROWS", 50)
+    assert {n: sorted(map(tuple, f().collect())) for n, f in runs.items()} == plain
+    assert dealing.dealt(edges, "src", "dst").groupBy("src", "dst").count().rdd.getNumPartitions() == -(-edges.count() // 50)
+    assert "RepartitionByExpression" in graph.normalized_adjacency(edges, nodes)._jdf.queryExecution().optimizedPlan().toString()
