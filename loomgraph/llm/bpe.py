@@ -47,8 +47,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @cache
-def bytes_by_id(path: str) -> dict[int, bytes]:
-    return {v: k for k, v in load_ranks(path).items()}
+def bytes_by_id(path: str) -> pa.Array:
+    """The bytes of each id, null for numbers that are none."""
+    found = {v: k for k, v in load_ranks(path).items()}
+    return pa.array([found.get(i) for i in range(max(found, default=-1) + 1)], pa.large_binary())
+
+
+def joined_bytes(table: pa.Array, rows: pa.Array) -> pa.Array:
+    """What the ids of each row (4 bytes each) stand for, looked up for all rows at once."""
+    rows = rows.cast(pa.large_binary()).fill_null(b"")
+    at = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    raw = rows.buffers()[2]
+    ids = np.frombuffer(raw, np.uint8)[at[0] : at[-1]].view("<u4") if raw is not None and at[-1] > at[0] else np.zeros(0, "<u4")
+    found = table.take(pa.array(ids))
+    if found.null_count:
+        raise KeyError("ids that the rank file doesn't have")
+    ends = np.frombuffer(found.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(np.ascontiguousarray(ends[(at - at[0]) // 4])), found.buffers()[2]])
 
 
 class Codec:
@@ -56,6 +71,7 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
+        self.packed = {r: r.to_bytes(4, "little") for r in self.ranks.values()}
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -107,7 +123,7 @@ class Codec:
             self.before, self.known, self.size = self.known, {}, 0
         known, before = self.known, self.before
         for p in {p for p in pieces if p not in known}:
-            known[p] = ids = before.get(p) or np.array(self.merge(p.encode("utf-8", "replace")), "<u4").tobytes()
+            known[p] = ids = before.get(p) or b"".join(map(self.packed.__getitem__, self.merge(p.encode("utf-8", "replace"))))
             self.size += 200 + 2 * len(p) + len(ids)
 
     def encode_pieces(self, pieces: list[str]) -> bytes:
@@ -236,15 +252,13 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded",
 
     @handing_back
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = bytes_by_id(path).__getitem__
+        table = bytes_by_id(path)
         for batch in batches:
-            for first in range(0, len(batch), 256):
-                part = batch.slice(first, 256)
-                rows = []
-                for x in pc.struct_field(part["coded"], ids):
-                    found = b"".join(map(get, np.frombuffer(x.as_buffer() or b"", "<u4").tolist()))
-                    rows.append(found.decode("utf-8", "replace") if text else found)
-                yield pa.RecordBatch.from_arrays([part["coded"], pa.array(rows, pa.string() if text else pa.binary())], ["coded", "decoded"])
+            for first in range(0, len(batch), 64):
+                part = batch.slice(first, 64)
+                rows = joined_bytes(table, pc.struct_field(part["coded"], ids))
+                rows = pa.array([x.decode("utf-8", "replace") for x in rows.to_pylist()], pa.string()) if text else rows.cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part["coded"], rows], ["coded", "decoded"])
 
     rows = coded.select(F.struct(*coded.columns).alias("coded"))
     kind = T.StringType() if text else T.BinaryType()

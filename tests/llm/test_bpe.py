@@ -6,6 +6,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe
@@ -46,3 +47,13 @@ def test_own_merges_equal_the_library():
     own = bpe.Codec(PATH, PATTERN)
     for piece in {p for t in odd_texts() for p in own.pattern.findall(t)}:
         assert own.merge(piece.encode()) == oracle().encode_ordinary(piece)
+
+
+def test_ids_are_looked_up_for_all_rows_at_once():
+    table = pa.array([b"a", b"", None, b"xyz"], pa.large_binary())
+    ids = lambda *x: np.array(x, "<u4").tobytes()
+    rows = pa.array([ids(3), ids(3, 0, 1), b"", None, ids(0, 0)], pa.binary())
+    assert bpe.joined_bytes(table, rows.slice(1)).to_pylist() == [b"xyza", b"", b"", b"aa"]
+    assert bpe.joined_bytes(table, rows.slice(2, 2)).to_pylist() == [b"", b""]
+    with pytest.raises(KeyError):
+        bpe.joined_bytes(table, pa.array([ids(0, 2)], pa.binary()))
