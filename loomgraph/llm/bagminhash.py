@@ -14,7 +14,7 @@ the others by exact multiset overlap; it is the one that meets most texts in all
 pivot didn't join to its class are tried against further pivots, each other in the end.  Large buckets that the pivot didn't make
 one class (texts around one boilerplate, say) are split by prefix filtering: texts of similarity t share one of the
 n - ceil(t n) + 1 rarest of their n shingles, so only texts that share a rare shingle meet again, as buckets of their own, pivot by
-pivot.  So a group of copies costs one comparison for each copy and
+pivot, and are verified if the place of that shingle and the parities of their shingle counts leave the similarity possible.  So a group of copies costs one comparison for each copy and
 not one for each pair, and no link found by the bands is lost.  With 28 bands of 5 a pair at similarity 0.8 is missed
 with probability 1.5e-5, one at 0.85 with 2e-7.
 
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -247,38 +247,97 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 SMALL = 64
 
 
-def occurrences(texts: DataFrame) -> DataFrame:
-    """(id, h, n, token) of every shingle occurrence of texts (id, h, text): the k-th one of a shingle is a token of its own, so that multisets become sets."""
+def occurrences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, token) of every shingle occurrence: the k-th one of a shingle is a token of its own, so that multisets become sets."""
+    which, h, c = shingles(*word_hashes(raw, offsets))
+    k = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+    return np.repeat(which, c), mixed(np.repeat(h, c) + k.astype(np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+#: Tokens that are ordered by their counts, at most; tokens that a task counts at once; bits of a text's parities (whole words of 64).
+FREQUENT, COUNTED, PARITIES = 1 << 18, 1 << 20, 1024
+
+
+def frequent_tokens(scratch: Scratch, texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of most texts, sorted, and in how many texts each was counted: all with more than F, the least F that leaves FREQUENT at most.
+
+    Tokens that a task meets once are not counted there (lossy counting): the order needs no exact counts.
+    """
 
     @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, data, offsets in utf8_batches(batch["text"]):
-                which, h, c = shingles(*word_hashes(data, offsets))
-                k = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                token = mixed(np.repeat(h, c) + k.astype(np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64)
-                rows = np.repeat(which, c)
-                ids, hashes = (batch[x].slice(first, end - first).take(pa.array(rows)) for x in ("id", "h"))
-                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(np.bincount(which, c, end - first).astype(np.int64)[rows]), pa.array(token)], ["id", "h", "n", "token"])
+        kept, size = [], 0
 
-    return texts.select("id", "h", "text").mapInArrow(run, "id long, h long, n long, token long")
+        def counted() -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate(kept), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(token[n > 1]), pa.array(n[n > 1])], ["token", "n"])
+
+        for batch in batches:
+            for _, _, data, offsets in utf8_batches(batch["text"]):
+                kept.append(occurrences(data, offsets)[1])
+                if (size := size + len(kept[-1])) >= COUNTED:
+                    yield counted()
+                    kept, size = [], 0
+        if kept:
+            yield counted()
+
+    counts = scratch.write(texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("f")))
+    least, behind = 1, 0
+    for r in counts.groupBy(F.floor(F.log2("f")).cast("int").alias("e")).count().orderBy(F.desc("e")).collect():  # 64 rows at most
+        if (behind := behind + r["count"]) > FREQUENT:
+            least = (1 << (r["e"] + 1)) - 1
+            break
+    found = counts.where(F.col("f") > least).toPandas().sort_values("token")
+    return found["token"].to_numpy(np.int64), found["f"].to_numpy(np.int64)
 
 
 def rare_buckets(scratch: Scratch, members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(key, id, n, size) buckets of texts that share one of their rarest shingles.
+    """(key, id, n, place, parities) buckets of texts that share one of their rarest shingles.
 
     Two texts of similarity t or more share one of the n - ceil(t n) + 1 rarest tokens of either, whatever the order of equally
-    rare ones.  Tokens that one text has alone meet nothing: they only use up places among the rarest.
+    rare ones.  Any order of all tokens will do, so the few frequent ones have their counts and all others, whose buckets are small, count as
+    rarer.  ``place`` is the token's in its text, from 0; bit b of ``parities`` is the parity of the tokens that b stands for.
     """
     ids = scratch.write(members.select("id").distinct())
-    tokens = scratch.write(occurrences(texts.join(small_or_shuffled(ids, ids.count()), "id").withColumn("h", F.xxhash64("text"))))
-    shared = scratch.write(tokens.groupBy("token").agg(F.count_distinct("id").alias("f")).where("f > 1"))
-    seen = tokens.join(small_or_shuffled(shared, shared.count()), "token")
-    order = F.array_sort(F.collect_list(F.struct("f", "token")))  # as many as the text has shingles
-    listed = seen.groupBy("id", "h", "n").agg(order.alias("t"))
-    places = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("t"))
-    rare = F.slice("t", 1, F.greatest(F.lit(0), F.least(places, F.size("t"))).cast("int"))
-    return listed.select("id", "n", F.explode(rare).alias("x")).select(F.col("x.token").alias("key"), "id", "n", F.col("x.f").alias("size")).distinct()
+    mine = scratch.write(texts.join(small_or_shuffled(ids, ids.count()), "id").select("id", "text"))
+    known = texts.sparkSession.sparkContext.broadcast(frequent_tokens(scratch, mine))
+
+    @handing_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, f = known.value
+        for batch in batches:
+            for first, end, data, offsets in utf8_batches(batch["text"]):
+                text, token = occurrences(data, offsets)
+                count = np.zeros(len(token), np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
+                    count = np.where(frequent[at] == token, f[at], 0)
+                order = np.lexsort((token, count, text))
+                n = np.bincount(text, minlength=end - first)
+                text, token = text[order], token[order]
+                place = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+                bits = np.bincount(text * PARITIES + (token.view(np.uint64) >> U(17)).astype(np.int64) % PARITIES, minlength=(end - first) * PARITIES) & 1
+                parities = np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(-1, PARITIES // 64)
+                some = place < (n - np.ceil(n * threshold - 1e-9) + 1)[text]
+                text = text[some]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1) * parities.shape[1], pa.int32()), pa.array(parities[text].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(token[some]), batch["id"].slice(first, end - first).take(pa.array(text)), pa.array(n[text]), pa.array(place[some]), lists], ["key", "id", "n", "place", "parities"])
+
+    found = scratch.write(mine.mapInArrow(run, "key long, id long, n long, place long, parities array<long>"))
+    shared = scratch.write(found.groupBy("key").agg(F.count("*").alias("f")).where("f > 1").select("key"))
+    return found.join(small_or_shuffled(shared, shared.count()), "key", "left_semi")
+
+
+def may_reach(threshold: float) -> Column:
+    """Whether texts that meet at a token in rare_buckets, one of them a pivot with columns named with an a, may reach the threshold.
+
+    True for each pair that does at the first token they share: behind it they have no more tokens in common than either has left, and
+    parities differ in as many bits as there are tokens that one has alone, at most.
+    """
+    both = F.col("n") + F.col("na")
+    left = F.least(F.col("n") - F.col("place"), F.col("na") - F.col("placea"))
+    apart = sum((F.bit_count(F.col("parities")[i].bitwiseXOR(F.col("paritiesa")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    return F.when(left < both * (threshold / (1 + threshold)) - 1e-6, False).otherwise(apart <= both * ((1 - threshold) / (1 + threshold)) + 1e-6)
 
 
 def star_step(scratch: Scratch, pairs: DataFrame) -> DataFrame:
@@ -333,12 +392,13 @@ class Links:
         keys = self.scratch.write(here.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key"))
         return here.join(small_or_shuffled(keys, keys.count()), "key", "left_semi")
 
-    def compare(self, members: DataFrame, pivots: DataFrame, condition: str = "true") -> None:
+    def compare(self, members: DataFrame, pivots: DataFrame, condition: Column | None = None) -> None:
         """Verify each pivot (key, a, na, la, ...) against the texts of its bucket with other labels."""
         pivots = self.scratch.write(pivots)
         # sizes further apart than the threshold can't reach it
         near = F.least("n", "na") >= self.threshold * F.greatest("n", "na") - 1e-9
-        pairs = members.join(small_or_shuffled(pivots, pivots.count()), "key").where(near).where("label <> la").where(condition)
+        pairs = members.join(small_or_shuffled(pivots, pivots.count()), "key").where(near).where("label <> la")
+        pairs = pairs if condition is None else pairs.where(condition)
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
@@ -359,8 +419,11 @@ class Links:
         best = here.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("back"), "n", "label")).alias("p"))
         self.compare(here, best.select("key", (-F.col("p.back")).alias("a"), F.col("p.n").alias("na"), F.col("p.label").alias("la")))
 
-    def by_all_pivots(self, members: DataFrame, first: int) -> None:
-        """Every text of a bucket is a pivot for those behind it, while labels differ; ``first`` pivots in the first round, then more and more."""
+    def by_all_pivots(self, members: DataFrame, first: int, more: int = 8, condition: Column | None = None, of_pivot: tuple[str, ...] = ()) -> None:
+        """Every text of a bucket is a pivot for those behind it, while labels differ; ``first`` pivots in the first round, then ``more`` times as many each.
+
+        ``condition``: what every pair that reaches the threshold has in one of its buckets; columns ``of_pivot`` of the pivot are named with an a.
+        """
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "id"))
         left, low, high = self.scratch.write(self.mixed(members).withColumn("rank", rank)), 1, first
         here = left.drop("label")
@@ -368,9 +431,9 @@ class Links:
             last = left.agg(F.max("rank")).first()[0]
             if last is None or last <= low:
                 return
-            pivots = left.where(F.col("rank").between(low, high)).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rank").alias("r"))
-            self.compare(left, pivots, "rank > r")
-            low, high = high + 1, high * 8 + 1
+            pivots = left.where(F.col("rank").between(low, high)).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rank").alias("r"), *[F.col(c).alias(c + "a") for c in of_pivot])
+            self.compare(left, pivots, F.col("rank") > F.col("r") if condition is None else (F.col("rank") > F.col("r")) & condition)
+            low, high = high + 1, high * more + 1
             if low >= last:  # all pairs of the largest bucket are done
                 return
             left = self.scratch.write(self.mixed(here))
@@ -399,7 +462,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     large = scratch.write(links.mixed(members.where(F.col("size") > SMALL)).select("key", "id", "n", "size"))
     if large.limit(1).count():
         rare = scratch.write(rare_buckets(scratch, large, texts, threshold))
-        links.by_all_pivots(rare, 1)
+        links.by_all_pivots(rare, 1, 64, may_reach(threshold), ("place", "parities"))
     final = components(scratch, copies.unionByName(links.found))
     every = sketch.select("id").distinct().join(final, "id", "left").select("id", F.coalesce("comp", "id").alias("class_id"))
     every = every.unionByName(docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("class_id")))

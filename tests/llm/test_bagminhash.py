@@ -104,3 +104,31 @@ def test_null_and_other_ids(spark):
     assert [tuple(r) for r in B.near_duplicates(docs).collect()] == [(None, None, True)] * 3
     with pytest.raises(TypeError):
         B.near_duplicates(docs.withColumn("doc_id", F.lit("x")))
+
+
+def test_rare_buckets_make_few_pairs_of_texts_below_the_threshold(spark, monkeypatch):
+    """Texts of one boilerplate, each without other words of it: their rarest shingles meet in nearly all pairs, next to none of which is verified; those that reach the threshold are."""
+    r = random.Random(4)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(120):
+        words = list(base)
+        for k in r.sample(range(300), 9):
+            words[k] = f"y{r.randrange(3)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000, rows[7][1] + " z"), (1001, rows[70][1].replace("w5 ", "q "))]
+    scratch = B.Scratch(spark)
+    texts = spark.createDataFrame(rows, "id long, text string")
+    monkeypatch.setattr(B, "PARITIES", 256)
+    rare = scratch.write(B.rare_buckets(scratch, texts, texts, 0.8))
+    pivots = rare.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("placea"), F.col("parities").alias("paritiesa"))
+    met = rare.join(pivots, "key").where("id < a")
+    pairs = lambda df: {tuple(x) for x in df.select("id", "a").distinct().collect()}
+    bags = {i: bag(t) for i, t in rows}
+    similar = {(a, b) for a, b in combinations(bags, 2) if jaccard(bags[a], bags[b]) >= 0.8}
+    left = pairs(met.where(B.may_reach(0.8)))
+    assert {(7, 1000), (70, 1001)} <= similar <= left
+    assert len(pairs(met)) > 3000 and len(left - similar) < 600
+    order = B.frequent_tokens(scratch, texts)
+    monkeypatch.setattr(B, "FREQUENT", 20)
+    few = B.frequent_tokens(scratch, texts)
+    assert len(few[0]) <= 20 < len(order[0]) and set(few[0]) <= set(order[0])
