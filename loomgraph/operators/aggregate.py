@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import grid
 from ..functions import vectors as V
 from ..functions.scratch import written
 from .graph import degree_bucket, degrees, edge_weights, transpose
@@ -67,16 +68,34 @@ def mean_aggr(edges: DataFrame, nodes: DataFrame, x: str = "x", weight: str | No
 
 def _extreme(edges: DataFrame, nodes: DataFrame, x: str, least: bool, return_arg: bool, width: int | None, hubs: float | None) -> DataFrame:
     width = width if width is not None else V.width_of(nodes, x)
+    if return_arg and width:  # cells of a grid, which no hub's edges fill alone
+        return _args(edges, nodes, x, width, {("out", "arg"): 1 if least else -1})
     there = gather(edges.select("src", "dst"), nodes, {x: "_x"}, hubs=hubs).withColumnRenamed("dst", "id")
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)  # noqa: E731  neither NaN nor infinity wins
     pick = F.min if least else F.max
     parts = [V.aggregated(lambda c: F.coalesce(pick(finite(c)), F.lit(0.0)), "_x", width).alias("out")]
-    if return_arg:  # the smallest source of the best values
-        sign = 1 if least else -1
-        parts.append(V.aggregated(lambda c: F.min(F.when(finite(c).isNotNull(), F.struct((finite(c) * sign).alias("v"), F.col("src")))).getField("src"), "_x", width).alias("arg"))
+    if return_arg:
+        parts.append(F.array().cast("array<long>").alias("arg"))
     return zero_filled(nodes, there.groupBy("id").agg(*parts), width)
 
 
+def _args(edges: DataFrame, nodes: DataFrame, x: str, width: int, wanted: dict[tuple[str, str], int]) -> DataFrame:
+    """(id, a value and an arg column for each wanted pair of names): the least (1) or largest (-1) value of each slot, all from one pass over the edges."""
+    typed = dict(edges.dtypes)
+    found = grid.extremes(written(edges.select("src", "dst")), nodes.select("id", F.col(x).cast("array<double>").alias(x)), x, width, tuple(wanted.values()))
+    columns = []
+    for k, ((value, arg), sign) in enumerate(wanted.items()):
+        at = range(k * width, (k + 1) * width)
+        columns += [F.array(*[F.when(F.col("arg")[i].isNotNull(), F.col("v")[i] * sign).otherwise(0.0) for i in at]).alias(value), F.slice("arg", k * width + 1, width).cast(f"array<{typed['src']}>").alias(arg)]
+    every = nodes.select("id").join(found.select("id", *columns), "id", "left")
+    return every.select("id", *[c for value, arg in wanted for c in (F.coalesce(value, V.zeros(width)).alias(value), arg)])
+
+
+def min_max_aggr(edges: DataFrame, nodes: DataFrame, x: str = "x", width: int | None = None) -> DataFrame:
+    """(id, least, argleast, most, argmost): min_aggr and max_aggr with their args in one pass."""
+    return _args(edges, nodes, x, width if width is not None else V.width_of(nodes, x), {("least", "argleast"): 1, ("most", "argmost"): -1})
+
+
 def min_aggr(edges: DataFrame, nodes: DataFrame, x: str = "x", return_arg: bool = False, width: int | None = None, hubs: float | None = None) -> DataFrame:
     """Smallest value of each slot; with ``return_arg`` also the smallest source id that has it (null without one)."""
     return _extreme(edges, nodes, x, True, return_arg, width, hubs)

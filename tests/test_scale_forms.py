@@ -196,3 +196,18 @@ def test_many_pairs_are_grouped_in_bounded_tasks(star, monkeypatch):
     assert {n: sorted(map(tuple, f().collect())) for n, f in runs.items()} == plain
     assert dealing.dealt(edges, "src", "dst").groupBy("src", "dst").count().rdd.getNumPartitions() == -(-edges.count() // 50)
     assert "RepartitionByExpression" in graph.normalized_adjacency(edges, nodes)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_args_of_extremes_meet_cells_of_a_grid_and_sort_nothing_wide(spark, monkeypatch):
+    """Hash aggregation does not take minima of structs; ties, values that are not finite and nodes without edges, in one cell or many."""
+    inf, nan = float("inf"), float("nan")
+    nodes = spark.createDataFrame([(1, [5.0, inf]), (2, [5.0, nan]), (3, [-1.0, 2.0]), (4, [9.0, 2.0]), (5, [0.0, 0.0])], "id long, x array<double>")
+    edges = spark.createDataFrame([(2, 5), (1, 5), (4, 3), (3, 3), (3, 3), (1, 1), (2, 1), (9, 1), (2, 2)], "src long, dst long")
+    want = {1: ([5.0, 0.0], [1, None], [5.0, 0.0], [1, None]), 2: ([5.0, 0.0], [2, None], [5.0, 0.0], [2, None]), 3: ([-1.0, 2.0], [3, 3], [9.0, 2.0], [4, 3]), 4: ([0.0, 0.0], None, [0.0, 0.0], None), 5: ([5.0, 0.0], [1, None], [5.0, 0.0], [1, None])}
+    for most in (6 << 20, 1):
+        monkeypatch.setattr(grid, "EXTREME_EDGES", most)
+        both = aggregate.min_max_aggr(edges, nodes)
+        assert {r["id"]: tuple(r)[1:] for r in both.collect()} == want
+        low = aggregate.min_aggr(edges, nodes, return_arg=True)
+        assert {r["id"]: (r["out"], r["arg"]) for r in low.collect()} == {k: v[:2] for k, v in want.items()}
+        assert "SortAggregate" not in low._jdf.queryExecution().toString()
