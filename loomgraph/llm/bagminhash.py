@@ -291,20 +291,41 @@ def frequent_tokens(scratch: Scratch, texts: DataFrame) -> tuple[np.ndarray, np.
     return found["token"].to_numpy(np.int64), found["f"].to_numpy(np.int64)
 
 
+#: Tokens of a part, by the mean: parts are read one by one.  Tokens are counted as one for each 30 bytes of text: a fifth of the shingles.
+PART_TOKENS, TOKEN_BYTES = 1 << 18, 30
+#: A token in a text's prefix: the token, the text's number and the token's place.
+PLACED = np.dtype([("token", "<i8"), ("row", "<i8"), ("place", "<i4")])
+
+
 def rare_buckets(scratch: Scratch, members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(key, id, n, place, parities) buckets of texts that share one of their rarest shingles.
 
     Two texts of similarity t or more share one of the n - ceil(t n) + 1 rarest tokens of either, whatever the order of equally
     rare ones.  Any order of all tokens will do, so the few frequent ones have their counts and all others, whose buckets are small, count as
     rarer.  ``place`` is the token's in its text, from 0; bit b of ``parities`` is the parity of the tokens that b stands for.
+
+    Most of the rarest tokens are a single text's: tokens are dealt by hash in packed blocks, and only those that a part has twice become rows.
     """
     ids = scratch.write(members.select("id").distinct())
-    mine = scratch.write(texts.join(small_or_shuffled(ids, ids.count()), "id").select("id", "text"))
+    mine = scratch.write(texts.join(small_or_shuffled(ids, ids.count()), "id").select("id", "text", F.monotonically_increasing_id().alias("row")))
+    parts = max(1, -(-(mine.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (PART_TOKENS * TOKEN_BYTES)))
     known = texts.sparkSession.sparkContext.broadcast(frequent_tokens(scratch, mine))
 
     @handing_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, f = known.value
+        names = ["row", "id", "n", "parities", "part", "block"]
+        kept, size = [], 0
+
+        def let_go() -> pa.RecordBatch:
+            placed = np.concatenate(kept)
+            part = (mixed(placed["token"].view(np.uint64)) % U(parts)).astype(np.int32)
+            placed, part = placed[order := np.argsort(part, kind="stable")], part[order]
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            blocks = pa.array([placed[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True)], pa.binary())
+            nulls = [pa.nulls(len(cuts), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*nulls, pa.array(part[cuts]), blocks], names)
+
         for batch in batches:
             for first, end, data, offsets in utf8_batches(batch["text"]):
                 text, token = occurrences(data, offsets)
@@ -318,14 +339,46 @@ def rare_buckets(scratch: Scratch, members: DataFrame, texts: DataFrame, thresho
                 place = np.arange(len(text)) - (np.cumsum(n) - n)[text]
                 bits = np.bincount(text * PARITIES + (token.view(np.uint64) >> U(17)).astype(np.int64) % PARITIES, minlength=(end - first) * PARITIES) & 1
                 parities = np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(-1, PARITIES // 64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(end - first + 1) * parities.shape[1], pa.int32()), pa.array(parities.ravel()))
+                rows = batch["row"].slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([rows, batch["id"].slice(first, end - first), pa.array(n), lists, pa.nulls(end - first, pa.int32()), pa.nulls(end - first, pa.binary())], names)
                 some = place < (n - np.ceil(n * threshold - 1e-9) + 1)[text]
-                text = text[some]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1) * parities.shape[1], pa.int32()), pa.array(parities[text].ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(token[some]), batch["id"].slice(first, end - first).take(pa.array(text)), pa.array(n[text]), pa.array(place[some]), lists], ["key", "id", "n", "place", "parities"])
+                placed = np.empty(int(some.sum()), PLACED)
+                placed["token"], placed["row"], placed["place"] = token[some], rows.to_numpy()[text[some]], place[some]
+                kept.append(placed)
+                if (size := size + len(placed)) >= COUNTED:
+                    yield let_go()
+                    kept, size = [], 0
+        if size:
+            yield let_go()
+
+    @handing_back
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept = None, []
+
+        def met() -> pa.RecordBatch:
+            placed = np.concatenate(kept)
+            placed = placed[np.argsort(placed["token"], kind="stable")]
+            token = placed["token"]
+            same = token[1:] == token[:-1]
+            placed = placed[np.r_[False, same] | np.r_[same, False]]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(placed[c])) for c in PLACED.names], ["key", "row", "place"])
+
+        for batch in batches:
+            for part, block in zip(batch["part"].to_pylist(), batch["block"], strict=True):
+                if at != part:
+                    if kept:
+                        yield met()
+                    at, kept = part, []
+                kept.append(np.frombuffer(block.as_buffer(), PLACED))
+        if kept:
+            yield met()
 
-    found = scratch.write(mine.mapInArrow(run, "key long, id long, n long, place long, parities array<long>"))
-    shared = scratch.write(found.groupBy("key").agg(F.count("*").alias("f")).where("f > 1").select("key"))
-    return found.join(small_or_shuffled(shared, shared.count()), "key", "left_semi")
+    made = scratch.write(mine.mapInArrow(run, "row long, id long, n long, parities array<long>, part int, block binary"))
+    blocks = made.where("part is not null").select("part", "block").repartition(parts, "part").sortWithinPartitions("part")
+    found = scratch.write(blocks.mapInArrow(shared, "key long, row long, place int"))
+    sketched = made.where("part is null").select("row", "id", "n", "parities")
+    return found.join(sketched, "row").select("key", "id", "n", "place", "parities")
 
 
 def may_reach(threshold: float) -> Column:

@@ -132,3 +132,26 @@ def test_rare_buckets_make_few_pairs_of_texts_below_the_threshold(spark, monkeyp
     monkeypatch.setattr(B, "FREQUENT", 20)
     few = B.frequent_tokens(scratch, texts)
     assert len(few[0]) <= 20 < len(order[0]) and set(few[0]) <= set(order[0])
+
+
+def test_rare_buckets_make_no_rows_of_tokens_of_one_text(spark, monkeypatch):
+    """All tokens of a text that no other text shares stay in packed blocks; shared ones become one row for each text that has them, however they are dealt."""
+    r = random.Random(6)
+    shared = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join([*shared, *(f"u{i}v{k}" for k in range(60))])) for i in range(80)]
+    rows += [(100 + i, rows[i][1] + f" z{r.randrange(9)}") for i in range(3)] + [(200, ""), (0, "another text of the id of the first one")]
+    scratch = B.Scratch(spark)
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    made, write = [], B.Scratch.write
+    monkeypatch.setattr(B.Scratch, "write", lambda self, df, *a: made.append(write(self, df, *a)) or made[-1])
+    found = []
+    for tokens in (1 << 18, 16):
+        monkeypatch.setattr(B, "PART_TOKENS", tokens)
+        found.append(sorted(tuple(x) for x in B.rare_buckets(scratch, texts, texts, 0.8).collect()))
+        if len(found) == 1:
+            most = max(df.count() for df in made if "token" not in df.columns)  # counts of frequent tokens aside
+    assert found[0] == found[1]
+    assert {i for _, i, *_ in found[0]} == {0, 1, 2, 100, 101, 102}
+    keys = [k for k, *_ in found[0]]
+    assert len(found[0]) > 100 and min(keys.count(k) for k in set(keys)) > 1
+    assert most < len(rows) + len(found[0])
