@@ -20,12 +20,12 @@ __all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "Scratch", "crc_mod", "handing_back"
 BROADCAST_ROWS = 500_000
 #: Bytes of text that a numpy step handles at once.
 BATCH_BYTES = 1 << 19
-#: Bytes of an Arrow batch between executor and worker.
-ARROW_BYTES = 4 << 20
+#: Bytes of an Arrow batch between executor and worker: buffers of a few MB, doubled as they fill, stay with the allocator of each task's thread.
+ARROW_BYTES = 1 << 20
 
 
 def with_workers(spark: SparkSession) -> SparkSession:
-    """The session made ready for operators with Python steps: the package on all executors, and Arrow batches of a few MB
+    """The session made ready for operators with Python steps: the package on all executors, and Arrow batches of one MB
     (texts are wide: Spark's default of 64 MB is held several times over in the executor and in each worker)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return ship_package(spark)

@@ -81,3 +81,15 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_no_arrow_batch_of_more_than_a_few_texts(spark):
+    """What executors hold outside of their heap grows with the batches: texts of 20 kB come 100 at a time at most."""
+    from loomgraph.llm.common import with_workers
+
+    def sizes(batches):
+        for b in batches:
+            yield b.from_pydict({"n": [b.num_rows]})
+
+    rows = with_workers(spark).range(0, 300, 1, 1).selectExpr("repeat('x', 20000) AS text")
+    assert max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) <= 100
