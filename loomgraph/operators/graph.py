@@ -5,18 +5,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import grid
 from ..functions import vectors as V
 from ..functions.dealing import dealt
 from ..functions.positions import global_positions, running_sum
 from ..functions.scratch import written
-from ..session import ship_package
 
 
 def add_self_loops(edges: DataFrame, nodes: DataFrame, w: float = 1.0) -> DataFrame:
@@ -188,45 +186,44 @@ def from_block_sparse(blocks: DataFrame, rows: int = 16, cols: int = 8) -> DataF
     return there.select((F.col("window") * rows + F.floor(F.col("i") / cols)).cast("long").alias("src"), F.col("cols")[F.col("i") % cols].alias("dst"), F.col("weights")[F.col("i")].alias("w"))
 
 
-#: Blocks of a window that are multiplied as one group; a longer window is several groups, added up afterwards.
+#: Blocks whose columns are multiplied at once.
 GROUP_BLOCKS = 2048
 
 
 def block_product(blocks: DataFrame, nodes: DataFrame, width: int, x: str = "x", rows: int = 16, cols: int = 8) -> DataFrame:
     """(id, out): the matrix in blocks (window, block, cols, bm_lo, bm_hi, weights) times the rows x of ``nodes``, zeros where a row has no entry.
 
-    A dense row is joined once for each column of a block and not once for each entry; a group of blocks is multiplied
-    while it streams by, so what is shuffled again is at most ``rows`` sums a group.
+    The columns of blocks are dealt into the cells of a grid of columns and windows, where each meets the one copy of its dense row: columns
+    are shuffled with their weights alone, and a cell hands over one sum for each row of its windows.
     """
-    ship_package(blocks.sparkSession)
     one = lambda r, c: F.call_function("getbit", F.col("bm_lo" if r * cols + c < 64 else "bm_hi"), F.lit((r * cols + c) % 64))
-    column = lambda c: F.struct(F.col("cols")[c].alias("id"), F.array(*[F.col("weights")[r * cols + c].cast("double") for r in range(rows)]).alias("w"), sum((one(r, c).cast("long") * (1 << r) for r in range(rows)), F.lit(0).cast("long")).alias("held"))
-    each = blocks.select("window", F.floor(F.col("block") / GROUP_BLOCKS).alias("part"), F.inline(F.array(*[column(c) for c in range(cols)]))).where("held <> 0")  # padded columns hold nothing
-    met = each.join(nodes.select("id", F.col(x).alias("x")), "id").select("window", "part", "w", "held", "x")
-
-    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total, held = None, np.zeros((rows, width)), 0
-
-        def let_go() -> pa.RecordBatch:
-            some = [r for r in range(rows) if held >> r & 1]
-            return pa.RecordBatch.from_arrays([pa.array([at[0] * rows + r for r in some], pa.int64()), V.lists_of(total[some])], names=["id", "v"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("window", "part")], 1)
-            w, v, bits = V.matrix_of(b.column("w"), rows), V.matrix_of(b.column("x"), width), b.column("held").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if at != (key := tuple(keys[i].tolist())):
-                    if at is not None:
-                        yield let_go()
-                    at, total, held = key, np.zeros((rows, width)), 0
-                total, held = total + w[i:j].T @ v[i:j], held | int(np.bitwise_or.reduce(bits[i:j]))
-        if at is not None:
-            yield let_go()
-
-    sums = met.repartition("window", "part").sortWithinPartitions("window", "part").mapInArrow(multiplied, "id long, v array<double>")
+    bits = lambda c, low: sum((one(r, c).cast("long") * (1 << (r - low)) for r in range(low, min(rows, low + 32))), F.lit(0).cast("long"))
+    column = lambda c: F.struct(F.col("cols")[c].alias("src"), F.array(*[F.col("weights")[r * cols + c].cast("double") for r in range(rows)]).alias("w"), F.array(*[bits(c, low) for low in range(0, rows, 32)]).alias("held"))
+    words = -(-rows // 32)
+    each = blocks.select(F.col("window").alias("dst"), F.inline(F.array(*[column(c) for c in range(cols)]))).where(F.exists("held", lambda h: h != 0))  # padded columns hold nothing
+    each = written(each.select("src", "dst", "w", F.col("held").cast("array<double>").alias("held")))
+
+    def begin(left: grid.Cell, right: grid.Cell):
+        total, met = np.zeros((len(right.ids) * rows, width)), np.zeros(len(right.ids) * rows, bool)
+
+        def step(l: np.ndarray, r: np.ndarray, e: np.ndarray) -> None:
+            held = e[:, rows : rows + words].astype(np.int64)
+            for i in range(0, len(l), GROUP_BLOCKS * cols):
+                part = slice(i, i + GROUP_BLOCKS * cols)
+                at, row = np.nonzero(held[part][:, np.arange(rows) // 32] >> (np.arange(rows) % 32) & 1)
+                places = r[part][at] * rows + row
+                grid.added(total, places, e[part][at, row][:, None] * left.rows[l[part][at]])
+                met[places] = True
+
+        def end() -> pa.RecordBatch:
+            ids = (right.ids[:, None] * rows + np.arange(rows)).ravel()
+            return pa.RecordBatch.from_arrays([pa.array(ids[met]), V.lists_of(total[met])], names=["id", "v"])
+
+        return step, end
+
+    windows = each.select(F.col("dst").alias("id")).distinct()
+    dense = nodes.select("id", F.col(x).cast("array<double>").alias("x"))
+    sums = grid.on_grid(each, dense, {"x": width}, {}, begin, "id long, v array<double>", dst_nodes=windows, values={"w": rows, "held": words})
     found = sums.groupBy("id").agg(V.aggregated(F.sum, "v", width).alias("out"))
     return nodes.select("id").join(found, "id", "left").withColumn("out", F.coalesce("out", V.zeros(width)))
 

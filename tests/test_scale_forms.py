@@ -59,6 +59,13 @@ def test_product_on_blocks(star, monkeypatch, group):
     assert values(graph.block_product(graph.to_block_sparse(matrix.limit(0)), nodes, 6)).tolist() == np.zeros_like(x).tolist()
 
 
+def test_product_joins_no_dense_row_to_a_column(star):
+    *_, edges, nodes = star
+    found = graph.block_product(graph.to_block_sparse(graph.transpose(graph.coalesce(edges))), nodes, 6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and np.allclose(values(found), values(aggregate.spmm(graph.coalesce(edges), nodes, weight="w")))
+
+
 def test_bounded_parts(spark):
     r = np.random.default_rng(1)
     n = 120  # four communities whose ids alternate, so that the first parts cut most edges
