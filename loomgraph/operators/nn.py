@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import packed
 from ..functions import vectors as V
 from ..functions.scratch import written
 from ..session import ship_package
@@ -329,22 +330,64 @@ def dense_backward(rows: DataFrame, weight: np.ndarray, bias: np.ndarray, act: s
     return rows.mapInPandas(back, "id long, g array<double>"), both[:, :-1], both[:, -1]
 
 
+def _scale(kind: str | None, degree: str) -> Column:
+    """What a sum is multiplied by: the degree to the power -1 or -1/2, degrees under 1 as 1."""
+    d = F.greatest(F.coalesce(degree, F.lit(1)), F.lit(1)).cast("double")
+    return {None: F.lit(1.0), "whole": 1 / d, "root": 1 / F.sqrt(d)}[kind]
+
+
+#: How convolutions without weights split into a factor of the source's out-degree and one of the destination's in-degree.
+FACTORS = {"sum": (None, None), "mean": (None, "whole"), "gcn": ("root", "root"), "random_walk": ("whole", None)}
+
+
+class Hops:
+    """Convolutions without weights and their adjoints as passes over packed edges; node tables of the passes are (id, a column of arrays)."""
+
+    def __init__(self, edges: DataFrame, nodes: DataFrame, width: int):
+        self.n = nodes.count()
+        self.edges = packed.packed(edges, self.n, width)
+        found = packed.degrees(self.edges, self.n, nodes)
+        self.nodes = written(nodes.select("id").join(found.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("id", "outs", "ins"))
+
+    def _pass(self, rows: DataFrame, x: str, conv: str, width: int, back: bool) -> DataFrame:
+        at_src, at_dst = FACTORS[conv]
+        (first, by), (last, then) = ((at_dst, "ins"), (at_src, "outs")) if back else ((at_src, "outs"), (at_dst, "ins"))
+        rows = rows.select("id", F.col(x).alias("v"))
+        given = rows.join(self.nodes, "id").select("id", V.scaled(F.col("v"), _scale(first, by)).alias("v")) if first else rows
+        found = packed.sums(self.edges, self.n, given, self.nodes, width, back)
+        every = self.nodes.join(found, "id", "left")
+        return every.select("id", F.coalesce(V.scaled(F.col("v"), _scale(last, then)) if last else F.col("v"), V.zeros(width)).alias("v"))
+
+    def forward(self, rows: DataFrame, conv: str, width: int) -> DataFrame:
+        """(id, out) of the convolution of x."""
+        return self._pass(rows, "x", conv, width, False).withColumnRenamed("v", "out")
+
+    def backward(self, grad: DataFrame, conv: str, width: int) -> DataFrame:
+        """(id, g): the gradient of x from that of the result."""
+        return self._pass(grad, "g", conv, width, True).withColumnRenamed("v", "g")
+
+
 def gradients(nodes: DataFrame, edges: DataFrame, layers: list[Layer], head: tuple[Matrix, list[float]], split: str = "train") -> tuple[float, list[tuple[np.ndarray, np.ndarray]]]:
     """Mean cross-entropy of a split's labelled rows, and its gradients by (weight, bias) of each block and of the head.
 
     Forward, every block's input, hidden values and convolution are written once; backward, one adjoint convolution and one pass of
-    dense work a block.  Nothing but weights and their gradients reaches the driver.
+    dense work a block.  Convolutions without weights go over edges that are packed once.  Nothing but weights and their gradients reaches
+    the driver.
     """
-    edges = written(edges)
+    edges = edges if all(x.conv in FACTORS for x in layers) else written(edges)
     state, x = [], written(nodes.select("id", "x"))
+    simple = [len(layer.weight) for layer in layers if layer.conv in FACTORS]
+    hops = Hops(edges, x, max(simple)) if simple else None
     for layer in layers:
+        width = len(layer.weight)
         h = written(activation(linear(x, layer.weight, layer.bias), layer.act))
-        c = written(convolve(edges, h, layer.conv, len(layer.weight), layer.extra).withColumnRenamed("out", "x"))
+        found = hops.forward(h, layer.conv, width) if layer.conv in FACTORS else convolve(edges, h, layer.conv, width, layer.extra)
+        c = written(found.withColumnRenamed("out", "x"))
         out = normalize(c, layer.norm)
         if layer.residual:
             out = out.join(h.select("id", F.col("x").alias("_h")), "id").select("id", V.add(F.col("x"), F.col("_h")).alias("x"))
         state.append((layer, x, h, c))
-        x = written(out)
+        x = written(out) if out is not c else c
     scored = classify(x.join(nodes.select("id", "y", "split"), "id"), *head)
     rows = written(scored.where(F.col("split") == split).where(F.col("y").isNotNull()).select("id", "x", F.col("y").cast("int").alias("y"), "logits"))
     loss, n = rows.agg(F.avg(xent()), F.count("*")).first()
@@ -352,14 +395,15 @@ def gradients(nodes: DataFrame, edges: DataFrame, layers: list[Layer], head: tup
     g, *of_head = dense_backward(rows.withColumn("g", off), np.array(head[0], float), np.array(head[1], float), "identity")
     found = [tuple(of_head)]
     grad = written(x.select("id").join(g, "id", "left").select("id", F.coalesce("g", V.zeros(len(head[0][0]))).alias("g")))
-    for layer, before, h, c in reversed(state):
-        back = written(norm_backward(c.join(grad, "id"), layer.norm))
-        inner = convolve_backward(edges, h, back, layer)
+    for k, (layer, before, h, c) in reversed(list(enumerate(state))):
+        back = grad if layer.norm == "none" else written(norm_backward(c.join(grad, "id"), layer.norm))
+        inner = hops.backward(back, layer.conv, len(layer.weight)) if layer.conv in FACTORS else convolve_backward(edges, h, back, layer)
         if layer.residual:
             inner = inner.join(grad.select("id", F.col("g").alias("_g")), "id").select("id", V.add(F.col("g"), F.col("_g")).alias("g"))
         g, *of_layer = dense_backward(written(before.join(inner, "id")), np.array(layer.weight, float), np.array(layer.bias, float), layer.act)
         found.append(tuple(of_layer))
-        grad = written(g)
+        if k:  # nothing stands in front of the first block
+            grad = written(g)
     return float(loss or 0.0), found[::-1]
 
 
