@@ -104,7 +104,7 @@ def packed(edges: DataFrame, nodes: int, width: int) -> Packed:
     """``edges`` packed and written, for passes with rows of so many ``nodes`` and ``width`` numbers on each side; edges without a source drop out."""
     ship_package(edges.sparkSession)
     fine = FINE
-    while fine < nodes * width * 8 / CELL_BYTES:
+    while fine < nodes * (width + 2) * 8 / CELL_BYTES:  # two for the ids, as in on_cells
         fine *= 2
 
     def pack(src: pa.ChunkedArray, dst: pa.ChunkedArray) -> pa.RecordBatch:
